@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, secrets, toxicity
+from . import importance, licenses, pieces, secrets, sharding, toxicity
 from .common import read, written
 
 #: Folder of the public tokenizer files; they are never copied here.
@@ -24,6 +24,24 @@ def piece_model(path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return placed.select(
+        "doc_id",
+        "size",
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key")
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = written(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source")), "candidates").alias("d")
     found = written(secrets.report(scanned), "secrets").alias("s")
@@ -61,11 +79,16 @@ def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.inline("licenses"))
+
+
 def op10_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.tokenize(docs, piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_ownership, op8_toxicity_instances, op10_streaming_pieces)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op5_secret_ownership, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
