@@ -14,6 +14,8 @@ boundary, and that path is the library's own BPE result.
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from functools import cached_property
 
 import numpy as np
@@ -24,8 +26,9 @@ from .common import arrow_map, extended
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-#: Bounds of the per-task caches (words and pairs of pieces).
-WORDS, PAIRS = 300_000, 500_000
+#: Bounds of a worker's caches (words and pairs of pieces), and the longest word that
+#: is kept: its lattice fits in one window.
+WORDS, PAIRS, WORD = 300_000, 1_000_000, 64
 
 
 def _fields(data: bytes):
@@ -85,6 +88,19 @@ class PieceModel:
         self.breaks = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:]))
         self.unknown = min(scores[i] for i in self.ids.values()) - 10.0
 
+    @cached_property
+    def trie(self) -> dict:
+        """character -> (nested trie, id of the piece that ends here or -1)."""
+        root: dict = {}
+        for piece in sorted(self.ids):  # a piece follows its prefixes
+            node = root
+            for c in piece[:-1]:
+                if c not in node:
+                    node[c] = ({}, -1)
+                node = node[c][0]
+            node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, self.ids[piece])
+        return root
+
     @cached_property
     def prefixes(self) -> set[str]:
         return {p[:n] for p in self.ids for n in range(1, len(p))}
@@ -109,6 +125,7 @@ class Encoder:
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
+        self.codes: dict[int, bool] = {}
 
     def follows(self, a: str, b: str) -> bool:
         """Whether merging ab gives just a and b (an unknown character never merges)."""
@@ -181,7 +198,49 @@ class Encoder:
                 del reach[b]
         return max(base, meet)
 
+    def short(self, text: str) -> list[int] | None:
+        """word() for a BPE lattice that fits in one window; None if a character is no
+        piece. One backpointer (the last piece) survives at each boundary."""
+        n, trie, pairs, pieces = len(text), self.m.trie, self.codes, self.m.pieces
+        last = [-2] * (n + 1)  # -2: no path; -1: the start
+        last[0] = -1
+        for start in range(n):
+            before = last[start]
+            if before == -2:
+                continue
+            node, base, end = trie, before << 20, start
+            for c in text[start:]:
+                hit = node.get(c)
+                if hit is None:
+                    break
+                node, i = hit
+                end += 1
+                if i >= 0 and last[end] == -2:
+                    ok = pairs.get(base | i)
+                    if ok is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        ok = self.stands(pieces[i]) and (before < 0 or self.m.merged(pieces[before] + pieces[i]) == [pieces[before], pieces[i]])
+                        pairs[base | i] = ok
+                    if ok:
+                        last[end] = i
+                if not node:
+                    break
+            if end == start:
+                return None
+        out, end = [], n
+        while end:
+            i = last[end]
+            if i == -2:
+                return None
+            out.append(i)
+            end -= len(pieces[i])
+        out.reverse()
+        return out
+
     def word(self, text: str) -> list[int]:
+        if not self.m.unigram and len(text) <= WORD and (known := self.short(text)) is not None:
+            return known
         out: list[int] = []
 
         def commit(piece):
@@ -207,7 +266,7 @@ class Encoder:
                 known = self.words.get(word)
                 if known is None:
                     known = self.word(word)
-                    if len(word) <= 64:
+                    if len(word) <= WORD:
                         if len(self.words) >= WORDS:
                             self.words.clear()
                         self.words[word] = known
@@ -232,6 +291,15 @@ class Encoder:
         return words
 
 
+def worker_encoder(model: bytes) -> Encoder:
+    """The encoder of this process: its caches outlive a task where workers are reused."""
+    store = sys.modules.setdefault("_fabula_worker", types.ModuleType("_fabula_worker")).__dict__
+    key = hashlib.sha256(model).digest()
+    if key not in store:
+        store[key] = Encoder(PieceModel(model))
+    return store[key]
+
+
 def decode(model: PieceModel, ids: list[int]) -> str:
     """The text that encode() was given; invalid bytes become U+FFFD."""
     if not ids:
@@ -256,8 +324,8 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
     names = schema.names[:-5]
 
     def make():
-        loaded = PieceModel(model)
-        encoder = Encoder(loaded)
+        encoder = worker_encoder(model)
+        loaded = encoder.m
 
         def handle(batch):
             for start in range(0, batch.num_rows, 512):
