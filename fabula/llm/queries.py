@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, jaccard, licenses, pieces, secrets, sharding, toxicity
+from . import decontamination, importance, jaccard, licenses, media, pieces, secrets, sharding, toxicity
 from .common import read, written
 
 #: Folder of the public tokenizer files; they are never copied here.
@@ -75,6 +75,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(toxicity.training_rows(docs, read(spark, sf_dir, "labels")))
@@ -98,6 +103,6 @@ def op10_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(docs, piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op5_secret_ownership, op6_ngram_jaccard, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op5_secret_ownership, op6_ngram_jaccard, op7_media_chunks, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
