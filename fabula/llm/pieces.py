@@ -17,6 +17,7 @@ import hashlib
 import sys
 import types
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, extended
 
 SPACE = "▁"
+#: Stands for U+2581 in a text; no word has the mark after another character.
+LITERAL = "\0▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Bounds of a worker's caches (words and pairs of pieces), and the longest word that
 #: is kept: its lattice fits in one window.
@@ -88,6 +91,10 @@ class PieceModel:
         self.breaks = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:]))
         self.unknown = min(scores[i] for i in self.ids.values()) - 10.0
 
+    @cached_property
+    def alphabet(self) -> set[str]:
+        return {c for p in self.ids for c in p}
+
     @cached_property
     def trie(self) -> dict:
         """character -> (nested trie, id of the piece that ends here or -1)."""
@@ -105,6 +112,11 @@ class PieceModel:
     def prefixes(self) -> set[str]:
         return {p[:n] for p in self.ids for n in range(1, len(p))}
 
+    @cached_property
+    def table(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        return [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds)]
+
     def merged(self, text: str) -> list[str]:
         """BPE of a short string by merging its best-scoring adjacent pair, leftmost first."""
         parts = list(text)
@@ -253,30 +265,50 @@ class Encoder:
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; null and empty texts have none. U+2581 itself goes by bytes,
         since as a piece it would decode to a space."""
-        if not text:
-            return []
-        out: list[int] = []
-        for k, part in enumerate(text.split(SPACE)):
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. Words that are not known yet are met first, all together."""
+        if len(self.words) > WORDS or not self.words:
+            self.words.clear()
+            self.words[LITERAL] = [self.m.bytes[b] for b in SPACE.encode()]
+        cut = [self.words_of(t) for t in texts]
+        new = {w for words in cut for w in words if w not in self.words}
+        left = self.many.encode(new, self.words) if self.m.breaks and not self.m.unigram else new
+        for w in left:
+            self.words[w] = self.word(w)
+        out = [np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.int32) for words in cut]
+        for w in left:
+            if len(w) > WORD:
+                del self.words[w]
+        return out
+
+    @cached_property
+    def many(self) -> Many:
+        return Many(self)
+
+    def words_of(self, text: str | None) -> list[str]:
+        """What a text consists of between boundaries that all paths share."""
+        out: list[str] = []
+        newline = "\n" not in self.m.alphabet
+        for k, part in enumerate(text.split(SPACE) if text else ()):
             if k:
-                out += [self.m.bytes[b] for b in SPACE.encode()]
+                out.append(LITERAL)
             part = part.replace(" ", SPACE)
             if k == 0 and self.m.dummy_prefix:
                 part = SPACE + part
-            for word in self.split(part):
-                known = self.words.get(word)
-                if known is None:
-                    known = self.word(word)
-                    if len(word) <= WORD:
-                        if len(self.words) >= WORDS:
-                            self.words.clear()
-                        self.words[word] = known
-                out += known
+            for j, line in enumerate(part.split("\n") if newline else (part,)):
+                if j:
+                    out.append("\n")
+                out += self.split(line)
         return out
 
     def split(self, part: str) -> list[str]:
         """Cuts before each run of spaces that follows something else, where all paths meet."""
         if not self.m.breaks:
             return [part] if part else []
+        if not part:
+            return []
         words, run = [], ""
         for w in part.split(SPACE)[1:] if part.startswith(SPACE) else part.split(SPACE):
             if w:
@@ -291,6 +323,128 @@ class Encoder:
         return words
 
 
+class Many:
+    """Encoder.short() for many words at once: arrays hold one boundary of all words of
+    a length, and the trie is a matrix over the Latin letters."""
+
+    LETTERS, LENGTH = 0x250, 32
+
+    def __init__(self, encoder: Encoder):
+        self.e, m = encoder, encoder.m
+        nodes, level = [], [m.trie]
+        inner: dict[int, int] = {id(m.trie): 0}
+        while level:  # nodes with children get the first numbers
+            nodes += level
+            level = [child for node in level for c, (child, _) in node.items() if child and self.column(c) >= 0]
+            for child in level:
+                inner[id(child)] = len(inner)
+        self.inner = len(nodes)
+        self.next = np.full((self.inner, self.LETTERS), -1, np.int32)
+        ids = [-1] * self.inner
+        for at, node in enumerate(nodes):
+            for c, (child, i) in node.items():
+                if (column := self.column(c)) >= 0:
+                    if child:
+                        to = inner[id(child)]
+                        ids[to] = i
+                    else:
+                        to = len(ids)
+                        ids.append(i)
+                    self.next[at, column] = to
+        self.ids = np.array(ids, np.int64)
+        self.sizes = np.array([len(p) for p in m.pieces], np.int64)
+        self.known, self.valid = np.array([-1], np.int64), np.array([False])
+        self.recent: dict[int, bool] = {}
+
+    @classmethod
+    def column(cls, c: str) -> int:
+        """A letter's column; the space mark has that of U+0001, which is no letter here."""
+        return 1 if c == SPACE else ord(c) if 1 < ord(c) < cls.LETTERS else -1
+
+    def allowed(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each pair of pieces may follow one another: known pairs by search, the
+        few new ones by merging."""
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        out, missing = self.valid[at], np.flatnonzero(self.known[at] != codes)
+        if len(missing):
+            fresh, where = np.unique(codes[missing], return_inverse=True)
+            out[missing] = np.array([self.fresh(c) for c in fresh.tolist()])[where]
+        return out
+
+    def fresh(self, code: int) -> bool:
+        known = self.recent.get(code)
+        if known is None:
+            e, pieces = self.e, self.e.m.pieces
+            before, piece = (code >> 20) - 1, pieces[code & 0xFFFFF]
+            known = self.recent[code] = e.stands(piece) and (before < 0 or e.m.merged(pieces[before] + piece) == [pieces[before], piece])
+        return known
+
+    def settle(self) -> None:
+        """Files the pairs met lately; forgets all where the bound is reached."""
+        if len(self.known) + len(self.recent) > PAIRS:
+            self.known, self.valid = np.array([-1], np.int64), np.array([False])
+        elif self.recent:
+            keys = np.concatenate([self.known, np.array(list(self.recent), np.int64)])
+            order = np.argsort(keys)
+            self.known, self.valid = keys[order], np.concatenate([self.valid, np.array(list(self.recent.values()))])[order]
+        self.recent = {}
+
+    def encode(self, words, into: dict[str, list[int]]) -> list[str]:
+        """Puts the ids of words into a dict; returns those it leaves to Encoder.word()."""
+        left, groups = [], {}
+        for w in words:
+            if len(w) > self.LENGTH or "\x01" in w:
+                left.append(w)
+            else:
+                groups.setdefault(len(w), []).append(w.replace(SPACE, "\x01"))
+        for n, group in groups.items():
+            chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int64)
+            odd = chars >= self.LETTERS
+            chars[odd] = 0
+            last = self.boundaries(chars)
+            good = (last[:, n] != -2) & ~odd.any(axis=1)
+            left += [group[i].replace("\x01", SPACE) for i in np.flatnonzero(~good)]
+            rows = np.flatnonzero(good)
+            out, at, count = np.zeros((len(rows), n), np.int64), np.full(len(rows), n), np.zeros(len(rows), np.int64)
+            live = np.arange(len(rows))
+            while len(live):
+                piece = last[rows[live], at[live]]
+                out[live, count[live]] = piece
+                count[live] += 1
+                at[live] -= self.sizes[piece]
+                live = live[at[live] > 0]
+            for i, ids, k in zip(rows.tolist(), out.tolist(), count.tolist()):
+                into[group[i].replace("\x01", SPACE)] = ids[:k][::-1]
+        self.settle()
+        return left
+
+    def boundaries(self, chars: np.ndarray) -> np.ndarray:
+        """The last piece at each boundary of each word; -1 the start, -2 no path."""
+        count, n = chars.shape
+        last = np.full((count, n + 1), -2, np.int64)
+        last[:, 0] = -1
+        for start in range(n):
+            rows = np.flatnonzero(last[:, start] != -2)
+            node = np.zeros(len(rows), np.int64)
+            for end in range(start + 1, n + 1):
+                node = self.next[node, chars[rows, end - 1]]
+                ok = node >= 0
+                rows, node = rows[ok], node[ok].astype(np.int64)
+                if not len(rows):
+                    break
+                piece = self.ids[node]
+                open_ = (piece >= 0) & (last[rows, end] == -2)
+                if open_.any():
+                    r, t = rows[open_], piece[open_]
+                    ok = self.allowed((last[r, start] + 1) << 20 | t)
+                    last[r[ok], end] = t[ok]
+                deeper = node < self.inner
+                rows, node = rows[deeper], node[deeper]
+                if not len(rows):
+                    break
+        return last
+
+
 def worker_encoder(model: bytes) -> Encoder:
     """The encoder of this process: its caches outlive a task where workers are reused."""
     store = sys.modules.setdefault("_fabula_worker", types.ModuleType("_fabula_worker")).__dict__
@@ -300,17 +454,9 @@ def worker_encoder(model: bytes) -> Encoder:
     return store[key]
 
 
-def decode(model: PieceModel, ids: list[int]) -> str:
+def decode(model: PieceModel, ids) -> str:
     """The text that encode() was given; invalid bytes become U+FFFD."""
-    if not ids:
-        return ""
-    out = bytearray()
-    for i in ids:
-        if model.kinds[i] == BYTE:
-            out.append(int(model.pieces[i][3:5], 16))
-        elif model.kinds[i] in (NORMAL, USER):
-            out += model.pieces[i].replace(SPACE, " ").encode()
-    text = out.decode("utf-8", "replace")
+    text = b"".join(map(model.table.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -328,17 +474,14 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
         loaded = encoder.m
 
         def handle(batch):
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                arrays, sizes, raw, said, same = [], [], [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = encoder.encode(text)
-                    own = np.array(ids, "<i4")
-                    arrays.append(own)
-                    sizes.append(len(ids))
-                    raw.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    said.append(hashlib.sha256((text or "").encode()).hexdigest())
-                    same.append(decode_fast(loaded, ids) == (text or ""))
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                texts = part.column("text").to_pylist()
+                arrays = encoder.encode_all(texts)
+                sizes = [len(a) for a in arrays]
+                raw = [hashlib.sha256(a.astype("<i4").tobytes()).hexdigest() for a in arrays]
+                said = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+                same = [decode(loaded, a.tolist()) == (t or "") for a, t in zip(arrays, texts)]
                 flat = pa.array(np.concatenate(arrays), pa.int32())
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -349,12 +492,3 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
         return handle
 
     return arrow_map(docs, make, schema)
-
-
-def decode_fast(model: PieceModel, ids: list[int]) -> str:
-    """decode(), with the pieces' bytes looked up."""
-    table = model.__dict__.get("_table")
-    if table is None:
-        table = model.__dict__["_table"] = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(model.pieces, model.kinds)]
-    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if ids and model.dummy_prefix and text.startswith(" ") else text
