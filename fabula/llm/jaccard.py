@@ -27,10 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small, utf8, written
+from .common import groups, mix64, small, utf8, written
 from .components import components
 
 CELLS_BITS, BLOCK, HISTOGRAM = 22, 1 << 16, 64
+#: Column numbers (8 bytes each) that may be broadcast.
+COLUMNS = 3_000_000
+#: Members of a column's block in the second product.
+TILE = 2048
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -53,7 +57,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass over the texts: rows of kind 0 are documents (doc_id, cid, n, histogram),
+    """One pass over the texts: rows of kind 0 are documents (doc_id, content,
+    cid, n, histogram),
     rows of kind 1 are blocks of the task's shingle counts."""
 
     def run(batches):
@@ -62,21 +67,19 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             ids, sizes, classes, hist = batch.column("doc_id"), [], [], []
             for text in utf8(batch.column("text")):
                 s = shingles(text, k)
-                cells += 0 if len(s) < 4096 else np.bincount((s >> np.uint64(64 - CELLS_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
-                if len(s) < 4096:
-                    cells[(s >> np.uint64(64 - CELLS_BITS)).astype(np.int64)] += 1  # repeats within a set are few
+                np.add.at(cells, (s >> np.uint64(64 - CELLS_BITS)).astype(np.int64), 1)
                 sizes.append(len(s))
                 classes.append(set_id(s))
                 hist.append(np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype("<u2" if len(s) < 65536 else "<u4").tobytes())
             none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, "i4")), ids.cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hist, pa.binary()), none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, "i4")), ids.cast(pa.int64()), batch.column("content"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hist, pa.binary()), none], names=names)
         for b in range(len(cells) // BLOCK):
             part = cells[b * BLOCK : (b + 1) * BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)]), pa.array([b], pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)]), pa.array([b], pa.int32())], names=names)
 
-    names = ["kind", "doc_id", "cid", "n", "data", "block"]
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, cid long, n int, data binary, block int")
+    names = ["kind", "doc_id", "content", "cid", "n", "data", "block"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, "kind int, doc_id long, content long, cid long, n int, data binary, block int")
 
 
 def rarity(survey_rows: DataFrame) -> np.ndarray:
@@ -142,30 +145,76 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(size & (most >= need(F.col("na"), F.col("nb"), percent)))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sets reach the threshold: a, b."""
-    hist = classes.select("cid", "n", "data")
-    left, right = hist.toDF("a", "na", "da"), hist.toDF("b", "nb", "db")
-    close = written(pairs, "pairs").join(left, "a").join(right, "b")
+def histograms(data: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    return np.array([np.frombuffer(x, "<u2" if n < 65536 else "<u4") for x, n in zip(data.to_pylist(), sizes)], np.int64).reshape(-1, HISTOGRAM)
+
+
+def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those that the histograms of both sets let through."""
 
-    def narrow(batches):
+    def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            most = np.array([int(np.minimum(np.frombuffer(x, "<u2" if n < 65536 else "<u4"), np.frombuffer(y, "<u2" if m < 65536 else "<u4")).sum()) for x, y, n, m in zip(batch.column("da").to_pylist(), batch.column("db").to_pylist(), na, nb)])
+            most = np.minimum(histograms(batch.column("da"), na), histograms(batch.column("db"), nb)).sum(1)
             ok = pa.array(most * (100 + percent) >= percent * (na.astype(np.int64) + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    close = written(close.mapInArrow(narrow, "a long, b long"), "close")
+    hist = classes.select("cid", "n", "data")
+    met = pairs.join(hist.toDF("a", "na", "da"), "a").join(hist.toDF("b", "nb", "db"), "b")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one column but different components that sizes,
+    places and histograms let through.
+
+    A column of m members is cut into ceil(m / TILE) blocks, and each two blocks meet in
+    a group of their own: at most 2 * TILE members are held at once, m * m / TILE rows
+    are dealt out in place of m * m pairs, and only surviving pairs become rows.
+    """
+    blocks = F.ceil(F.col("m") / TILE).cast("int")
+    cut = rest.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumn("ti", F.least("own_block", "other")).withColumn("tj", F.greatest("own_block", "other"))
+    cut = cut.join(classes.select("cid", "data"), "cid").select("h", "ti", "tj", "own_block", "cid", "n", "at", "own", "data")
+
+    def run(batches):
+        for g in groups(batches, ["h", "ti", "tj"]):
+            block, cid, n, at, own = (g.column(c).to_numpy() for c in ("own_block", "cid", "n", "at", "own"))
+            hist = histograms(g.column("data"), n)
+            same = g.column("ti")[0].as_py() == g.column("tj")[0].as_py()
+            left, right, n = [], [], n.astype(np.int64)
+            for i in range(len(cid)):
+                j = np.flatnonzero((own != own[i]) & ((cid > cid[i]) if same else (block != block[i]) & (block[i] == g.column("ti")[0].as_py())))
+                least = -(-percent * (n[i] + n[j]) // (100 + percent))
+                most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+                j = j[(np.minimum(n[i], n[j]) >= least) & (most >= least)]
+                least = -(-percent * (n[i] + n[j]) // (100 + percent))
+                j = j[np.minimum(hist[i], hist[j]).sum(1) >= least]
+                left.append(np.minimum(cid[i], cid[j]))
+                right.append(np.maximum(cid[i], cid[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return cut.repartition("h", "ti", "tj").sortWithinPartitions("h", "ti", "tj").mapInArrow(run, "a long, b long")
+
+
+def verified(close: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), a written table, those whose sets reach the threshold: a, b."""
     wanted = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct().join(classes.select("cid", "doc"), "cid")
     ids = small(written(wanted.select(F.col("doc").alias("doc_id"), F.col("cid").alias("want")), "wanted"))
 
     def sets(batches):
+        done = set()  # of this task's share of repeated rows
         for batch in batches:
-            found = [(c, s) for c, t in zip(batch.column("want").to_pylist(), utf8(batch.column("text"))) for s in [shingles(t, k)] if set_id(s) == c]
+            found = []
+            for c, t in zip(batch.column("want").to_pylist(), utf8(batch.column("text"))):
+                if c not in done and set_id(s := shingles(t, k)) == c:
+                    found.append((c, s))
+                    done.add(c)
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cid", "s"])
 
     own = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(sets, "cid long, s binary")
-    own = written(own.dropDuplicates(["cid"]), "sets")
+    own = written(own, "sets")
     both = close.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
 
     def count(batches):
@@ -181,7 +230,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, cid, component_id (least doc_id linked to), one row per row.
+    """doc_id, content (xxhash64 of the text), n_shingles, cid, component_id (least doc_id
+    linked to), one row per row.
 
     Sets hold 64-bit hashes of shingles. Null and empty texts have no shingles and are
     linked with nothing, so their component is their own doc_id; equal sets are linked.
@@ -194,27 +244,30 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     classes = written(classes, "classes")
     cells = rarity(rows)
     incidence = written(prefixes(docs, cells, k, percent), "prefixes")
-    # columns with more than one class, and their most central member: partial sums first
+    # columns with more than one class: partial minima and maxima first
+    columns = incidence.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo != hi").select("h")
+    columns = small(written(columns, "columns"), COLUMNS)
+    met = written(incidence.join(columns, "h", "left_semi").dropDuplicates(["h", "cid"]), "met")
     v = F.shiftleft(F.col("hub").cast("long"), 40) + F.col("cid").bitwiseAND(F.lit(2**40 - 1))
-    columns = incidence.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), *(F.min_by(c, v).alias(f"r{c}") for c in ("cid", "n", "at")))
-    columns = written(columns.where("lo != hi").select("h", "rcid", "rn", "rat"), "columns")
-    met = written(incidence.join(columns, "h"), "met")
-    star = met.where("cid != rcid").select(F.least("cid", "rcid").alias("a"), F.greatest("cid", "rcid").alias("b"), F.when(F.col("cid") < F.col("rcid"), F.col("n")).otherwise(F.col("rn")).alias("na"), F.when(F.col("cid") < F.col("rcid"), F.col("rn")).otherwise(F.col("n")).alias("nb"), F.when(F.col("cid") < F.col("rcid"), F.col("at")).otherwise(F.col("rat")).alias("ia"), F.when(F.col("cid") < F.col("rcid"), F.col("rat")).otherwise(F.col("at")).alias("ib"))
+    centres = written(met.groupBy("h").agg(*(F.min_by(c, v).alias(f"r{c}") for c in ("cid", "n", "at"))), "centres")
+    star = met.join(centres, "h").where("cid != rcid")
+    low = F.col("cid") < F.col("rcid")
+    star = star.select(
+        *(F.when(low, F.col(x)).otherwise(F.col(f"r{x}")).alias(y) for x, y in (("cid", "a"), ("n", "na"), ("at", "ia"))),
+        *(F.when(low, F.col(f"r{x}")).otherwise(F.col(x)).alias(y) for x, y in (("cid", "b"), ("n", "nb"), ("at", "ib"))),
+    )
     tried = written(bounded(star, percent).select("a", "b").distinct(), "tried")
-    links = written(verified(tried, classes, docs, k, percent), "links")
+    close = written(close_pairs(tried, classes, percent), "close")
+    links = written(verified(close, classes, docs, k, percent), "links")
     parts = components(links)
 
     # what the centres did not settle: columns with members of different components
     label = parts.select(F.col("node").alias("cid"), F.col("component").alias("own"))
     marked = written(met.join(small(label), "cid", "left").withColumn("own", F.coalesce("own", "cid")).select("h", "cid", "n", "at", "own"), "marked")
-    mixed = marked.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("h")
-    rest = written(marked.dropDuplicates(["h", "cid"]).join(written(mixed, "mixed"), "h", "left_semi"), "rest")
-    x, y = rest.toDF("h", "a", "na", "ia", "ca"), rest.toDF("h", "b", "nb", "ib", "cb")
-    size = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    most = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
-    other = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size & (most >= need(F.col("na"), F.col("nb"), percent)))
-    other = written(other.select("a", "b").distinct(), "other").join(tried, ["a", "b"], "left_anti")
-    more = verified(other, classes, docs, k, percent)
+    mixed = marked.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("h", "m")
+    rest = written(marked.join(written(mixed, "mixed"), "h"), "rest")
+    other = block_pairs(rest, classes, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(written(other, "other"), classes, docs, k, percent)
     links = written(links.union(more), "all_links")
     parts = components(links)
 
@@ -222,6 +275,21 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     named = classes.select("cid", "doc").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     final = written(named.join(least, "component").select("cid", "component_id"), "named")
-    out = rows.where("kind = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid")
+    out = rows.where("kind = 0").select("doc_id", "content", F.col("n").cast("long").alias("n_shingles"), "cid")
     out = out.join(final, "cid", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "cid", "component_id")
+    return out.select("doc_id", "content", "n_shingles", "cid", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with the smallest doc_id of each component, whole rows. Texts without words,
+    and components without any doc_id, are kept; repeated rows of a kept document
+    become one."""
+    rows = written(join(docs, k, percent), "joined")
+    gone = rows.where((F.col("n_shingles") > 0) & (F.col("doc_id").isNull() & F.col("component_id").isNotNull() | (F.col("doc_id") != F.col("component_id"))))
+    gone = small(written(gone.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct(), "gone"))
+    keyed = docs.withColumn("_c0", F.xxhash64("text"))
+    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_c0") == F.col("_c")), "left_anti")
+    again = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id", "content").count().where("count > 1")
+    if again.limit(1).count():
+        out = out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id", "_c0"]))
+    return out.select(*docs.columns)
