@@ -2,7 +2,7 @@
 
 A payload is stored as a binary grey-scale image (PGM, 192 samples of 8 bits a row).
 A rolling gear hash over the stored bytes sets the cuts, so that equal passages give
-equal chunks. Chunks travel compressed, once for each digest (once for each salt of a
+equal chunks. Shared chunks are kept once for each digest (once for each salt of a
 digest with very many holders); a medium is an ordered list of digests. Media are
 rebuilt from the joined chunks, checked against their SHA-256 and read back.
 """
@@ -25,7 +25,7 @@ LEAST, MOST, MASK_BITS = 1 << 10, 1 << 14, 12
 #: Holders of a digest beyond which its chunk is dealt out by salt.
 HOLDERS = 256
 #: Texts that the compression dictionary is made from (by a hash), and its bytes.
-DICTIONARY_TEXTS, DICTIONARY_BYTES = 1_000, 64 << 10
+DICTIONARY_TEXTS, DICTIONARY_BYTES = 1_000, 112 << 10
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -109,40 +109,43 @@ def dictionary(docs: DataFrame) -> bytes:
 
 
 def chunks(docs: DataFrame, words: bytes) -> DataFrame:
-    """media_key, digest, packed: each digest once a task as far as a bounded set tells."""
+    """media_key, place, digest, packed: each medium once a task as far as a bounded set
+    tells."""
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(words) if words else None, write_content_size=True, write_dict_id=False)
         seen: set = set()
         for batch in batches:
-            keys, digests, packed = [], [], []
+            keys, places, digests, packed = [], [], [], []
             for text in utf8(batch.column("text")):
                 media = encode(payload_of(text))
-                key, ends = hashlib.sha256(media).digest(), cuts(media)
-                for a, b in zip([0, *ends], ends):
-                    d = digest(media[a:b])
-                    if (d, key) in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add((d, key))
+                key = hashlib.sha256(media).digest()
+                if key in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(key)
+                ends = cuts(media)
+                for place, (a, b) in enumerate(zip([0, *ends], ends)):
                     keys.append(key)
-                    digests.append(d)
+                    places.append(place)
+                    digests.append(digest(media[a:b]))
                     packed.append(packer.compress(media[a:b]))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keys, digests, packed)], names=["media_key", "digest", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["media_key", "place", "digest", "packed"])
 
-    return docs.select("text").mapInArrow(run, "media_key binary, digest binary, packed binary")
+    return docs.select("text").mapInArrow(run, "media_key binary, place int, digest binary, packed binary")
 
 
 def rebuild(ordered: DataFrame, words: bytes) -> DataFrame:
-    """From (media_key, place, packed), sorted within partitions that hold whole media:
+    """From (media_key, place, packed), sorted within partitions that hold whole media (a
+    place that comes again is skipped):
     media_key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature. Raises if a rebuilt medium's SHA-256 is not its key."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None).decompress
-        key, parts = None, []
+        key, parts, last = None, [], -1
 
         def done():
             media = b"".join(parts)
@@ -158,41 +161,42 @@ def rebuild(ordered: DataFrame, words: bytes) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for k, p in zip(batch.column("media_key").to_pylist(), batch.column("packed").to_pylist()):
+            for k, at, p in zip(*(batch.column(c).to_pylist() for c in ("media_key", "place", "packed"))):
                 if k != key:
                     if key is not None:
                         rows.append(done())
-                    key, parts = k, []
-                parts.append(unpack(p))
+                    key, parts, last = k, [], -1
+                if at != last:
+                    parts.append(unpack(p))
+                    last = at
             if rows:
                 yield out(rows)
         if key is not None:
             yield out([done()])
 
-    return ordered.select("media_key", "packed").mapInArrow(run, "media_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return ordered.select("media_key", "place", "packed").mapInArrow(run, "media_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media(docs: DataFrame) -> DataFrame:
     """One row a row of docs: doc_id, n_bytes and what rebuild() returns.
 
     Null texts are empty; equal texts share one medium, which is rebuilt once. Nulls in
-    doc_id pass through; an empty table gives no rows. Two shuffles carry bytes: chunks
-    by digest, and chunks of distinct media to their medium.
+    doc_id pass through; an empty table gives no rows. A chunk that one medium alone has
+    crosses the network once; a shared one goes to its digest, where one copy stays, and
+    from there to every medium that lists it.
     """
     docs = docs.select("doc_id", "text")
     listed = written(recipes(docs), "recipes")
     distinct = listed.select("media_key", "digests").dropDuplicates(["media_key"])
     refs = written(distinct.select("media_key", F.posexplode("digests").alias("place", "digest")), "refs")
-    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOLDERS)
-    hot = small(written(hot.select("digest", F.ceil(F.col("n") / HOLDERS).cast("int").alias("salts")), "hot"))
-
-    def salted(df):
-        salt = F.pmod(F.xxhash64("media_key"), F.coalesce("salts", F.lit(1))).cast("int")
-        return df.join(hot, "digest", "left").withColumn("salt", salt).drop("salts")
-
+    shared = refs.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = small(written(shared.select("digest", F.ceil(F.col("n") / HOLDERS).cast("int").alias("salts")), "shared"))
+    salt = F.pmod(F.xxhash64("media_key"), F.col("salts")).cast("int").alias("salt")
     words = dictionary(docs)
-    store = salted(chunks(docs, words)).select("digest", "salt", "packed").dropDuplicates(["digest", "salt"])
-    placed = salted(refs).join(store, ["digest", "salt"]).select("media_key", "place", "packed")
-    ordered = placed.repartition("media_key").sortWithinPartitions("media_key", "place")
+    cut = chunks(docs, words).join(shared, "digest", "left")
+    own = cut.where("salts is null").select("media_key", "place", "packed")
+    store = cut.where("salts is not null").select("digest", salt, "packed").dropDuplicates(["digest", "salt"])
+    fetched = refs.join(shared, "digest").select("media_key", "place", "digest", salt).join(store, ["digest", "salt"]).select("media_key", "place", "packed")
+    ordered = own.union(fetched).repartition("media_key").sortWithinPartitions("media_key", "place")
     built = written(rebuild(ordered, words), "media")
     return listed.select("doc_id", "n_bytes", "media_key").join(small(built, 50_000), "media_key").drop("media_key")
