@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, jaccard, licenses, media, pieces, secrets, sharding, toxicity
+from . import decontamination, importance, jaccard, licenses, media, passages, pieces, secrets, sharding, toxicity
 from .common import read, written
 
 #: Folder of the public tokenizer files; they are never copied here.
@@ -47,6 +47,10 @@ def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", "n_item", F.round("containment", 6).alias("containment"))
 
 
+def op4_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(read(spark, sf_dir, "documents"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = written(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source")), "candidates").alias("d")
     found = written(secrets.report(scanned), "secrets").alias("s")
@@ -103,6 +107,6 @@ def op10_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(docs, piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op5_secret_ownership, op6_ngram_jaccard, op7_media_chunks, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op4_chained_passages, op5_secret_ownership, op6_ngram_jaccard, op7_media_chunks, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
