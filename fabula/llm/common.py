@@ -82,6 +82,16 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into smaller ones, so that only a few texts at a time become Python
+    objects; frees what Arrow holds at the end."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Runs of rows with equal keys, each as one batch, from batches sorted by the keys."""
     held: list[pa.RecordBatch] = []

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extended, mix64, written
+from .common import arrow_map, extended, mix64, slices, written
 from .sharding import edges
 
 BUCKETS = 1 << 14
@@ -55,7 +55,7 @@ def counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         hasher, total = Hasher(), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 total += np.bincount(hasher(text), minlength=BUCKETS) if text and len(text) > 20_000 else 0
                 if text and len(text) <= 20_000:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mix64, small, utf8, written
+from .common import groups, mix64, slices, small, utf8, written
 from .components import components
 
 CELLS_BITS, BLOCK, HISTOGRAM = 22, 1 << 16, 64
@@ -63,7 +63,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         cells = np.zeros(1 << CELLS_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, classes, hist = batch.column("doc_id"), [], [], []
             for text in utf8(batch.column("text")):
                 s = shingles(text, k)
@@ -88,7 +88,7 @@ def rarity(survey_rows: DataFrame) -> np.ndarray:
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
                 own = np.frombuffer(zlib.decompress(data), np.uint32)
                 sums[b] = sums[b] + own if b in sums else own.astype(np.uint64)
@@ -116,7 +116,7 @@ def prefixes(docs: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFr
 
     def run(batches):
         levels = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             hs, cs, ns, ats, hubs = [], [], [], [], []
             for text in utf8(batch.column("text")):
                 s = shingles(text, k)
@@ -153,7 +153,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     """Of distinct pairs (a, b), those that the histograms of both sets let through."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = np.minimum(histograms(batch.column("da"), na), histograms(batch.column("db"), nb)).sum(1)
             ok = pa.array(most * (100 + percent) >= percent * (na.astype(np.int64) + nb))
@@ -205,7 +205,7 @@ def verified(close: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
 
     def sets(batches):
         done = set()  # of this task's share of repeated rows
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for c, t in zip(batch.column("want").to_pylist(), utf8(batch.column("text"))):
                 if c not in done and set_id(s := shingles(t, k)) == c:
@@ -218,7 +218,7 @@ def verified(close: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     both = close.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small, utf8, written
+from .common import mix64, slices, small, utf8, written
 
 ROW = 192
 LEAST, MOST, MASK_BITS = 1 << 10, 1 << 14, 12
@@ -85,7 +85,7 @@ def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media_key (SHA-256 of the stored form), digests in order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, lists = [], [], []
             for text in utf8(batch.column("text")):
                 media = encode(payload_of(text))
@@ -115,7 +115,7 @@ def chunks(docs: DataFrame, words: bytes) -> DataFrame:
     def run(batches):
         packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(words) if words else None, write_content_size=True, write_dict_id=False)
         seen: set = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, places, digests, packed = [], [], [], []
             for text in utf8(batch.column("text")):
                 media = encode(payload_of(text))
@@ -159,7 +159,7 @@ def rebuild(ordered: DataFrame, words: bytes) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media_key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, at, p in zip(*(batch.column(c).to_pylist() for c in ("media_key", "place", "packed"))):
                 if k != key:
