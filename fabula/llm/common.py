@@ -34,12 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of a batch that goes to a Python worker while a table is written.
+BATCH_ROWS = 1_000
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns a scan of it: lineage
-    ends there, and a lost executor costs at most the running stage."""
+    ends there, and a lost executor costs at most the running stage. Batches for
+    Python workers are kept small meanwhile, whatever a row weighs."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fabula/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

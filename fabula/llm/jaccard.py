@@ -170,18 +170,22 @@ def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     A column of m members is cut into ceil(m / TILE) blocks, and each two blocks meet in
     a group of their own: at most 2 * TILE members are held at once, m * m / TILE rows
-    are dealt out in place of m * m pairs, and only surviving pairs become rows.
+    are dealt out in place of m * m pairs, and only surviving pairs become rows, each in
+    the first column that both are in.
     """
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     cut = rest.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("ti", F.least("own_block", "other")).withColumn("tj", F.greatest("own_block", "other"))
-    cut = cut.join(classes.select("cid", "data"), "cid").select("h", "ti", "tj", "own_block", "cid", "n", "at", "own", "data")
+    columns = rest.groupBy("cid").agg(F.sort_array(F.collect_set("h")).alias("hs"))  # at most a prefix each
+    about = written(columns.join(classes.select("cid", "data"), "cid"), "members")
+    cut = cut.join(about, "cid").select("h", "ti", "tj", "own_block", "cid", "n", "at", "own", "data", "hs")
 
     def run(batches):
         for g in groups(batches, ["h", "ti", "tj"]):
             block, cid, n, at, own = (g.column(c).to_numpy() for c in ("own_block", "cid", "n", "at", "own"))
             hist = histograms(g.column("data"), n)
+            hs, here = g.column("hs"), g.column("h")[0].as_py()
             same = g.column("ti")[0].as_py() == g.column("tj")[0].as_py()
             left, right, n = [], [], n.astype(np.int64)
             for i in range(len(cid)):
@@ -191,6 +195,9 @@ def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 j = j[(np.minimum(n[i], n[j]) >= least) & (most >= least)]
                 least = -(-percent * (n[i] + n[j]) // (100 + percent))
                 j = j[np.minimum(hist[i], hist[j]).sum(1) >= least]
+                mine = hs[i].values.to_numpy() if len(j) else None
+                first = [np.intersect1d(mine, hs[k].values.to_numpy(), assume_unique=True)[0] == here for k in j]
+                j = j[np.array(first, bool)]
                 left.append(np.minimum(cid[i], cid[j]))
                 right.append(np.maximum(cid[i], cid[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
