@@ -1,8 +1,16 @@
 """All queries outside the llm subpackage, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..operators import audio, story, text, visual  # noqa: F401  (modules register their relations)
+from ..sources import derived  # noqa: F401
+from .relation import RELATIONS, oracle, query
+
+QUERIES = {n: query(n) for n, r in RELATIONS.items() if r.public}
+ORACLE_SQL = {n: oracle(n) for n in QUERIES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["story_document"](spark, sf_dir)
