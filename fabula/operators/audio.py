@@ -1,6 +1,6 @@
 """Audio planning: text evidence, intent and tone, energy, music, ambience, ducking, transitions."""
 
-from ..plans.relation import quote, relation
+from ..plans.relation import literal, quote, relation
 from .text import WORD_AMBIENCE, WORD_STORY, clamp
 
 #: Words that negate a phrase within the three words after them.
@@ -100,21 +100,6 @@ def semantic_intents(d):
     return d.values("r", ("semantic_key", "semantic_audio"), SEMANTIC_INTENT)
 
 
-@relation(public=False)
-def intent_energies(d):
-    return d.values("r", ("energy_intent", "intent_add"), INTENT_ENERGY)
-
-
-@relation(public=False)
-def tone_energies(d):
-    return d.values("r", ("energy_tone", "tone_add", "tone_order"), TONE_ENERGY)
-
-
-@relation(public=False)
-def style_order(d):
-    return d.values("r", ("style_name", "style_rank"), STYLE_ORDER)
-
-
 @relation("structural_roles", "scenes")
 def story_semantic_match(d):
     """Projects whose story rows fit their scenes one to one; others lose the whole side.
@@ -204,17 +189,18 @@ def emotional_tone(d):
     return "select project_id, scene_index, emotional_tone, t_top as score, tone_conflicts from audio_tones"
 
 
-@relation("audio_tones", "intent_energies", "tone_energies", public=False)
+@relation("audio_tones", public=False)
 def audio_scenes(d):
     """Classified scenes with confidence, raw energy and whether a larger step is supported."""
     categories = " + ".join(f"case when e_{c} > 0 then 1 else 0 end" for c in TEXT_SIGNALS)
-    structural = "case when accepted then 0.42e0 + 0.10e0 + 0.15e0 else 0e0 end + 0.20e0"
+    structural = "case when accepted then 0.42e0 + 0.10e0 + 0.15e0 else 0e0 end + case when semantic_audio is not null then 0.20e0 else 0e0 end"
     confidence = clamp(f"0.24e0 + {structural} + least(0.16e0, ({categories}) * 0.025e0) - case when accepted then 0e0 else 0.08e0 end - least(0.24e0, (intent_conflicts + tone_conflicts) * 0.12e0) + case when audio_intent in ('climax', 'tension') or emotional_tone in ('triumphant', 'dramatic', 'tense') then 0.05e0 else 0e0 end")
-    energy = clamp("0.40e0 + intent_add + tone_add + coalesce((tension - 0.5e0) * 0.18e0, 0e0) + coalesce((emotional - 0.5e0) * 0.12e0, 0e0) + coalesce(revelation * 0.06e0, 0e0)")
+    pick = lambda column, pairs: f"case {column} " + " ".join(f"when '{k}' then {literal(v)}" for k, v in pairs) + " end"
+    intent_add, tone_add = pick("audio_intent", INTENT_ENERGY), pick("emotional_tone", [(k, v) for k, v, _ in TONE_ENERGY])
+    energy = clamp(f"0.40e0 + {intent_add} + {tone_add} + coalesce((tension - 0.5e0) * 0.18e0, 0e0) + coalesce((emotional - 0.5e0) * 0.12e0, 0e0) + coalesce(revelation * 0.06e0, 0e0)")
     return f"""
     select *, coalesce(audio_intent = 'climax' and story_role = 'climax' and story_phase = 'climax' and tension >= 0.70e0 and confidence >= 0.75e0, false) as supported
-    from (select project_id, scene_index, scene_start, scene_end, voiceover_text, ambient, accepted, story_role, story_phase, tension, emotional, revelation, audio_intent, emotional_tone, tone_order, {confidence} as confidence, {energy} as energy
-          from audio_tones join intent_energies on energy_intent = audio_intent join tone_energies on energy_tone = emotional_tone)"""
+    from (select project_id, scene_index, scene_start, scene_end, voiceover_text, ambient, accepted, story_role, story_phase, tension, emotional, revelation, audio_intent, emotional_tone, {pick("emotional_tone", [(k, o) for k, _, o in TONE_ENERGY])} as tone_order, {confidence} as confidence, {energy} as energy from audio_tones)"""
 
 
 @relation("audio_scenes")
@@ -336,10 +322,11 @@ def dominant_tone(d):
       from audio_scenes group by project_id, emotional_tone) t where r = 1"""
 
 
-@relation("audio_sound", "style_order")
+@relation("audio_sound")
 def default_music_style(d):
     """The most frequent style, ties by the fixed order."""
-    return "select project_id, style from (select project_id, style, row_number() over (partition by project_id order by count(*) desc, min(style_rank)) as r from audio_sound join style_order on style_name = style group by project_id, style) t where r = 1"
+    ranks = " ".join(f"when '{k}' then {v}" for k, v in STYLE_ORDER)
+    return f"select project_id, style from (select project_id, style, row_number() over (partition by project_id order by count(*) desc, min(case style {ranks} end)) as r from audio_sound group by project_id, style) t where r = 1"
 
 
 @relation("audio_sound")
@@ -385,6 +372,5 @@ def validate_consistency(d):
 @relation("audio_sound")
 def warning_union(d):
     """Distinct warnings of a project, sorted."""
-    w = d.strings("story_rejected", "ambience_evidence_insufficient", "low_confidence")
-    cases = "case w when 'story_rejected' then not accepted when 'low_confidence' then confidence < 0.60e0 else not ambience_on and a_top > 0e0 end"
-    return f"select project_id, {d.agg_text('w', ',', 'w')} as warnings from (select distinct project_id, w from {d.unnest(f'(select *, {w} as ws from audio_sound) s', 'ws', 'w')} where {cases}) v group by project_id"
+    flags = (("ambience_evidence_insufficient", "not ambience_on and a_top > 0e0"), ("low_confidence", "confidence < 0.60e0"), ("story_rejected", "not accepted"))
+    return "select project_id, concat_ws(',', " + ", ".join(f"case when bool_or({c}) then '{n}' end" for n, c in flags) + ") as warnings from audio_sound group by project_id"

@@ -4,6 +4,10 @@ A relation is a function from a dialect to a SELECT over other relations. Render
 relation chains all it needs as common table expressions, so Spark plans (and prunes,
 pushes down and reuses) the whole of it at once, and an ANSI engine can run the same
 definition as an oracle. What differs between engines is in the dialect alone.
+
+Relations stay linear where they can: columns are added to one wide row rather than
+joined back, and nothing filters or joins on a computed column below an aggregate or a
+window, since Catalyst would push the predicate down with the whole computation in it.
 """
 
 from __future__ import annotations
@@ -63,7 +67,7 @@ class Spark:
 
     def unnest_at(self, source, array, alias, at):
         """Elements and their places from 1."""
-        return f"(select *, _at + 1 as {at} from {source} lateral view posexplode({array}) _t as _at, {alias}) _u"
+        return f"(select *, cast(_at + 1 as int) as {at} from {source} lateral view posexplode({array}) _t as _at, {alias}) _u"
 
     def seconds(self, ts):
         return f"(unix_micros(cast({ts} as timestamp)) / 1e6)"
@@ -151,7 +155,7 @@ class Duck(Spark):
         return f"(select *, unnest({array}) as {alias} from {source}) _u"
 
     def unnest_at(self, source, array, alias, at):
-        return f"(select *, unnest({array}) as {alias}, unnest(range(1, len({array}) + 1)) as {at} from {source}) _u"
+        return f"(select *, unnest({array}) as {alias}, cast(unnest(range(1, len({array}) + 1)) as int) as {at} from {source}) _u"
 
     def seconds(self, ts):
         return f"(epoch_us({ts}) / 1e6)"

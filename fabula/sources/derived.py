@@ -49,7 +49,7 @@ def said(d):
 def timed(d):
     return f"""
     select *, round((instant - min(instant) over (partition by project_id)) / {PACE}, 3) as t,
-           row_number() over (partition by project_id order by instant, event_id) as n
+           cast(row_number() over (partition by project_id order by instant, event_id) as int) as n
     from said"""
 
 
@@ -86,6 +86,6 @@ def analyses(d):
     """Frame analyses: intervals with a focus and faces, from event values."""
     return """
     select project_id, t as analysis_start, coalesce(lead(t) over (partition by project_id order by n), t + 5e0) as analysis_end,
-           round(value / 200e0 - floor(value / 200e0), 4) as focus_y, cast(event_id % 3 as int) as face_count,
+           round(value / 201e0 - floor(value / 201e0), 4) as focus_y, cast(event_id % 3 as int) as face_count,
            case when event_id % 3 > 0 then 'face' when event_id % 2 = 0 then 'saliency' else 'center' end as source
     from timed"""
