@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups, mix64, slices, small, utf8, written
@@ -70,7 +70,8 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
                 np.add.at(cells, (s >> np.uint64(64 - CELLS_BITS)).astype(np.int64), 1)
                 sizes.append(len(s))
                 classes.append(set_id(s))
-                hist.append(np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype("<u2" if len(s) < 65536 else "<u4").tobytes())
+                cell = np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+                hist.append(cell.astype("u1" if cell.max() < 256 else "<u4").tobytes())
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, "i4")), ids.cast(pa.int64()), batch.column("content"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hist, pa.binary()), none], names=names)
         for b in range(len(cells) // BLOCK):
@@ -145,8 +146,9 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(size & (most >= need(F.col("na"), F.col("nb"), percent)))
 
 
-def histograms(data: pa.Array, sizes: np.ndarray) -> np.ndarray:
-    return np.array([np.frombuffer(x, "<u2" if n < 65536 else "<u4") for x, n in zip(data.to_pylist(), sizes)], np.int64).reshape(-1, HISTOGRAM)
+def histograms(data: pa.Array) -> np.ndarray:
+    """Counts of 64 cells each, stored in a byte or four."""
+    return np.array([np.frombuffer(x, "u1" if len(x) == HISTOGRAM else "<u4") for x in data.to_pylist()], np.int64).reshape(-1, HISTOGRAM)
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -155,7 +157,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     def run(batches):
         for batch in slices(batches):
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            most = np.minimum(histograms(batch.column("da"), na), histograms(batch.column("db"), nb)).sum(1)
+            most = np.minimum(histograms(batch.column("da")), histograms(batch.column("db"))).sum(1)
             ok = pa.array(most * (100 + percent) >= percent * (na.astype(np.int64) + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
@@ -170,22 +172,18 @@ def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     A column of m members is cut into ceil(m / TILE) blocks, and each two blocks meet in
     a group of their own: at most 2 * TILE members are held at once, m * m / TILE rows
-    are dealt out in place of m * m pairs, and only surviving pairs become rows, each in
-    the first column that both are in.
+    are dealt out in place of m * m pairs, and only surviving pairs become rows.
     """
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     cut = rest.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("ti", F.least("own_block", "other")).withColumn("tj", F.greatest("own_block", "other"))
-    columns = rest.groupBy("cid").agg(F.sort_array(F.collect_set("h")).alias("hs"))  # at most a prefix each
-    about = written(columns.join(classes.select("cid", "data"), "cid"), "members")
-    cut = cut.join(about, "cid").select("h", "ti", "tj", "own_block", "cid", "n", "at", "own", "data", "hs")
+    cut = cut.join(classes.select("cid", "data"), "cid").select("h", "ti", "tj", "own_block", "cid", "n", "at", "own", "data")
 
     def run(batches):
         for g in groups(batches, ["h", "ti", "tj"]):
             block, cid, n, at, own = (g.column(c).to_numpy() for c in ("own_block", "cid", "n", "at", "own"))
-            hist = histograms(g.column("data"), n)
-            hs, here = g.column("hs"), g.column("h")[0].as_py()
+            hist = histograms(g.column("data"))
             same = g.column("ti")[0].as_py() == g.column("tj")[0].as_py()
             left, right, n = [], [], n.astype(np.int64)
             for i in range(len(cid)):
@@ -195,9 +193,6 @@ def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 j = j[(np.minimum(n[i], n[j]) >= least) & (most >= least)]
                 least = -(-percent * (n[i] + n[j]) // (100 + percent))
                 j = j[np.minimum(hist[i], hist[j]).sum(1) >= least]
-                mine = hs[i].values.to_numpy() if len(j) else None
-                first = [np.intersect1d(mine, hs[k].values.to_numpy(), assume_unique=True)[0] == here for k in j]
-                j = j[np.array(first, bool)]
                 left.append(np.minimum(cid[i], cid[j]))
                 right.append(np.maximum(cid[i], cid[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
@@ -273,8 +268,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     marked = written(met.join(small(label), "cid", "left").withColumn("own", F.coalesce("own", "cid")).select("h", "cid", "n", "at", "own"), "marked")
     mixed = marked.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("h", "m")
     rest = written(marked.join(written(mixed, "mixed"), "h"), "rest")
-    other = block_pairs(rest, classes, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(written(other, "other"), classes, docs, k, percent)
+    # in order of size, a member that neither neighbour is close to in size has no partner there
+    by_size = Window.partitionBy("h").orderBy("n")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    rest = written(rest.withColumn("near", near).where("near").drop("near"), "near")
+    other = written(block_pairs(rest, classes, percent).distinct(), "other").join(tried, ["a", "b"], "left_anti")
+    more = verified(written(other, "untried"), classes, docs, k, percent)
     links = written(links.union(more), "all_links")
     parts = components(links)
 
