@@ -113,10 +113,10 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -
     found = written(report(written(scan(docs), "candidates"), owner, repository), "secrets")
     cols = docs.columns
     keyed = docs.withColumn("_c", F.xxhash64("text")).alias("d")
-    hits = small(found).alias("s")
-    joined = keyed.join(hits, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._c") == F.col("s.content")), "left")
+    hits = small(found).select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), F.col("secrets").alias("_secrets"))
+    joined = keyed.join(hits, F.col("d.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_c") == F.col("_content")), "left")
     merged = F.aggregate(
-        "secrets",
+        "_secrets",
         F.expr("cast(array() as array<struct<start:int,end:int,live:boolean>>)"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).getField("end") > s.start),
@@ -129,10 +129,10 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -
     # from the last span to the first, so that earlier offsets stay true
     clean = F.aggregate(
         F.reverse(merged),
-        F.col("text"),
+        F.col("d.text"),
         lambda t, s: F.concat(F.substring(t, F.lit(1), s.start), F.when(s.live, F.lit("<SECRET>")).otherwise(F.lit("<EXAMPLE>")), F.substring(t, s.end + 1, F.length(t))),
     )
-    out = joined.select(*(F.col(f"d.`{c}`") for c in cols if c != "text"), F.when(F.col("secrets").isNull(), F.col("d.text")).otherwise(clean).alias("text"))
+    out = joined.select(*(F.col(f"d.`{c}`") for c in cols if c != "text"), F.when(F.col("_secrets").isNull(), F.col("d.text")).otherwise(clean).alias("text"))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*cols)
