@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, str(BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
