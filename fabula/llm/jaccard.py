@@ -11,7 +11,7 @@ are shingles. Only the blocks that can matter are multiplied:
 * in each column, members meet the member that looks most central, not each other:
   as many pairs as incidences, however large a group of copies is;
 * pairs are dropped by bounds from their sizes, from the shingle's place in both
-  sets and from 64-cell histograms of both sets before any set is moved;
+  sets and from 256-cell histograms of both sets before any set is moved;
 * overlaps of what is left are counted in full. Links join classes to components;
   then columns that still hold different components are multiplied in full, between
   components only, so that no link between components is lost.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import groups, mix64, slices, small, utf8, written
 from .components import components
 
-CELLS_BITS, BLOCK, HISTOGRAM = 22, 1 << 16, 64
+CELLS_BITS, BLOCK, HISTOGRAM = 22, 1 << 16, 256
 #: Column numbers (8 bytes each) that may be broadcast.
 COLUMNS = 3_000_000
 #: Members of a column's block in the second product.
@@ -147,8 +147,11 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def histograms(data: pa.Array) -> np.ndarray:
-    """Counts of 64 cells each, stored in a byte or four."""
-    return np.array([np.frombuffer(x, "u1" if len(x) == HISTOGRAM else "<u4") for x in data.to_pylist()], np.int64).reshape(-1, HISTOGRAM)
+    """Counts of HISTOGRAM cells each, stored in a byte or four."""
+    rows = data.to_pylist()
+    if all(len(x) == HISTOGRAM for x in rows):
+        return np.frombuffer(b"".join(rows), "u1").reshape(-1, HISTOGRAM)
+    return np.array([np.frombuffer(x, "u1" if len(x) == HISTOGRAM else "<u4") for x in rows], np.int64).reshape(-1, HISTOGRAM)
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +160,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     def run(batches):
         for batch in slices(batches):
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            most = np.minimum(histograms(batch.column("da")), histograms(batch.column("db"))).sum(1)
+            most = np.minimum(histograms(batch.column("da")), histograms(batch.column("db"))).sum(1, dtype=np.int64)
             ok = pa.array(most * (100 + percent) >= percent * (na.astype(np.int64) + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
@@ -192,7 +195,7 @@ def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
                 j = j[(np.minimum(n[i], n[j]) >= least) & (most >= least)]
                 least = -(-percent * (n[i] + n[j]) // (100 + percent))
-                j = j[np.minimum(hist[i], hist[j]).sum(1) >= least]
+                j = j[np.minimum(hist[i], hist[j]).sum(1, dtype=np.int64) >= least]
                 left.append(np.minimum(cid[i], cid[j]))
                 right.append(np.maximum(cid[i], cid[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
