@@ -17,7 +17,6 @@ import hashlib
 import sys
 import types
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ LITERAL = "\0▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Bounds of a worker's caches (words and pairs of pieces), and the longest word that
 #: is kept: its lattice fits in one window.
-WORDS, PAIRS, WORD = 300_000, 1_000_000, 64
+WORDS, PAIRS, WORD = 300_000, 500_000, 64
 
 
 def _fields(data: bytes):
@@ -134,7 +133,7 @@ class Encoder:
     def __init__(self, model: PieceModel):
         self.m = model
         self.ids, self.prefixes, self.longest = model.ids, model.prefixes, model.longest
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids as little-endian int32
         self.pairs: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         self.codes: dict[int, bool] = {}
@@ -271,13 +270,13 @@ class Encoder:
         """Ids of each text. Words that are not known yet are met first, all together."""
         if len(self.words) > WORDS or not self.words:
             self.words.clear()
-            self.words[LITERAL] = [self.m.bytes[b] for b in SPACE.encode()]
+            self.words[LITERAL] = packed([self.m.bytes[b] for b in SPACE.encode()])
         cut = [self.words_of(t) for t in texts]
         new = {w for words in cut for w in words if w not in self.words}
         left = self.many.encode(new, self.words) if self.m.breaks and not self.m.unigram else new
         for w in left:
-            self.words[w] = self.word(w)
-        out = [np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.int32) for words in cut]
+            self.words[w] = packed(self.word(w))
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4") for words in cut]
         for w in left:
             if len(w) > WORD:
                 del self.words[w]
@@ -389,7 +388,7 @@ class Many:
             self.known, self.valid = keys[order], np.concatenate([self.valid, np.array(list(self.recent.values()))])[order]
         self.recent = {}
 
-    def encode(self, words, into: dict[str, list[int]]) -> list[str]:
+    def encode(self, words, into: dict[str, bytes]) -> list[str]:
         """Puts the ids of words into a dict; returns those it leaves to Encoder.word()."""
         left, groups = [], {}
         for w in words:
@@ -405,16 +404,17 @@ class Many:
             good = (last[:, n] != -2) & ~odd.any(axis=1)
             left += [group[i].replace("\x01", SPACE) for i in np.flatnonzero(~good)]
             rows = np.flatnonzero(good)
-            out, at, count = np.zeros((len(rows), n), np.int64), np.full(len(rows), n), np.zeros(len(rows), np.int64)
+            out, at, first = np.zeros((len(rows), n), "<i4"), np.full(len(rows), n), np.full(len(rows), n)
             live = np.arange(len(rows))
-            while len(live):
+            while len(live):  # from the end of each word to its beginning
                 piece = last[rows[live], at[live]]
-                out[live, count[live]] = piece
-                count[live] += 1
+                first[live] -= 1
+                out[live, first[live]] = piece
                 at[live] -= self.sizes[piece]
                 live = live[at[live] > 0]
-            for i, ids, k in zip(rows.tolist(), out.tolist(), count.tolist()):
-                into[group[i].replace("\x01", SPACE)] = ids[:k][::-1]
+            flat = out.tobytes()
+            for k, (i, start) in enumerate(zip(rows.tolist(), first.tolist())):
+                into[group[i].replace("\x01", SPACE)] = flat[4 * (k * n + start) : 4 * (k + 1) * n]
         self.settle()
         return left
 
@@ -445,6 +445,10 @@ class Many:
         return last
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
 def worker_encoder(model: bytes) -> Encoder:
     """The encoder of this process: its caches outlive a task where workers are reused."""
     store = sys.modules.setdefault("_fabula_worker", types.ModuleType("_fabula_worker")).__dict__
@@ -474,8 +478,9 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
         loaded = encoder.m
 
         def handle(batch):
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            pa.default_memory_pool().release_unused()
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
                 texts = part.column("text").to_pylist()
                 arrays = encoder.encode_all(texts)
                 sizes = [len(a) for a in arrays]
