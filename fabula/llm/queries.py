@@ -109,4 +109,15 @@ def op10_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op4_chained_passages, op5_secret_ownership, op6_ngram_jaccard, op7_media_chunks, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can express: the exact containment that MinHash candidates are verified by.
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_containment": r"""
+    with grams as (
+      select 'd' as side, doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents
+      union all select 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') from benchmark),
+    shingles as (select distinct side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) as s from grams where len(w) >= 5),
+    sizes as (select id, count(*) as n from shingles where side = 'i' group by id)
+    select d.id as doc_id, i.id as item_id, cast(count(*) as int) as n_shared, cast(min(n) as int) as n_item, round(count(*) / min(n), 6) as containment
+    from shingles i join shingles d on d.s = i.s and d.side = 'd' join sizes z on z.id = i.id where i.side = 'i'
+    group by d.id, i.id having count(*) >= 0.8 * min(n)"""
+}
