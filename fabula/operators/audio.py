@@ -346,7 +346,7 @@ def audio_project_diagnostics(d):
     """Flat and extreme energy, style changes, ambience, rejected stories and mean confidence."""
     return f"""
     select project_id, cast(count(*) as bigint) as n, max(final) - min(final) <= 0.05e0 as flat, cast(count_if(final <= 0.10e0 or final >= 0.90e0) as bigint) as n_extreme, cast(count_if(coalesce(style <> previous_style, false)) as bigint) as style_changes, cast(count_if(ambience_on) as bigint) as n_ambience, bool_or(not accepted) as story_rejected,
-           {clamp("avg(confidence) - case when bool_or(not accepted) then 0.05e0 else 0e0 end")} as confidence from audio_bounds group by project_id"""
+           round(greatest(0e0, least(1e0, avg(confidence) - case when bool_or(not accepted) then 0.05e0 else 0e0 end)), 6) as confidence from audio_bounds group by project_id"""
 
 
 @relation("audio_sound")
