@@ -63,13 +63,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """mapInArrow with per-task state: make() is called once a task and returns what
-    handles each batch."""
+    handles each batch. As texts may be long, the session's batches are kept to
+    BATCH_ROWS rows from here on (a plan reads that setting only when it runs)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
 
     def run(batches):
         handle = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield from handle(batch)
+        for batch in slices(batches, BATCH_ROWS):
+            yield from handle(batch)
 
     return df.mapInArrow(run, schema)
 
