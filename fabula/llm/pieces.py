@@ -450,7 +450,8 @@ def packed(ids: list[int]) -> bytes:
 
 
 def worker_encoder(model: bytes) -> Encoder:
-    """The encoder of this process: its caches outlive a task where workers are reused."""
+    """The encoder of this process: what it knows of pairs outlives a task where workers
+    are reused."""
     store = sys.modules.setdefault("_fabula_worker", types.ModuleType("_fabula_worker")).__dict__
     key = hashlib.sha256(model).digest()
     if key not in store:
@@ -477,10 +478,8 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
         encoder = worker_encoder(model)
         loaded = encoder.m
 
-        def handle(batch):
-            pa.default_memory_pool().release_unused()
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+        def handle(part):
+            if part.num_rows:
                 texts = part.column("text").to_pylist()
                 arrays = encoder.encode_all(texts)
                 sizes = [len(a) for a in arrays]
@@ -494,6 +493,7 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
                     names=[*names, "ids", "n_ids", "ids_sha256", "text_sha256", "round_trip"],
                 )
 
+        handle.close = encoder.words.clear  # words are a task's own; only pairs of pieces outlive it
         return handle
 
     return arrow_map(docs, make, schema)
