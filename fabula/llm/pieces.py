@@ -449,14 +449,11 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
-def worker_encoder(model: bytes) -> Encoder:
-    """The encoder of this process: what it knows of pairs outlives a task where workers
-    are reused."""
+def worker_pairs(model: bytes) -> dict:
+    """What this process knows of a model's pairs of pieces (a few megabytes): it outlives
+    a task where workers are reused, unlike all else."""
     store = sys.modules.setdefault("_fabula_worker", types.ModuleType("_fabula_worker")).__dict__
-    key = hashlib.sha256(model).digest()
-    if key not in store:
-        store[key] = Encoder(PieceModel(model))
-    return store[key]
+    return store.setdefault(hashlib.sha256(model).hexdigest(), {})
 
 
 def decode(model: PieceModel, ids) -> str:
@@ -475,8 +472,9 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
     names = schema.names[:-5]
 
     def make():
-        encoder = worker_encoder(model)
-        loaded = encoder.m
+        encoder, pairs = Encoder(PieceModel(model)), worker_pairs(model)
+        if pairs:
+            encoder.many.known, encoder.many.valid = pairs["known"], pairs["valid"]
 
         def handle(part):
             if part.num_rows:
@@ -485,7 +483,7 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
                 sizes = [len(a) for a in arrays]
                 raw = [hashlib.sha256(a.astype("<i4").tobytes()).hexdigest() for a in arrays]
                 said = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
-                same = [decode(loaded, a.tolist()) == (t or "") for a, t in zip(arrays, texts)]
+                same = [decode(encoder.m, a.tolist()) == (t or "") for a, t in zip(arrays, texts)]
                 flat = pa.array(np.concatenate(arrays), pa.int32())
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -493,7 +491,12 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
                     names=[*names, "ids", "n_ids", "ids_sha256", "text_sha256", "round_trip"],
                 )
 
-        handle.close = encoder.words.clear  # words are a task's own; only pairs of pieces outlive it
+        def close():
+            if "many" in encoder.__dict__:
+                pairs.update(known=encoder.many.known, valid=encoder.many.valid)
+            encoder.__dict__.clear()
+
+        handle.close = close
         return handle
 
     return arrow_map(docs, make, schema)
