@@ -283,14 +283,14 @@ def scene_text(d):
 
 @relation("scene_words", "profiles")
 def scene_x_image(d):
-    """Scenes and images of a manifest of twelve, within each project."""
-    return "select s.project_id, s.scene_index, p.image_id from (select distinct project_id, scene_index from scene_words) s join profiles p on p.image_id < 12"
+    """Every scene with words and every image of the manifest."""
+    return "select s.project_id, s.scene_index, p.image_id from (select distinct project_id, scene_index from scene_words) s cross join profiles p"
 
 
 @relation("semantic_overlap", "profiles")
 def semantic_reference_score(d):
     """Overlap with chronology and the preferred phase."""
-    return "select o.project_id, o.scene_index, o.image_id, round(overlap / 9e0 + 1.7e0 * (1e0 - least(1e0, abs(o.scene_index / greatest(1e0, o.scene_count - 1e0) - o.image_id / 59e0))) + 12e0 * greatest(0e0, 1e0 - abs(o.scene_index / greatest(1e0, o.scene_count - 1e0) - preferred_phase) / 0.24e0), 4) as score from semantic_overlap o join profiles p on p.image_id = o.image_id"
+    return "select o.project_id, o.scene_index, o.image_id, round(overlap / 9e0 + 1.7e0 * (1e0 - least(1e0, abs(o.scene_index / greatest(1e0, o.scene_count - 1e0) - o.image_id / greatest(1e0, last_image)))) + 12e0 * greatest(0e0, 1e0 - abs(o.scene_index / greatest(1e0, o.scene_count - 1e0) - preferred_phase) / 0.24e0), 4) as score from semantic_overlap o join profiles p on p.image_id = o.image_id cross join (select max(image_id) as last_image from profiles) m"
 
 
 @relation("motion_guidance", "analysis_for_scene")

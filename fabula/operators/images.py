@@ -65,8 +65,8 @@ def scene_words(d):
 
 @relation("profiles", public=False)
 def image_words(d):
-    """Words of the sixty first images (a project's manifest)."""
-    return f"select image_id, word, count(*) as c from {d.unnest(f'''(select image_id, {content(d, "description")} as ws from profiles where image_id < 60) s''', 'ws', 'word')} group by image_id, word"
+    """Words of the images, all of which are the manifest of every project."""
+    return f"select image_id, word, count(*) as c from {d.unnest(f'''(select image_id, {content(d, "description")} as ws from profiles) s''', 'ws', 'word')} group by image_id, word"
 
 
 @relation("scene_words", "image_words")
@@ -109,5 +109,14 @@ def candidate_reason(d):
 
 @relation("image_words")
 def concept_expand(d):
-    """Images with the words of concepts they touch: 1.6 for a concept, 0.14 a member."""
-    return "select a.image_id, b.word, round(cast(sum(0.14e0 * a.c) as double), 4) as weight from image_words a join (select distinct image_id as other, word from image_words) x on x.word = a.word and x.other <> a.image_id and x.other < 8 join image_words b on b.image_id = x.other group by a.image_id, b.word"
+    """Weights of an image's words and of the concepts it touches. A concept is the first
+    five words of a description, its members all words of the descriptions so named;
+    an image with a member gets 1.6 for the concept and 0.14 for each member, besides
+    one for each time it has a word itself."""
+    return f"""
+    with named as (select image_id, {d.agg_text('word', '_', 'word')} as concept from (select *, row_number() over (partition by image_id order by word) as r from image_words) t where r <= 5 group by image_id),
+    members as (select distinct concept, word from named n join image_words w on w.image_id = n.image_id),
+    touched as (select distinct image_id, concept from image_words w join members m on m.word = w.word),
+    parts as (select image_id, word, c * 100 as hundredths from image_words union all select image_id, concept, 160 from touched
+      union all select t.image_id, m.word, 14 from touched t join members m on m.concept = t.concept)
+    select image_id, word, cast(sum(hundredths) as bigint) / 100e0 as weight from parts group by image_id, word"""
