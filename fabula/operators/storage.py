@@ -350,7 +350,7 @@ def scan_staging_identities(d):
 @relation("lineitem", public=False)
 def provenance(d):
     """Records that come from earlier records of their order."""
-    return "select distinct l_orderkey as doc, l_linenumber as node, case when l_linenumber > 1 then l_linenumber - 1 end as parent from lineitem where l_orderkey % 10 = 0"
+    return "select distinct l_orderkey as doc, l_linenumber as node, case when l_linenumber > 1 then l_linenumber - 1 end as parent from lineitem"
 
 
 @relation("provenance")
@@ -361,7 +361,15 @@ def provenance_parent_resolve(d):
 
 @relation("provenance")
 def provenance_graph(d):
-    """Depth of each record below its root, at most 32."""
+    """Depth of each record below its root, at most 32. Spark walks the records of a
+    document level by level as one array, since its recursion is held to a number of rows."""
+    if d.spark:
+        below = "flatten(transform(a.level, f -> filter(records, x -> x.parent = f.node)))"
+        step = f"named_struct('level', {below}, 'found', concat(a.found, transform({below}, x -> named_struct('node', x.node, 'depth', i))))"
+        roots = "filter(records, x -> x.parent is null)"
+        start = f"named_struct('level', {roots}, 'found', transform({roots}, x -> named_struct('node', x.node, 'depth', 0)))"
+        levels = "slice(sequence(1, 32), 1, least(32, size(records)))"
+        return f"select doc, f.node, f.depth from (select doc, explode(aggregate({levels}, {start}, (a, i) -> {step}, a -> a.found)) as f from (select doc, collect_list(struct(node, parent)) as records from provenance group by doc))"
     with_ = "with recursive walk as (select doc, node, 0 as depth from provenance where parent is null union all select p.doc, p.node, w.depth + 1 from walk w join provenance p on p.doc = w.doc and p.parent = w.node where w.depth < 32)"
     return f"{with_} select doc, node, cast(depth as int) as depth from walk"
 

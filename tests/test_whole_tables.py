@@ -25,3 +25,15 @@ def test_concepts_and_their_members_are_weighed(spark):
     both = {"court_report": 1.6, "court_evidence": 1.6}
     want = {5: both | {"court": 1.28, "report": 2.14, "evidence": 0.14}, 900: both | {"court": 1.28, "report": 0.14, "evidence": 1.14}, 901: {"quiet": 2.74}}
     assert found == {(i, w): pytest.approx(x) for i, ws in want.items() for w, x in ws.items()}
+
+
+def test_provenance_of_every_order(spark):
+    lines = spark.createDataFrame([(o, n) for o, ns in {7: (1, 2, 3), 11: (1, 3), 20: (1, 2), 31: range(1, 41)}.items() for n in ns], "l_orderkey long, l_linenumber int")
+    depth = {(r.doc, r.node): r.depth for r in apply("provenance_graph", spark, lineitem=lines).collect()}
+    assert depth == {(7, 1): 0, (7, 2): 1, (7, 3): 2, (11, 1): 0, (20, 1): 0, (20, 2): 1} | {(31, n): n - 1 for n in range(1, 34)}
+    assert [tuple(r) for r in apply("provenance_parent_resolve", spark, lineitem=lines).collect()] == [(11, 3, 2)]
+
+
+def test_provenance_with_two_children(spark):
+    records = spark.createDataFrame([(1, 5, None), (1, 2, 5), (1, 9, 5), (1, 4, 9)], "doc long, node int, parent int")
+    assert {(r.node, r.depth) for r in apply("provenance_graph", spark, provenance=records).collect()} == {(5, 0), (2, 1), (9, 1), (4, 2)}
