@@ -320,8 +320,7 @@ def crop_box(d):
 @relation("frames")
 def histogram(d):
     """Each frame's share in its largest bin."""
-    hs = ", ".join(f"h{i}" for i in range(1, 9))
-    return f"select vec_id, round(greatest({hs}) / ({' + '.join(f'h{i}' for i in range(1, 9))}), 6) as share from frames"
+    return f"select vec_id, round({d.max_of('hist')} / total, 6) as share from frames"
 
 
 @relation("captions", "scenes")

@@ -238,18 +238,16 @@ def caption_plan(d):
 
 @relation("embeddings", public=False)
 def frames(d):
-    """Frames with non-negative histograms of eight bins."""
-    bins = ", ".join(f"abs({d.element('embedding', i)} * 1e0) as h{i}" for i in range(1, 9))
-    return f"select vec_id, label, {bins} from embeddings"
+    """Frames with non-negative histograms, a bin for each value of the embedding."""
+    return f"select vec_id, label, hist, {d.sum_of('hist')} as total from (select vec_id, label, {d.map('embedding', 'abs(x * 1e0)')} as hist from embeddings) e"
 
 
 @relation("frames")
 def bhattacharyya(d):
-    """Distance of each frame's histogram from the one before."""
-    cols = ", ".join(f"lag(h{i}) over (order_by) as p{i}".replace("order_by", "partition by label order by vec_id") for i in range(1, 9))
-    root = " + ".join(f"sqrt(h{i} * p{i})" for i in range(1, 9))
-    sums = f"sqrt(({' + '.join(f'h{i}' for i in range(1, 9))}) * ({' + '.join(f'p{i}' for i in range(1, 9))}))"
-    return f"select vec_id, label, round(sqrt(greatest(0e0, 1e0 - ({root}) / {sums})), 6) as distance from (select *, {cols} from frames) t where p1 is not null"
+    """Distance of each frame's whole histogram from the one before."""
+    over = "over (partition by label order by vec_id)"
+    root = d.sum_of(d.zip("hist", "p", "sqrt(coalesce(x, 0e0) * coalesce(y, 0e0))"))
+    return f"select vec_id, label, round(sqrt(greatest(0e0, 1e0 - {root} / sqrt(total * p_total))), 6) as distance from (select *, lag(hist) {over} as p, lag(total) {over} as p_total from frames) t where p is not null"
 
 
 @relation("bhattacharyya")

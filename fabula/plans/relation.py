@@ -12,6 +12,7 @@ window, since Catalyst would push the predicate down with the whole computation
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,6 +35,16 @@ class Spark:
     def map(self, array, expr):
         return f"transform({array}, x -> {expr})"
 
+    def zip(self, a, b, expr):
+        """expr of x and y, the values of two arrays at each place; null where one ends."""
+        return f"zip_with({a}, {b}, (x, y) -> {expr})"
+
+    def sum_of(self, array):
+        return f"aggregate({array}, 0e0, (a, x) -> a + x)"
+
+    def max_of(self, array):
+        return f"array_max({array})"
+
     def any(self, array, cond):
         return f"exists({array}, x -> {cond})"
 
@@ -124,6 +135,15 @@ class Duck(Spark):
     def map(self, array, expr):
         return f"list_transform({array}, lambda x: {expr})"
 
+    def zip(self, a, b, expr):
+        return f"list_transform(list_zip({a}, {b}), lambda z: {re.sub(r'\b([xy])\b', lambda m: f'z[{1 + (m[1] == 'y')}]', expr)})"
+
+    def sum_of(self, array):
+        return f"list_sum({array})"
+
+    def max_of(self, array):
+        return f"list_max({array})"
+
     def any(self, array, cond):
         return f"(len(list_filter({array}, lambda x: {cond})) > 0)"
 

@@ -37,3 +37,12 @@ def test_provenance_of_every_order(spark):
 def test_provenance_with_two_children(spark):
     records = spark.createDataFrame([(1, 5, None), (1, 2, 5), (1, 9, 5), (1, 4, 9)], "doc long, node int, parent int")
     assert {(r.node, r.depth) for r in apply("provenance_graph", spark, provenance=records).collect()} == {(5, 0), (2, 1), (9, 1), (4, 2)}
+
+
+def test_frames_that_differ_in_late_bins(spark):
+    early, late = [1.0] * 8 + [5.0] * 28 + [0.0] * 28, [1.0] * 8 + [0.0] * 28 + [5.0] * 28
+    frames = spark.createDataFrame([(i, v, 0) for i, v in enumerate([early, early, late, late])], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: r.distance for r in apply("bhattacharyya", spark, embeddings=frames).collect()}
+    assert found == {1: 0.0, 2: pytest.approx((1 - 8 / 148) ** 0.5, abs=1e-6), 3: 0.0}
+    assert [r.vec_id for r in apply("cut_detection", spark, embeddings=frames).collect()] == [2]
+    assert {r.share for r in apply("histogram", spark, embeddings=frames).collect()} == {round(5 / 148, 6)}
