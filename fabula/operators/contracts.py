@@ -169,8 +169,10 @@ def relative_path_limits(d):
 
 @relation("final_path")
 def recovery_traversal(d):
-    """Staging candidates of each two-letter prefix, sixteen at most."""
-    return "select prefix, entry from (select substring(staging_path, 12, 2) as prefix, entry, row_number() over (partition by substring(staging_path, 12, 2) order by staging_path) as r from final_path) t where r <= 16"
+    """Staging candidates of each identity, all of them, and whether they exceed the 64
+    that an identity may have."""
+    identity = d.extract("staging_path", "/([0-9a-f]+)[.]", 1)
+    return f"select substring(identity, 1, 2) as prefix, identity, entry, count(*) over (partition by identity) > 64 as exceeded from (select entry, {identity} as identity from final_path) t"
 
 
 @relation("locks")

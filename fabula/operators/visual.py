@@ -160,7 +160,7 @@ def transition_contract(d):
     return """
     select s.project_id, count(*) = count(n.scene_index) and bool_and(scene_end > scene_start) and bool_and(abs(gap) <= 0.5e0 / 30e0) as holds
     from (select *, coalesce(scene_start - lag(scene_end) over (partition by project_id order by scene_index), 0e0) as gap from scenes) s
-    left join narrative_intent n on n.project_id = s.project_id and n.scene_index = s.scene_index and n.scene_index < 3 group by s.project_id"""
+    left join narrative_intent n on n.project_id = s.project_id and n.scene_index = s.scene_index group by s.project_id"""
 
 
 @relation("orders")

@@ -46,3 +46,17 @@ def test_frames_that_differ_in_late_bins(spark):
     assert found == {1: 0.0, 2: pytest.approx((1 - 8 / 148) ** 0.5, abs=1e-6), 3: 0.0}
     assert [r.vec_id for r in apply("cut_detection", spark, embeddings=frames).collect()] == [2]
     assert {r.share for r in apply("histogram", spark, embeddings=frames).collect()} == {round(5 / 148, 6)}
+
+
+def test_all_staging_candidates_are_kept(spark):
+    names = [("ab12", i) for i in range(65)] + [("ab99", i) for i in range(100, 164)]
+    paths = spark.createDataFrame([(i, f"staging/v1/{h}.{i:05x}") for h, i in names], "entry long, staging_path string")
+    found = apply("recovery_traversal", spark, final_path=paths).collect()
+    assert {(r.prefix, r.identity, r.entry, r.exceeded) for r in found} == {("ab", h, i, h == "ab12") for h, i in names}
+    assert len(found) == len(names)
+
+
+def test_contract_of_many_scenes(spark):
+    scenes = spark.createDataFrame([(p, i, 6, 2.0 * i, 2.0 * i + 2.0, "Why?") for p in "ab" for i in range(6)], SCENES)
+    plan = spark.createDataFrame([("a", i) for i in range(6)] + [("b", i) for i in range(5)], "project_id string, scene_index int")
+    assert {r.project_id: r.holds for r in apply("transition_contract", spark, scenes=scenes, narrative_intent=plan).collect()} == {"a": True, "b": False}
