@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by a streaming Viterbi pass.
 
 The lattice of pieces over a text is walked once, left to right. For each
-boundary one backpointer survives, only the last max-piece-length boundaries are
-kept, and ids are committed as soon as every surviving backpointer path runs
-through one boundary.
+boundary one backpointer survives, only the last max-piece-length boundaries can
+still be extended, and ids are committed where every surviving backpointer path runs
+through one boundary. One such boundary is known beforehand where no piece may span it
+(a space after something else): what lies between two of them is a stream of its own,
+so that many of them go in lock step, and what a short one gave is remembered.
 
 For unigram models the survivor is the best-scoring path. For BPE models it is
 the merge-consistent one: a piece may follow another only where merging the two
@@ -14,6 +16,7 @@ boundary, and that path is the library's own BPE result.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import types
 from functools import cached_property
@@ -28,9 +31,10 @@ SPACE = "▁"
 #: Stands for U+2581 in a text; no word has the mark after another character.
 LITERAL = "\0▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-#: Bounds of a worker's caches (words and pairs of pieces), and the longest word that
-#: is kept: its lattice fits in one window.
+#: Bounds of a worker's caches: segments, pairs of pieces, characters of a segment.
 WORDS, PAIRS, WORD = 300_000, 500_000, 64
+#: Streams that go in lock step, and characters whose segments are met together.
+LANES, SLAB = 1 << 14, 1 << 20
 
 
 def _fields(data: bytes):
@@ -94,23 +98,6 @@ class PieceModel:
     def alphabet(self) -> set[str]:
         return {c for p in self.ids for c in p}
 
-    @cached_property
-    def trie(self) -> dict:
-        """character -> (nested trie, id of the piece that ends here or -1)."""
-        root: dict = {}
-        for piece in sorted(self.ids):  # a piece follows its prefixes
-            node = root
-            for c in piece[:-1]:
-                if c not in node:
-                    node[c] = ({}, -1)
-                node = node[c][0]
-            node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, self.ids[piece])
-        return root
-
-    @cached_property
-    def prefixes(self) -> set[str]:
-        return {p[:n] for p in self.ids for n in range(1, len(p))}
-
     @cached_property
     def table(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -131,135 +118,9 @@ class Encoder:
     """Encodes texts; holds bounded caches and is made once a task."""
 
     def __init__(self, model: PieceModel):
-        self.m = model
-        self.ids, self.prefixes, self.longest = model.ids, model.prefixes, model.longest
+        self.m, self.streams = model, Streams(model)
         self.words: dict[str, bytes] = {}  # ids as little-endian int32
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
-        self.codes: dict[int, bool] = {}
-
-    def follows(self, a: str, b: str) -> bool:
-        """Whether merging ab gives just a and b (an unknown character never merges)."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.m.merged(a + b) == [a, b]
-        return known
-
-    def stands(self, a: str) -> bool:
-        known = self.own.get(a)
-        if known is None:
-            known = self.own[a] = self.m.merged(a) == [a]
-        return known
-
-    def stream(self, text: str, commit) -> None:
-        """Calls commit(piece) for the pieces of text, in order. State: the window of
-        boundaries that some path may still start from."""
-        m, ids, prefixes, n = self.m, self.ids, self.prefixes, len(text)
-        reach: dict[int, tuple[float, int, str]] = {0: (0.0, -1, "")}  # boundary: score, previous one, last piece
-        base, end = 0, 0
-        ahead: dict[int, list[tuple[int, str]]] = {}
-        while end < n:
-            # pieces that start here, filed under where they end
-            for size in range(1, min(self.longest, n - end) + 1):
-                piece = text[end : end + size]
-                if piece in ids or size == 1:
-                    ahead.setdefault(end + size, []).append((end, piece))
-                if piece not in prefixes:
-                    break
-            end += 1
-            best = None
-            for start, piece in ahead.pop(end, ()):  # by start: ties go to the longest piece
-                score, _, last = reach[start] if start in reach else (None, 0, "")
-                if score is None:
-                    continue
-                if m.unigram:
-                    total = score + (m.scores[ids[piece]] if piece in ids else m.unknown)
-                    if best is None or total > best[0]:
-                        best = (total, start, piece)
-                elif self.stands(piece) and (not last or self.follows(last, piece)):
-                    best = (0.0, start, piece)
-                    break
-            if best is not None:
-                reach[end] = best
-            if len(reach) > 2 * self.longest or end == n:
-                base = self._settle(reach, base, end, n, commit)
-
-    def _settle(self, reach, base, end, n, commit) -> int:
-        """Commits what all paths that can still win share, and forgets it."""
-        if end == n:
-            meet = n
-        else:  # the boundary that the paths from the last `longest` boundaries run through
-            heads = {b for b in reach if b > end - self.longest}
-            while len(heads) > 1:
-                top = max(heads)
-                heads.discard(top)
-                heads.add(reach[top][1])
-            meet = heads.pop()
-        if meet > base:
-            path, at = [], meet
-            while at > base:
-                _, before, piece = reach[at]
-                path.append(piece)
-                at = before
-            for piece in reversed(path):
-                commit(piece)
-            for b in [b for b in reach if b < meet]:
-                del reach[b]
-        return max(base, meet)
-
-    def short(self, text: str) -> list[int] | None:
-        """word() for a BPE lattice that fits in one window; None if a character is no
-        piece. One backpointer (the last piece) survives at each boundary."""
-        n, trie, pairs, pieces = len(text), self.m.trie, self.codes, self.m.pieces
-        last = [-2] * (n + 1)  # -2: no path; -1: the start
-        last[0] = -1
-        for start in range(n):
-            before = last[start]
-            if before == -2:
-                continue
-            node, base, end = trie, before << 20, start
-            for c in text[start:]:
-                hit = node.get(c)
-                if hit is None:
-                    break
-                node, i = hit
-                end += 1
-                if i >= 0 and last[end] == -2:
-                    ok = pairs.get(base | i)
-                    if ok is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        ok = self.stands(pieces[i]) and (before < 0 or self.m.merged(pieces[before] + pieces[i]) == [pieces[before], pieces[i]])
-                        pairs[base | i] = ok
-                    if ok:
-                        last[end] = i
-                if not node:
-                    break
-            if end == start:
-                return None
-        out, end = [], n
-        while end:
-            i = last[end]
-            if i == -2:
-                return None
-            out.append(i)
-            end -= len(pieces[i])
-        out.reverse()
-        return out
-
-    def word(self, text: str) -> list[int]:
-        if not self.m.unigram and len(text) <= WORD and (known := self.short(text)) is not None:
-            return known
-        out: list[int] = []
-
-        def commit(piece):
-            i = self.ids.get(piece)
-            out.extend([self.m.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if i is None else [i])
-
-        self.stream(text, commit)
-        return out
+        self.newline = "\n" not in model.alphabet
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; null and empty texts have none. U+2581 itself goes by bytes,
@@ -267,36 +128,43 @@ class Encoder:
         return self.encode_all([text])[0].tolist()
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text. Words that are not known yet are met first, all together."""
+        """Ids of each text. Segments of SLAB characters are met together, across texts
+        and within long ones; beside ids, no more is held."""
+        parts: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for n, text in enumerate(texts):
+            for w, window in enumerate(windows(text, SLAB if self.m.breaks else len(text)) if text else ()):
+                held.append((n, self.segments(window, first=w == 0)))
+                size += len(window)
+                if size >= SLAB:
+                    self._meet(held, parts)
+                    held, size = [], 0
+        self._meet(held, parts)
+        return [np.frombuffer(b"".join(p), "<i4") for p in parts]
+
+    def _meet(self, held: list[tuple[int, list[str]]], parts: list[list[bytes]]) -> None:
+        """Files the ids of segments; those that are not known yet are streamed."""
         if len(self.words) > WORDS or not self.words:
             self.words.clear()
             self.words[LITERAL] = packed([self.m.bytes[b] for b in SPACE.encode()])
-        cut = [self.words_of(t) for t in texts]
-        new = {w for words in cut for w in words if w not in self.words}
-        left = self.many.encode(new, self.words) if self.m.breaks and not self.m.unigram else new
-        for w in left:
-            self.words[w] = packed(self.word(w))
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4") for words in cut]
-        for w in left:
-            if len(w) > WORD:
-                del self.words[w]
-        return out
-
-    @cached_property
-    def many(self) -> Many:
-        return Many(self)
-
-    def words_of(self, text: str | None) -> list[str]:
+        new = list({s for _, own in held for s in own if s not in self.words})
+        self.words.update(zip(new, self.streams.encode(new)))
+        for n, own in held:
+            parts[n].append(b"".join(map(self.words.__getitem__, own)))
+        for s in new:
+            if len(s) > WORD:
+                del self.words[s]
+
+    def segments(self, text: str, first: bool = True) -> list[str]:
         """What a text consists of between boundaries that all paths share."""
         out: list[str] = []
-        newline = "\n" not in self.m.alphabet
-        for k, part in enumerate(text.split(SPACE) if text else ()):
+        for k, part in enumerate(text.split(SPACE)):
             if k:
                 out.append(LITERAL)
             part = part.replace(" ", SPACE)
-            if k == 0 and self.m.dummy_prefix:
+            if k == 0 and first and self.m.dummy_prefix:
                 part = SPACE + part
-            for j, line in enumerate(part.split("\n") if newline else (part,)):
+            for j, line in enumerate(part.split("\n") if self.newline else (part,)):
                 if j:
                     out.append("\n")
                 out += self.split(line)
@@ -322,60 +190,104 @@ class Encoder:
         return words
 
 
-class Many:
-    """Encoder.short() for many words at once: arrays hold one boundary of all words of
-    a length, and the trie is a matrix over the Latin letters."""
-
-    LETTERS, LENGTH = 0x250, 32
-
-    def __init__(self, encoder: Encoder):
-        self.e, m = encoder, encoder.m
-        nodes, level = [], [m.trie]
-        inner: dict[int, int] = {id(m.trie): 0}
-        while level:  # nodes with children get the first numbers
-            nodes += level
-            level = [child for node in level for c, (child, _) in node.items() if child and self.column(c) >= 0]
-            for child in level:
-                inner[id(child)] = len(inner)
-        self.inner = len(nodes)
-        self.next = np.full((self.inner, self.LETTERS), -1, np.int32)
-        ids = [-1] * self.inner
-        for at, node in enumerate(nodes):
-            for c, (child, i) in node.items():
-                if (column := self.column(c)) >= 0:
-                    if child:
-                        to = inner[id(child)]
-                        ids[to] = i
-                    else:
-                        to = len(ids)
-                        ids.append(i)
-                    self.next[at, column] = to
-        self.ids = np.array(ids, np.int64)
-        self.sizes = np.array([len(p) for p in m.pieces], np.int64)
+BREAK = re.compile("(?<=[^ ]) ")
+
+
+def windows(text: str, size: int):
+    """A text in parts of about so many characters, cut where a space follows something else."""
+    start = 0
+    while start < len(text):
+        cut = BREAK.search(text, start + size)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
+
+
+class Streams:
+    """Streaming Viterbi passes over many segments in lock step, a character a step.
+
+    A lane is a segment. Each step extends the pieces that were begun at one of the last
+    `longest` boundaries, by a hashed trie, and files the one surviving backpointer of the
+    new boundary: for BPE the first piece, from the longest, that is merge-consistent with
+    what it follows; for unigram models the one of the best score, ties to the longest.
+    Backpointers are held for a window of a few `longest` boundaries; when it is full,
+    each lane commits the ids up to the boundary that all its surviving paths share.
+    """
+
+    START, NONE = -1, -2
+
+    def __init__(self, model: PieceModel):
+        self.m, self.longest, self.count = model, model.longest, len(model.pieces)
+        children: list[dict[str, int]] = [{}]
+        ids = [-1]
+        for piece, i in model.ids.items():
+            node = 0
+            for c in piece:
+                if c not in children[node]:
+                    children[node][c] = len(children)
+                    children.append({})
+                    ids.append(-1)
+                node = children[node][c]
+            ids[node] = i
+        self.ids, self.leaf = np.array(ids, np.int64), np.array([not c for c in children])
+        self._file([(at << 21 | ord(c), to) for at, own in enumerate(children) for c, to in own.items()])
+        self.sizes = np.array([len(p) for p in model.pieces], np.int64)
+        self.scores = np.array(model.scores)
         self.known, self.valid = np.array([-1], np.int64), np.array([False])
         self.recent: dict[int, bool] = {}
 
-    @classmethod
-    def column(cls, c: str) -> int:
-        """A letter's column; the space mark has that of U+0001, which is no letter here."""
-        return 1 if c == SPACE else ord(c) if 1 < ord(c) < cls.LETTERS else -1
+    def _file(self, edges: list[tuple[int, int]]) -> None:
+        """The trie's edges in an open-addressing table."""
+        self.shift = 64 - max(4, (4 * len(edges)).bit_length())
+        size = 1 << (64 - self.shift)
+        self.edge, self.to = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int64)
+        keys, to = (np.array(x, np.int64) for x in zip(*edges))
+        slots = self._slot(keys)
+        while len(keys):
+            free = self.edge[slots] < 0
+            own, first = np.unique(slots[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.edge[own], self.to[own] = keys[put], to[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, to, slots = keys[rest], to[rest], slots[rest] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node that each character leads to, -1 for none."""
+        keys = nodes << 21 | chars
+        slots = self._slot(keys)
+        there = self.edge[slots]
+        out = np.where(there == keys, self.to[slots], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slots[left] += 1
+            there = self.edge[slots[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.to[slots[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
 
-    def allowed(self, codes: np.ndarray) -> np.ndarray:
-        """Whether each pair of pieces may follow one another: known pairs by search, the
-        few new ones by merging."""
+    def allowed(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether merging two pieces gives just these two: known pairs by search, the few
+        new ones by merging."""
+        codes = (before + 1) << 21 | piece
         at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
         out, missing = self.valid[at], np.flatnonzero(self.known[at] != codes)
         if len(missing):
             fresh, where = np.unique(codes[missing], return_inverse=True)
-            out[missing] = np.array([self.fresh(c) for c in fresh.tolist()])[where]
+            out[missing] = np.array([self._fresh(c) for c in fresh.tolist()])[where]
         return out
 
-    def fresh(self, code: int) -> bool:
+    def _fresh(self, code: int) -> bool:
         known = self.recent.get(code)
         if known is None:
-            e, pieces = self.e, self.e.m.pieces
-            before, piece = (code >> 20) - 1, pieces[code & 0xFFFFF]
-            known = self.recent[code] = e.stands(piece) and (before < 0 or e.m.merged(pieces[before] + piece) == [pieces[before], piece])
+            text = lambda i: self.m.pieces[i] if i < self.count else chr(i - self.count)
+            before, piece = (code >> 21) - 1, text(code & 0x1FFFFF)
+            known = self.m.merged(piece) == [piece] and (before < 0 or self.m.merged(text(before) + piece) == [text(before), piece])
+            self.recent[code] = known
         return known
 
     def settle(self) -> None:
@@ -388,61 +300,122 @@ class Many:
             self.known, self.valid = keys[order], np.concatenate([self.valid, np.array(list(self.recent.values()))])[order]
         self.recent = {}
 
-    def encode(self, words, into: dict[str, bytes]) -> list[str]:
-        """Puts the ids of words into a dict; returns those it leaves to Encoder.word()."""
-        left, groups = [], {}
-        for w in words:
-            if len(w) > self.LENGTH or "\x01" in w:
-                left.append(w)
+    def encode(self, segments: list[str]) -> list[bytes]:
+        """Packed ids of each segment."""
+        out = [b""] * len(segments)
+        order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
+        for start in range(0, len(order), LANES):
+            lanes = order[start : start + LANES]
+            for i, ids in zip(lanes, self._run([segments[i] for i in lanes])):
+                out[i] = ids
+            self.settle()
+        return out
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        """encode() of some segments, longest first."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        out: list[bytes] = [b""] * len(texts)
+        rows = min(int(lengths[0]), 4 * self.longest) + 1 if len(texts) else 1
+        last = np.full((rows, len(texts)), self.NONE, np.int64)  # the last piece at each boundary from `base` on
+        last[0] = self.START
+        score = np.zeros(last.shape) if self.m.unigram else None
+        base, done = 0, np.zeros(len(texts), np.int64)  # all lanes' and each lane's committed boundary
+        walks: list[tuple[int, np.ndarray, np.ndarray]] = []  # pieces begun: boundary, lanes, trie nodes
+        for end in range(1, int(lengths[0]) + 1 if len(texts) else 0):
+            live = int(np.searchsorted(-lengths, -end, "right"))
+            chars_now = chars[offsets[:live] + end - 1]
+            now = last[end - base, :live]
+            best = score[end - base, :live] if self.m.unigram else None
+            lanes = np.flatnonzero(last[end - 1 - base, :live] != self.NONE)
+            walks.append((end - 1, lanes, np.zeros(len(lanes), np.int64)))
+            on = []
+            for start, lanes, nodes in walks:  # from the longest piece to the shortest
+                if len(lanes) and lanes[-1] >= live:
+                    cut = np.searchsorted(lanes, live)
+                    lanes, nodes = lanes[:cut], nodes[:cut]
+                nodes = self.step(nodes, chars_now[lanes])
+                pieces = np.where(nodes >= 0, self.ids[nodes], -1)
+                if start == end - 1:  # a character that is no piece stands for itself
+                    pieces = np.where(pieces >= 0, pieces, self.count + chars_now[lanes])
+                self._file_best(now, best, last[start - base], score[start - base] if self.m.unigram else None, lanes, pieces)
+                deeper = (nodes >= 0) & ~self.leaf[nodes]
+                if deeper.any():
+                    on.append((start, lanes[deeper], nodes[deeper]))
+            walks = on
+            over = int(np.searchsorted(-lengths, -end - 1, "right"))
+            if over < live:
+                self._commit(np.arange(over, live), np.full(live - over, end), last, base, done, out)
+            if end - base == len(last) - 1 and over:
+                meet = self._meets(last, base, end, over)
+                go = np.flatnonzero(meet > done[:over])
+                self._commit(go, meet[go], last, base, done, out)
+                to = max(base, min(int(done[:over].min()), end - self.longest))
+                free = np.full((len(last) if to - base >= self.longest else 2 * len(last), over), self.NONE, np.int64)
+                free[: end - to + 1] = last[to - base : end - base + 1, :over]
+                last = free
+                if self.m.unigram:
+                    more = np.zeros(last.shape)
+                    more[: end - to + 1] = score[to - base : end - base + 1, :over]
+                    score = more
+                base = to
+        return out
+
+    def _file_best(self, now, best, before, score, lanes, pieces) -> None:
+        """Puts pieces that end at a boundary where they are better than what is there."""
+        if self.m.unigram:
+            there = pieces >= 0
+            lanes, pieces = lanes[there], pieces[there]
+            total = score[lanes] + np.where(pieces < self.count, self.scores[np.minimum(pieces, self.count - 1)], self.m.unknown)
+            better = (now[lanes] == self.NONE) | (total > best[lanes])
+            now[lanes[better]], best[lanes[better]] = pieces[better], total[better]
+        else:
+            there = (pieces >= 0) & (now[lanes] == self.NONE)
+            if there.any():
+                lanes, pieces = lanes[there], pieces[there]
+                ok = self.allowed(before[lanes], pieces)
+                now[lanes[ok]] = pieces[ok]
+
+    def _width(self, pieces: np.ndarray) -> np.ndarray:
+        return np.where(pieces < self.count, self.sizes[np.minimum(pieces, self.count - 1)], 1)
+
+    def _meets(self, last: np.ndarray, base: int, end: int, live: int) -> np.ndarray:
+        """Of each lane, the boundary that the paths to its last `longest` boundaries share."""
+        marks = np.zeros((end - base + 1, live), bool)
+        tip = max(0, end - base + 1 - self.longest)
+        marks[tip:] = last[tip : end - base + 1, :live] != self.NONE
+        heads = marks.sum(axis=0)
+        for at in range(end - base, 0, -1):
+            lanes = np.flatnonzero(marks[at] & (heads > 1))
+            if len(lanes):
+                to = at - self._width(last[at, lanes])
+                marks[at, lanes] = False
+                heads[lanes] -= marks[to, lanes]
+                marks[to, lanes] = True
+        return marks.argmax(axis=0) + base
+
+    def _commit(self, lanes: np.ndarray, tops: np.ndarray, last: np.ndarray, base: int, done: np.ndarray, out: list[bytes]) -> None:
+        """Adds the ids between what lanes have committed and `tops`."""
+        if not len(lanes):
+            return
+        width = int((tops - done[lanes]).max())
+        ids, at, first = np.zeros((len(lanes), width), "<i4"), tops.copy(), np.full(len(lanes), width)
+        live = np.arange(len(lanes))
+        while len(live):  # back from each top
+            piece = last[at[live] - base, lanes[live]]
+            first[live] -= 1
+            ids[live, first[live]] = piece
+            at[live] -= self._width(piece)
+            live = live[at[live] > done[lanes[live]]]
+        odd = (ids >= self.count).any(axis=1)
+        flat = ids.tobytes()
+        for k, (lane, start, own) in enumerate(zip(lanes.tolist(), first.tolist(), odd.tolist())):
+            if own:
+                out[lane] += packed([b for i in ids[k, start:].tolist() for b in ([i] if i < self.count else [self.m.bytes[x] for x in chr(i - self.count).encode("utf-8", "surrogatepass")])])
             else:
-                groups.setdefault(len(w), []).append(w.replace(SPACE, "\x01"))
-        for n, group in groups.items():
-            chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int64)
-            odd = chars >= self.LETTERS
-            chars[odd] = 0
-            last = self.boundaries(chars)
-            good = (last[:, n] != -2) & ~odd.any(axis=1)
-            left += [group[i].replace("\x01", SPACE) for i in np.flatnonzero(~good)]
-            rows = np.flatnonzero(good)
-            out, at, first = np.zeros((len(rows), n), "<i4"), np.full(len(rows), n), np.full(len(rows), n)
-            live = np.arange(len(rows))
-            while len(live):  # from the end of each word to its beginning
-                piece = last[rows[live], at[live]]
-                first[live] -= 1
-                out[live, first[live]] = piece
-                at[live] -= self.sizes[piece]
-                live = live[at[live] > 0]
-            flat = out.tobytes()
-            for k, (i, start) in enumerate(zip(rows.tolist(), first.tolist())):
-                into[group[i].replace("\x01", SPACE)] = flat[4 * (k * n + start) : 4 * (k + 1) * n]
-        self.settle()
-        return left
-
-    def boundaries(self, chars: np.ndarray) -> np.ndarray:
-        """The last piece at each boundary of each word; -1 the start, -2 no path."""
-        count, n = chars.shape
-        last = np.full((count, n + 1), -2, np.int64)
-        last[:, 0] = -1
-        for start in range(n):
-            rows = np.flatnonzero(last[:, start] != -2)
-            node = np.zeros(len(rows), np.int64)
-            for end in range(start + 1, n + 1):
-                node = self.next[node, chars[rows, end - 1]]
-                ok = node >= 0
-                rows, node = rows[ok], node[ok].astype(np.int64)
-                if not len(rows):
-                    break
-                piece = self.ids[node]
-                open_ = (piece >= 0) & (last[rows, end] == -2)
-                if open_.any():
-                    r, t = rows[open_], piece[open_]
-                    ok = self.allowed((last[r, start] + 1) << 20 | t)
-                    last[r[ok], end] = t[ok]
-                deeper = node < self.inner
-                rows, node = rows[deeper], node[deeper]
-                if not len(rows):
-                    break
-        return last
+                out[lane] += flat[4 * (k * width + start) : 4 * (k + 1) * width]
+        done[lanes] = tops
 
 
 def packed(ids: list[int]) -> bytes:
@@ -474,7 +447,7 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
     def make():
         encoder, pairs = Encoder(PieceModel(model)), worker_pairs(model)
         if pairs:
-            encoder.many.known, encoder.many.valid = pairs["known"], pairs["valid"]
+            encoder.streams.known, encoder.streams.valid = pairs["known"], pairs["valid"]
 
         def handle(part):
             if part.num_rows:
@@ -492,8 +465,7 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
                 )
 
         def close():
-            if "many" in encoder.__dict__:
-                pairs.update(known=encoder.many.known, valid=encoder.many.valid)
+            pairs.update(known=encoder.streams.known, valid=encoder.streams.valid)
             encoder.__dict__.clear()
 
         handle.close = close
