@@ -7,7 +7,9 @@ load of a bin, and with it the chance that a shared shingle survives as a minimu
 is the same for short and very long documents (at least 0.79). A test item is
 sketched once for each size class that can hold it. Documents and items that share a
 minimum are candidates: an item with m shingles in a document is missed with
-probability below 0.21**m. Candidates are verified by exact containment of shingles.
+probability below 0.21**m. Items of at most SHORT shingles, for which that is not
+small, ask with all their shingles, and a document answers with all of its own.
+Candidates are verified by exact containment of shingles.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ from .common import small, written
 
 WORDS = 5
 CONTAINMENT = 0.8
+#: The largest size class: a document of over 2**25 shingles belongs there too, with
+#: more shingles to a bin.
 CLASSES = 26
+#: Items of so few shingles are not sketched (beyond, 0.21**m is below 1e-6).
+SHORT = 8
 
 
 def words(text) -> Column:
@@ -46,19 +52,22 @@ def _bin(x, b) -> Column:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (content, item_id) that share a minimum; content is xxhash64(text), so
-    copies count once."""
+    """Distinct (content, item_id) that share a minimum, or any shingle of a short item;
+    content is xxhash64(text), so copies count once."""
     # no predicate on computed arrays, outer generators and a size class that is never
     # null: else Catalyst pushes filters, and with them the whole computation once more,
     # below the projections
-    size_class = F.coalesce((F.ceil(F.log2(F.greatest(F.size("_s"), F.lit(1)).cast("double"))) + 1).cast("int"), F.lit(0))
+    size_class = F.coalesce(F.least(F.lit(CLASSES), (F.ceil(F.log2(F.greatest(F.size("_s"), F.lit(1)).cast("double"))) + 1).cast("int")), F.lit(0))
     sized = _hashes(docs.select(F.xxhash64("text").alias("content"), "text"), "text").select("content", "_s", size_class.alias("b"))
-    kept = sized.select("content", "b", F.explode_outer(_minima(F.col("b"))).alias("h"))
-    asked = _hashes(items.select("item_id", "text"), "text").select("item_id", "_s")
+    asked = _hashes(items.select("item_id", "text"), "text").select("item_id", F.array_distinct("_s").alias("_s"))
+    short = F.size("_s") <= SHORT
     least = F.ceil(F.log2(F.greatest(F.size("_s"), F.lit(1)) * CONTAINMENT)).cast("int")  # smaller documents cannot hold it
     asked = asked.withColumn("b", F.explode(F.sequence(F.greatest(least, F.lit(1)), F.lit(CLASSES))))
-    queries = written(asked.select("item_id", "b", F.explode_outer(_minima(F.col("b"))).alias("h")).distinct().where(F.col("h").isNotNull()), "items")
-    return kept.join(small(queries), ["b", "h"]).select("content", "item_id").distinct()
+    queries = asked.select("item_id", "b", short.alias("all"), F.explode_outer(F.when(short, F.col("_s")).otherwise(_minima(F.col("b")))).alias("h"))
+    queries = written(queries.distinct().where(F.col("h").isNotNull()), "items")
+    minimum = F.transform("_s", lambda x, i: F.struct(x.alias("h"), ((i == 0) | (_bin(x, F.col("b")) != _bin(F.get("_s", i - 1), F.col("b")))).alias("minimum")))
+    kept = sized.select("content", "b", F.explode_outer(minimum).alias("own")).select("content", "b", "own.h", "own.minimum")
+    return kept.join(small(queries), ["b", "h"]).where(F.col("minimum") | F.col("all")).select("content", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
@@ -70,7 +79,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT)
     found = written(candidates(docs, items), "candidates")
     item = items.withColumn("_q", words("text")).select("item_id", _shingles("_q").alias("_q"))
     pairs = written(found.join(item, "item_id"), "pairs")
-    hit = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").join(small(pairs, 100_000), "content")
+    hit = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").join(small(pairs), "content")
     hit = hit.withColumn("_w", words("text")).select("doc_id", "content", "item_id", "_q", _shingles("_w").alias("_d"))
     out = hit.select("doc_id", "content", "item_id", F.size(F.array_intersect("_q", "_d")).alias("n_shared"), F.size("_q").alias("n_item"))
     out = out.groupBy("doc_id", "content", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
