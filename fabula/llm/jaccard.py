@@ -271,10 +271,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     marked = written(met.join(small(label), "cid", "left").withColumn("own", F.coalesce("own", "cid")).select("h", "cid", "n", "at", "own"), "marked")
     mixed = marked.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("h", "m")
     rest = written(marked.join(written(mixed, "mixed"), "h"), "rest")
-    # in order of size, a member that neither neighbour is close to in size has no partner there
+    # in order of size, a member that neither neighbour is close to in size has no partner
+    # there; sizes are counted first, so that a column of many members is a row a size
     by_size = Window.partitionBy("h").orderBy("n")
-    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
-    rest = written(rest.withColumn("near", near).where("near").drop("near"), "near")
+    near = (F.col("c") > 1) | (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    sizes = rest.groupBy("h", "n").agg(F.count("*").alias("c")).withColumn("near", near).where("near").select("h", "n")
+    rest = written(rest.join(small(written(sizes, "sizes")), ["h", "n"], "left_semi"), "near")
     other = written(block_pairs(rest, classes, percent).distinct(), "other").join(tried, ["a", "b"], "left_anti")
     more = verified(written(other, "untried"), classes, docs, k, percent)
     links = written(links.union(more), "all_links")
@@ -292,13 +294,16 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with the smallest doc_id of each component, whole rows. Texts without words,
     and components without any doc_id, are kept; repeated rows of a kept document
-    become one."""
+    become one, the first by its columns as JSON where those differ. An empty table gives
+    no rows."""
     rows = written(join(docs, k, percent), "joined")
     gone = rows.where((F.col("n_shingles") > 0) & (F.col("doc_id").isNull() & F.col("component_id").isNotNull() | (F.col("doc_id") != F.col("component_id"))))
     gone = small(written(gone.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct(), "gone"))
     keyed = docs.withColumn("_c0", F.xxhash64("text"))
     out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_c0") == F.col("_c")), "left_anti")
     again = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id", "content").count().where("count > 1")
-    if again.limit(1).count():
-        out = out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id", "_c0"]))
-    return out.select(*docs.columns)
+    again = small(written(again.select("doc_id", F.col("content").alias("_c0")), "again"))
+    once = out.join(again, ["doc_id", "_c0"], "left_anti").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    many = out.join(again, ["doc_id", "_c0"], "left_semi").groupBy("doc_id", "_c0").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return once.union(many.select("_row.*"))
