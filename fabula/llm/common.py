@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-#: Rows of at most a few dozen bytes each that may be broadcast (some 10-60 MB).
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of their values, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Rows that become Python objects at once.
+BATCH_ROWS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,51 +28,68 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary one is made.
+    Where the session names none, a local master (tests) gets a temporary one; a cluster
+    has to name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fabula-"))
-    return context.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fabula-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-#: Rows of a batch that goes to a Python worker while a table is written.
-BATCH_ROWS = 1_000
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/fabula/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns a scan of it: lineage
-    ends there, and a lost executor costs at most the running stage. Batches for
-    Python workers are kept small meanwhile, whatever a row weighs."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fabula/{uuid.uuid4().hex}/{name}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_ROWS))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, which must be cheap to count (a written table), marked for broadcast if it
-    has at most `rows` rows; otherwise unmarked, so that Spark shuffles (and AQE
-    splits hot keys of) the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    ends there, and a lost executor costs at most the running stage. The table stays
+    until discard(), as results may still read it."""
+    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables that written() has left for this application. Results that were
+    not stored elsewhere can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, which must be cheap to read (a written table), marked for broadcast if it
+    has at most `rows` rows of `size` bytes in all; otherwise unmarked, so that Spark
+    shuffles (and AQE splits hot keys of) the join."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    weights = [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    if any(variable for _, variable in weights):
+        total = sum((w for w, _ in weights), F.lit(0).cast("long"))
+        if (df.agg(F.sum(total)).first()[0] or 0) > size:
+            return df
+    return F.broadcast(df)
+
+
+def _bytes(column, kind) -> tuple:
+    """The bytes of a column's value, and whether they vary from row to row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 8, True
+    if isinstance(kind, ArrayType):
+        zero = F.lit(0).cast("long")
+        return F.coalesce(F.aggregate(column, zero, lambda n, x: n + _bytes(x, kind.elementType)[0]), zero) + 8, True
+    if isinstance(kind, StructType):
+        parts = [_bytes(column.getField(f.name), f.dataType) for f in kind.fields]
+        return sum((p for p, _ in parts), F.lit(0).cast("long")), any(v for _, v in parts)
+    return F.lit(8).cast("long"), False
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """mapInArrow with per-task state: make() is called once a task and returns what
-    handles each batch. As texts may be long, the session's batches are kept to
-    BATCH_ROWS rows from here on (a plan reads that setting only when it runs)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    handles each batch, of at most BATCH_ROWS rows."""
 
     def run(batches):
         handle = make()
@@ -101,7 +120,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches cut into smaller ones, so that only a few texts at a time become Python
     objects; frees what Arrow holds at the end."""
     for batch in batches:

@@ -57,9 +57,7 @@ def counts(docs: DataFrame) -> np.ndarray:
         hasher, total = Hasher(), np.zeros(BUCKETS, np.int64)
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                total += np.bincount(hasher(text), minlength=BUCKETS) if text and len(text) > 20_000 else 0
-                if text and len(text) <= 20_000:
-                    np.add.at(total, hasher(text), 1)
+                np.add.at(total, hasher(text), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], names=["bucket", "n"])
 
@@ -112,11 +110,17 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
 
     k defaults to the expected size of the target within the corpus, the sum of
     min(1, weight). Texts that are null or empty have weight 1 (no evidence). The cut
-    is found by counting; rows of equal key and doc_id are kept or left together.
-    Without good labels, all weights are 1.
+    is found by counting; rows of equal key and doc_id (repeated rows of a document) are
+    kept or left together, so up to their number more or fewer than k rows come out.
+    Columns called log_weight, gumbel_key, _order, _member or _u are replaced or
+    dropped. Without good labels, all weights are 1; an empty table gives no rows.
     """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").dropDuplicates()
-    good = good.orderBy(F.xxhash64("doc_id", F.lit("target")), "doc_id").limit(TARGET_DOCS)
+    docs = docs.drop("_member", "_u", "_in")
+    good = written(labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id", F.lit("target")).alias("_t")).dropDuplicates(["doc_id"]), "good")
+    n = good.count()
+    if n > 2 * TARGET_DOCS:  # of so many, the first ones lie far below this bound: few rows reach one task
+        good = good.where(F.col("_t") <= int((2 * TARGET_DOCS / n - 0.5) * 2.0**64))
+    good = good.orderBy("_t", "doc_id").limit(TARGET_DOCS).select("doc_id")
     # at most TARGET_DOCS numbers are broadcast
     target = counts(docs.join(F.broadcast(good), "doc_id", "left_semi"))
     raw = counts(docs) if target.any() else target

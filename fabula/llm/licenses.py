@@ -114,10 +114,11 @@ class Matcher:
             return []
         spans = [m.span() for m in WORD.finditer(low)]
         exact = len(low) == len(text)
-        out, taken = [], []
+        out, taken = [], bytearray(len(words))
         for score, a, e, name in sorted(found, key=lambda f: (-f[0], f[1] - f[2], f[1], f[3])):
-            if all(e <= s or t <= a for s, t in taken):
-                taken.append((a, e))
+            # best first, ties to the longer, then the earlier, then by name
+            if not taken[a] and not taken[e - 1] and taken.find(1, a, e) < 0:
+                taken[a:e] = b"\1" * (e - a)
                 out.append({"license": name, "start": spans[a][0] if exact else None, "end": spans[e - 1][1] if exact else None, "word": a, "n_words": e - a, "dice": score})
         return sorted(out, key=lambda m: m["word"])
 
@@ -128,7 +129,10 @@ MATCH = "struct<license:string,start:int,end:int,word:int,n_words:int,dice:doubl
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Replaces `text` by `licenses`, an array of matches (empty for null, empty and
     unlicensed texts). Offsets are null in the rare text whose length changes in lower
-    case; word numbers always hold. One pass over whole texts, no shuffle."""
+    case; word numbers always hold. Of overlapping matches the one of the best score stays,
+    ties by length, place and name. Repeated rows give equal arrays, a column called
+    licenses is replaced, an empty table gives no rows. One pass over whole texts, no
+    shuffle."""
     docs = docs.drop("licenses")
     schema = extended(docs, f"licenses array<{MATCH}>", ("text",))
     names = schema.names[:-1]

@@ -99,9 +99,13 @@ def recipes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media_key binary, digests array<binary>")
 
 
-def dictionary(docs: DataFrame) -> bytes:
-    """A zstd dictionary from at most DICTIONARY_TEXTS texts; only compression depends on it."""
-    texts = [r.text.encode("utf-8", "replace")[: MOST] for r in docs.where("octet_length(text) > 64").orderBy(F.xxhash64("text")).select(F.substring("text", 1, MOST).alias("text")).limit(DICTIONARY_TEXTS).collect()]
+def dictionary(docs: DataFrame, rows: int) -> bytes:
+    """A zstd dictionary from some DICTIONARY_TEXTS of `rows` texts, picked by their hash,
+    equal ones once; only compression depends on it."""
+    share = min(1.0, 2 * DICTIONARY_TEXTS / max(1, rows))
+    picked = docs.where((F.octet_length("text") > 64) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30))))
+    picked = picked.select(F.xxhash64("text").alias("h"), F.substring("text", 1, MOST).alias("text")).groupBy("h").agg(F.min("text").alias("text"))
+    texts = [r.text.encode("utf-8", "replace")[:MOST] for r in picked.limit(DICTIONARY_TEXTS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 100 else b""
     except zstandard.ZstdError:  # too little to learn from
@@ -192,7 +196,7 @@ def media(docs: DataFrame) -> DataFrame:
     shared = refs.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     shared = small(written(shared.select("digest", F.ceil(F.col("n") / HOLDERS).cast("int").alias("salts")), "shared"))
     salt = F.pmod(F.xxhash64("media_key"), F.col("salts")).cast("int").alias("salt")
-    words = dictionary(docs)
+    words = dictionary(docs, listed.count())
     cut = chunks(docs, words).join(shared, "digest", "left")
     own = cut.where("salts is null").select("media_key", "place", "packed")
     store = cut.where("salts is not null").select("digest", salt, "packed").dropDuplicates(["digest", "salt"])

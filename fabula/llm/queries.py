@@ -29,7 +29,7 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id",
         "size",
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         F.col("slot").cast("long").alias("slot"),

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, extended
 
-#: Labelled documents that fit() may look at, and how many distinct words it may weigh.
-TRAIN_DOCS = 6_000
+#: Labelled documents that fit() may look at, and bytes of their texts in all.
+TRAIN_DOCS, TRAIN_BYTES = 6_000, 64 << 20
+#: Features that fit() may weigh, those of the clearest excess among toxic documents first.
 VOCABULARY = 20_000
 #: Logit of a sentence without any weighed word: long clean texts must stay clean.
 BASE_LOGIT = -12.0
@@ -123,35 +124,41 @@ def fit(rows: list[tuple[str | None, int]], steps: int = 400, rate: float = 0.3,
     return ToxicityModel({words[i]: float(w[i]) for i in np.flatnonzero(keep)}, leak)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_DOCS) -> list[tuple[str | None, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> list[tuple[str | None, int]]:
     """A bounded sample (by a hash of doc_id) of labelled texts outside the held-out
-    quarter; runs one job. Rows without a label or doc_id are not used."""
+    quarter: at most `limit` documents, and in that order only as many as `size` bytes
+    hold. Runs one job. Rows without a label or doc_id are not used; a document with
+    several labels has the highest, one with several texts is left out."""
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id")
         .limit(limit)
     )
-    # at most `limit` rows of two numbers are broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
-    return [(r.text, r.y) for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.text or ""))]
+    # at most `limit` rows of two numbers are broadcast; repeated rows become one in each task
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"), F.max("text").alias("other"))
+    found = found.where(F.col("text").eqNullSafe(F.col("other"))).drop("other")
+    before = Window.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.withColumn("total", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(before)).where(F.col("total") <= size)
+    return [(r.text, r.y) for r in sorted(fits.collect(), key=lambda r: r.doc_id)]
 
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Adds `toxicity` double and `offending` array<struct<start,end,score>>.
+def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity", spans: str = "offending") -> DataFrame:
+    """Adds `column` double and `spans` array<struct<start,end,score>>.
 
-    Null and empty texts score the leak; other columns pass through, including any
-    that are called `toxicity` or `offending` only if they are renamed first (they
-    are replaced). One pass without a shuffle; sentences are scored one at a time,
-    whatever a text's length.
+    Null and empty texts score the leak; other columns pass through, but columns that
+    have these two names are replaced. One pass without a shuffle; sentences are scored
+    one at a time, whatever a text's length. Repeated rows score alike; an empty table
+    gives no rows.
     """
-    docs = docs.drop("toxicity", "offending")
-    schema = extended(docs, "toxicity double, offending array<struct<start:int,end:int,score:double>>")
+    docs = docs.drop(column, spans)
+    schema = extended(docs, f"{column} double, {spans} array<struct<start:int,end:int,score:double>>")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     openings = model.openings()
@@ -161,7 +168,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scored = [score_text(t, model, openings) for t in batch.column("text").to_pylist()]
             columns = [*batch.columns, pa.array([s for s, _ in scored], pa.float64())]
             columns.append(pa.array([[{"start": a, "end": b, "score": p} for a, b, p in f] for _, f in scored], span))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "toxicity", "offending"])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         return handle
 
