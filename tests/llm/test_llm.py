@@ -125,8 +125,8 @@ def test_passages(docs, nothing):
 def test_chains_and_alignment():
     x, y = np.array([0, 10, 20, 30, 5, 100]), np.array([3, 13, 24, 33, 90, 2])
     assert passages.chains_of(x, y)[0] == [0, 1, 2, 3]
-    a = np.arange(60, dtype=np.uint16)
-    b = np.concatenate([a[:30], [999], a[31:]]).astype(np.uint16)
+    a = np.arange(60, dtype=np.uint32)
+    b = np.concatenate([a[:30], [999], a[31:]]).astype(np.uint32)
     assert passages.align(a, b, np.array([5, 40]), np.array([5, 40])) == (0, 60, 0, 60, 59)
 
 
