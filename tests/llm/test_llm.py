@@ -223,6 +223,23 @@ def test_media_round_trip(docs, nothing):
     assert media.media(nothing).count() == 0
 
 
+def test_a_store_keeps_each_chunk_once(spark, tmp_path):
+    r = random.Random(9)
+    page = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    texts = [page, "x" * 700 + page, page[:30_000] + "another end " * 300, page, None, "", "short", "short", "ab" * 40_000]
+    docs = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    media.store(docs).save(f"{tmp_path}/store")
+    stored = media.Store.load(spark, f"{tmp_path}/store")
+    digests = [d for row in stored.chunks.collect() for d in row.digests]
+    listed = {bytes(d) for row in stored.lists.collect() for d in row.digests}
+    assert len(digests) - len(set(map(bytes, digests))) <= 1 and set(map(bytes, digests)) == listed  # a row without doc_id may store again
+    assert sum(len(row.digests) for row in stored.lists.collect()) > 2 * len(listed)
+    built = {bytes(row.media_key): row.payload_sha256 for row in stored.media().collect()}
+    for row in stored.lists.collect():
+        text = "short" if row.doc_id is None else texts[row.doc_id]
+        assert built[bytes(row.media_key)] == hashlib.sha256(media.payload_of((text or "").encode())).hexdigest()
+
+
 def test_cuts_follow_content():
     data = bytes(R.randrange(256) for _ in range(60_000))
     ends = media.cuts(data)
