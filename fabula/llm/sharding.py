@@ -4,27 +4,28 @@ Keys are 128 bits, (hash of the text, doc_id), both unsigned. Candidate key
 boundaries are the bins of a radix histogram; each round counts exact weights and
 rows below the bins of those boundaries that are still too far from their targets,
 and looks a few bits deeper there only. What reaches the driver is at most
-2**bits bins in the first round and targets * 2**bits later, whatever the input.
+2**bits bins in the first round and targets * 2**bits later, whatever the input; targets
+are the shards' edges alone. Within shards, rows are dealt out in ranges of bounded size
+that are counted, split and numbered as tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 BITS = 12
 #: A shard's edge may be this share of a shard away from its target; equal texts then
 #: stay together. Where one row or group is larger than that, the closest row edge holds.
 TOLERANCE = 0.002
-#: Weight that one sorted range may hold, and the fewest ranges a shard is sorted in.
-RANGE_BYTES = 64 << 20
-RANGES = 16
+#: Weight that a range of keys is split beyond, and of the ranges that a task gets.
+RANGE_BYTES, TASK_BYTES = 64 << 20, 128 << 20
+#: Times that ranges are split again; each brings a span of keys down by the weight in it.
+DEPTH = 12
 
 
 @dataclass(frozen=True)
@@ -105,55 +106,55 @@ def _histogram(keys: DataFrame, depth: int, step: int, prefixes: set[tuple[int,
     return {k: sorted(v) for k, v in out.items()}
 
 
+def shard_of(cuts: list[Edge]) -> Column:
+    """How many cuts lie at or below a row's key (_h, _k)."""
+    signed = lambda x: F.lit(x - 2**63).cast("long")  # noqa: E731  unsigned order as signed longs
+    above = [(F.col("_h") > signed(c.high)) | ((F.col("_h") == signed(c.high)) & (F.col("_k") >= signed(c.low))) for c in cuts]
+    return sum((a.cast("int") for a in above), F.lit(0))
+
+
+def ranged(keyed: DataFrame, bits: int, levels: list[DataFrame]) -> DataFrame:
+    """keyed (_h, _k, shard) with _r, its range: the leading bits of the hash within the
+    shard, and for ranges that are split, in levels, an equal share of the span of _k."""
+    out = keyed.withColumn("_r", F.xxhash64("shard", F.shiftrightunsigned(unsigned("_h"), 64 - bits)))
+    for level in levels:
+        step = F.floor((F.col("_k").cast("double") - F.col("_low").cast("double")) / F.col("_span"))
+        out = out.join(small(level), "_r", "left").withColumn("_r", F.when(F.col("_span").isNull(), F.col("_r")).otherwise(F.xxhash64("_r", step))).drop("_low", "_span")
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with `size` (UTF-8 bytes plus 1), `shard` and `slot` (gapless from 0).
 
     Shards are near equal in size and ordered by (hash of text, key), so that equal
     texts lie side by side; a group of copies is cut only where a shard's edge falls
-    inside it. Null texts have size 1 and sort together; null keys come first.
-    Texts cross the network once, in ranges of bounded size that are sorted by
-    themselves; slots come from the exact counts, so no shard is one task.
+    inside it. Null texts have size 1 and sort together; null keys come first, and rows
+    with equal text and key stay in one range. Texts cross the network once, in ranges
+    that are sorted by themselves: a range beyond RANGE_BYTES with several keys is split
+    by key, again and again; slots come from the exact counts before each range.
     Columns called size, shard or slot are replaced. Empty tables give no rows.
     """
-    docs = docs.drop("size", "shard", "slot", "_h", "_k", "_at")
+    docs = docs.drop("size", "shard", "slot", "_h", "_k", "_r", "_before", "_low", "_span")
     docs = docs.withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     docs = docs.withColumn("_h", F.xxhash64(text)).withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
-    keys = written(docs.select(unsigned("_h").alias("high"), unsigned("_k").alias("low"), F.col("size").alias("w")), "keys")
+    keys = written(docs.select("_h", "_k", F.col("size").alias("w")), "keys")
     total = keys.agg(F.sum("w")).first()[0] or 0
-    each = max(RANGES, -(-total // (shards * RANGE_BYTES)))
-    parts = shards * each
-    targets = [total * i / parts for i in range(1, parts)]
-    near = [TOLERANCE * total / shards if i % each == 0 else 0.25 * total / parts for i in range(1, parts)]
-    cuts = edges(keys, targets, near, max(BITS, parts.bit_length() + 3))
-    cuts = [cuts[i] for i in range(len(cuts))]
-    for i in range(1, len(cuts)):  # neighbours may pick edges in the same bin
-        if (cuts[i].high, cuts[i].low) < (cuts[i - 1].high, cuts[i - 1].low):
-            cuts[i] = cuts[i - 1]
-    starts = [0, *(c.rows for c in cuts)]
-    bases = np.array([starts[i] - starts[i - i % each] for i in range(parts)])
-    high, low = np.array([c.high for c in cuts], np.uint64), np.array([c.low for c in cuts], np.uint64)
-
-    @F.pandas_udf("struct<part:int,shard:int,base:long>")
-    def locate(h: pd.Series, k: pd.Series) -> pd.DataFrame:
-        h, k = h.to_numpy(np.int64).view(np.uint64), k.to_numpy(np.int64).view(np.uint64)
-        part, end = np.searchsorted(high, h, "left"), np.searchsorted(high, h, "right")
-        same = np.flatnonzero(part < end)
-        for value in np.unique(h[same]):  # a few: hashes at which a range was cut
-            rows = same[h[same] == value]
-            a, b = np.searchsorted(high, value, "left"), np.searchsorted(high, value, "right")
-            part[rows] = a + np.searchsorted(low[a:b], k[rows], "right")
-        return pd.DataFrame({"part": part.astype("i4"), "shard": (part // each).astype("i4"), "base": bases[part]})
-
-    placed = docs.withColumn("_at", locate(unsigned("_h"), unsigned("_k")))
-    order = Window.partitionBy("_at.part").orderBy("_h", "_k")
-    return (
-        placed.withColumn("shard", F.col("_at.shard"))
-        .withColumn("slot", F.row_number().over(order) - 1 + F.col("_at.base"))
-        .drop("_h", "_k", "_at")
-    )
-
-
-def kth_largest(keys: DataFrame, k: int, rows: int) -> Edge:
-    """The boundary with exactly the k largest keys at or above it (ties of equal
-    (high, low) stay together); keys as for edges(), with w = 1."""
-    return edges(keys, [float(rows - k)], [0.0])[0]
+    found = edges(keys.select(unsigned("_h").alias("high"), unsigned("_k").alias("low"), "w"), [total * i / shards for i in range(1, shards)], [TOLERANCE * total / shards] * (shards - 1))
+    cuts = sorted(found, key=lambda c: (c.high, c.low))  # neighbours may pick edges in the same bin
+    bits = min(40, max(8, (4 * total // RANGE_BYTES).bit_length()))
+    levels: list[DataFrame] = []
+    while True:
+        sized = ranged(keys.withColumn("shard", shard_of(cuts)), bits, levels).groupBy("_r", "shard")
+        sized = sized.agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min(F.struct("_h", "_k")).alias("first"), F.min("_k").alias("_low"), F.max("_k").alias("high"))
+        sized = written(sized, "ranges")
+        large = sized.where((F.col("w") > RANGE_BYTES) & (F.col("_low") < F.col("high")))
+        share = F.ceil(4 * F.col("w") / RANGE_BYTES)
+        large = written(large.select("_r", "_low", ((F.col("high").cast("double") - F.col("_low").cast("double") + 1) / share).alias("_span")), "large")
+        if len(levels) == DEPTH or large.limit(1).count() == 0:
+            break
+        levels.append(large)
+    before = Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(sized.select("_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), "bases")
+    placed = ranged(docs.withColumn("shard", shard_of(cuts)), bits, levels).join(small(bases), "_r").repartition(max(1, -(-total // TASK_BYTES)), "_r")
+    slot = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "_k")) - 1 + F.col("_before")
+    return placed.withColumn("slot", slot).select(*docs.drop("_h", "_k").columns, "shard", "slot")

@@ -76,6 +76,21 @@ def test_shards_cut_a_hot_group(spark):
     assert len(sizes) == 4 and max(sizes) <= 1.05 * min(sizes)
 
 
+def test_ranges_are_split_by_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 200)
+    keys = [*range(40), *(10**15 + i for i in range(40)), *(-(2**62) + i for i in range(5)), 7, 7]
+    rows = [(k, "the same text of all") for k in keys] + [(i, f"another {i}") for i in range(60)] + [(None, "the same text of all"), (None, None)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3).collect()
+    assert len(found) == len(rows)
+    for n in range(3):
+        own = sorted((r.slot, r.text or "", r.doc_id if r.doc_id is not None else -(2**63)) for r in found if r.shard == n)
+        assert [s for s, _, _ in own] == list(range(len(own)))
+        same = [k for _, t, k in own if t.startswith("the same")]
+        assert same == sorted(same)
+    sizes = [sum(r.size for r in found if r.shard == n) for n in range(3)]
+    assert max(sizes) - min(sizes) <= 63
+
+
 def test_edges_are_exact(spark):
     values = sorted(R.randrange(-(2**63), 2**63) for _ in range(500))
     frame = spark.createDataFrame([(v, 0) for v in values], "high long, low long").select(F.col("high").bitwiseXOR(F.lit(-(2**63)).cast("long")).alias("high"), "low", F.lit(1).cast("long").alias("w"))
