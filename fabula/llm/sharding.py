@@ -23,7 +23,7 @@ BITS = 12
 #: stay together. Where one row or group is larger than that, the closest row edge holds.
 TOLERANCE = 0.002
 #: Weight that a range of keys is split beyond, and of the ranges that a task gets.
-RANGE_BYTES, TASK_BYTES = 64 << 20, 128 << 20
+RANGE_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 #: Times that ranges are split again; each brings a span of keys down by the weight in it.
 DEPTH = 12
 
