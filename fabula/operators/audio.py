@@ -245,7 +245,7 @@ def audio_sound(d):
         return f"case when explicit is null and c_{k} >= 3 then 0.72e0 else case when explicit = '{k}' then 0.65e0 else 0e0 end + least(0.30e0, c_{k} * 0.10e0) end as a_{k}"
 
     top, pick = rank(list(AMBIENCE), "a")
-    asked = "(scene_index % 2 = 1 and story_role in ('epilogue', 'revelation', 'resolution', 'climax') and (story_role = 'epilogue' or revelation >= 0.75e0 or emotional >= 0.35e0) and confidence >= 0.70e0)"
+    asked = "(scene_index % 2 = 1 and story_role in ('epilogue', 'revelation', 'resolution', 'climax') and (story_role = 'epilogue' or revelation >= 0.75e0 or emotional >= 0.75e0) and confidence >= 0.70e0)"
     style = """case when emotional_tone in ('calm', 'reflective') or audio_intent = 'reflection' then case when final >= 0.25e0 then 'ambient' else 'minimal' end
         when emotional_tone = 'somber' then 'emotional_piano' when audio_intent = 'tension' and story_role in ('complication', 'contrast', 'counterargument', 'climax') and tension >= 0.65e0 then 'suspense'
         when audio_intent = 'climax' and supported then case when emotional_tone = 'triumphant' then 'orchestral' else 'cinematic' end else 'documentary' end"""
@@ -254,7 +254,7 @@ def audio_sound(d):
     return f"""
     select *, ambience_level > 0e0 as ambience_on, case when ambience_level > 0e0 then best_place else 'none' end as place
     from (select *, case when a_top >= 0.70e0 then {ambience_level} else 0e0 end as ambience_level from (select *, case {pick} end as best_place from (select *, {top} as a_top from (select *, {', '.join(map(score, AMBIENCE))}
-      from (select s.*, final, {style} as style, {music} as music_level, {clamp("length(voiceover_text) / greatest(1e0, (scene_end - scene_start) * 2e0)")} as density, coalesce({asked}, false) as intentional,
+      from (select s.*, final, {style} as style, {music} as music_level, {clamp("length(voiceover_text) / greatest(1e0, (scene_end - scene_start) * 20e0)")} as density, coalesce({asked}, false) as intentional,
                    case s.scene_index % 3 when 0 then 'urban' when 1 then 'transport' end as explicit, {', '.join(f'{c} as c_{k}' for k, c in count.items())}
             from audio_scenes s join (select project_id as p2, scene_index as i2, final from energy_smooth) e on p2 = s.project_id and i2 = s.scene_index)))))""".replace("(scene_index % 2 = 1", "(s.scene_index % 2 = 1")
 
@@ -273,7 +273,7 @@ def ambience(d):
 
 @relation("audio_sound")
 def narration_density(d):
-    """Characters against two a second."""
+    """Characters against twenty a second."""
     return "select project_id, scene_index, density from audio_sound"
 
 

@@ -1,152 +1,79 @@
-"""Validation, codecs and projections of records; further decisions over scenes."""
+"""Codecs, projections and validation of records."""
 
-from ..plans.relation import relation
-from .text import clamp
+from ..plans.relation import quote, relation
+from .evidence import FORMATS, KINDS
 
+#: Limits of listings and relative paths.
+LISTING, DEPTH, PATH_BYTES = 4096, 64, 1024
 
-@relation("entries", "lookup_status")
-def document_versions(d):
-    """Malformed, unsupported or supported schema versions."""
-    return "select e.entry, case when e.entry % 47 = 0 then 'malformed' when schema_version > 10 then 'unsupported' else 'supported' end as version_state from entries e join lookup_status l on l.entry = e.entry"
 
+def json(d, pairs) -> str:
+    """Compact JSON with sorted keys: pairs of key and SQL text of the value, already JSON."""
+    body = ", ',', ".join(f"{quote(chr(34) + k + chr(34) + ':')}, {v}" for k, v in sorted(pairs))
+    return f"concat('{{', {body}, '}}')"
 
-@relation("document_versions", "payload_summary_check")
-def document_integrity(d):
-    """The first check that fails, in order."""
-    return "select v.entry, case when version_state = 'malformed' then 'document_malformed' when version_state = 'unsupported' then 'version_unsupported' when p.entry is null then 'manifest_missing' when not count_ok then 'count_mismatch' when not bytes_ok then 'size_mismatch' else 'intact' end as outcome from document_versions v left join payload_summary_check p on p.entry = v.entry"
 
+def text(column) -> str:
+    """A JSON string of ASCII text without quotes, backslashes or control characters."""
+    return f"concat('\"', {column}, '\"')"
 
-@relation("payload_vs_manifest", "cardinality_check")
-def payload_validate(d):
-    """Findings of each entry: set, sizes, digests and the least number of files."""
-    return "select p.entry, cast(count_if(status in ('missing', 'unexpected')) as bigint) as set_errors, cast(count_if(status = 'size_mismatch') as bigint) as size_errors, cast(count_if(status = 'digest_mismatch') as bigint) as digest_errors, coalesce(bool_and(c.ok), false) as enough from payload_vs_manifest p left join cardinality_check c on c.entry = p.entry group by p.entry"
 
+def number(column) -> str:
+    return f"cast({column} as string)"
 
-@relation("components")
-def final_observe(d):
-    """Final states and how often each occurs with each lock."""
-    return "select final_state, lock_state, cast(count(*) as bigint) as n from components group by final_state, lock_state"
 
+def maybe(column, value) -> str:
+    return f"case when {column} is null then 'null' else {value} end"
 
-@relation("lock_observation")
-def lock_observe(d):
-    """Locks by state."""
-    return "select lock_state, cast(count(*) as bigint) as n from lock_observation group by lock_state"
 
-
-@relation("recovery_compose")
-def inspect_recovery(d):
-    """Entries by lifecycle status and the component that failed."""
-    return "select status, failed, cast(count(*) as bigint) as n from recovery_compose group by status, failed"
-
-
-@relation("recon_compare")
-def recon_execute(d):
-    """What a dry run would do with each action."""
-    return "select entry, action, case when action in ('UPSERT_FINAL', 'UPSERT_RECOVERY', 'TOMBSTONE_EMPTY') then 'WOULD_APPLY' else 'NOT_EXECUTED' end as execution from recon_compare"
-
-
-@relation("recon_execute")
-def reconcile_run(d):
-    """One page of 256 entries with its cursor: what was seen, what would change, how it ended."""
-    return "select cast(page as bigint) as page, cast(count(*) as bigint) as seen, cast(count_if(execution = 'WOULD_APPLY') as bigint) as mutations, max(entry) as last_entry, case when count(*) = 256 then 'BUDGET_EXHAUSTED' else 'COMPLETE' end as status from (select *, floor(entry / 256) as page from recon_execute) t group by page"
-
-
-@relation("recon_compare")
-def recon_compare_batch(d):
-    """Entries of each batch of 256, unique and in order."""
-    return "select cast(floor(entry / 256) as bigint) as batch, count(distinct entry) = count(*) as unique_ids, min(entry) as first_entry, max(entry) as last_entry from recon_compare group by cast(floor(entry / 256) as bigint)"
-
-
-@relation("identity_three_way_union")
+@relation("identity_three_way_union", "entries", "cursors")
 def incremental_work(d):
-    """Identities after a cursor."""
-    return "select entry, flags from identity_three_way_union where entry > 700"
+    """Identities of each namespace behind its cursor, in order."""
+    return "select u.entry, flags, cast(row_number() over (partition by e.domain, e.producer, e.schema_version order by digest) as int) as place from identity_three_way_union u join entries e on e.entry = u.entry join cursors c on c.domain = e.domain and c.producer = e.producer and c.schema_version = e.schema_version where cursor is null or digest > cursor"
 
 
-@relation("identity_three_way_union")
+@relation("sources_seen")
 def flag_union(d):
-    """How many identities have each set of flags."""
-    return "select flags, cast(count(*) as bigint) as n from identity_three_way_union group by flags"
+    """Sources that saw each identity, as the union of their flags and by name."""
+    return "select entry, cast(bit_or(flag) as int) as flags, cast(bit_count(cast(bit_or(flag) as int)) as int) as n_sources, bool_or(flag = 1) as in_final, bool_or(flag = 2) as in_staging, bool_or(flag = 4) as in_catalog from sources_seen group by entry"
 
 
-@relation("catalog")
-def catalog_identities(d):
-    """Identities of catalog slots that can be trusted."""
-    return "select entry from catalog where record_state <> 'corrupt'"
-
-
-@relation("catalog")
-def scan_catalog_slots(d):
-    """Slots by state."""
-    return "select record_state, cast(count(*) as bigint) as n from catalog group by record_state"
-
-
-@relation("catalog")
+@relation("catalog", "entries")
 def catalog_record_codec(d):
-    """Records as compact JSON with sorted keys."""
-    q = "chr(34)"
-    return f"select entry, concat('{{', {q}, 'record_revision', {q}, ':', cast(record_revision as string), ',', {q}, 'record_state', {q}, ':', {q}, record_state, {q}, '}}') as json from catalog"
+    """Records as canonical JSON, live ones with their summaries, and whether they keep to 64 KiB."""
+    live = json(d, [("entry_digest", text("digest")), ("last_recovery_observation", maybe("last_recovery", text("last_recovery"))), ("last_validated_final", maybe("last_final", text("last_final"))), ("record_kind", "'\"live\"'"), ("record_revision", number("record_revision")), ("record_version", number("version"))])
+    dead = json(d, [("entry_digest", text("digest")), ("record_kind", "'\"tombstone\"'"), ("record_revision", number("record_revision")), ("record_version", number("version"))])
+    return f"select entry, json, length(json) <= 65536 as fits from (select c.entry, case when tombstone then {dead} else {live} end as json from catalog c join entries e on e.entry = c.entry) t"
 
 
 @relation("catalog_record_codec")
 def metadata_observe_parse(d):
-    """Columns read back from the records' JSON."""
-    return f"select entry, cast({d.extract('json', ':([0-9]+),', 1)} as bigint) as revision, {d.extract('json', ':.([a-z]+).[}]$', 1)} as state from catalog_record_codec"
+    """Fields read back from each record's JSON, null where they are not there."""
+    read = lambda key, value: d.extract("json", f'"{key}":{value}', 1)
+    none = lambda x: f"nullif({x}, '')"
+    return f"select entry, cast({read('record_revision', '([0-9]+)')} as bigint) as record_revision, {none(read('record_kind', '.([a-z]+).'))} as record_kind, {none(read('entry_digest', '.([0-9a-f]{64}).'))} as entry_digest, {none(read('last_validated_final', '.([0-9a-z]+).'))} as last_final, cast({read('record_version', '([0-9]+)')} as int) as record_version from catalog_record_codec"
 
 
 @relation("catalog_record_codec")
 def version_probe(d):
-    """Whether a document's revision is a positive integer, by text alone."""
-    return f"select entry, {d.matches('json', '.record_revision.:[1-9][0-9]*,')} and entry % 6 <> 0 as positive from catalog_record_codec"
+    """The version in a document's text: refused where the key comes twice or is no positive integer."""
+    damaged = """case when entry % 7 = 3 then replace(json, '"record_version":', '"record_version":1,"record_version":') when entry % 7 = 4 then replace(json, '"record_version":', '"record_version":-') when entry % 7 = 1 then replace(json, '"record_version":1', '"record_version":1.5') else json end"""
+    once = """(length(j) - length(replace(j, '"record_version":', ''))) = 17"""
+    valid = f"{once} and {d.matches('j', '[{,].record_version.:[1-9][0-9]*[,}]')}"
+    return f"select entry, case when {valid} then 'readable' else 'malformed' end as probe, case when {valid} then cast({d.extract('j', 'record_version.:([0-9]+)', 1)} as int) end as version from (select entry, {damaged} as j from catalog_record_codec) t"
 
 
-@relation("catalog")
+@relation("catalog", "entries")
 def catalog_scalar_validators(d):
-    """Violations of each record: revision range, known state."""
-    return "select entry, concat_ws(',', case when record_revision > 4 then 'revision' end, case when record_state not in ('live', 'tombstone') then 'state' end) as violations from catalog"
-
-
-@relation("entries", "catalog")
-def catalog_evidence_guard(d):
-    """Whether evidence agrees with the record before an upsert."""
-    return f"select e.entry, case when c.entry is null then 'no_record' when e.entry % 9 = 0 then 'digest_differs' when record_state <> 'live' then 'not_live' else 'agrees' end as guard from entries e left join catalog c on c.entry = e.entry"
-
-
-@relation("catalog")
-def catalog_merge_precheck(d):
-    """Expected revision against the current one."""
-    return "select entry, case when record_revision = entry % 4 + 1 then 'continue' else 'conflict' end as verdict from catalog"
+    """What breaks the rules in each record: versions, revisions, digests, and tombstones with summaries."""
+    rules = [("version", "version is null or version <= 0"), ("revision", "record_revision <= 0 or record_revision > 4"), ("digest", f"not {d.matches('digest', '^[0-9a-f]{64}$')}"), ("last_final", f"last_final is not null and not {d.matches('last_final', '^[0-9a-f]{64}$')}"), ("last_recovery", f"last_recovery is not null and not {d.matches('last_recovery', '^[0-9a-f]{64}$')}"), ("tombstone", "tombstone and (last_final is not null or last_recovery is not null)")]
+    return f"select c.entry, concat_ws(',', {', '.join(f'''case when {c} then '{n}' end''' for n, c in rules)}) as violations from catalog c join entries e on e.entry = c.entry"
 
 
-@relation("entries")
-def final_summary_projection(d):
-    """Summary of an entry with the digest of its runtime fingerprint."""
-    return f"select entry, domain, producer, schema_version, {d.sha256('concat_ws(chr(10), domain, producer)')} as runtime from entries"
-
-
-@relation("recovery_compose", "components")
-def recovery_summary_projection(d):
-    """Status with the states that make it."""
-    return "select r.entry, status, staging_state, final_state, lock_state from recovery_compose r join components c on c.entry = r.entry"
-
-
-@relation("components")
-def incomplete_staging_state(d):
-    """Partial staging entries by what else is there."""
-    return "select entry, case when final_state = 'valid' then 'superseded' when lock_state = 'active' then 'in_progress' else 'abandoned' end as state from components where staging_state = 'incomplete'"
-
-
-@relation("lookup_status")
-def final_only_lookup(d):
-    """Lookup without locks: an entry in progress counts as missing."""
-    return "select entry, case when status = 'LOCKED_OR_IN_PROGRESS' then 'MISS' else status end as status from lookup_status"
-
-
-@relation("final_path", "entries")
+@relation("final_path", "entry_metadata")
 def identity_probe(d):
-    """Whether the namespace in a path is the entry's."""
-    return f"select p.entry, {d.extract('final_path', '^entries/v1/([^/]+)/', 1)} = case when p.entry % 8 = 0 then 'other' else e.domain end as agrees from final_path p join entries e on e.entry = p.entry"
+    """Whether the namespace and digest that an entry's documents name are those of its path."""
+    return f"select p.entry, {d.extract('final_path', '^entries/v1/([^/]+)/', 1)} = domain as namespace_agrees, {d.extract('final_path', '([^/]+)$', 1)} = digest as digest_agrees from final_path p join entry_metadata m on m.entry = p.entry"
 
 
 @relation("entries")
@@ -157,14 +84,14 @@ def namespace_iter(d):
 
 @relation("entries")
 def listing_budget(d):
-    """Namespaces with more entries than a listing may hold."""
-    return "select domain, producer, count(*) > 1000 as over from entries group by domain, producer"
+    """Folders of the first shard and the entries in them, against the most that a listing may hold."""
+    return f"select domain, producer, schema_version, cast(count(distinct substring(digest, 1, 2)) as bigint) as folders, cast(count(*) as bigint) as entries, count(distinct substring(digest, 1, 2)) > {LISTING} or max(n) > {LISTING} as over from (select *, count(*) over (partition by domain, producer, schema_version, substring(digest, 1, 4)) as n from entries) t group by domain, producer, schema_version"
 
 
 @relation("final_path")
 def relative_path_limits(d):
     """Depth and bytes of paths against their limits."""
-    return f"select entry, cast({d.size(d.split('final_path', '/'))} as int) as depth, length(final_path) <= 107 as fits from final_path"
+    return f"select entry, cast({d.size(d.split('final_path', '/'))} as int) as depth, length(final_path) <= {PATH_BYTES} and {d.size(d.split('final_path', '/'))} <= {DEPTH} as fits from final_path"
 
 
 @relation("final_path")
@@ -175,166 +102,173 @@ def recovery_traversal(d):
     return f"select substring(identity, 1, 2) as prefix, identity, entry, count(*) over (partition by identity) > 64 as exceeded from (select entry, {identity} as identity from final_path) t"
 
 
-@relation("locks")
-def clock_validate(d):
-    """Heartbeats in whole seconds that do not lie ahead of the clock."""
-    return "select entry, heartbeat <= clock as ok from locks"
-
-
 @relation("documents")
 def stream_sha256(d):
-    """Digest of each text's bytes."""
-    return f"select doc_id, {d.sha256('text')} as digest from documents"
+    """Digest of as many characters as were declared (some too few, some too many), how many
+    were read, and whether one more was there."""
+    return f"select doc_id, declared, cast(least(length(body), declared) as int) as characters_read, length(body) > declared as has_more, {d.sha256('substring(body, 1, declared)')} as digest from (select doc_id, coalesce(text, '') as body, cast(length(coalesce(text, '')) + case doc_id % 5 when 1 then -1 when 2 then 1 else 0 end as int) as declared from documents) t where declared >= 0"
 
 
-@relation("entries")
+@relation("entries", "lines")
+def fingerprint_lists(d):
+    """Inputs of each entry as they come, configurations sorted, and whether none comes twice."""
+    return f"select doc as entry, {d.agg_text('cast(l_partkey as string)', ',', 'node')} as inputs, {d.agg_text('config', ',', 'config', 'node')} as configs, count(distinct config) = count(*) as unique_configs from (select doc, node, l_partkey, concat('model.', lower(l_returnflag), cast(l_partkey % 5 as string)) as config from lines) t group by doc"
+
+
+@relation("entries", "fingerprint_lists", "runtime_fingerprint_values")
 def cache_key_material(d):
-    """What a key is made of: identity, inputs in order, configurations sorted."""
-    return "select entry, concat_ws('|', domain, producer, cast(schema_version as string), concat_ws(',', 'a', 'b', cast(o_custkey % 3 as string))) as material from entries"
+    """What a key is made of, as canonical JSON: the artifact, inputs in order, configurations
+    sorted, producer and runtime."""
+    listed = lambda c: f"concat('[\"', replace({c}, ',', '\",\"'), '\"]')"
+    return f"select e.entry, {json(d, [('artifact_kind', text('domain')), ('cache_contract_version', text(quote('1.0'))), ('config_fingerprints', listed('configs')), ('input_fingerprints', listed('inputs')), ('producer', text('producer')), ('runtime_fingerprint', maybe('r.entry', text('r.runtime'))), ('schema', number('schema_version'))])} as material from entries e join fingerprint_lists f on f.entry = e.entry left join (select entry, runtime from runtime_fingerprint_values where ok) r on r.entry = e.entry"
 
 
 @relation("cache_key_material")
 def artifact_identity(d):
-    """Digest of the material."""
+    """Qualified digest of the material."""
     return f"select entry, concat('sha256:', {d.sha256('material')}) as identity from cache_key_material"
 
 
-@relation("lineitem")
-def provenance_id(d):
-    """Digest of a record's preimage."""
-    return f"select l_orderkey, l_linenumber, {d.sha256('concat_ws(chr(31), cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string))')} as id from lineitem"
-
-
-@relation("lineitem", "part")
-def component_provenance_match(d):
-    """Components whose record has their role."""
-    return "select l_orderkey, l_linenumber, p_partkey is not null as matched from lineitem left join part on p_partkey = l_partkey and p_size > 10"
+@relation("entries")
+def runtime_fingerprint_values(d):
+    """Values of a runtime fingerprint: neither fractions nor physical paths."""
+    value = "case entry % 6 when 0 then '3.12' when 1 then '/usr/lib' when 2 then 'C:/x' when 3 then 'cpython' when 4 then '12' else 'arm64' end"
+    return f"select entry, runtime, not {d.matches('runtime', '^-?[0-9]+[.][0-9]+$')} and not {d.matches('runtime', '^(/|[A-Za-z]:)')} as ok from (select entry, {value} as runtime from entries) t"
 
 
-@relation("lineitem")
-def diagnostic_ref_resolve(d):
-    """Diagnostics whose subject fits their component."""
-    return "select l_orderkey, l_linenumber, (l_returnflag = 'R' and l_linestatus = 'F') or l_returnflag <> 'R' as compatible from lineitem"
+@relation("provenance", "provenance_edges")
+def provenance_id(d):
+    """Digest of each record's canonical JSON without its id: role, method, evidence, sorted parents."""
+    parents = "coalesce(parents, '')"
+    return f"select p.doc, p.node, concat('sha256:', {d.sha256(json(d, [('acquisition_method', text('method')), ('evidence_digest', text('evidence')), ('parent_refs', f'''concat('[', {parents}, ']')'''), ('role', text('role')), ('schema_version', quote('1'))]))}) as provenance_id from provenance p left join (select doc, node, {d.agg_text('cast(parent as string)', ',', 'parent')} as parents from provenance_edges group by doc, node) e on e.doc = p.doc and e.node = p.node"
 
 
-@relation("lineitem")
-def diagnostics_matrix(d):
-    """Codes by subject, and whether the pair is allowed."""
-    return "select l_returnflag, l_linestatus, not (l_returnflag = 'R' and l_linestatus = 'O') as allowed, cast(count(*) as bigint) as n from lineitem group by l_returnflag, l_linestatus"
+@relation("availability", "transcript_candidates")
+def component_summary(d):
+    """Digest of a source's components: availabilities, and the candidates' digests in order."""
+    return f"select a.doc, concat('sha256:', {d.sha256(json(d, [('audio', text('audio')), ('candidates', '''concat('[', coalesce(c.digests, ''), ']')'''), ('metadata', text('metadata')), ('transcript', text('transcript'))]))}) as summary from availability a left join (select doc, {d.agg_text('digest', ',', 'digest', 'node')} as digests from transcript_candidates group by doc) c on c.doc = a.doc"
 
 
-@relation("documents")
+@relation("transcript_candidates")
 def enum_parse(d):
-    """Known languages, else null."""
-    return "select doc_id, case when lang in ('en', 'de', 'fr') then upper(lang) end as language from documents"
+    """Kinds and formats as declared, in any case; anything else is refused."""
+    given = "case node % 4 when 0 then lower({0}) when 1 then concat({0}, 'X') else {0} end"
+    known = lambda vs: "(" + ", ".join(map(quote, vs)) + ")"
+    return f"select doc, node, case when k in {known(KINDS)} then k end as kind, case when f in {known(FORMATS)} then f end as format from (select doc, node, {given.format('kind')} as k, {given.format('format')} as f from transcript_candidates) t"
 
 
 @relation("events")
 def exact_fields(d):
-    """Whether a JSON object has just the field k."""
-    return f"select event_id, {d.matches('props', '^[{].k.: [0-9]+[}]$')} and event_id % 5 <> 0 as exact from events"
-
-
-@relation("events")
-def runtime_fingerprint_values(d):
-    """Values without fractions or physical paths."""
-    return f"select event_id, not {d.matches('v', '[./]')} as ok from (select event_id, case when event_id % 4 = 0 then concat('/', props) else props end as v from events)"
+    """What is wrong with an object's fields: unknown ones, missing ones, nulls; the one expected is k."""
+    given = """case event_id % 5 when 0 then replace(props, '"k"', '"other"') when 1 then replace(props, '}', ', "more": 1}') when 2 then '{"k": null}' else props end"""
+    return f"""
+    select event_id, case when {d.matches('p', '"(other|more)":')} then 'unknown' when not contains(p, '"k":') then 'missing' when {d.matches('p', ': *null')} then 'null' else 'exact' end as verdict, contains(p, '"k":') as has_k from (select event_id, {given} as p from events) t"""
 
 
-@relation("lineitem")
-def fingerprint_lists(d):
-    """Configurations of an order sorted, inputs as they come."""
-    return f"select l_orderkey, {d.agg_text('l_returnflag', ',', 'l_returnflag', 'l_linenumber', 'l_partkey')} as configs, {d.agg_text('cast(l_partkey as string)', ',', 'l_linenumber', 'l_partkey')} as inputs from lineitem group by l_orderkey"
+@relation("inventory_classify", "effective_protection")
+def descriptor_constraints(d):
+    """Descriptors whose category, type and protection do not go together."""
+    rules = [("unknown_protection", "artifact_type = 'unknown' and protection not in ('protected_unknown', 'protected_git_tracked')"), ("unknown_cacheable", "artifact_type = 'unknown' and cacheable"), ("no_cleanup", "category in ('source', 'config', 'output', 'validation', 'archive') and protection in ('eligible_cache', 'eligible_work')"), ("cache_category", "protection = 'eligible_cache' and category <> 'cache'"), ("work_category", "protection = 'eligible_work' and category <> 'work'"), ("missing_cacheable", "kind = 'missing' and cacheable")]
+    return f"select c.file_id, concat_ws(',', {', '.join(f'''case when {c} then '{n}' end''' for n, c in rules)}) as violations from inventory_classify c join effective_protection p on p.file_id = c.file_id"
 
 
-@relation("part")
+@relation("inventory_classify", "effective_protection")
 def descriptor_identity(d):
-    """Descriptors without where they lie."""
-    return "select p_partkey, concat_ws('/', p_brand, p_type, cast(p_size as string)) as identity from part"
+    """What identifies a descriptor, as canonical JSON: all but where it lies now."""
+    return f"select c.file_id, {json(d, [('artifact_type', text('artifact_type')), ('cacheable', 'lower(cast(cacheable as string))'), ('primary_category', text('category')), ('protection', text('protection')), ('group', maybe('group_id', text('group_id')))])} as identity from inventory_classify c join effective_protection p on p.file_id = c.file_id"
 
 
-@relation("profiles")
-def validate_manifest(d):
-    """Manifest rows that break the contract: no description, or a phase out of range."""
-    return "select image_id, concat_ws(',', case when description = '' then 'description' end, case when preferred_phase > 0.9e0 then 'phase' end) as violations from profiles"
-
-
-@relation("scenes")
-def validate_scene_timing(d):
-    """Whether scenes end after they start and last as long as they say."""
-    return "select project_id, scene_index, scene_end > scene_start and abs((scene_end - scene_start) - case when scene_index % 5 = 3 then scene_end - scene_start + 0.01e0 else scene_end - scene_start end) <= 0.001e0 as valid from scenes"
+@relation("profiles", "natural_sort", public=False)
+def manifests(d):
+    """Manifests as users have them: some in another version, out of order, with a file twice or left out."""
+    return """
+    select user_id, file, place, version from (select p.user_id, case when p.user_id % 11 = 3 and place = 2 then 'again.jpg' when p.user_id % 11 = 3 and place = 3 then 'again.jpg' else file end as file, case when p.user_id % 7 = 2 then -place else place end as place, case when p.user_id % 13 = 4 then '0.9' else '1.0' end as version, p.user_id % 5 = 1 and place = 1 as gone
+      from profiles p join natural_sort n on n.image_id = p.image_id) t where not gone"""
 
 
-@relation("pages")
-def assess_path_safety(d):
-    """Safe, unknown or unsafe paths, failing closed."""
-    return "select page_id, case when page_id % 11 = 0 then 'unknown' when contains(url, '..') or page_id % 7 = 0 then 'unsafe' else 'safe' end as safety from pages"
+@relation("profiles", "natural_sort", "manifests")
+def validate_manifest(d):
+    """Whether each user's manifest has version 1.0 and every image once, in natural order."""
+    return f"""
+    select e.user_id, case when version <> '1.0' then 'schema' when given is null or distinct_files < n then 'not_exactly_once' when given <> expected then 'order_or_set' else 'valid' end as verdict from (select p.user_id, {d.agg_text('file', '|', 'place')} as expected from profiles p join natural_sort s on s.image_id = p.image_id group by p.user_id) e
+    left join (select user_id, min(version) as version, count(*) as n, count(distinct file) as distinct_files, {d.agg_text('file', '|', 'place')} as given from manifests group by user_id) m on m.user_id = e.user_id"""
 
 
-@relation("scenes", "motion_guidance")
-def motion_alignment_check(d):
-    """Whether motion plans fit the scenes of a project; one missing refuses them all."""
-    return "select s.project_id, count(*) = count(g.scene_index) as aligned from scenes s left join motion_guidance g on g.project_id = s.project_id and g.scene_index = s.scene_index and not (length(s.project_id) = 4 and g.scene_index = 2) group by s.project_id"
+@relation("profiles", "manifests")
+def missing_manifest_files(d):
+    """Files that a manifest names and no image has."""
+    return "select m.user_id, m.file from manifests m left join profiles p on p.user_id = m.user_id and p.file = m.file where p.file is null"
 
 
 @relation("scenes")
-def scene_text(d):
-    """Text of a scene for each kind of analysis."""
-    return "select project_id, scene_index, md5(lower(voiceover_text)) as visual, md5(trim(voiceover_text)) as audio from scenes"
+def validate_scene_timing(d):
+    """What is wrong with each scene: its end, its duration (within 0.001), its id (empty or not
+    its own alone)."""
+    given = "case when scene_index % 7 = 5 then '' when scene_index % 5 = 4 then 'scene_001' else concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) end"
+    return f"""
+    select project_id, scene_index, concat_ws(',', case when scene_end <= scene_start then 'end' end, case when abs((scene_end - scene_start) - duration) > 0.001e0 then 'duration' end, case when scene_id = '' then 'id_empty' when count(*) over (partition by project_id, scene_id) > 1 then 'id_repeated' end) as violations
+    from (select *, {given} as scene_id, scene_end - scene_start + case when scene_index % 5 = 3 then 0.01e0 else 0e0 end as duration from scenes) t"""
 
 
-@relation("scene_words", "profiles")
-def scene_x_image(d):
-    """Every scene with words and every image of the manifest."""
-    return "select s.project_id, s.scene_index, p.image_id from (select distinct project_id, scene_index from scene_words) s cross join profiles p"
+@relation("scenes", "motion_continuity")
+def motion_alignment_check(d):
+    """The first way in which a motion plan does not fit the scenes: their number, an index or
+    identity (motion plans carry none unless given), a time."""
+    return """
+    select project_id, case when n_plans <> n then 'motion_plan_scene_count_mismatch' when bad is not null then concat('motion_plan_scene_', cast(bad as string), case when bad_identity then '_identity_mismatch' else '_timing_mismatch' end) end as issue
+    from (select s.project_id, count(*) as n, count(m.scene_index) as n_plans, min(case when m.scene_index is null or late or not named then s.scene_index end) as bad, bool_or(not named) as bad_identity
+      from scenes s left join (select *, scene_index % 5 = 3 as late, length(project_id) % 3 > 0 as named from motion_continuity) m on m.project_id = s.project_id and m.scene_index = s.scene_index group by s.project_id) t"""
 
 
-@relation("semantic_overlap", "profiles")
-def semantic_reference_score(d):
-    """Overlap with chronology and the preferred phase."""
-    return "select o.project_id, o.scene_index, o.image_id, round(overlap / 9e0 + 1.7e0 * (1e0 - least(1e0, abs(o.scene_index / greatest(1e0, o.scene_count - 1e0) - o.image_id / greatest(1e0, last_image)))) + 12e0 * greatest(0e0, 1e0 - abs(o.scene_index / greatest(1e0, o.scene_count - 1e0) - preferred_phase) / 0.24e0), 4) as score from semantic_overlap o join profiles p on p.image_id = o.image_id cross join (select max(image_id) as last_image from profiles) m"
+@relation("scenes", "match_terms", public=False)
+def scene_fields(d):
+    return f"select s.project_id, s.scene_index, voiceover_text, case when s.scene_index % 3 = 1 then 'Narration Aside' end as narration, terms from scenes s left join (select project_id, scene_index, {d.agg_text('term', ' ', 'term')} as terms from match_terms group by project_id, scene_index) t on t.project_id = s.project_id and t.scene_index = s.scene_index"
 
 
-@relation("motion_guidance", "analysis_for_scene")
-def motion_preset(d):
-    """Preset of a scene: its guide, unless faces or the focus ask for another."""
-    return "select g.project_id, g.scene_index, case when face_count > 1 then 'subject_push_in' when abs(focus_y - 0.5e0) > 0.4e0 then 'focus_reveal' else preset end as preset from motion_guidance g join analysis_for_scene a on a.project_id = g.project_id and a.scene_index = g.scene_index"
+@relation("scene_fields", "caption_scene_interval_join", "captions")
+def scene_text(d):
+    """A scene's text for story analysis (voiceover, narration, match terms, captions) and for
+    audio (all fields in lower case)."""
+    return f"""
+    select f.project_id, f.scene_index, concat_ws(' ', trim(voiceover_text), trim(narration), terms, said) as story_text, lower(concat_ws(' ', voiceover_text, coalesce(narration, ''), '', '', '')) as audio_text
+    from scene_fields f left join (select c.project_id, scene_index, {d.agg_text('trim(caption_text)', ' ', 'caption_start', 'c.caption_id')} as said from caption_scene_interval_join j join captions c on c.project_id = j.project_id and c.caption_id = j.caption_id group by c.project_id, scene_index) s on s.project_id = f.project_id and s.scene_index = f.scene_index"""
 
 
-@relation("visual_plan")
-def guidance_compose(d):
-    """How often each pair of classes occurs."""
-    return "select shot, narrative_intent, cast(count(*) as bigint) as n from visual_plan group by shot, narrative_intent"
+@relation("scene_fields")
+def flatten_text(d):
+    """All text of a scene's fields, lists within them included, as one lower-case string."""
+    return "select project_id, scene_index, lower(concat_ws(' ', voiceover_text, narration, terms)) as flat from scene_fields"
 
 
-@relation("motion_guidance")
-def lerp(d):
-    """Zoom half way through a scene of its intensity."""
-    return "select project_id, scene_index, round(1e0 + (0.18e0 * intensity) * 0.5e0, 6) as zoom from motion_guidance"
+@relation("orders", public=False)
+def settings(d):
+    """Configurations as text, good and bad."""
+    return "select o_orderkey, case o_orderkey % 7 when 0 then 'wide' else cast(round(o_totalprice / 400003e0, 6) as string) end as max_width, case o_orderkey % 5 when 0 then '9' when 1 then '2' when 2 then '' else '1' end as max_lines, cast(round(o_totalprice / 2000003e0, 6) as string) as safe_margin, case o_orderkey % 4 when 0 then '#ffd54a' when 1 then 'yellow' else '#00FF0' end as color, case o_orderkey % 6 when 0 then 'top' when 1 then 'left' else 'center' end as position, cast(round(o_totalprice / -9000e0, 2) as string) as loudness, cast(round(o_totalprice / 800003e0, 4) as string) as max_delta from orders"
 
 
-@relation("analysis_for_scene", "lerp")
-def crop_box(d):
-    """Rows of a frame of 1080 that a zoom about the focus keeps, within the borders."""
-    return "select a.project_id, a.scene_index, cast(floor(greatest(0e0, least(1080e0 - 1080e0 / zoom, focus_y * 1080e0 - 540e0 / zoom))) as int) as top, cast(floor(1080e0 / zoom) as int) as height from analysis_for_scene a join lerp l on l.project_id = a.project_id and l.scene_index = a.scene_index"
+@relation("settings")
+def safe_config_numbers(d):
+    """Configuration in range, else its default: a fallback never fails."""
+    cast = "try_cast({} as double)"
+    margin = f"coalesce(case when {cast.format('safe_margin')} between 0.02e0 and 0.20e0 then round({cast.format('safe_margin')}, 4) end, 0.08e0)"
+    width = cast.format("max_width")
+    return f"""
+    select o_orderkey, margin, coalesce(case when {width} between 0.40e0 and 1e0 - 2e0 * margin then round({width}, 4) end, 0.82e0) as max_width, coalesce(case when try_cast(max_lines as int) between 1 and 4 then try_cast(max_lines as int) end, 2) as max_lines, case when {d.matches('upper(color)', '^#[0-9A-F]{6}$')} then upper(color) else '#FFD54A' end as color, case when position in ('top', 'center', 'bottom') then position else 'bottom' end as position
+    from (select *, {margin} as margin from settings) t"""
 
 
-@relation("frames")
-def histogram(d):
-    """Each frame's share in its largest bin."""
-    return f"select vec_id, round({d.max_of('hist')} / total, 6) as share from frames"
+@relation("settings")
+def settings_parse(d):
+    """The first setting that is refused: loudness, energy step, margin, width, lines, colour, position."""
+    number = "try_cast({} as double)"
+    steps = [("target_loudness_lufs", f"coalesce({number.format('loudness')} not between -40e0 and -5e0, true)"), ("max_energy_delta", f"coalesce({number.format('max_delta')} not between 0.01e0 and 0.45e0, true)"), ("safe_margin", f"coalesce({number.format('safe_margin')} not between 0.02e0 and 0.20e0, true)"), ("max_width", f"coalesce({number.format('max_width')} not between 0.40e0 and 1e0 - 2e0 * {number.format('safe_margin')}, true)"), ("max_lines", "coalesce(try_cast(max_lines as int) not between 1 and 4, true)"), ("highlight_color", f"not {d.matches('upper(color)', '^#[0-9A-F]{6}$')}"), ("default_position", "position not in ('top', 'center', 'bottom')")]
+    return f"select o_orderkey, case {' '.join(f'''when {c} then '{n}' ''' for n, c in steps)} end as refused from settings"
 
 
-@relation("captions", "scenes")
+@relation("scenes")
 def caption_fallback(d):
-    """Captions that lie in no scene fall back to the default position."""
-    return "select c.project_id, caption_id, case when s.scene_index is null then 'bottom' else 'scene' end as position_from from captions c left join scenes s on s.project_id = c.project_id and caption_start >= scene_start and caption_end < scene_end"
-
-
-@relation("caption_segmentation")
-def caption_merge_small(d):
-    """Captions of one word join the one before where it has at most five words."""
-    return "select project_id, caption, case when n < 2 and coalesce(before, 9) + n <= 6 then caption - 1 else caption end as merged, n from (select *, lag(n) over (partition by project_id order by caption) as before from (select project_id, caption, cast(count(*) as int) as n from caption_segmentation group by project_id, caption)) t"
+    """The layout of each scene where planning failed: the default place, nothing highlighted."""
+    return "select project_id, scene_index + 1 as scene, 'bottom' as position, 0.72e0 as vertical_anchor, 0.82e0 as max_width, 2 as max_lines, 0.08e0 as safe_margin, '' as highlight_words, '#FFD54A' as highlight_color, 0 as caption_count, false as face_avoidance_applied, 'Fail-closed fallback preserved existing placement.' as reason from scenes"
 
 
 @relation("part")
@@ -351,17 +285,25 @@ def distinct_warnings(d):
 
 @relation("pages")
 def strict_percent_decode(d):
-    """Whether a reference holds no encoded structural byte."""
-    return f"select page_id, not {d.matches('lower(ref)', '%(2f|3f|23|26|3d|25)')} as strict from (select page_id, case page_id % 4 when 0 then concat(url, '%2F') when 1 then concat(url, '%20') else url end as ref from pages)"
+    """Whether a reference decodes: each % before two hex digits, none for a delimiter, bytes in UTF-8."""
+    shapes = ["url", "concat(url, '%20x')", "concat(url, '%2F')", "concat(url, '%zz')", "concat(url, '%')", "concat(url, '%C3%A4')", "concat(url, '%C3')", "concat(url, '%e2%82%ac%26')"]
+    raw = "case page_id % 8 " + " ".join(f"when {i} then {s}" for i, s in enumerate(shapes)) + " end"
+    rest = d.replace("raw", "%[0-9A-Fa-f]{2}", "")
+    one, two, three, four = "%[0-7][0-9a-f]", "%c[2-9a-f]%[89ab][0-9a-f]|%d[0-9a-f]%[89ab][0-9a-f]", "%e[0-9a-f](%[89ab][0-9a-f]){2}", "%f[0-4](%[89ab][0-9a-f]){3}"
+    left = d.replace("lower(raw)", f"{one}|{two}|{three}|{four}", "")
+    return f"select page_id, case when contains({rest}, '%') then 'malformed_escape' when {d.matches('lower(raw)', '%(26|3d|25|23|3f|2f|5c)')} then 'structural_delimiter' when contains({left}, '%') then 'not_utf8' else 'valid' end as verdict from (select page_id, {raw} as raw from pages) t"
 
 
-@relation("scenes")
+@relation("scenes", "motion_alignment_check")
 def audio_input_warnings(d):
-    """Missing inputs of a project, sorted."""
-    return "select project_id, concat_ws(',', case when min(length(project_id)) % 5 = 0 then 'motion_plan_missing' end, case when count(*) < 3 then 'story_short' end) as warnings from scenes group by project_id"
+    """A project's warnings with those of its inputs, sorted, and the inputs that are missing."""
+    missing = [("captions", "captions_optional_input_missing", "n % 3 = 1"), ("motion_plan", "motion_plan_optional_input_missing", "n % 5 = 2"), ("story_director_plan", "story_director_optional_input_missing", "n < 3")]
+    return f"""
+    select p.project_id, concat_ws(',', {', '.join(f"case when {c} then '{w}' end" for _, w, c in missing[:1])}, case when not (n % 5 = 2) then issue end, {', '.join(f"case when {c} then '{w}' end" for _, w, c in missing[1:])}) as warnings, concat_ws(',', {', '.join(f"case when {c} then '{m}' end" for m, _, c in missing)}) as missing_inputs
+    from (select project_id, count(*) as n from scenes group by project_id) p join motion_alignment_check m on m.project_id = p.project_id"""
 
 
-@relation("orders")
-def safe_config_numbers(d):
-    """Configuration values in range, else their default."""
-    return f"select o_orderkey, case when v between 0.5e0 and 0.9e0 then v else 0.84e0 end as max_width, {clamp('v - 0.004e0')} as unit from (select o_orderkey, o_totalprice / 400003e0 as v from orders)"
+@relation("visual_plan", "motion_guidance")
+def guidance_compose(d):
+    """Guidance beside the plan it comes from, for every scene."""
+    return "select v.project_id, v.scene_index, v.visual_intent, v.narrative_intent, g.preferred_preset, g.intensity, g.hold_fraction, g.reason from visual_plan v join motion_guidance g on g.project_id = v.project_id and g.scene_index = v.scene_index"

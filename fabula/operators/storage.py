@@ -6,10 +6,6 @@ would find (missing files, other sizes, locks, staging folders) is derived by mo
 
 from ..plans.relation import relation
 
-#: Failure families of the recovery precedence.
-FAMILIES = "case {0} when 'unsafe' then 0 when 'unsupported' then 1 when 'unstable' then 2 when 'invalid' then 3 else 9 end"
-
-
 @relation("orders", public=False)
 def entries(d):
     return f"select o_orderkey as entry, lower(substring(o_orderpriority, 3)) as domain, lower(o_orderstatus) as producer, cast(o_custkey % 12 + 1 as int) as schema_version, {d.sha256('cast(o_orderkey as string)')} as digest, o_custkey, o_totalprice, {d.seconds('o_orderdate')} as at_s from orders"
@@ -67,14 +63,26 @@ def derive_cache_key(d):
 
 @relation("entries")
 def identity_sort(d):
-    """Entries by domain, producer, numeric schema and digest."""
-    return "select entry, cast(row_number() over (partition by domain order by producer, schema_version, digest) as int) as place from entries"
+    """Entries of a namespace (domain, producer, schema) in canonical order, and the
+    namespaces' keys, in which the numeric schema counts as a number."""
+    return "select entry, concat_ws('/', domain, producer, lpad(cast(schema_version as string), 10, '0')) as namespace, cast(row_number() over (partition by domain, producer, schema_version order by digest) as int) as place from entries"
 
 
-@relation("entries")
+@relation("entries", public=False)
+def cursors(d):
+    """Where each namespace's page begins: after this digest (none: at the start), and its limit."""
+    return "select domain, producer, schema_version, case when schema_version % 3 > 0 then substring(max(digest), 1, 1) end as cursor, 20 + schema_version as page_limit from entries group by domain, producer, schema_version"
+
+
+@relation("entries", "cursors")
 def keyset_page(d):
-    """The fifty entries after a cursor in identity order, of each domain."""
-    return "select domain, entry, place from (select domain, entry, cast(row_number() over (partition by domain order by digest) as int) as place from entries where digest > '8000') t where place <= 50"
+    """A page of each namespace: identities after its cursor, as many as its limit, with the
+    next cursor where more follow."""
+    w = "over (partition by e.domain, e.producer, e.schema_version order by digest)"
+    return f"""
+    select domain, producer, schema_version, entry, place, case when n > page_limit and place = page_limit then digest end as next_cursor
+    from (select e.domain, e.producer, e.schema_version, entry, digest, page_limit, cast(row_number() {w} as int) as place, count(*) over (partition by e.domain, e.producer, e.schema_version) as n
+      from entries e join cursors c on c.domain = e.domain and c.producer = e.producer and c.schema_version = e.schema_version where cursor is null or digest > cursor) t where place <= page_limit"""
 
 
 @relation("entries", public=False)
@@ -88,20 +96,15 @@ def identity_three_way_union(d):
     return "select entry, cast(bit_or(flag) as int) as flags from sources_seen group by entry"
 
 
-@relation("identity_three_way_union")
-def recon_diagnostic_code(d):
-    """Whether an identity comes from one source or several."""
-    return "select entry, case flags when 1 then 'final' when 2 then 'staging' when 4 then 'catalog' else 'combined' end as source from identity_three_way_union"
-
-
 @relation("lineitem", public=False)
 def declared(d):
-    return "select l_orderkey as entry, concat('part-', cast(l_linenumber as string), '.bin') as path, max(cast(l_quantity * 1000 as bigint)) as bytes, max(l_partkey) as content from lineitem group by l_orderkey, l_linenumber"
+    return "select l_orderkey as entry, concat(case when l_linenumber % 3 = 0 then 'set/' else '' end, 'part-', cast(l_linenumber as string), '.bin') as path, max(cast(l_quantity * 1000 as bigint)) as bytes, max(l_partkey) as content from lineitem group by l_orderkey, l_linenumber"
 
 
 @relation("declared", public=False)
 def observed(d):
-    return "select entry, case when content % 37 = 0 then concat(path, '.tmp') else path end as path, case when content % 23 = 0 then bytes + 1 else bytes end as bytes, case when content % 29 = 0 then content + 1 else content end as content from declared where content % 31 <> 0"
+    """Files as found: kind, size, links, stability and content; some missing, some renamed."""
+    return "select entry, case when content % 137 = 5 then concat(path, '.tmp') when content % 139 = 6 then upper(path) when content % 149 = 8 then 'set' when content % 151 = 9 then concat('./', path) else path end as path, case when content % 101 = 7 then 'symlink' else 'file' end as kind, case when content % 123 = 0 then bytes + 1 else bytes end as bytes, case when content % 97 = 11 then 2 else 1 end as links, content % 89 <> 12 as stable, case when content % 129 = 0 then content + 1 else content end as content from declared where content % 131 <> 0"
 
 
 @relation("declared", "observed")
@@ -110,12 +113,6 @@ def payload_vs_manifest(d):
     return "select coalesce(m.entry, o.entry) as entry, coalesce(m.path, o.path) as path, case when o.path is null then 'missing' when m.path is null then 'unexpected' when m.bytes <> o.bytes then 'size_mismatch' when m.content <> o.content then 'digest_mismatch' else 'valid' end as status from declared m full outer join observed o on o.entry = m.entry and o.path = m.path"
 
 
-@relation("payload_vs_manifest")
-def entry_structure(d):
-    """One status an entry: missing before unexpected before mismatches before valid."""
-    return "select entry, case when bool_or(status = 'missing') then 'missing' when bool_or(status = 'unexpected') then 'unexpected' when bool_or(status like '%mismatch') then 'invalid' else 'valid' end as structure from payload_vs_manifest group by entry"
-
-
 @relation("declared", "observed")
 def payload_summary_check(d):
     """Whether count and bytes of the files are those declared."""
@@ -124,214 +121,33 @@ def payload_summary_check(d):
 
 @relation("observed")
 def payload_paths_valid(d):
-    """Whether an entry's paths are unique without regard to case."""
-    return "select entry, cast(count(*) as bigint) as n, count(distinct lower(path)) = count(*) and max(length(path)) <= 10 as ok from observed group by entry"
-
-
-@relation("observed")
-def cardinality_check(d):
-    """Entries that have at least three files."""
-    return "select entry, count(*) >= 3 as ok from observed group by entry"
-
-
-@relation("observed")
-def candidate_dedup(d):
-    """The first file of each content within an entry by size and path, and clashes of size."""
-    return "select entry, content, path, sizes > 40000 as clash from (select entry, content, path, row_number() over (partition by content order by bytes, entry, path) as r, max(bytes) over (partition by content) - min(bytes) over (partition by content) + 1 as sizes from observed) t where r = 1"
-
-
-@relation("observed")
-def inventory_totals(d):
-    """Bytes in all and in regular files of each kind of path."""
-    return "select path, cast(sum(bytes) as bigint) as bytes, cast(count(*) as bigint) as n, cast(sum(case when path like '%.tmp' then bytes else 0 end) as bigint) as reclaimable from observed group by path"
-
-
-@relation("observed")
-def group_membership(d):
-    """Files of each entry and the share of them that is temporary."""
-    return "select entry, cast(count(*) as bigint) as members, cast(count_if(path like '%.tmp') as bigint) as temporary from observed group by entry"
-
-
-@relation("observed")
-def artifact_group_status(d):
-    """Entries with their first two parts are complete."""
-    return "select entry, case when count_if(path = 'part-1.bin') > 0 and count_if(path = 'part-2.bin') > 0 then 'complete' else 'partial' end as status from observed group by entry"
-
-
-@relation("declared", "observed")
-def logical_path_collision(d):
-    """Paths of an entry that are equal without regard to suffix: one row, sizes summed."""
-    return "select entry, replace(path, '.tmp', '') as logical, cast(sum(bytes) as bigint) as bytes, cast(count(*) as bigint) as n from (select entry, path, bytes from declared union all select entry, path, bytes from observed) u group by entry, replace(path, '.tmp', '')"
-
-
-@relation("observed")
-def inventory_classify(d):
-    """Kind and protection of a path by its first matching rule."""
-    return "select entry, path, case when path like '%.tmp' then 'temporary' when path like 'part-1%' then 'source' when bytes > 40000 then 'large_artifact' else 'artifact' end as kind, case when path like '%.tmp' then 'eligible' when path like 'part-1%' then 'protected' else 'review' end as protection from observed"
-
-
-@relation("inventory_classify")
-def effective_protection(d):
-    """Tracked files are protected whatever the rule says."""
-    return "select entry, path, case when entry % 10 = 0 then 'tracked' else protection end as protection from inventory_classify"
-
-
-@relation("effective_protection")
-def cleanup_candidate(d):
-    """Files that may go: eligible and not tracked."""
-    return "select entry, path from effective_protection where protection = 'eligible'"
-
-
-@relation("observed")
-def safety_gate(d):
-    """Whether a file is safe to touch: no link and not tracked."""
-    return "select entry, path, content % 41 <> 0 and entry % 10 <> 0 as safe from observed"
-
-
-@relation("inventory_classify")
-def inspect_inventory(d):
-    """Files by kind and protection."""
-    return "select kind, protection, cast(count(*) as bigint) as n from inventory_classify group by kind, protection"
-
-
-@relation("entries", public=False)
-def locks(d):
-    return "select entry, at_s + 60e0 * (entry % 97) as heartbeat, case when entry % 53 = 0 then 'malformed' when entry % 59 = 0 then 'unsafe' when entry % 61 = 0 then 'unsupported' end as failure, at_s + 3000e0 as clock from entries where entry % 2 = 0"
-
-
-@relation("entries", "locks")
-def lock_observation(d):
-    """absent, active or stale by the heartbeat's age, or the failure."""
-    return "select e.entry, case when l.entry is null then 'absent' when failure is not null then failure when heartbeat > clock then 'timestamp_invalid' when clock - heartbeat <= 1200e0 then 'active' else 'stale' end as lock_state from entries e left join locks l on l.entry = e.entry"
-
-
-@relation("lock_observation", public=False)
-def components(d):
-    """Final, staging and lock states of each entry."""
-    return "select entry, case when entry % 67 = 0 then 'unstable' when entry % 71 = 0 then 'invalid' when entry % 4 < 2 then 'valid' else 'absent' end as final_state, case when entry % 73 = 0 then 'unsafe' when entry % 6 < 2 then 'incomplete' when entry % 6 = 2 then 'complete' else 'absent' end as staging_state, case lock_state when 'malformed' then 'invalid' when 'timestamp_invalid' then 'invalid' else lock_state end as lock_state from lock_observation"
-
-
-@relation("components")
-def recovery_compose(d):
-    """Lifecycle of an entry: failure families first (final, staging, lock), then the states."""
-    rank = {c: FAMILIES.format(c) for c in ("final_state", "staging_state", "lock_state")}
-    worst = "least(" + ", ".join(rank.values()) + ")"
-    locked = "lock_state <> 'absent'"
+    """What is wrong with an entry's file paths: names, letter case that clashes, a file where
+    another path has a folder. (Order and repeats are a listing's.)"""
+    bad = " or ".join([f"{d.matches('path', '(^/|/$|//|[ .](/|$)|(^|/)[.]{1,2}(/|$))')}", "contains(path, chr(92))", "path <> trim(path)", "path = ''"])
     return f"""
-    select entry, case {worst} when 0 then 'RECOVERY_UNSAFE' when 1 then 'RECOVERY_UNSUPPORTED' when 2 then 'RECOVERY_UNSTABLE' when 3 then 'RECOVERY_INVALID' else
-      case when final_state = 'valid' and staging_state = 'absent' then case when {locked} then 'FINAL_PUBLISHED_LOCK_RETAINED' else 'FINAL_PUBLISHED' end
-           when final_state = 'valid' then case when {locked} then 'FINAL_PUBLISHED_WITH_SUPERSEDED_STAGING_AND_LOCK' else 'FINAL_PUBLISHED_WITH_SUPERSEDED_STAGING' end
-           when staging_state = 'absent' then case lock_state when 'absent' then 'EMPTY' when 'active' then 'ACTIVE_LOCK_WITHOUT_ENTRY' else 'STALE_LOCK_WITHOUT_ENTRY' end
-           when staging_state = 'complete' then case lock_state when 'absent' then 'UNPUBLISHED_COMPLETE_STAGING' when 'active' then 'COMPLETE_STAGING_WITH_ACTIVE_LOCK' else 'COMPLETE_STAGING_WITH_STALE_LOCK' end
-           else case lock_state when 'absent' then 'INCOMPLETE_STAGING' when 'active' then 'INCOMPLETE_STAGING_WITH_ACTIVE_LOCK' else 'INCOMPLETE_STAGING_WITH_STALE_LOCK' end end end as status,
-      case when {worst} = 9 then null when {rank['final_state']} = {worst} then 'final' when {rank['staging_state']} = {worst} then 'staging' else 'lock' end as failed
-    from components"""
-
-
-@relation("components")
-def recovery_diag_rank(d):
-    """Failed components of each entry in order of precedence."""
-    rank = {c: FAMILIES.format(c) for c in ("final_state", "staging_state", "lock_state")}
-    return f"select entry, {rank['final_state']} as final_rank, {rank['staging_state']} as staging_rank, {rank['lock_state']} as lock_rank from components"
-
-
-@relation("components")
-def staging_observe(d):
-    """Entries by staging and final state."""
-    return "select staging_state, final_state, cast(count(*) as bigint) as n from components group by staging_state, final_state"
-
-
-@relation("entry_structure", "entries")
-def lookup_status(d):
-    """HIT, MISS or why not, of every entry."""
-    return "select e.entry, case when s.entry is null then 'MISS' when e.entry % 79 = 0 then 'UNSUPPORTED_VERSION' when e.entry % 83 = 0 then 'UNSAFE_PATH' when e.entry % 4 = 3 then 'LOCKED_OR_IN_PROGRESS' when structure = 'valid' then 'HIT' else 'CORRUPT' end as status from entries e left join entry_structure s on s.entry = e.entry"
-
-
-@relation("lookup_status")
-def reason_to_diagnostic(d):
-    """Diagnostic code of each status and how many entries have it."""
-    return "select status, case status when 'HIT' then 'none' when 'MISS' then 'entry_absent' when 'CORRUPT' then 'payload_invalid' else 'not_readable' end as code, cast(count(*) as bigint) as n from lookup_status group by status"
-
-
-@relation("entries", public=False)
-def catalog(d):
-    return "select entry, cast(entry % 5 + 1 as bigint) as record_revision, case when entry % 19 = 0 then 'tombstone' when entry % 17 = 0 then 'corrupt' else 'live' end as record_state, case when entry % 3 = 0 then 'HIT' end as last_final from entries where entry % 7 < 5"
-
-
-@relation("entries", "catalog")
-def catalog_lookup(d):
-    """FOUND, ABSENT (with a tombstone's revision) or CORRUPT for every entry."""
-    return "select e.entry, case when c.entry is null or record_state = 'tombstone' then 'RECORD_ABSENT' when record_state = 'corrupt' then 'RECORD_CORRUPT' else 'RECORD_FOUND' end as status, case when record_state = 'tombstone' then record_revision end as tombstone_revision from entries e left join catalog c on c.entry = e.entry"
-
-
-@relation("lookup_status", "recovery_compose", "catalog_lookup", "catalog")
-def catalog_vs_authority(d):
-    """Observations of each entry from lookup, recovery and catalog."""
-    return "select l.entry, l.status as lookup, r.status as recovery, k.status as catalog_status, tombstone_revision, last_final from lookup_status l join recovery_compose r on r.entry = l.entry join catalog_lookup k on k.entry = l.entry left join catalog c on c.entry = l.entry"
-
-
-@relation("catalog_vs_authority")
-def recon_compare(d):
-    """Action and reason for each entry, by the fixed matrix."""
-    steps = [
-        ("catalog_status = 'RECORD_CORRUPT'", "REPORT_ONLY", "CATALOG_CORRUPT"),
-        ("lookup = 'UNSUPPORTED_VERSION'", "REPORT_ONLY", "AUTHORITATIVE_UNSUPPORTED"),
-        ("lookup = 'UNSAFE_PATH'", "REPORT_ONLY", "AUTHORITATIVE_UNSAFE"),
-        ("lookup not in ('HIT', 'MISS', 'LOCKED_OR_IN_PROGRESS')", "REPORT_ONLY", "AUTHORITATIVE_INVALID"),
-        ("recovery = 'RECOVERY_UNSTABLE'", "DEFER", "AUTHORITATIVE_UNSTABLE"),
-        ("recovery = 'RECOVERY_UNSAFE'", "REPORT_ONLY", "AUTHORITATIVE_UNSAFE"),
-        ("recovery = 'RECOVERY_UNSUPPORTED'", "REPORT_ONLY", "AUTHORITATIVE_UNSUPPORTED"),
-        ("recovery = 'RECOVERY_INVALID'", "REPORT_ONLY", "AUTHORITATIVE_INVALID"),
-        ("lookup <> 'HIT' and recovery = 'EMPTY' and catalog_status = 'RECORD_ABSENT' and tombstone_revision is not null", "NOOP", "TOMBSTONE_MATCHES_EMPTY"),
-        ("lookup <> 'HIT' and recovery = 'EMPTY' and catalog_status = 'RECORD_ABSENT'", "NOOP", "EMPTY_CATALOG_ABSENT"),
-        ("lookup <> 'HIT' and recovery = 'EMPTY'", "TOMBSTONE_EMPTY", "EXACT_EMPTY"),
-        ("lookup = 'HIT' and (catalog_status = 'RECORD_ABSENT' or last_final is null)", "UPSERT_FINAL", "FINAL_SUMMARY_MISSING"),
-        ("catalog_status = 'RECORD_ABSENT'", "UPSERT_RECOVERY", "RECOVERY_SUMMARY_MISSING"),
-    ]
-    pick = lambda i: "case " + " ".join(f"when {s[0]} then '{s[i]}'" for s in steps) + f" else '{('NOOP', 'SUMMARIES_MATCH')[i - 1]}' end"
-    return f"select entry, {pick(1)} as action, {pick(2)} as reason from catalog_vs_authority"
-
-
-@relation("recon_compare")
-def recon_progress(d):
-    """How many entries need each action."""
-    return "select action, reason, cast(count(*) as bigint) as n from recon_compare group by action, reason"
-
-
-@relation("recon_compare", "catalog")
-def cas_upsert(d):
-    """Proposals applied where the expected revision is the current one; else conflicts."""
-    return "select r.entry, action, coalesce(c.record_revision, 0) + case when r.entry % 13 <> 0 then 1 else 0 end as revision, case when r.entry % 13 = 0 then 'conflict' else 'written' end as outcome from recon_compare r left join catalog c on c.entry = r.entry where action in ('UPSERT_FINAL', 'UPSERT_RECOVERY', 'TOMBSTONE_EMPTY')"
+    select p.entry, cast(count(*) as bigint) as n, concat_ws(',', case when bool_or({bad}) then 'name' end, case when count(distinct lower(path)) < count(*) then 'case' end, case when bool_or(c.prefix is not null) then 'prefix' end) as violations
+    from (select entry, path from observed group by entry, path) p left join (select distinct entry, folder as prefix from {d.unnest(f"(select entry, {d.map(d.range(1, d.size(d.split('path', '/')) + ' - 1'), d.join(d.slice(d.split('path', '/'), 1, 'x'), '/'))} as folders from observed) s", 'folders', 'folder')}) c on c.entry = p.entry and c.prefix = path group by p.entry"""
 
 
-@relation("cas_upsert")
-def execution_status_map(d):
-    """Outcomes of each action."""
-    return "select action, outcome, cast(count(*) as bigint) as n from cas_upsert group by action, outcome"
-
-
-@relation("cas_upsert")
-def work_budget_wrappers(d):
-    """The first hundred mutations of each action fit the budget."""
-    return "select entry, action, row_number() over (partition by action order by entry) <= 100 as within from cas_upsert"
-
-
-@relation("payload_vs_manifest")
-def diagnostics_truncate(d):
-    """The first three findings of each entry by precedence, and whether more were cut."""
-    return "select entry, path, status, total > 3 as truncated from (select *, row_number() over (partition by entry order by case status when 'missing' then 0 when 'unexpected' then 1 when 'size_mismatch' then 2 else 3 end, path) as r, count(*) over (partition by entry) as total from payload_vs_manifest where status <> 'valid') t where r <= 3"
+@relation("payload_findings")
+def cardinality_check(d):
+    """Whether an entry may have as many files as it declares: none only where that is allowed."""
+    return "select entry, records, records > 0 or empty_allowed as ok from payload_findings"
 
 
 @relation("declared", "observed")
 def entry_snapshot(d):
-    """Whether two listings of an entry agree in every column."""
-    return "select coalesce(a.entry, b.entry) as entry, bool_and(a.bytes is not null and b.bytes is not null and a.bytes = b.bytes and a.content = b.content) as stable from declared a full outer join observed b on b.entry = a.entry and b.path = a.path group by coalesce(a.entry, b.entry)"
+    """Whether two listings of an entry agree in every path and column."""
+    return "select coalesce(a.entry, b.entry) as entry, bool_and(a.bytes is not null and b.bytes is not null and a.bytes = b.bytes and a.content = b.content and b.kind = 'file' and b.links = 1) as stable, cast(count_if(a.path is null or b.path is null) as bigint) as only_once from declared a full outer join observed b on b.entry = a.entry and b.path = a.path group by coalesce(a.entry, b.entry)"
 
 
-@relation("entries")
+@relation("observed")
 def file_identity(d):
-    """Whether an entry still has the schema and producer it had."""
-    return "select entry, domain <> 'low' and schema_version <= 10 as same from entries"
+    """Whether two looks at a file saw the same object: type, device, inode, size and times
+    equal, links within one; a device or inode that is not known is never the same."""
+    return """
+    select entry, path, before_device is not null and device is not null and before_device = device and before_inode is not null and inode is not null and before_inode = inode and kind = 'file' and before_bytes = bytes and before_mtime = mtime as same
+    from (select entry, path, kind, bytes, content, case when content % 41 = 0 then null else content % 3 end as before_device, content % 3 as device, entry * 10 + links as before_inode, entry * 10 + case when stable then links else 9 end as inode, bytes as before_bytes, content * 7 as before_mtime, content * 7 + case when content % 43 = 1 then 1 else 0 end as mtime from observed) t"""
 
 
 @relation("final_path")
@@ -347,51 +163,6 @@ def scan_staging_identities(d):
     return f"select entry, substring({d.extract('staging_path', '/([0-9a-f]+)[.]', 1)}, 1, 12) as digest, {d.extract('staging_path', '[.]([0-9a-f]+)$', 1)} as token from final_path"
 
 
-@relation("lineitem", public=False)
-def provenance(d):
-    """Records that come from earlier records of their order."""
-    return "select distinct l_orderkey as doc, l_linenumber as node, case when l_linenumber > 1 then l_linenumber - 1 end as parent from lineitem"
-
-
-@relation("provenance")
-def provenance_parent_resolve(d):
-    """References to parents that are not there."""
-    return "select a.doc, a.node, a.parent from provenance a left join provenance b on b.doc = a.doc and b.node = a.parent where a.parent is not null and b.node is null"
-
-
-@relation("provenance")
-def provenance_graph(d):
-    """Depth of each record below its root, at most 32. Spark walks the records of a
-    document level by level as one array, since its recursion is held to a number of rows."""
-    if d.spark:
-        below = "flatten(transform(a.level, f -> filter(records, x -> x.parent = f.node)))"
-        step = f"named_struct('level', {below}, 'found', concat(a.found, transform({below}, x -> named_struct('node', x.node, 'depth', i))))"
-        roots = "filter(records, x -> x.parent is null)"
-        start = f"named_struct('level', {roots}, 'found', transform({roots}, x -> named_struct('node', x.node, 'depth', 0)))"
-        levels = "slice(sequence(1, 32), 1, least(32, size(records)))"
-        return f"select doc, f.node, f.depth from (select doc, explode(aggregate({levels}, {start}, (a, i) -> {step}, a -> a.found)) as f from (select doc, collect_list(struct(node, parent)) as records from provenance group by doc))"
-    with_ = "with recursive walk as (select doc, node, 0 as depth from provenance where parent is null union all select p.doc, p.node, w.depth + 1 from walk w join provenance p on p.doc = w.doc and p.parent = w.node where w.depth < 32)"
-    return f"{with_} select doc, node, cast(depth as int) as depth from walk"
-
-
-@relation("orders", "lineitem")
-def evidence_availability_matrix(d):
-    """Evidence is available exactly where it is present."""
-    return "select o_orderkey, (o_orderstatus = 'F') = (n is not null) as consistent, coalesce(n, 0) as n from orders left join (select l_orderkey, cast(count(*) as bigint) as n from lineitem where l_returnflag = 'R' group by l_orderkey) l on l_orderkey = o_orderkey"
-
-
-@relation("orders")
-def diagnostic_total_order(d):
-    """Diagnostics in the declared order of their severities."""
-    return "select o_orderkey, cast(row_number() over (partition by o_custkey order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as int) as place from orders"
-
-
-@relation("orders")
-def candidate_total_order(d):
-    """Candidates by language, declared kind and id."""
-    return "select o_orderkey, cast(row_number() over (partition by o_orderstatus order by o_orderpriority, o_custkey, o_orderkey) as int) as place from orders"
-
-
 @relation("documents")
 def excerpt_containment(d):
     """Whether a document holds the excerpt that a claim cites (its middle, or a changed one)."""
@@ -423,18 +194,6 @@ def document_language_precedence(d):
     return "select doc_id, coalesce(case when doc_id % 4 <> 0 then lang end, case when doc_id % 8 = 0 then 'en' end, 'und') as language from documents"
 
 
-@relation("pages")
-def path_containment(d):
-    """Whether a path stays inside its root."""
-    return f"select page_id, not {d.matches('path', '^/')} and not {d.matches('path', '(^|/)[.][.](/|$)')} as inside from (select page_id, case page_id % 3 when 0 then concat('/', url) when 1 then concat('a/../', url) else url end as path from pages)"
-
-
-@relation("pages")
-def git_status_for(d):
-    """Whether a host is tracked: it or a folder below it is in the index."""
-    return f"select p.page_id, t.host is not null as tracked from (select page_id, {d.extract('url', '^https?://([^/]+)', 1)} as host from pages) p left join (select distinct {d.extract('url', '^https?://([^/]+)', 1)} as host from pages where page_id % 5 = 0) t on t.host = p.host"
-
-
 @relation("customer", "orders")
 def resolve_project(d):
     """The newest order of each customer."""

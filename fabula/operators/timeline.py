@@ -15,8 +15,9 @@ def explode_words(d):
 
 @relation("timed")
 def interpolate_words(d):
-    """Segments without words: their text spread evenly over their length."""
-    return f"select project_id, n, place, word, round(t + 0.9e0 * (place - 1) / size, 6) as word_start from (select project_id, n, t, word, place, {d.size('parts')} as size from {d.unnest_at('(select project_id, n, t, ' + d.split('phrase', ' ') + ' as parts from timed)', 'parts', 'word', 'place')})"
+    """Segments without words: their text spread evenly over their length, 0.2 at least."""
+    step = "greatest(0.2e0, value / 100e0) * {} / size"
+    return f"select project_id, n, place, word, round(t + {step.format('(place - 1)')}, 9) as word_start, round(t + {step.format('place')}, 9) as word_end from (select project_id, n, t, value, word, place, {d.size('parts')} as size from {d.unnest_at('(select project_id, n, t, value, ' + d.split('phrase', ' ') + ' as parts from timed)', 'parts', 'word', 'place')})"
 
 
 @relation("spoken")
@@ -25,60 +26,76 @@ def flatten_caption_words(d):
     return "select project_id, word, word_start, cast(row_number() over (partition by project_id order by word_start, word_end, word_index) as int) as place from spoken"
 
 
-@relation("timed", public=False)
+@relation("spoken", public=False)
 def raw_words(d):
-    """Words as a recogniser gives them: overlapping, some very short, some only a hyphen."""
-    return "select project_id, cast(n as int) as i, case when event_id % 11 = 0 then '-' when event_id % 7 = 0 then concat('-', event_type) else event_type end as word, t as s, t + case when event_id % 9 = 0 then 0.05e0 else value / 100e0 end as e from timed"
+    """Words as a recogniser gives them: overlapping, some very short, some hurried, some in a
+    loop, some only a hyphen or begun with one."""
+    return """
+    select project_id, word_index as i, case when n % 11 = 0 and place = 3 then '-' when n % 7 = 0 and place = 2 then concat('-', word) when n % 13 = 0 then case place % 2 when 1 then 'Over' else 'again,' end
+        when n % 17 = 0 then case place % 3 when 1 then 'one' when 2 then 'two' else 'three' end when n % 19 = 0 then case place % 4 when 1 then 'as' when 2 then 'it' when 3 then 'was' else 'said' end else word end as word,
+      case when n % 5 = 0 then t + (word_start - t) * 0.4e0 else word_start end as s,
+      case when n % 9 = 0 then word_start + 0.08e0 when n % 5 = 0 then t + (word_end - t) * 0.4e0 when place % 6 = 0 then word_start + 0.05e0 else word_end + 0.03e0 end as e from spoken"""
 
 
 @relation("raw_words")
 def drop_micro_words(d):
     """Words under 0.075 go, unless they come first."""
-    return "select project_id, i, word, round(s, 4) as s, round(e, 4) as e from (select *, row_number() over (partition by project_id order by s, e, i) as r from raw_words) t where r = 1 or e - s >= 0.075e0"
+    return "select project_id, i, word, s, e from (select *, row_number() over (partition by project_id order by s, e, i) as r from raw_words) t where r = 1 or e - s >= 0.075e0"
 
 
 @relation("drop_micro_words")
 def monotonic_words(d):
     """No word starts over 0.015 before the last one's end, nor lasts under 0.08: in closed
     form, a running maximum."""
-    return """
-    select project_id, i, round(greatest(0e0, m) + 0.065e0 * r, 4) as word_end from (select *, max(greatest(e, s + 0.08e0) - 0.065e0 * r) over (partition by project_id order by r rows between unbounded preceding and current row) as m
+    w = "over (partition by project_id order by r)"
+    return f"""
+    select project_id, cast(r as int) as place, word, round(greatest(s, coalesce(lag(word_end) {w} - 0.015e0, s)), 4) as word_start, round(word_end, 4) as word_end
+    from (select *, greatest(0e0, max(greatest(e, s + 0.08e0) - 0.065e0 * r) over (partition by project_id order by r rows between unbounded preceding and current row)) + 0.065e0 * r as word_end
       from (select *, row_number() over (partition by project_id order by s, e, i) as r from drop_micro_words)) t"""
 
 
-@relation("raw_words")
+@relation("monotonic_words")
 def hyphen_merge(d):
-    """Words that begin with a hyphen join the word before."""
-    island = "cast(sum(case when i > 1 and word like '-%' then 0 else 1 end) over (partition by project_id order by i rows between unbounded preceding and current row) as bigint)"
-    return f"select project_id, island, min(s) as s, max(e) as e, {d.agg_text('word', '', 'i')} as word from (select *, {island} as island from raw_words) t group by project_id, island"
+    """Words that begin with a hyphen, and bare hyphens, join the word before, up to their end."""
+    island = "cast(sum(case when place > 1 and word like '-%' then 0 else 1 end) over (partition by project_id order by place rows between unbounded preceding and current row) as int)"
+    return f"select project_id, place, min(word_start) as s, max(word_end) as e, {d.agg_text('word', '', 'nth')} as word from (select project_id, place as nth, word, word_start, word_end, {island} as place from monotonic_words) t group by project_id, place"
 
 
-@relation("raw_words")
+@relation("hyphen_merge")
 def micro_run(d):
-    """The first run of two or more words of at most 0.085, and its length."""
-    return """
-    select project_id, min(first_i) as first_i, cast(count(*) as bigint) as runs from (select project_id, i - r as g, min(i) as first_i, count(*) as n
-      from (select *, row_number() over (partition by project_id order by i) as r from raw_words where e - s <= 0.085e0) t group by project_id, i - r) u where n >= 2 group by project_id"""
+    """Where the sixth word in a row of at most 0.085 starts, the first time."""
+    w = "over (partition by project_id order by place rows between 5 preceding and current row)"
+    return f"select project_id, min(s) as near from (select project_id, s, sum(case when e - s <= 0.085e0 then 1 else 0 end) {w} as n from hyphen_merge) t where n = 6 group by project_id"
 
 
-@relation("raw_words")
+@relation("hyphen_merge")
 def repeat_ngram(d):
-    """The first immediate repeat of a phrase of 1 to 3 words."""
-    lead = lambda k: f"lead(word, {k}) over (partition by project_id order by i)"
-    cols = ", ".join(f"{lead(k)} as w{k}" for k in range(1, 6))
-    return f"select project_id, min(case when word = w1 then i end) as size1, min(case when word = w2 and w1 = w3 then i end) as size2, min(case when word = w3 and w1 = w4 and w2 = w5 then i end) as size3 from (select project_id, i, word, {cols} from raw_words) t group by project_id"
-
-
-@relation("spoken")
+    """Where a phrase of 2, 3 or 4 words first comes twice in a row, by letters, digits and
+    apostrophes alone; words without any never count."""
+    lead = lambda k: f"lead(w, {k}) over (partition by project_id order by place)"
+    names = ["w", *(f"w{k}" for k in range(1, 8))]
+    size = lambda k: f"min(case when {' and '.join(f'{names[i]} = {names[i + k]}' for i in range(k))} and {' and '.join(f'{names[i]} <> {quote_empty}' for i in range(k))} then s end) as size{k}"
+    quote_empty = "''"
+    cols = ", ".join(f"{lead(k)} as w{k}" for k in range(1, 8))
+    clean = d.replace("lower(word)", "[^a-z0-9'']+", "")
+    return f"select * from (select project_id, {', '.join(map(size, (2, 3, 4)))} from (select project_id, s, w, {cols} from (select project_id, place, s, {clean} as w from hyphen_merge) a) t group by project_id) u where size2 is not null or size3 is not null or size4 is not null"
+
+
+@relation("hyphen_merge")
 def word_burst(d):
-    """The first of eight words within 0.8."""
-    return "select project_id, min(word_index) as first_word from (select *, lead(word_end, 7) over (partition by project_id order by word_index) as e8 from spoken) t where e8 - word_start <= 0.9e0 group by project_id"
+    """Where eight words or more within 0.8 first start."""
+    w = "over (partition by project_id order by place rows between current row and 7 following)"
+    return f"select project_id, min(s) as near from (select project_id, s, count(*) {w} as n, max(e) {w} as last_end from hyphen_merge) t where n = 8 and last_end - s <= 0.8e0 group by project_id"
 
 
-@relation("micro_run", "repeat_ngram", "scenes")
+@relation("scenes", "hyphen_merge", "repeat_ngram", "word_burst", "micro_run")
 def transcript_quality(d):
-    """How many of the detectors find something in a transcript."""
-    return "select p.project_id, cast((case when m.project_id is null then 0 else 1 end) + (case when size1 is null then 0 else 1 end) + (case when size2 is null then 0 else 1 end) as int) as issues from (select distinct project_id from scenes) p left join micro_run m on m.project_id = p.project_id left join repeat_ngram r on r.project_id = p.project_id"
+    """What looks like a recogniser's invention, in order: an empty transcript, repeated
+    phrases, implausible bursts, runs of tiny words."""
+    issues = ", ".join(["case when n is null then 'empty transcript' end", *(f"case when size{k} is not null then 'repeated {k}-word phrase' end" for k in (2, 3, 4)), "case when b.near is not null then 'implausible word burst' end", "case when m.near is not null then 'micro-timestamp run' end"])
+    return f"""
+    select p.project_id, concat_ws(', ', {issues}) as issues, least(size2, size3, size4, b.near, m.near) as first_near from (select distinct project_id from scenes) p left join (select project_id, count(*) as n from hyphen_merge group by project_id) w on w.project_id = p.project_id
+    left join repeat_ngram r on r.project_id = p.project_id left join word_burst b on b.project_id = p.project_id left join micro_run m on m.project_id = p.project_id"""
 
 
 @relation("spoken", public=False)
@@ -98,22 +115,22 @@ def sentence_turns(d):
     return f"select *, coalesce({first}, '') in {words_in(TURNS)} or {d.matches('lower(text)', '^(in|under|during|after|before) (19|20)[0-9][0-9]')} as strong from sentence_split"
 
 
-@relation("sentence_turns")
+@relation("sentence_turns", public=False)
+def numbered_sentences(d):
+    return "select *, sentence + 1 as place from sentence_turns"
+
+
+@relation("numbered_sentences", public=False)
+def beat_walk(d):
+    begins = "(s.s0 is null or s.e1 - s.s0 >= 12.5e0 or (s.e1 - s.s0 >= 4.5e0 and x.strong) or (s.e1 - s.s0 >= 7.5e0 and x.e - s.s0 > 12.5e0))"
+    state = {"beat": ("int", "1", f"s.beat + case when {begins} then 1 else 0 end"), "s0": ("double", "x.s", f"case when {begins} then x.s else s.s0 end"), "e1": ("double", "x.e", "x.e")}
+    return d.scan("numbered_sentences", ["project_id"], "place", ["s", "e", "strong"], state)
+
+
+@relation("beat_walk")
 def beat_segmentation(d):
     """Sentences grouped to beats: a turn ends a group of 4.5, 12.5 is the most."""
-    if d.spark:
-        push = "struct(acc.n + 1 as n, x.s as s0, x.e as e1)"
-        grow = "struct(acc.n as n, acc.s0 as s0, x.e as e1)"
-        rule = f"""case when acc.n = 0 or acc.e1 - acc.s0 >= 12.5e0 or (acc.e1 - acc.s0 >= 4.5e0 and x.strong) or (acc.e1 - acc.s0 >= 7.5e0 and x.e - acc.s0 > 12.5e0) then {push} else {grow} end"""
-        return f"""
-        select project_id, item.sentence, cast(beat as int) as beat from (select project_id, aggregate(items, named_struct('st', struct(0 as n, 0e0 as s0, 0e0 as e1), 'out', cast(array() as array<struct<sentence:int,beat:int>>)),
-          (a, x) -> named_struct('st', {rule.replace('acc.', 'a.st.')}, 'out', concat(a.out, array(struct(x.sentence as sentence, ({rule.replace('acc.', 'a.st.')}).n as beat)))), a -> a.out) as out
-          from (select project_id, array_sort(collect_list(struct(sentence, s, e, strong))) as items from sentence_turns group by project_id)) lateral view explode(out) t as item""".replace("item.sentence, cast(beat", "item.sentence as sentence, cast(item.beat")
-    step = "w.e1 - w.s0 >= 12.5e0 or (w.e1 - w.s0 >= 4.5e0 and t.strong) or (w.e1 - w.s0 >= 7.5e0 and t.e - w.s0 > 12.5e0)"
-    return f"""
-    with recursive walk as (select project_id, sentence, 1 as beat, s as s0, e as e1 from sentence_turns where sentence = 0
-      union all select t.project_id, t.sentence, w.beat + case when {step} then 1 else 0 end, case when {step} then t.s else w.s0 end, t.e from walk w join sentence_turns t on t.project_id = w.project_id and t.sentence = w.sentence + 1)
-    select project_id, sentence, cast(beat as int) as beat from walk"""
+    return "select project_id, place - 1 as sentence, beat from beat_walk"
 
 
 @relation("beat_segmentation", "sentence_split")
@@ -130,27 +147,41 @@ def drop_short_beats(d):
     return "select project_id, beat, beat_start, beat_end from beat_align where beat_end - beat_start >= 0.5e0"
 
 
-@relation("spoken")
+@relation("spoken", public=False)
+def caption_walk(d):
+    begins = "(s.n >= 5 or x.word_end - s.s0 > 2.4e0 or x.word_start - s.e1 > 0.55e0 or (s.stop and s.n >= 2))"
+    stop = d.matches("x.word", "[.!?]$")
+    state = {"caption": ("int", "1", f"s.caption + case when {begins} then 1 else 0 end"), "n": ("int", "1", f"case when {begins} then 1 else s.n + 1 end"),
+             "s0": ("double", "x.word_start", f"case when {begins} then x.word_start else s.s0 end"), "e1": ("double", "x.word_end", "x.word_end"), "stop": ("boolean", stop, stop)}
+    return d.scan("spoken", ["project_id"], "word_index", ["word_start", "word_end", "word"], state)
+
+
+@relation("caption_walk")
 def caption_segmentation(d):
     """Words grouped to captions: at most 5 words, 2.4 long, gaps of 0.55; a sentence's end breaks."""
-    if d.spark:
-        rule = "case when a.st.n = 0 or a.st.n >= 5 or x.e - a.st.s0 > 2.4e0 or x.s - a.st.e1 > 0.55e0 or (a.st.stop and a.st.n >= 2) then struct(a.st.g + 1 as g, 1 as n, x.s as s0, x.e as e1, x.stop as stop) else struct(a.st.g as g, a.st.n + 1 as n, a.st.s0 as s0, x.e as e1, x.stop as stop) end"
-        return f"""
-        select project_id, item.i as word_index, item.g as caption from (select project_id, aggregate(items, named_struct('st', struct(0 as g, 0 as n, 0e0 as s0, 0e0 as e1, false as stop), 'out', cast(array() as array<struct<i:int,g:int>>)),
-          (a, x) -> named_struct('st', {rule}, 'out', concat(a.out, array(struct(x.word_index as i, ({rule}).g as g)))), a -> a.out) as out
-          from (select project_id, array_sort(collect_list(struct(word_index, word_start as s, word_end as e, {d.matches('word', '[.!?]$')} as stop))) as items from spoken group by project_id)) lateral view explode(out) t as item"""
-    step = "w.n >= 5 or t.word_end - w.s0 > 2.4e0 or t.word_start - w.e1 > 0.55e0 or (w.stop and w.n >= 2)"
-    stop = d.matches("{}.word", "[.!?]$")
-    return f"""
-    with recursive walk as (select project_id, word_index, 1 as g, 1 as n, word_start as s0, word_end as e1, {stop.format('spoken')} as stop from spoken where word_index = 1
-      union all select t.project_id, t.word_index, w.g + case when {step} then 1 else 0 end, case when {step} then 1 else w.n + 1 end, case when {step} then t.word_start else w.s0 end, t.word_end, {stop.format('t')} from walk w join spoken t on t.project_id = w.project_id and t.word_index = w.word_index + 1)
-    select project_id, word_index, cast(g as int) as caption from walk"""
+    return "select project_id, word_index, caption from caption_walk"
+
+
+@relation("caption_walk", public=False)
+def caption_groups(d):
+    return "select project_id, caption, cast(count(*) as int) as n, min(s0) as s0, max(e1) as e1 from caption_walk group by project_id, caption"
+
+
+@relation("caption_groups")
+def caption_merge_small(d):
+    """Captions of one word join the one before, merged or not, where it then has at most six
+    words and lasts at most 2.75."""
+    joins = "(x.n < 2 and s.size + x.n <= 6 and x.e1 - s.began <= 2.75e0)"
+    state = {"merged": ("int", "1", f"s.merged + case when {joins} then 0 else 1 end"), "size": ("int", "x.n", f"case when {joins} then s.size + x.n else x.n end"), "began": ("double", "x.s0", f"case when {joins} then s.began else x.s0 end")}
+    return f"select project_id, caption, merged, size from ({d.scan('caption_groups', ['project_id'], 'caption', ['n', 's0', 'e1'], state)}) w"
 
 
-@relation("caption_segmentation", "spoken")
+@relation("caption_segmentation", "caption_merge_small", "spoken")
 def caption_coverage(d):
-    """Whether captions hold all words."""
-    return "select s.project_id, cast(count(*) as bigint) as words, count(distinct c.caption) * 5 >= count(*) as covered, cast(count(distinct c.caption) as bigint) as n_captions from spoken s join caption_segmentation c on c.project_id = s.project_id and c.word_index = s.word_index group by s.project_id"
+    """Whether the words of all captions are as many as were spoken."""
+    return """
+    select s.project_id, s.words, coalesce(c.words, 0) as caption_words, coalesce(c.words, 0) = s.words as covered, coalesce(n_captions, 0) as n_captions from (select project_id, cast(count(*) as bigint) as words from spoken group by project_id) s
+    left join (select g.project_id, cast(count(*) as bigint) as words, cast(count(distinct merged) as bigint) as n_captions from caption_segmentation g join caption_merge_small m on m.project_id = g.project_id and m.caption = g.caption group by g.project_id) c on c.project_id = s.project_id"""
 
 
 @relation("captions", "scenes")
@@ -165,101 +196,152 @@ def analysis_for_scene(d):
     return "select project_id, scene_index, analysis_start, focus_y, face_count, source from (select s.project_id, scene_index, a.analysis_start, focus_y, face_count, source, row_number() over (partition by s.project_id, scene_index order by a.analysis_start, a.analysis_end) as r from scenes s join analyses a on a.project_id = s.project_id and analysis_start <= (scene_start + scene_end) * 0.5e0 and analysis_end > (scene_start + scene_end) * 0.5e0) t where r = 1"
 
 
-@relation("scenes", "analyses")
+@relation("scenes", "analyses", public=False)
+def scene_analyses(d):
+    """The analysis of each scene, with its focus and faces: the covering one, else the nearest by midpoint."""
+    covers = "a.analysis_start <= m and a.analysis_end > m"
+    return f"""
+    select project_id, scene_index, scene_start, scene_end, analysis_start, covers, focus_x, focus_y, face_count, subject_scale, confidence, source from (select s.project_id, scene_index, scene_start, scene_end, a.analysis_start, {covers} as covers, focus_x, focus_y, face_count, subject_scale, confidence, source,
+      row_number() over (partition by s.project_id, scene_index order by case when {covers} then 0 else 1 end, case when {covers} then 0e0 else abs((a.analysis_start + a.analysis_end) * 0.5e0 - m) end, a.n) as r
+      from (select *, (scene_start + scene_end) * 0.5e0 as m from scenes) s join analyses a on a.project_id = s.project_id) t where r = 1"""
+
+
+@relation("scene_analyses")
 def semantic_to_analysis(d):
-    """Every second analysis: the covering one, else the nearest by midpoint."""
-    return """
-    select project_id, scene_index, analysis_start, covers from (select s.project_id, scene_index, a.analysis_start, a.analysis_start <= m and a.analysis_end > m as covers,
-      row_number() over (partition by s.project_id, scene_index order by case when a.analysis_start <= m and a.analysis_end > m then 0 else 1 end, case when a.analysis_start <= m and a.analysis_end > m then 0e0 else abs((a.analysis_start + a.analysis_end) * 0.5e0 - m) end, a.analysis_start) as r
-      from (select *, (scene_start + scene_end) * 0.5e0 as m from scenes) s join (select * from analyses where face_count <> 1) a on a.project_id = s.project_id) t where r = 1"""
+    """Scenes with the analysis that takes their times over, and whether it covers their midpoint."""
+    return "select project_id, scene_index, scene_start, scene_end, analysis_start, covers from scene_analyses"
 
 
 @relation("captions", "spoken")
 def active_caption(d):
-    """The caption on screen at each word's start."""
-    return "select w.project_id, word_index, max(caption_id) as caption_id from spoken w join captions c on c.project_id = w.project_id and word_start >= caption_start and word_start < caption_end group by w.project_id, word_index"
+    """The caption on screen at each word's start, ends included: the first that has not ended."""
+    return "select w.project_id, word_index, min(caption_id) as caption_id from spoken w join captions c on c.project_id = w.project_id and word_start >= caption_start and word_start <= caption_end group by w.project_id, word_index"
 
 
 @relation("captions", "spoken")
 def active_word(d):
-    """The word spoken half a second into each caption: the last that has begun."""
-    return "select c.project_id, caption_id, max(word_index) as word_index from captions c join spoken w on w.project_id = c.project_id and w.t = c.caption_start and word_start <= caption_start + 0.54e0 group by c.project_id, caption_id"
-
-
-@relation("scenes", "captions")
-def motion_state_lookup(d):
-    """Each caption's time as progress through its scene, from zoom 1.0 to 1.12."""
-    return "select c.project_id, caption_id, scene_index, round(1e0 + 0.12e0 * (caption_start - scene_start) / (scene_end - scene_start), 6) as zoom from captions c join scenes s on s.project_id = c.project_id and caption_start >= scene_start and caption_start < scene_end"
+    """The word shown half a second into each caption, from 0: the first that has begun and has
+    ended at most 0.04 ago, else the last that has begun, else the first."""
+    at = "caption_start + 0.5e0"
+    return f"""
+    select c.project_id, caption_id, cast(coalesce(min(case when word_start <= {at} and {at} <= word_end + 0.04e0 then place end), max(case when word_start <= {at} then place end), 1) - 1 as int) as active
+    from captions c join spoken w on w.project_id = c.project_id and w.n = c.caption_id group by c.project_id, caption_id"""
 
 
-@relation("analysis_for_scene")
+@relation("scenes", "analysis_for_scene")
 def required_position(d):
-    """Where captions must stand to keep faces clear; null where nothing is known."""
-    return "select project_id, scene_index, case when focus_y >= 0.55e0 then 'top' when focus_y <= 0.45e0 then 'bottom' when source in ('face', 'saliency') then 'bottom' end as position from analysis_for_scene"
+    """Where captions must stand to keep faces clear, and why; null where nothing is known."""
+    y = "concat(cast(cast(floor(round(focus_y * 100e0) / 100e0) as int) as string), '.', lpad(cast(cast(round(focus_y * 100e0) as int) % 100 as string), 2, '0'))"
+    label = "case when face_count > 0 then 'Face' else 'Primary subject' end"
+    return f"""
+    select s.project_id, s.scene_index, case when focus_y >= 0.55e0 then 'top' when focus_y <= 0.45e0 then 'bottom' when source in ('face', 'saliency') then 'bottom' end as position,
+      case when focus_y >= 0.55e0 then concat({label}, ' detected in the lower frame at y=', {y}, '.') when focus_y <= 0.45e0 then concat({label}, ' detected in the upper frame at y=', {y}, '.')
+        when source in ('face', 'saliency') then concat({label}, ' detected near center at y=', {y}, '; bottom is the safer edge.') else 'No reliable face or subject metadata is available.' end as reason,
+      coalesce(face_count, 0) > 0 as face, coalesce(source in ('face', 'saliency'), false) as subject from scenes s left join analysis_for_scene a on a.project_id = s.project_id and a.scene_index = s.scene_index"""
 
 
-@relation("scenes", "required_position")
+@relation("required_position")
 def caption_position_carry(d):
     """The position in force: the last one required, else the bottom."""
-    return f"select s.project_id, s.scene_index, coalesce({d.last_known('position', 'partition by s.project_id order by s.scene_index rows between unbounded preceding and current row')}, 'bottom') as position from scenes s left join required_position r on r.project_id = s.project_id and r.scene_index = s.scene_index"
+    return f"select project_id, scene_index, coalesce({d.last_known('position', 'partition by project_id order by scene_index rows between unbounded preceding and current row')}, 'bottom') as position from required_position"
 
 
 @relation("caption_position_carry")
 def placement_stability(d):
-    """Whether captions moved from scene to scene."""
-    return "select project_id, scene_index, position, coalesce(position <> lag(position) over (partition by project_id order by scene_index), false) as moved from caption_position_carry"
+    """Whether captions moved from the scene before, at first from the bottom."""
+    return "select project_id, scene_index, position, position <> coalesce(lag(position) over (partition by project_id order by scene_index), 'bottom') as moved from caption_position_carry"
 
 
-@relation("spoken")
+#: Words that are never highlighted.
+STOP_HIGHLIGHT = ("about", "after", "again", "because", "before", "could", "every", "first", "from", "have", "into", "more", "other", "over", "said", "some", "than", "that", "their", "them", "then", "there", "these", "they", "this", "through", "under", "very", "were", "what", "when", "where", "which", "while", "with", "would", "your")
+
+
+@relation("scene_words", public=False)
+def match_terms(d):
+    """The six commonest content words of each scene, which stand for its match terms."""
+    return "select project_id, scene_index, word as term from (select project_id, scene_index, word, row_number() over (partition by project_id, scene_index order by c desc, word) as r from scene_words) t where r <= 6"
+
+
+@relation("caption_scene_interval_join", "spoken", "match_terms")
 def highlight_topk(d):
-    """The first three distinct long words of each project."""
+    """The first two distinct words of a scene's captions that are a year or, with five
+    letters or more, a match term."""
     clean = d.replace("word", "^[^A-Za-z0-9]+|[^A-Za-z0-9-]+$", "")
-    return f"select project_id, word, cast(r as int) as place from (select project_id, word, row_number() over (partition by project_id order by first_at) as r from (select project_id, lower({clean}) as word, min(word_index) as first_at from spoken group by project_id, lower({clean})) a where length(word) >= 8 ) t where r <= 3"
+    return f"""
+    select project_id, scene_index, clean as word, cast(r as int) as place from (select project_id, scene_index, clean, row_number() over (partition by project_id, scene_index order by first_at) as r
+      from (select w.project_id, w.scene_index, lower(clean) as folded, min(word_index) as first_at, {'min_by' if d.spark else 'arg_min'}(clean, word_index) as clean from (select s.project_id, c.scene_index, word_index, {clean} as clean from caption_scene_interval_join c join spoken s on s.project_id = c.project_id and s.n = c.caption_id) w
+        left join match_terms m on m.project_id = w.project_id and m.scene_index = w.scene_index and m.term = lower(clean) where {d.matches('clean', '^(19|20)[0-9][0-9]$')} or (m.term is not null and length(clean) >= 5 and lower(clean) not in {words_in(STOP_HIGHLIGHT)}) group by w.project_id, w.scene_index, lower(clean)) f) t where r <= 2"""
+
+
+@relation("spoken", public=False)
+def wrap_walk(d):
+    begins = "(s.len > 0 and s.len + length(x.word) + 1 > 24 and s.line < 2)"
+    state = {"line": ("int", "1", f"s.line + case when {begins} then 1 else 0 end"), "len": ("int", "length(x.word)", f"case when {begins} then length(x.word) else s.len + length(x.word) + 1 end")}
+    return d.scan("spoken", ["project_id", "n"], "place", ["word"], state)
 
 
-@relation("captions")
+@relation("wrap_walk")
 def wrap_caption(d):
-    """Caption words wrapped at 24 characters: the line each word stands on."""
-    if d.spark:
-        rule = "case when a.st.len > 0 and a.st.len + length(x) + 1 > 24 then struct(a.st.line + 1 as line, length(x) as len) else struct(a.st.line as line, a.st.len + length(x) + case when a.st.len > 0 then 1 else 0 end as len) end"
-        return f"select project_id, caption_id, cast(size(out) as int) as n_words, cast(array_max(out) as int) as n_lines from (select project_id, caption_id, aggregate(split(caption_text, ' '), named_struct('st', struct(1 as line, 0 as len), 'out', cast(array() as array<int>)), (a, x) -> named_struct('st', {rule}, 'out', concat(a.out, array(({rule}).line))), a -> a.out) as out from captions)"
-    return """
-    with recursive parts as (select project_id, caption_id, regexp_split_to_array(caption_text, ' ') as p from captions),
-    walk as (select project_id, caption_id, p, 1 as i, 1 as line, length(p[1]) as n from parts union all
-      select project_id, caption_id, p, i + 1, line + case when n + length(p[i + 1]) + 1 > 24 then 1 else 0 end, case when n + length(p[i + 1]) + 1 > 24 then length(p[i + 1]) else n + length(p[i + 1]) + 1 end from walk where i < len(p))
-    select project_id, caption_id, cast(max(i) as int) as n_words, cast(max(line) as int) as n_lines from walk group by project_id, caption_id"""
+    """Caption words wrapped at 24 characters to two lines, of which the last takes what is
+    left: the numbers of the words on each line."""
+    return f"select project_id, n as caption_id, cast(max(line) as int) as n_lines, {d.agg_text('cast(place - 1 as string)', ' ', 'place')} as words, cast(count_if(line = 1) as int) as first_line, cast(max(len) as int) as longest from wrap_walk group by project_id, n"
 
 
-@relation("required_position", "caption_position_carry", "scenes")
+@relation("required_position", "placement_stability", "highlight_topk", "caption_scene_interval_join", "wrap_caption")
 def caption_plan(d):
-    """Position and anchor of each scene's captions, and whether it was required."""
-    return "select c.project_id, c.scene_index, c.position, case c.position when 'top' then 0.18e0 else 0.72e0 end as anchor, r.position is not null as required from caption_position_carry c left join required_position r on r.project_id = c.project_id and r.scene_index = c.scene_index"
+    """The caption layout of each scene: place, sizes, highlights, layouts and the reason."""
+    n = "chr(34)"
+    quoted = f"concat({n}, word, {n})"
+    return f"""
+    select s.project_id, s.scene_index + 1 as scene, s.position, case s.position when 'top' then 0.18e0 when 'center' then 0.5e0 else 0.72e0 end as vertical_anchor, 0.82e0 as max_width, 2 as max_lines, 0.08e0 as safe_margin, coalesce(words, '') as highlight_words, '#FFD54A' as highlight_color,
+      true as contrast_required, true as outline_recommended, coalesce(n_captions, 0) as caption_count, r.face as face_avoidance_applied, r.subject as subject_avoidance_applied, coalesce(layouts, '') as caption_layouts,
+      concat_ws(' ', r.reason, concat(upper(substring(s.position, 1, 1)), substring(s.position, 2), ' placement chosen.'), 'Up to 2 lines with 0.82 maximum width preserve reading comfort.', case when words is null then 'No conservative highlight candidate was found.' else concat('Conservative highlights: ', quoted, '.') end,
+        'Safe margin 0.08 maintained.', case when moved then 'Placement moved only to avoid detected visual content.' else 'Placement remains stable.' end) as reason
+    from placement_stability s join required_position r on r.project_id = s.project_id and r.scene_index = s.scene_index
+    left join (select project_id, scene_index, {d.agg_text('word', ',', 'place')} as words, {d.agg_text(quoted, ', ', 'place')} as quoted from highlight_topk group by project_id, scene_index) h on h.project_id = s.project_id and h.scene_index = s.scene_index
+    left join (select c.project_id, c.scene_index, cast(count(*) as int) as n_captions, {d.agg_text("concat(cast(c.caption_id as string), ':', cast(first_line as string))", ',', 'c.caption_id')} as layouts from caption_scene_interval_join c join wrap_caption w on w.project_id = c.project_id and w.caption_id = c.caption_id group by c.project_id, c.scene_index) l on l.project_id = s.project_id and l.scene_index = s.scene_index"""
 
 
 @relation("embeddings", public=False)
 def frames(d):
-    """Frames with non-negative histograms, a bin for each value of the embedding."""
-    return f"select vec_id, label, hist, {d.sum_of('hist')} as total from (select vec_id, label, {d.map('embedding', 'abs(x * 1e0)')} as hist from embeddings) e"
+    """Sampled frames of clips, two a second, with non-negative histograms (every fourth frame
+    has the bins of another kind of picture) and a measure of detail."""
+    other = d.map("embedding", "case when x > 0 then x * 1e0 else 0e0 end")
+    like = d.map("embedding", "0.2e0 + abs(x * 1e0)")
+    return f"""
+    select *, {d.sum_of('hist')} as total, cast(row_number() over (partition by clip order by vec_id) as int) as frame, (row_number() over (partition by clip order by vec_id) - 1) * 0.5e0 as t
+    from (select vec_id, concat(cast(label as string), '-', cast(cast(floor(vec_id / 400e0) as int) as string)) as clip, case when vec_id % 9 < 4 then {other} else {like} end as hist, vec_id * 37 % 101 as detail from embeddings) e"""
 
 
 @relation("frames")
 def bhattacharyya(d):
-    """Distance of each frame's whole histogram from the one before."""
-    over = "over (partition by label order by vec_id)"
+    """Distance of each frame's whole histogram from the one before in its clip, 0 at first."""
+    over = "over (partition by clip order by frame)"
     root = d.sum_of(d.zip("hist", "p", "sqrt(coalesce(x, 0e0) * coalesce(y, 0e0))"))
-    return f"select vec_id, label, round(sqrt(greatest(0e0, 1e0 - {root} / sqrt(total * p_total))), 6) as distance from (select *, lag(hist) {over} as p, lag(total) {over} as p_total from frames) t where p is not null"
+    return f"select vec_id, clip, frame, t, detail, case when p is null then 0e0 else round(sqrt(greatest(0e0, 1e0 - {root} / sqrt(total * p_total))), 6) end as distance from (select *, lag(hist) {over} as p, lag(total) {over} as p_total from frames) t"
 
 
-@relation("bhattacharyya")
+@relation("bhattacharyya", public=False)
+def cut_walk(d):
+    cut = "(x.distance > 0.53e0 and x.t - s.began >= 1.2e0)"
+    state = {"scene": ("int", "1", f"s.scene + case when {cut} then 1 else 0 end"), "began": ("double", "x.t", f"case when {cut} then x.t else s.began end")}
+    return d.scan("bhattacharyya", ["clip"], "frame", ["distance", "t"], state)
+
+
+@relation("cut_walk", "bhattacharyya")
 def cut_detection(d):
-    """Frames of a cut: distance over 0.25, the first of a run."""
-    return "select vec_id, label from (select *, lag(distance) over (partition by label order by vec_id) as before from bhattacharyya) t where distance > 0.25e0 and (before is null or before <= 0.25e0)"
+    """Scenes of each clip: a cut needs a distance over 0.53 and 1.2 since the last one; the
+    frame of most detail, the first of several, stands for a scene. A last scene of 0.05 or
+    less is none."""
+    return """
+    select clip, scene, began, coalesce(lead(began) over (partition by clip order by scene), last_t) as ended, representative from (select w.clip, scene, min(began) as began, max(t) + 0.5e0 as last_t, max(case when r = 1 then vec_id end) as representative
+      from (select w.clip, w.frame, scene, began, vec_id, t, row_number() over (partition by w.clip, scene order by detail desc, w.frame) as r from cut_walk w join bhattacharyya b on b.clip = w.clip and b.frame = w.frame) w group by w.clip, scene) u where last_t > began + 0.05e0"""
 
 
-@relation("analyses")
+@relation("faces")
 def face_centroid(d):
-    """Mean focus of a project weighted by faces."""
-    return "select project_id, round(sum(cast(round(focus_y * 10000e0) as bigint) * (face_count + 1)) * 1e0 / (sum(face_count + 1) * 10007e0), 6) as focus_y from analyses group by project_id"
+    """Centre of the faces of each frame, weighted by area, with confidence and the share of the frame they fill."""
+    return "select project_id, n, round(sum((x + w / 2e0) / 1920e0 * (w * h)) / sum(w * h), 4) as focus_x, round(sum((y + h / 2e0) / 1080e0 * (w * h)) / sum(w * h), 4) as focus_y, least(1e0, 0.72e0 + 0.08e0 * count(*)) as confidence, cast(count(*) as int) as face_count, round(least(1e0, sum(w * h) / (1920e0 * 1080e0)), 4) as subject_scale from faces group by project_id, n"
 
 
 @relation("timed")

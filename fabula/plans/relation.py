@@ -116,6 +116,19 @@ class Spark:
     def hex2(self, x):
         return f"lower(lpad(hex({x}), 2, '0'))"
 
+    def scan(self, source, keys, at, fields, state):
+        """Rows of `source`, numbered by `at` from 1 within the keys, each with a state that
+        depends on the state of the row before. state: name -> (type, first, step), where x.
+        is the row (of which `fields` are used) and s. the state before."""
+        struct = ", ".join([f"{at}:int", *(f"{n}:{t}" for n, (t, _, _) in state.items())])
+        first = ", ".join(f"cast({f} as {t}) as {n}" for n, (t, f, _) in state.items())
+        before = lambda e: re.sub(r"\bs\.", "get(a, size(a) - 1).", e)
+        step = ", ".join(f"cast({before(e)} as {t}) as {n}" for n, (t, _, e) in state.items())
+        items = f"array_sort(collect_list(struct(cast({at} as int) as {at}, {', '.join(fields)})))"
+        walk = f"aggregate(items, cast(array() as array<struct<{struct}>>), (a, x) -> concat(a, array(case when size(a) = 0 then struct(x.{at} as {at}, {first}) else struct(x.{at} as {at}, {step}) end)))"
+        own = ", ".join(keys)
+        return f"select {own}, {', '.join(f'r.{n} as {n}' for n in (at, *state))} from (select {own}, {walk} as rows from (select {own}, {items} as items from {source} group by {own})) lateral view explode(rows) t as r"
+
     def values(self, name, columns, rows):
         body = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
         return f"select * from values {body} as {name}({', '.join(columns)})"
@@ -210,6 +223,13 @@ class Duck(Spark):
     def range(self, a, b):
         return f"range({a}, {b} + 1)"
 
+    def scan(self, source, keys, at, fields, state):
+        own = ", ".join(f"x.{k}" for k in keys)
+        first = ", ".join(f"cast({f} as {t}) as {n}" for n, (t, f, _) in state.items())
+        step = ", ".join(f"cast({e} as {t}) as {n}" for n, (t, _, e) in state.items())
+        same = " and ".join(f"x.{k} = s.{k}" for k in keys)
+        return f"with recursive walk as (select {own}, cast(x.{at} as int) as {at}, {first} from {source} x where x.{at} = 1 union all select {own}, cast(x.{at} as int) as {at}, {step} from walk s join {source} x on {same} and x.{at} = s.{at} + 1) select * from walk"
+
     def values(self, name, columns, rows):
         body = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
         return f"select * from (values {body}) as {name}({', '.join(columns)})"
@@ -273,7 +293,8 @@ def render(name: str, dialect: Spark, sources: dict[str, str] | None = None) ->
     chain = needed(name, frozenset(sources))
     used = {i for n in chain for i in RELATIONS[n].inputs}
     parts = [f"{t} as ({q})" for t, q in sources.items() if t in used]
-    parts += [f"{n} as ({RELATIONS[n].sql(dialect).strip()})" for n in chain]
+    once = "" if dialect.spark else "materialized "  # an oracle may hold what several relations read
+    parts += [f"{n} as {once}({RELATIONS[n].sql(dialect).strip()})" for n in chain]
     return "with " + ",\n".join(parts) + f"\nselect * from {name}"
 
 

@@ -83,9 +83,19 @@ def captions(d):
 
 @relation("timed", public=False)
 def analyses(d):
-    """Frame analyses: intervals with a focus and faces, from event values."""
+    """Frame analyses: intervals of at most 6 (some scenes' midpoints lie between them) with
+    focus, faces, how much of the frame a subject fills, and confidence, from event values."""
     return """
-    select project_id, t as analysis_start, coalesce(lead(t) over (partition by project_id order by n), t + 5e0) as analysis_end,
-           round(value / 201e0 - floor(value / 201e0), 4) as focus_y, cast(event_id % 3 as int) as face_count,
+    select project_id, n, t as analysis_start, least(coalesce(lead(t) over (partition by project_id order by n), t + 5e0), t + 6e0) as analysis_end,
+           round(value * 0.53e0 - floor(value * 0.53e0), 4) as focus_x, round(value * 0.37e0 - floor(value * 0.37e0), 4) as focus_y, cast(event_id % 3 as int) as face_count,
+           round((value / 53e0 - floor(value / 53e0)) * 0.5e0, 4) as subject_scale, round(0.25e0 + (value / 89e0 - floor(value / 89e0)) * 0.7e0, 4) as confidence,
            case when event_id % 3 > 0 then 'face' when event_id % 2 = 0 then 'saliency' else 'center' end as source
     from timed"""
+
+
+@relation("timed", public=False)
+def faces(d):
+    """Boxes of faces in frames of 1920 by 1080, one or two at the events that have faces."""
+    return """
+    select project_id, n, face, 100e0 + value * 7e0 + 400e0 * face as x, 60e0 + value * 3e0 + 90e0 * face as y, 80e0 + value + 40e0 * face as w, 100e0 + value * 1.3e0 as h
+    from timed join (select 1 as face union all select 2) f on face <= event_id % 3"""

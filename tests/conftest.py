@@ -17,6 +17,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.showConsoleProgress", "false")
+        # plans of a few rows each: compiling them would take most of the time
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "FALLBACK")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
