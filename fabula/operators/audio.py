@@ -4,7 +4,7 @@ from ..plans.relation import literal, quote, relation
 from .text import WORD_AMBIENCE, WORD_STORY, clamp
 
 #: Words that negate a phrase within the three words after them.
-NEGATIONS = "not no never without inte ingen inget inga ej utan".split()
+NEGATIONS = ("not", "no", "never", "without", "inte", "ingen", "inget", "inga", "ej", "utan")
 
 #: Text signals by category.
 TEXT_SIGNALS = {
@@ -29,8 +29,10 @@ TEXT_SIGNALS = {
 ROLE_INTENT = [("hook", "establish"), ("setup", "establish"), ("context", "support"), ("development", "build"), ("evidence", "support"), ("complication", "build"), ("contrast", "tension"), ("counterargument", "tension"), ("revelation", "release"), ("turning_point", "build"), ("resolution", "resolution"), ("epilogue", "reflection"), ("transition", "transition")]
 SEMANTIC_INTENT = [("introduction", "establish"), ("context", "support"), ("explanation", "support"), ("development", "build"), ("escalation", "tension"), ("reveal", "release"), ("reflection", "reflection"), ("conclusion", "resolution")]
 INTENT_ENERGY = [("neutral", 0.0), ("support", 0.0), ("establish", -0.04), ("reflection", -0.12), ("release", -0.08), ("transition", -0.02), ("build", 0.12), ("tension", 0.22), ("resolution", 0.02), ("climax", 0.38)]
-TONE_ENERGY = [("neutral", 0.0, 0), ("calm", -0.08, 1), ("reflective", -0.07, 2), ("mysterious", 0.04, 3), ("tense", 0.10, 4), ("somber", -0.05, 5), ("hopeful", 0.03, 6), ("dramatic", 0.10, 7), ("uplifting", 0.08, 8), ("triumphant", 0.12, 9)]
-STYLE_ORDER = [(s, i) for i, s in enumerate("documentary ambient minimal emotional_piano cinematic suspense orchestral".split())]
+TONE_ENERGY = [("neutral", 0.0), ("calm", -0.08), ("reflective", -0.07), ("mysterious", 0.04), ("tense", 0.10), ("somber", -0.05), ("hopeful", 0.03), ("uplifting", 0.08), ("triumphant", 0.12), ("dramatic", 0.10)]
+#: The order in which tones and styles win ties.
+TONE_ORDER = ("neutral", "calm", "reflective", "mysterious", "tense", "somber", "hopeful", "dramatic", "uplifting", "triumphant")
+STYLE_ORDER = ("documentary", "ambient", "minimal", "emotional_piano", "cinematic", "suspense", "orchestral", "none")
 #: Places that a text may name. "station" stands twice, so it counts twice.
 AMBIENCE = {
     "urban": ("city", "street", "traffic", "stad", "gata", "trafik"),
@@ -62,8 +64,10 @@ def negated(d, p: str) -> str:
 
 @relation("scenes", public=False)
 def audio_text(d):
+    """Scenes with their words in a row, and what some of them ask for: a pause, an
+    environment, a hard cut."""
     ambient = f"concat(' ', {d.join(d.tokens('lower(voiceover_text)', WORD_AMBIENCE), ' ')}, ' ')"
-    return f"select project_id, scene_index, scene_start, scene_end, voiceover_text, concat(' ', {d.join(d.tokens('lower(voiceover_text)', WORD_STORY), ' ')}, ' ') as line, {ambient} as ambient from scenes"
+    return f"select project_id, scene_index, scene_start, scene_end, voiceover_text, concat(' ', {d.join(d.tokens('lower(voiceover_text)', WORD_STORY), ' ')}, ' ') as line, {ambient} as ambient, scene_index % 2 = 1 as pause, case scene_index % 3 when 0 then 'urban' when 1 then 'transport' end as explicit, scene_index % 4 = 2 as hard_cut from scenes"
 
 
 @relation("audio_text", public=False)
@@ -72,22 +76,29 @@ def audio_evidence(d):
     return f"select *, {cols} from audio_text"
 
 
-@relation("audio_evidence")
+@relation("audio_text")
 def text_evidence(d):
     """Accepted phrases of each category: present, and nowhere negated."""
-    return f"select project_id, scene_index, {', '.join('e_' + c for c in TEXT_SIGNALS)} from audio_evidence"
+    own = lambda ps: ", ".join(f"case when {occurs(p)} and not {negated(d, p)} then {quote(p)} end" for p in sorted(ps))
+    columns = ", ".join("concat_ws('|', " + own(ps) + f") as {c}" for c, ps in TEXT_SIGNALS.items())
+    return f"select project_id, scene_index, {columns} from audio_text"
 
 
 @relation("audio_text")
 def phrase_occurs(d):
-    """Whether five phrases occur, as whole words in a row."""
-    return "select project_id, scene_index, " + ", ".join(f"{occurs(p)} as has_{p.replace(' ', '_')}" for p in ("danger", "looking back", "in the end", "turning point", "quiet")) + " from audio_text"
+    """The phrases of any category that a scene has, as whole words in a row."""
+    phrases = sorted({p for ps in TEXT_SIGNALS.values() for p in ps})
+    there = d.keep(d.strings(*phrases), "contains(line, concat(' ', x, ' '))")
+    return f"select project_id, scene_index, phrase from {d.unnest(f'(select project_id, scene_index, {there} as ps from audio_text) s', 'ps', 'phrase')}"
 
 
-@relation("audio_text")
+@relation("phrase_occurs", "audio_text")
 def phrase_negated(d):
-    """Whether an occurrence of a phrase follows a negation by at most three words."""
-    return f"select project_id, scene_index, {occurs('danger')} and {negated(d, 'danger')} as danger_negated from audio_text"
+    """Phrases that a scene has, and whether one of their occurrences follows a negation by at
+    most three words."""
+    no = "|".join(NEGATIONS)
+    test = "o.phrase, ' ')"
+    return f"select o.project_id, o.scene_index, o.phrase, {'regexp_like' if d.spark else 'regexp_matches'}(t.line, concat(' ({no})( [^ ]+)?( [^ ]+)? ', {test}) as negated from phrase_occurs o join audio_text t on t.project_id = o.project_id and t.scene_index = o.scene_index"
 
 
 @relation(public=False)
@@ -196,17 +207,19 @@ def audio_scenes(d):
     structural = "case when accepted then 0.42e0 + 0.10e0 + 0.15e0 else 0e0 end + case when semantic_audio is not null then 0.20e0 else 0e0 end"
     confidence = clamp(f"0.24e0 + {structural} + least(0.16e0, ({categories}) * 0.025e0) - case when accepted then 0e0 else 0.08e0 end - least(0.24e0, (intent_conflicts + tone_conflicts) * 0.12e0) + case when audio_intent in ('climax', 'tension') or emotional_tone in ('triumphant', 'dramatic', 'tense') then 0.05e0 else 0e0 end")
     pick = lambda column, pairs: f"case {column} " + " ".join(f"when '{k}' then {literal(v)}" for k, v in pairs) + " end"
-    intent_add, tone_add = pick("audio_intent", INTENT_ENERGY), pick("emotional_tone", [(k, v) for k, v, _ in TONE_ENERGY])
-    energy = clamp(f"0.40e0 + {intent_add} + {tone_add} + coalesce((tension - 0.5e0) * 0.18e0, 0e0) + coalesce((emotional - 0.5e0) * 0.12e0, 0e0) + coalesce(revelation * 0.06e0, 0e0)")
+    energy = clamp(f"0.40e0 + {pick('audio_intent', INTENT_ENERGY)} + {pick('emotional_tone', TONE_ENERGY)} + coalesce((tension - 0.5e0) * 0.18e0, 0e0) + coalesce((emotional - 0.5e0) * 0.12e0, 0e0) + coalesce(revelation * 0.06e0, 0e0)")
     return f"""
-    select *, coalesce(audio_intent = 'climax' and story_role = 'climax' and story_phase = 'climax' and tension >= 0.70e0 and confidence >= 0.75e0, false) as supported
-    from (select project_id, scene_index, scene_start, scene_end, voiceover_text, ambient, accepted, story_role, story_phase, tension, emotional, revelation, audio_intent, emotional_tone, {pick("emotional_tone", [(k, o) for k, _, o in TONE_ENERGY])} as tone_order, {confidence} as confidence, {energy} as energy from audio_tones)"""
+    select *, coalesce(audio_intent = 'climax' and story_role = 'climax' and story_phase = 'climax' and tension >= 0.70e0 and confidence >= 0.75e0, false) as supported, not accepted and not has_semantic as fallback_used
+    from (select project_id, scene_index, cast(scene_index + 1 as int) as place, scene_start, scene_end, voiceover_text, ambient, pause, explicit, hard_cut, accepted, semantic_audio is not null as has_semantic, story_role, story_phase, tension, emotional, revelation, audio_intent, emotional_tone, cast(intent_conflicts + tone_conflicts as int) as conflicts,
+      cast(case when accepted then 5 else 0 end + case when semantic_audio is not null then 1 else 0 end + {' + '.join('e_' + c for c in TEXT_SIGNALS)} as int) as n_signals, {confidence} as confidence, {energy} as energy from audio_tones) t"""
 
 
 @relation("audio_scenes")
 def audio_classify(d):
-    """Intent, tone, confidence and fallback of each scene."""
-    return "select project_id, scene_index, audio_intent, emotional_tone, confidence, not accepted as story_rejected from audio_scenes"
+    """Intent, tone, confidence, fallback and rationale of each scene."""
+    return """
+    select project_id, scene_index, audio_intent, emotional_tone, confidence, n_signals, conflicts, fallback_used, case when fallback_used then case when trim(ambient) <> '' then 'No compatible structural metadata; conservative semantic-text fallback used.' else 'No usable structural or text metadata; neutral fallback used.' end end as fallback_reason,
+      case when not accepted then 'story_director_scene_count_mismatch' end as warning, concat('Intent ', audio_intent, ' and tone ', emotional_tone, ' selected from ', cast(n_signals as string), ' accepted signal(s); ', cast(conflicts as string), ' conflict(s) resolved.') as rationale from audio_scenes"""
 
 
 @relation("audio_scenes")
@@ -221,22 +234,31 @@ def supported_contrast(d):
     return "select project_id, scene_index, supported from audio_scenes"
 
 
-@relation("audio_scenes")
+#: What scenes carry through the pass over energies, so that nothing is joined back.
+CARRIED = {"scene_index": "int", "scene_start": "double", "scene_end": "double", "voiceover_text": "string", "ambient": "string", "pause": "boolean", "explicit": "string", "hard_cut": "boolean", "accepted": "boolean", "story_role": "string", "story_phase": "string", "tension": "double", "emotional": "double", "revelation": "double",
+           "audio_intent": "string", "emotional_tone": "string", "conflicts": "int", "n_signals": "int", "confidence": "double", "energy": "double", "supported": "boolean", "fallback_used": "boolean"}
+
+
+@relation("audio_scenes", public=False)
+def audio_final(d):
+    """Scenes with the smoothed energy, one pass in scene order."""
+    final = "round(greatest(0e0, least(1e0, least(s.final + case when x.supported and x.energy - s.final > 0.30e0 then 0.45e0 else 0.30e0 end, greatest(s.final - 0.30e0, x.energy)))), 4)"
+    state = {n: (t, f"x.{n}", f"x.{n}") for n, t in CARRIED.items()}
+    state |= {"final": ("double", "x.energy", final), "adjustment": ("string", "'unchanged'", f"case when {final} < x.energy then 'limited_up' when {final} > x.energy then 'limited_down' else 'unchanged' end"), "preserved": ("boolean", "false", f"x.supported and x.energy - s.final > 0.30e0 and {final} - s.final > 0.30e0")}
+    return d.scan("audio_scenes", ["project_id"], "place", list(CARRIED), state)
+
+
+@relation("audio_final")
 def energy_smooth(d):
-    """Energy bounded to steps of 0.30 (0.45 up for supported climaxes), in scene order."""
-    step = "round(greatest(0e0, least(1e0, least({p} + case when {s} and {c} - {p} > 0.30e0 then 0.45e0 else 0.30e0 end, greatest({p} - 0.30e0, {c})))), 4)"
-    if d.spark:
-        rule = step.format(p="get(acc, size(acc) - 1)", s="x.supported", c="x.energy")
-        return f"""
-        select project_id, cast(i as int) as scene_index, final from (select project_id, aggregate(array_sort(collect_list(struct(scene_index, energy, supported))), cast(array() as array<double>),
-          (acc, x) -> concat(acc, array(case when size(acc) = 0 then x.energy else {rule} end))) as finals from audio_scenes group by project_id) lateral view posexplode(finals) f as i, final"""
-    chain = "select project_id, scene_index, energy as final from audio_scenes where scene_index = 0 union all select j.project_id, j.scene_index, " + step.format(p="w.final", s="j.supported", c="j.energy") + " from walk w join audio_scenes j on j.project_id = w.project_id and j.scene_index = w.scene_index + 1"
-    return f"with recursive walk as ({chain}) select * from walk"
-
-
-@relation("audio_scenes", "energy_smooth", public=False)
+    """Energy bounded to steps of 0.30 (0.45 up for supported climaxes), in scene order, what
+    was done to it, and whether a supported contrast was kept."""
+    return "select project_id, scene_index, final, adjustment, preserved from audio_final"
+
+
+@relation("audio_final", public=False)
 def audio_sound(d):
-    """Scenes with the smoothed energy, music, ambience, density, silence and ducking."""
+    """Scenes with music, ambience, density and silence. A pause that the structure supports
+    silences music and ambience."""
     count = {k: " + ".join(f"case when {occurs(p).replace('line', 'ambient', 1)} then 1 else 0 end" for p in ps) for k, ps in AMBIENCE.items()}
 
     def score(k):
@@ -245,94 +267,109 @@ def audio_sound(d):
         return f"case when explicit is null and c_{k} >= 3 then 0.72e0 else case when explicit = '{k}' then 0.65e0 else 0e0 end + least(0.30e0, c_{k} * 0.10e0) end as a_{k}"
 
     top, pick = rank(list(AMBIENCE), "a")
-    asked = "(scene_index % 2 = 1 and story_role in ('epilogue', 'revelation', 'resolution', 'climax') and (story_role = 'epilogue' or revelation >= 0.75e0 or emotional >= 0.75e0) and confidence >= 0.70e0)"
+    silent = "(pause and story_role in ('epilogue', 'revelation', 'resolution', 'climax') and (story_role = 'epilogue' or coalesce(revelation, 0e0) >= 0.75e0 or coalesce(emotional, 0e0) >= 0.75e0) and confidence >= 0.70e0)"
     style = """case when emotional_tone in ('calm', 'reflective') or audio_intent = 'reflection' then case when final >= 0.25e0 then 'ambient' else 'minimal' end
         when emotional_tone = 'somber' then 'emotional_piano' when audio_intent = 'tension' and story_role in ('complication', 'contrast', 'counterargument', 'climax') and tension >= 0.65e0 then 'suspense'
         when audio_intent = 'climax' and supported then case when emotional_tone = 'triumphant' then 'orchestral' else 'cinematic' end else 'documentary' end"""
     music = clamp("final * 0.72e0 - case when audio_intent in ('support', 'neutral', 'establish') then 0.08e0 else 0e0 end + case when supported then 0.08e0 else 0e0 end")
-    ambience_level = clamp("least(final, greatest(0e0, least(final * 0.45e0, 0.35e0) - 0.08e0))")
+    level = clamp("least(final, greatest(0e0, least(final * 0.45e0, 0.35e0) - case when narrated then 0.08e0 else 0e0 end))")
     return f"""
-    select *, ambience_level > 0e0 as ambience_on, case when ambience_level > 0e0 then best_place else 'none' end as place
-    from (select *, case when a_top >= 0.70e0 then {ambience_level} else 0e0 end as ambience_level from (select *, case {pick} end as best_place from (select *, {top} as a_top from (select *, {', '.join(map(score, AMBIENCE))}
-      from (select s.*, final, {style} as style, {music} as music_level, {clamp("length(voiceover_text) / greatest(1e0, (scene_end - scene_start) * 20e0)")} as density, coalesce({asked}, false) as intentional,
-                   case s.scene_index % 3 when 0 then 'urban' when 1 then 'transport' end as explicit, {', '.join(f'{c} as c_{k}' for k, c in count.items())}
-            from audio_scenes s join (select project_id as p2, scene_index as i2, final from energy_smooth) e on p2 = s.project_id and i2 = s.scene_index)))))""".replace("(scene_index % 2 = 1", "(s.scene_index % 2 = 1")
+    select *, ambience_supported and not intentional as ambience_on, case when ambience_supported and not intentional then best_place else 'none' end as place_kind, case when intentional then 'none' else planned_style end as style, case when intentional then 0e0 else planned_level end as music_level, case when intentional then 0e0 else ambience_raw end as ambience_level
+    from (select *, ambience_raw > 0e0 as ambience_supported from (select *, case when a_top >= 0.70e0 then {level} else 0e0 end as ambience_raw from (select *, case {pick} end as best_place from (select *, {top} as a_top from (select *, {', '.join(map(score, AMBIENCE))}
+      from (select *, {style} as planned_style, {music} as planned_level, trim(voiceover_text) <> '' as narrated, {clamp("length(voiceover_text) / greatest(1e0, (scene_end - scene_start) * 20e0)")} as density, coalesce({silent}, false) as intentional, {', '.join(f'{c} as c_{k}' for k, c in count.items())} from audio_final) a) b) c) e) f) g"""
 
 
 @relation("audio_sound")
 def music_plan(d):
-    """Style by a decision list; intensity from the smoothed energy."""
-    return "select project_id, scene_index, style, music_level as intensity, final as energy from audio_sound"
+    """Style by a decision list and intensity from the smoothed energy; off in a pause."""
+    four = "concat(cast(cast(floor(final) as int) as string), '.', lpad(cast(cast(round(final * 10000e0) as int) % 10000 as string), 4, '0'))"
+    return f"select project_id, scene_index, not intentional as enabled, style, music_level as intensity, case when planned_style = 'documentary' and (audio_intent in ('tension', 'climax') or emotional_tone in ('dramatic', 'triumphant')) then 'aggressive_music_style_downgraded' end as warning, case when intentional then 'Intentional silence suppresses music metadata.' else concat('Style ', planned_style, ' from intent ', audio_intent, ', tone ', emotional_tone, ', energy ', {four}, '.') end as rationale from audio_sound"
 
 
 @relation("audio_sound")
 def ambience(d):
-    """The best supported place of a scene, where its score reaches 0.70."""
-    return "select project_id, scene_index, ambience_on as enabled, place, round(a_top, 4) as score, ambience_level as intensity from audio_sound"
+    """The best supported place of a scene, where its score reaches 0.70 and energy leaves room."""
+    return """
+    select project_id, scene_index, ambience_on as enabled, place_kind as place, round(least(1e0, a_top), 4) as score, ambience_level as intensity, case when intentional then 'Intentional silence suppresses ambience metadata.' when a_top < 0.70e0 then 'Environment evidence did not reach the conservative threshold.' when ambience_raw = 0e0 then 'Scene energy leaves no usable ambience intensity.' end as reason from audio_sound"""
 
 
 @relation("audio_sound")
 def narration_density(d):
-    """Characters against twenty a second."""
-    return "select project_id, scene_index, density from audio_sound"
+    """Whether a scene is narrated, and its characters against twenty a second."""
+    return "select project_id, scene_index, narrated, density from audio_sound"
 
 
 @relation("audio_sound")
 def silence(d):
-    """Pauses (here asked for in every second scene) where the structure supports them."""
-    return "select project_id, scene_index, intentional, case when intentional then case when story_role in ('revelation', 'climax') then 300 else 200 end else 0 end as pre_ms, case when intentional then case when story_role in ('epilogue', 'resolution') then 400 else 250 end else 0 end as post_ms from audio_sound"
+    """Pauses that were asked for and that the structure supports, with time before and after."""
+    return "select project_id, scene_index, intentional, case when intentional then case when story_role in ('revelation', 'climax') then 300 else 200 end else 0 end as pre_ms, case when intentional then case when story_role in ('epilogue', 'resolution') then 400 else 250 end else 0 end as post_ms, intentional as mutes_music, intentional as mutes_ambience, case when intentional then 'Explicit pause has compatible structural support.' else 'No explicit structurally supported pause.' end as reason from audio_sound"
 
 
-DUCK = "case when intentional then 0e0 when density >= 0.65e0 then -14e0 else -12e0 end as music_db, case when intentional or not ambience_on then 0e0 when density >= 0.65e0 then -8e0 else -6e0 end as ambience_db"
+DUCK = "not intentional and narrated as ducked, case when intentional or not narrated then 0e0 when density >= 0.65e0 then -14e0 else -12e0 end as music_db, case when intentional or not narrated or not ambience_on then 0e0 when density >= 0.65e0 then -8e0 else -6e0 end as ambience_db"
 
 
 @relation("audio_sound")
 def ducking(d):
-    """Music and ambience lowered under narration, more where it is dense."""
-    return f"select project_id, scene_index, not intentional as enabled, {DUCK} from audio_sound"
+    """Music and ambience lowered under narration, more where it is dense, with attack and release."""
+    return f"select project_id, scene_index, ducked as enabled, music_db, ambience_db, case when ducked then 120 else 0 end as attack_ms, case when ducked then 500 else 0 end as release_ms, case when not narrated then 'narration_missing_ducking_disabled' end as warning from (select *, {DUCK} from audio_sound) t"
 
 
 @relation("audio_sound", public=False)
 def audio_bounds(d):
+    """Scenes with the way each boundary sounds and what they warn of, from the scene before alone."""
     w = "over (partition by project_id order by scene_index)"
+    warnings = [("aggressive_ambience_downgraded", "a_top < 0.70e0 and explicit = 'battlefield'"), ("aggressive_music_style_downgraded", "planned_style = 'documentary' and (audio_intent in ('tension', 'climax') or emotional_tone in ('dramatic', 'triumphant'))"), ("aggressive_transition_downgraded", "transition_in = 'crossfade' and audio_intent in ('climax', 'tension') and story_role is null"), ("ambience_disabled_at_zero_energy", "a_top >= 0.70e0 and ambience_raw = 0e0"),
+                ("ambience_evidence_insufficient", "a_top < 0.70e0 and (explicit is not null or a_top > 0e0)"), ("ambience_suppressed_by_intentional_silence", "intentional"), ("ambient_bridge_not_supported", "transition_in = 'crossfade' and (ambience_on or previous_on)"), ("narration_missing_ducking_disabled", "not narrated"), ("normal_energy_delta_limited", "adjustment <> 'unchanged'"), ("story_director_scene_count_mismatch", "not accepted"), ("supported_climax_contrast_preserved", "preserved")]
     return f"""
-    select *, case when scene_index = 0 then 'fade_in' when intentional then 'silence' when audio_intent = 'climax' and supported and final - previous > 0.30e0 then 'impact'
-        when story_role in ('contrast', 'counterargument') and tension >= 0.8e0 then 'hard_cut' when audio_intent = 'climax' and story_role = 'climax' and confidence >= 0.75e0 then 'riser'
-        when ambience_on and previous_on and place = previous_place then 'ambient_bridge' else 'crossfade' end as transition_in
-    from (select *, lag(final) {w} as previous, lag(ambience_on) {w} as previous_on, lag(place) {w} as previous_place, lag(style) {w} as previous_style from audio_sound) t"""
+    select *, {DUCK}, {', '.join(f"coalesce({c}, false) as w_{n}" for n, c in warnings)}, concat_ws(',', {', '.join(f"case when {c} then '{n}' end" for n, c in warnings)}) as warnings
+    from (select *, case when scene_index = 0 then 'fade_in' when intentional then 'silence' when audio_intent = 'climax' and preserved then 'impact'
+        when (story_role in ('contrast', 'counterargument') and coalesce(tension, 0e0) >= 0.8e0) or (hard_cut and story_role in ('revelation', 'climax') and coalesce(emotional, 0e0) >= 0.75e0 and confidence >= 0.75e0) then 'hard_cut' when audio_intent = 'climax' and story_role = 'climax' and confidence >= 0.75e0 then 'riser'
+        when ambience_on and previous_on and place_kind = previous_place then 'ambient_bridge' else 'crossfade' end as transition_in
+      from (select *, lag(ambience_on) {w} as previous_on, lag(place_kind) {w} as previous_place, lag(style) {w} as previous_style from audio_sound) a) t"""
+
+
+WAYS = "case {0} when 'silence' then 300 when 'impact' then 0 when 'hard_cut' then 0 else 800 end"
+WHY = """case {0} when 'fade_in' then 'First scene entry.' when 'fade_out' then 'Final scene exit.' when 'silence' then 'Intentional pause defines the scene boundary.' when 'impact' then 'Structurally supported climax contrast.' when 'hard_cut' then 'Strong structural contrast supports a hard cut.'
+  when 'riser' then 'Structurally supported climax build.' when 'ambient_bridge' then 'Compatible ambience bridges both scenes.' else 'Conservative scene boundary.' end"""
 
 
 @relation("audio_bounds")
 def audio_transition(d):
-    """How the boundary into each scene sounds."""
-    return "select project_id, scene_index, transition_in from audio_bounds"
+    """How the boundary into each scene sounds, how long, and why."""
+    return f"select project_id, scene_index, transition_in, {WAYS.format('transition_in')} as ms, {WHY.format('transition_in')} as reason from audio_bounds"
 
 
-@relation("audio_bounds")
+@relation("audio_bounds", public=False)
+def audio_pairs(d):
+    return "select *, coalesce(lead(transition_in) over (partition by project_id order by scene_index), 'fade_out') as transition_out from audio_bounds"
+
+
+@relation("audio_pairs")
 def transition_pairs(d):
     """Each boundary as one scene's way out and the next one's way in."""
-    return "select project_id, scene_index, transition_in, coalesce(lead(transition_in) over (partition by project_id order by scene_index), 'fade_out') as transition_out from audio_bounds"
+    return f"select project_id, scene_index, transition_in, {WAYS.format('transition_in')} as in_ms, transition_out, {WAYS.format('transition_out')} as out_ms from audio_pairs"
 
 
 @relation("audio_scenes")
 def dominant_tone(d):
     """The tone of most confidence, then scenes, then the fixed order."""
-    return """
-    select project_id, emotional_tone as tone, total from (select project_id, emotional_tone, round(sum(confidence), 4) as total, row_number() over (partition by project_id order by round(sum(confidence), 4) desc, count(*) desc, min(tone_order)) as r
+    order = "case emotional_tone " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(TONE_ORDER)) + " end"
+    return f"""
+    select project_id, emotional_tone as tone, total from (select project_id, emotional_tone, round(sum(confidence), 4) as total, row_number() over (partition by project_id order by round(sum(confidence), 4) desc, count(*) desc, min({order})) as r
       from audio_scenes group by project_id, emotional_tone) t where r = 1"""
 
 
 @relation("audio_sound")
 def default_music_style(d):
-    """The most frequent style, ties by the fixed order."""
-    ranks = " ".join(f"when '{k}' then {v}" for k, v in STYLE_ORDER)
-    return f"select project_id, style from (select project_id, style, row_number() over (partition by project_id order by count(*) desc, min(case style {ranks} end)) as r from audio_sound group by project_id, style) t where r = 1"
+    """The most frequent style, silence included, ties by the fixed order."""
+    order = "case style " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(STYLE_ORDER)) + " end"
+    return f"select project_id, style from (select project_id, style, row_number() over (partition by project_id order by count(*) desc, min({order})) as r from audio_sound group by project_id, style) t where r = 1"
 
 
-@relation("audio_sound")
+@relation("audio_final")
 def energy_curve(d):
     """A project's energies in scene order."""
-    return f"select project_id, {d.agg_text('cast(cast(round(final * 10000e0) as int) as string)', ',', 'scene_index')} as curve from audio_sound group by project_id"
+    return f"select project_id, {d.agg_text('cast(cast(round(final * 10000e0) as int) as string)', ',', 'scene_index')} as curve from audio_final group by project_id"
 
 
 @relation("audio_bounds")
@@ -341,36 +378,57 @@ def adjacent_delta(d):
     return "select project_id, cast(count_if(coalesce(style <> previous_style, false)) as bigint) as changes from audio_bounds group by project_id"
 
 
+DIAGNOSTICS = """cast(count(*) as bigint) as scenes, cast(count_if(fallback_used) as bigint) as fallback_count, count_if(fallback_used) * 2 > count(*) as fallback_dominant, max(final) - min(final) <= 0.05e0 as flat, cast(count_if(final <= 0.10e0 or final >= 0.90e0) as bigint) as extreme_energies,
+  cast(count_if(coalesce(style <> previous_style, false)) as bigint) as style_changes, cast(count_if(w_aggressive_transition_downgraded) as bigint) as unsupported_transitions, cast(count_if(ambience_on) as bigint) as ambience_scenes, cast(count_if(n_signals = 0 and not narrated) as bigint) as unusable_scenes, cast(sum(conflicts) as bigint) as conflicts,
+  case when bool_or(not accepted) then 'story_director_plan' end as missing_inputs, round(greatest(0e0, least(1e0, avg(confidence) - case when count_if(fallback_used) * 2 > count(*) then 0.10e0 else 0e0 end - case when bool_or(not accepted) then 0.05e0 else 0e0 end)), 6) as confidence"""
+
+
 @relation("audio_bounds")
 def audio_project_diagnostics(d):
-    """Flat and extreme energy, style changes, ambience, rejected stories and mean confidence."""
-    return f"""
-    select project_id, cast(count(*) as bigint) as n, max(final) - min(final) <= 0.05e0 as flat, cast(count_if(final <= 0.10e0 or final >= 0.90e0) as bigint) as n_extreme, cast(count_if(coalesce(style <> previous_style, false)) as bigint) as style_changes, cast(count_if(ambience_on) as bigint) as n_ambience, bool_or(not accepted) as story_rejected,
-           round(greatest(0e0, least(1e0, avg(confidence) - case when bool_or(not accepted) then 0.05e0 else 0e0 end)), 6) as confidence from audio_bounds group by project_id"""
+    """Fallbacks, flat and extreme energy, style changes, transitions, ambience, scenes without
+    input, conflicts, missing inputs and confidence."""
+    return f"select project_id, {DIAGNOSTICS} from audio_bounds group by project_id"
 
 
-@relation("audio_sound")
+#: Warnings of scenes, and those of projects with their condition over scenes.
+SCENE_WARNINGS = ("aggressive_ambience_downgraded", "aggressive_music_style_downgraded", "aggressive_transition_downgraded", "ambience_disabled_at_zero_energy", "ambience_evidence_insufficient", "ambience_suppressed_by_intentional_silence", "ambient_bridge_not_supported", "narration_missing_ducking_disabled", "normal_energy_delta_limited", "story_director_scene_count_mismatch", "supported_climax_contrast_preserved")
+PROJECT_WARNINGS = [("ambience_not_supported_for_any_scene", "not bool_or(ambience_on)"), ("energy_curve_contains_limited_deltas", "bool_or(adjustment <> 'unchanged')"), ("energy_curve_contains_supported_climax_contrast", "bool_or(preserved)"), ("fallback_dominant_audio_plan", "count_if(fallback_used) * 2 > count(*)"), ("fallback_dominant_energy_planning", "count_if(fallback_used) * 2 > count(*)"), ("narration_missing_for_some_scenes", "bool_or(not narrated)")]
+
+
+def all_warnings() -> str:
+    every = sorted([*PROJECT_WARNINGS, *((w, f"bool_or(w_{w})") for w in SCENE_WARNINGS)])
+    return "concat_ws(',', " + ", ".join(f"case when {c} then '{n}' end" for n, c in every) + ")"
+
+
+@relation("audio_bounds")
+def warning_union(d):
+    """Distinct warnings of a project and its scenes, sorted."""
+    return f"select project_id, {all_warnings()} as warnings from audio_bounds group by project_id"
+
+
+@relation("audio_pairs")
 def sound_layers(d):
     """All sound decisions of a scene in one row."""
-    return f"select project_id, scene_index, audio_intent, emotional_tone, style, place, intentional, {DUCK} from audio_sound"
+    return f"select project_id, scene_index, audio_intent, emotional_tone, final as energy, not intentional as music_on, style, music_level, ambience_on, place_kind as place, ambience_level, ducked, music_db, ambience_db, intentional as silence, transition_in, {WAYS.format('transition_in')} as in_ms, transition_out, {WAYS.format('transition_out')} as out_ms, confidence, fallback_used, warnings from audio_pairs"
 
 
-@relation("audio_bounds", "default_music_style", "dominant_tone")
+@relation("audio_bounds")
 def assemble_audio(d):
-    """The audio project summary."""
+    """The audio project in one pass: dominant tone and default style (counted within windows
+    of the project), energy curve, loudness, status, diagnostics and warnings."""
+    place = lambda c, order: f"case {c} " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(order)) + " end"
+    best = lambda column, key: f"substring(min(concat({key}, {column})), {{0}})"
+    tone = best("emotional_tone", f"lpad(cast(cast(round((100000e0 - tone_total) * 10000e0) as bigint) as string), 12, '0'), lpad(cast(1000000 - tone_n as string), 8, '0'), cast({place('emotional_tone', TONE_ORDER)} as string)").format(22)
+    style = best("style", f"lpad(cast(1000000 - style_n as string), 8, '0'), cast({place('style', STYLE_ORDER)} as string)").format(10)
     return f"""
-    select g.project_id, tone, style, curve, n from (select project_id, cast(count(*) as bigint) as n, {d.agg_text('cast(cast(round(final * 10000e0) as int) as string)', ',', 'scene_index')} as curve from audio_bounds group by project_id) g
-    join default_music_style s on s.project_id = g.project_id join dominant_tone t on t.project_id = g.project_id"""
+    select project_id, {tone} as dominant_tone, {style} as default_music_style, {d.agg_text('cast(cast(round(final * 10000e0) as int) as string)', ',', 'scene_index')} as energy_curve, -14e0 as target_loudness_lufs, case when count_if(fallback_used) * 2 > count(*) then 'fallback' else 'planned' end as status, {all_warnings()} as warnings, {DIAGNOSTICS}
+    from (select *, round(sum(confidence) over (partition by project_id, emotional_tone), 4) as tone_total, count(*) over (partition by project_id, emotional_tone) as tone_n, count(*) over (partition by project_id, style) as style_n from audio_bounds) t group by project_id"""
 
 
-@relation("audio_sound", "default_music_style")
+@relation("audio_pairs")
 def validate_consistency(d):
-    """How many scenes have the project's style, and whether half of them do."""
-    return "select a.project_id, cast(count_if(m.style = a.style) as bigint) as n_same, count_if(m.style = a.style) * 2 >= count(*) as most from default_music_style a join audio_sound m on m.project_id = a.project_id group by a.project_id"
-
-
-@relation("audio_sound")
-def warning_union(d):
-    """Distinct warnings of a project, sorted."""
-    flags = (("ambience_evidence_insufficient", "not ambience_on and a_top > 0e0"), ("low_confidence", "confidence < 0.60e0"), ("story_rejected", "not accepted"))
-    return "select project_id, concat_ws(',', " + ", ".join(f"case when bool_or({c}) then '{n}' end" for n, c in flags) + ") as warnings from audio_sound group by project_id"
+    """Whether a plan holds together: boundaries agree on both sides, silence has no enabled
+    layer, intensities and decibels keep their ranges; how many scenes do not."""
+    return """
+    select project_id, cast(count_if(coalesce(before_out <> transition_in, transition_in <> 'fade_in')) as bigint) as boundary_conflicts, cast(count_if(intentional and (style <> 'none' or ambience_on or ducked)) as bigint) as silence_conflicts, cast(count_if(final not between 0e0 and 1e0 or music_level not between 0e0 and 1e0 or ambience_level not between 0e0 and 1e0 or music_db > 0e0 or ambience_db > 0e0 or confidence not between 0e0 and 1e0) as bigint) as range_conflicts
+    from (select *, lag(transition_out) over (partition by project_id order by scene_index) as before_out from audio_pairs) t group by project_id"""

@@ -204,15 +204,17 @@ def story_document(d):
     join climax_scene x on x.project_id = s.project_id join turning_point t on t.project_id = s.project_id join signal_counts n on n.project_id = s.project_id"""
 
 
-@relation("conversations")
+@relation("scenes")
 def story_fallback(d):
-    """Turns as scenes: those without content words fall back to a default row."""
-    return f"""
-    select conv_id, turn, case when n = 0 then 'fallback' else 'analysed' end as status, case when n = 0 then 0.25e0 else 0.58e0 end as confidence
-    from (select conv_id, turn, {d.size(story_tokens(d, "case when conv_id % 3 = 0 and turn = 1 then '' else text end"))} as n from conversations)"""
+    """The plan of a project that could not be analysed: default rows for its scenes."""
+    return "select project_id, scene_index, concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) as scene_id, 'development' as story_role, case when scene_index = 0 then 'opening' when scene_index = scene_count - 1 and scene_count > 1 then 'closing' else 'middle' end as story_phase, 0.5e0 as tension, 0.5e0 as emotional_intensity, 0.5e0 as information_density, 0e0 as revelation_strength, case when scene_index = 0 then 'introduces_topic' else 'continues_previous' end as continuity_relation, 0.25e0 as confidence, true as fallback_used, 'Deterministic fallback due to insufficient story metadata.' as reason from scenes"
 
 
-@relation("story_fallback")
+@relation("conversations")
 def story_fallback_summary(d):
-    """A conversation's status: fallback if any turn fell back."""
-    return "select conv_id, case when bool_or(status = 'fallback') then 'fallback' else 'ok' end as status, cast(count_if(status = 'fallback') as bigint) as n_fallback from story_fallback group by conv_id"
+    """A conversation taken as scenes: how many turns have no content words and fall back, the
+    status and the warning that gives."""
+    n = "count_if(words = 0)"
+    return f"""
+    select conv_id, cast({n} as bigint) as fallback_count, case when {n} > 0 or count(*) = 0 then 'fallback' else 'planned' end as status, case when {n} > 0 then concat(cast({n} as string), ' scene(s) used deterministic fallback analysis.') end as warnings
+    from (select conv_id, {d.size(story_tokens(d, "case when conv_id % 3 = 0 and turn = 1 then '' else text end"))} as words from conversations) t group by conv_id"""
