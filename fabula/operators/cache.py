@@ -527,3 +527,43 @@ def recon_compare_batch(d):
     return f"""
     select domain, producer, schema_version, batch, cast(count(*) as bigint) as n, count(distinct entry) = count(*) as unique_ids, min(digest) as first_digest, max(digest) as last_digest
     from (select r.entry, domain, producer, schema_version, digest, cast(floor((row_number() over (partition by domain, producer, schema_version order by digest, r.entry) - 1) / {PAGE}e0) as bigint) as batch from recon_compare r join entries e on e.entry = r.entry) t group by domain, producer, schema_version, batch"""
+
+
+@relation("reconcile_run", "policies", public=False)
+def checkpoints(d):
+    """Checkpoints as found, one a run: bytes, how reads went, version, text fields and counters."""
+    return f"""
+    select r.domain, r.producer, r.schema_version, case when r.schema_version = 1 then null else 400 + identities end as bytes, r.schema_version <> 2 as stable, case r.schema_version when 3 then 'symlink' else 'file' end as kind, r.schema_version <> 4 as readable, case r.schema_version when 5 then 2 else 1 end as version, r.schema_version <> 6 as exact_fields,
+      {d.sha256("concat(r.domain, r.producer)")} as run_id, case when r.schema_version = 7 then -1 else revision end as revision, identities, case when r.schema_version = 8 then null else cursor end as cursor, status, case when r.schema_version = 9 then null else coalesce(cursor, 'last') end as last_identity from reconcile_run r"""
+
+
+@relation("checkpoints")
+def checkpoint_codec(d):
+    """What reading each checkpoint gives, of seven outcomes, and the JSON of those that were found."""
+    json = """concat('{"checkpoint_revision":', cast(revision as string), ',"checkpoint_version":1,"counters":{"identities_completed":', cast(identities as string), '},"run_id":"', substring(run_id, 1, 32), '","state":"', case when status = 'complete' then 'complete' else 'active' end, '"}')"""
+    found = """case when bytes is null then 'absent' when kind <> 'file' then 'unsafe' when not readable then 'io_failure' when bytes > 65536 then 'corrupt' when not stable then 'unstable' when not exact_fields then 'corrupt' when version <> 1 then 'unsupported' when revision <= 0 or (identities = 0) <> (last_identity is null) then 'corrupt' else 'found' end"""
+    return f"select domain, producer, schema_version, outcome, case when outcome = 'found' then {json} end as json from (select *, {found} as outcome from checkpoints) t"
+
+
+@relation("catalog_record_path", "entries", public=False)
+def catalog_names(d):
+    """Names in the catalog's folders: records, temporary files, and in some namespaces a corrupt name."""
+    return """
+    select entry, path, domain, producer, schema_version from (select p.entry, case when e.entry % 997 = 13 then replace(path, '.json', '.jsn') else path end as path, domain, producer, schema_version from catalog_record_path p join entries e on e.entry = p.entry) t
+    union all select entry, concat_ws('/', 'catalog/v1/records', domain, producer, cast(schema_version as string), concat('.catalog-tmp-', substring(digest, 1, 32))), domain, producer, schema_version from entries where entry % 50 = 7"""
+
+
+@relation("catalog_names")
+def catalog_enumerate_dirs(d):
+    """Pages of each namespace, schemas as numbers: records by digest, temporary files left out;
+    one corrupt name fails the whole page."""
+    record, temporary = d.matches("name", "^[0-9a-f]{64}[.]json$"), d.matches("name", "^[.]catalog-tmp-[0-9a-f]{32}$")
+    return f"""
+    select domain, producer, schema_version, cast(count_if({record}) as bigint) as records, cast(count_if({temporary}) as bigint) as temporary, case when bool_or(not {record} and not {temporary}) then 'catalog_corrupt' end as failure, case when bool_or(not {record} and not {temporary}) then null else min(case when {record} then name end) end as first_record
+    from (select *, {d.extract('path', '([^/]+)$', 1)} as name from catalog_names) t group by domain, producer, schema_version"""
+
+
+@relation("locks")
+def lock_verify(d):
+    """Whether the lock that is held is still the one that was taken: same entry, times in order, a regular file."""
+    return "select entry, kind = 'file' and parses and coalesce(lock_version, 0) = 1 and digest = want_digest and acquired <= heartbeat as still_owned from locks"

@@ -42,17 +42,35 @@ def qualified_sha256(d):
     return f"select entry, concat('sha256:', digest) as qualified, {d.matches('digest', '^[0-9a-f]{64}$')} as ok from entries"
 
 
-@relation("entries")
+#: The limits of a reconciliation policy, in the order in which they are digested.
+POLICY = (256, 1024, 1024, 512, 256, 256, 4096, 4096, 1024, 64)
+
+
+@relation("entries", public=False)
+def policies(d):
+    """Policies, one a schema: each limit as fixed or lowered."""
+    return f"select distinct schema_version, {', '.join(f'case when schema_version % {i + 2} = 0 then {v} else {v} / 2 end as l{i}' for i, v in enumerate(POLICY))} from entries"
+
+
+@relation("policies")
 def policy_digest(d):
-    """SHA-256 of limits joined by colons."""
-    return f"select schema_version, {d.sha256("concat_ws(':', cast(schema_version as string), cast(count(*) as string))")} as policy from entries group by schema_version"
+    """SHA-256 of a policy's version and limits joined by colons."""
+    limits = ", ".join(f"cast(cast(l{i} as bigint) as string)" for i in range(len(POLICY)))
+    return f"select schema_version, {d.sha256(f"concat_ws(':', '1', {limits})")} as policy from policies"
 
 
 @relation("entries")
 def canonical_json(d):
-    """Compact JSON with sorted keys of ASCII fields."""
+    """Canonical JSON of each entry in the three dialects: contracts have no nulls or floats,
+    storage keeps nulls, keys keep finite floats with -0 as 0. (ASCII text without escapes;
+    functions/canonical.py has them for any text.)"""
     q = "chr(34)"
-    return f"select entry, concat('{{', {q}, 'domain', {q}, ':', {q}, domain, {q}, ',', {q}, 'schema', {q}, ':', cast(schema_version as string), '}}') as json from entries"
+    member = lambda k, v: f"{q}, '{k}', {q}, ':', {v}"
+    text = lambda c: f"{q}, {c}, {q}"
+    base = [("domain", text("domain")), ("producer", text("producer")), ("schema", "cast(schema_version as string)")]
+    of = lambda ms: "concat('{', " + ", ',', ".join(member(k, v) for k, v in sorted(ms)) + ", '}')"
+    share = "case when share = 0e0 then '0.0' else cast(share as string) end"
+    return f"select entry, {of(base)} as json, {of([*base, ('note', 'coalesce(note, chr(110) || chr(117) || chr(108) || chr(108))')])} as storage_json, {of([*base, ('share', share)])} as key_json from (select *, cast(null as string) as note, (entry % 9 - 4) * 0.25e0 * case when entry % 9 = 4 then -1e0 else 1e0 end as share from entries) t"
 
 
 @relation("canonical_json")

@@ -204,23 +204,37 @@ def language_tag_canon(d):
 
 @relation("pages", public=False)
 def video_refs(d):
-    """Video references of eight shapes, some malformed."""
+    """Video references of many shapes, good and malformed."""
     v = "substring(md5(cast(page_id as string)), 1, 11)"
-    shapes = [f"concat('https://youtu.be/', {v})", f"concat('https://www.youtube.com/watch?v=', {v})", f"concat('https://youtube.com/shorts/', {v})", f"concat('http://youtu.be/', {v})", f"concat('https://YouTube.com:443/watch?v=', {v})", f"concat('https://youtu.be/', {v}, '/x')", f"concat('https://youtu.be:80/', {v})", "url"]
+    watch = f"concat('https://www.youtube.com/watch?v=', {v}"
+    shapes = [f"concat('https://youtu.be/', {v})", f"{watch})", f"concat('https://youtube.com/shorts/', {v})", f"concat('http://youtu.be/', {v})", f"concat('https://YouTube.com:443/watch?v=', {v})", f"concat('https://youtu.be/', {v}, '/x')", f"concat('https://youtu.be:80/', {v})", "url", f"{watch}, '&t=90&feature=share')", f"{watch}, '&x=1')", f"{watch}, '&t=99999999')",
+              f"{watch}, '&list=')", f"{watch}, '&si=a%20b')", f"{watch}, '&si=a%2Fb')", f"{watch}, '#t=75s')", f"{watch}, '#')", f"{watch}, '#top')", f"concat('https://www.youtube.com/watch?t=5&v=', {v}, '&v=', {v})", f"concat('https://user@youtu.be/', {v})", f"concat('https://youtu.be./', {v})", f"concat(' https://youtu.be/', {v})", f"concat('HTTPS://youtu.be/', {v}, '?t=12')", f"concat('https://youtu.be/', {v}, '?v=', {v})", f"concat('https://youtu.be/', {v}, '?t')", f"{watch}, '&st%61rt=3')"]
     cases = " ".join(f"when {i} then {s}" for i, s in enumerate(shapes))
     return f"select page_id, case page_id % {len(shapes)} {cases} end as ref from pages"
 
 
+#: Query keys beside v, and the most that a time may be.
+QUERY_KEYS, MOST_TIME = ("t", "start", "si", "feature", "list", "index"), 86400000
+
+
 @relation("video_refs")
 def canonicalize_youtube(d):
     """The video id of an https reference to one of three hosts, port 443 or none; else null.
-    Lexical only. Query parameters other than a single v are refused."""
-    host = d.extract("ref", "^https://([^/?#]*)", 1)
-    rest = d.extract("ref", "^https://[^/?#]*(.*)$", 1)
-    bare = d.replace("lower(host)", ":443$", "")
-    vid = "[A-Za-z0-9_-]{11}"
+    Lexical only: closed query keys, each once, with values; times bounded; escapes strict."""
+    keys = "|".join(QUERY_KEYS)
+    late = lambda x: f"(not {d.matches(x, '^[0-9]{1,8}$')} or coalesce(try_cast({x} as bigint), 0) > {MOST_TIME})"
+    escape = lambda x: f"(contains({d.replace(x, '%[0-9A-Fa-f]{2}', '')}, '%') or {d.matches(f'lower({x})', '%(26|3d|25|23|3f|2f|5c)')})"
+    value = d.replace("x", "^[a-z]+=", "")
+    wrong = " or ".join([f"not {d.matches('x', f'^({keys}|v)=[^=]+$')}", f"({d.matches('x', '^(t|start)=')} and {late(value)})", escape("x"), "length(x) > 530", f"({d.matches('x', '^v=')} and not {d.matches('x', '^v=[A-Za-z0-9_-]{11}$')})"])
+    members = d.split("query", "&")
+    own = d.size(d.distinct(d.map("members", d.replace("x", "=.*$", ""))))
+    videos = d.size(d.keep("members", d.matches("x", "^v=")))
+    fine = f"(query_absent or (not {d.any('members', wrong)} and {own} = {d.size('members')}))"
+    seconds = d.replace("fragment", "^t=|s$", "")
+    cut = f"(fragment_absent or ({d.matches('fragment', '^t=[0-9]{1,8}s?$')} and not {late(seconds)}))"
     return f"""
-    select page_id, ref, case when bare = 'youtu.be' and {d.matches('rest', f'^/{vid}$')} then substring(rest, 2)
-      when bare in ('youtube.com', 'www.youtube.com') and {d.matches('rest', f'^/watch[?]v={vid}$')} then substring(rest, 10)
-      when bare in ('youtube.com', 'www.youtube.com') and {d.matches('rest', f'^/shorts/{vid}$')} then substring(rest, 9) end as video_id
-    from (select page_id, ref, rest, {bare} as bare from (select page_id, ref, {host} as host, {rest} as rest from video_refs))"""
+    select page_id, ref, case when not {d.matches('ref', '^[!-~]')} or {d.matches('ref', '[' + ('\\\\' if d.spark else '\\') + 't' + ('\\\\' if d.spark else '\\') + 'r' + ('\\\\' if d.spark else '\\') + 'n]')} or not {fine} or not {cut} then null
+      when host = 'youtu.be' and {d.matches('path', '^/[A-Za-z0-9_-]{11}$')} and (query_absent or {videos} = 0) then substring(path, 2)
+      when host in ('youtube.com', 'www.youtube.com') and path = '/watch' and not query_absent and {videos} = 1 then substring({d.element(d.keep('members', d.matches('x', '^v=')), 1)}, 3)
+      when host in ('youtube.com', 'www.youtube.com') and {d.matches('path', '^/shorts/[A-Za-z0-9_-]{11}$')} and (query_absent or {videos} = 0) then substring(path, 9) end as video_id
+    from (select *, {members} as members, query = '' as query_absent, not contains(ref, '#') as fragment_absent from (select page_id, ref, {d.replace(f"lower({d.extract('ref', '^[Hh][Tt][Tt][Pp][Ss]://([^/?#]*)', 1)})", ':443$', '')} as host, {d.extract('ref', '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)} as path, {d.extract('ref', '^[^?#]*[?]([^#]*)', 1)} as query, {d.extract('ref', '#(.*)$', 1)} as fragment from video_refs) a) b"""

@@ -348,3 +348,56 @@ def face_centroid(d):
 def legacy_zoom(d):
     """Zoom at each event: in and out by turns, eased."""
     return "select project_id, event_id, round(case when n % 2 = 0 then 1e0 + 0.12e0 * x else 1.12e0 - 0.12e0 * x end, 6) as zoom from (select *, t - floor(t) as x from timed) t"
+
+
+#: Widths of letters at size 100, as a table in place of a font: narrow, wide, others, a space.
+NARROW, WIDE, OTHER, SPACE = ("iljtfrI.,:;'!|", 30), ("mwMW@", 90), 55, 28
+#: Parameters of a page: the most that a line may measure, lines, and sizes from large to small.
+PAGE, SIZES = 560, (64, 62, 60, 58, 56, 54, 52, 50, 48, 46, 44)
+
+
+@relation("spoken")
+def text_width(d):
+    """Width of each word at size 100 by the table of letters."""
+    of = lambda letters: f"(length(word) - length({d.replace('word', '[' + letters + ']', '')}))"
+    return f"select project_id, n, place, word, cast({NARROW[1]} * {of(NARROW[0].replace('|', '').replace(chr(39), ''))} + {WIDE[1]} * {of(WIDE[0])} + {OTHER} * (length(word) - {of(NARROW[0].replace('|', '').replace(chr(39), ''))} - {of(WIDE[0])}) as int) as width from spoken"
+
+
+@relation("text_width")
+def line_width(d):
+    """Width of each caption on one line: its words and a space between each two."""
+    return f"select project_id, n as caption_id, cast(sum(width) + {SPACE} * (count(*) - 1) as int) as width from text_width group by project_id, n"
+
+
+@relation("text_width", public=False)
+def line_breaks(d):
+    """Each way to set a caption on one line or two, with both widths at size 100."""
+    w = "over (partition by project_id, n order by place rows between unbounded preceding and current row)"
+    return f"""
+    select project_id, n, words, broken, case when broken = words then total + {SPACE} * (words - 1) else before + {SPACE} * (broken - 1) end as first, case when broken = words then 0 else total - before + {SPACE} * (words - broken - 1) end as second, widest
+    from (select project_id, n, place as broken, sum(width) {w} as before, sum(width) over (partition by project_id, n) as total, count(*) over (partition by project_id, n) as words, max(width) over (partition by project_id, n) as widest from text_width) t"""
+
+
+def sized(size: str) -> str:
+    """The ways that fit PAGE at a size, with their cost: the space left over on each line
+    squared, a penalty for a word alone, one for lines of different length."""
+    a, b = f"(first * {size} / 100e0)", f"(second * {size} / 100e0)"
+    alone = lambda n: f"case when {n} = 1 and words > 2 then {PAGE}e0 * {PAGE}e0 * 0.35e0 else 0e0 end"
+    one = f"({PAGE}e0 - {a}) * ({PAGE}e0 - {a}) + {alone('broken')}"
+    return f"case when {a} <= {PAGE} and {b} <= {PAGE} then case when broken = words then {one} else {one} + ({PAGE}e0 - {b}) * ({PAGE}e0 - {b}) + {alone('(words - broken)')} + abs({a} - {b}) * {PAGE}e0 * 0.18e0 end end"
+
+
+@relation("line_breaks")
+def split_lines(d):
+    """The cheapest way to set each caption at the smallest size on two lines at most: words on
+    the first line; none fits where that is null."""
+    return f"""
+    select project_id, n as caption_id, cast(max(words) as int) as words, cast(max(case when r = 1 and cost is not null then broken end) as int) as first_line, max(case when r = 1 then round(cost, 3) end) as cost
+    from (select *, row_number() over (partition by project_id, n order by case when cost is null then 1 else 0 end, cost, case when broken = words then 0 else 1 end, broken) as r from (select *, {sized(str(SIZES[-1]))} as cost from line_breaks) c) t group by project_id, n"""
+
+
+@relation("line_breaks")
+def fit_page(d):
+    """The largest size at which a caption fits two lines, null where even the smallest is too large."""
+    fits = " ".join(f"when bool_or({sized(str(z))} is not null) then {z}" for z in SIZES)
+    return f"select project_id, n as caption_id, case {fits} end as size from line_breaks group by project_id, n"
