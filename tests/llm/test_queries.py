@@ -216,7 +216,7 @@ def plain_matches(text, templates, threshold):
                 for e in range(a, len(words) - 1):
                     if (words[a], words[a + 1]) in own and (words[e], words[e + 1]) in own:
                         score = licenses.dice(set(zip(words[a : e + 1], words[a + 1 : e + 2])), own)
-                        if score >= threshold and (top is None or score > top[0]):
+                        if score >= threshold - 1e-12 and (top is None or score > top[0]):
                             top = (score, a, e + 2, name)
                 best += [top] if top else []
     taken, out = set(), []
@@ -245,6 +245,19 @@ def test_op9_against_all_passages(spark, folder):
     assert found == want
 
 
+def test_op9_whole_licences():
+    matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    r = random.Random(3)
+    for name, text in (("MIT", licenses.MIT), ("ISC", licenses.ISC), ("BSD-2-Clause", licenses.BSD_CONDITIONS + licenses.BSD_DISCLAIMER), ("BSD-3-Clause", licenses.BSD_CONDITIONS + licenses.BSD_NAMES + licenses.BSD_DISCLAIMER), ("Zlib", licenses.ZLIB), ("Unlicense", licenses.UNLICENSE)):
+        words = text.split()
+        (found,) = matcher.matches(prose(40, r) + " " + text + " " + prose(30, r))
+        assert found["license"] == name and found["dice"] == 1.0 and found["word"] == 40
+        for i in r.sample(range(5, len(words) - 5), len(words) // 30):
+            words[i] = "other"
+        changed = matcher.matches(prose(40, r) + " " + " ".join(words) + " " + prose(30, r))
+        assert changed[0]["license"] == name
+
+
 def test_op9_many_notices_in_a_text():
     matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
     assert len(matcher.matches("Released under the MIT License. Some other words here. " * 3000)) == 3000
@@ -276,3 +289,13 @@ def test_tables_can_be_discarded(spark):
     written(spark.range(3), "gone")
     discard(spark)
     assert not os.path.exists(tables_dir(spark).removeprefix("file:"))
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_op6_loses_no_link_of_a_whole_table(spark, k, percent):
+    from fabula.llm import jaccard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(docs, k, percent).collect())
+    assert found == brute_jaccard(rows, k, percent)
