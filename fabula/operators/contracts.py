@@ -2,6 +2,7 @@
 
 from ..plans.relation import quote, relation
 from .evidence import FORMATS, KINDS
+from .text import four
 
 #: Limits of listings and relative paths.
 LISTING, DEPTH, PATH_BYTES = 4096, 64, 1024
@@ -250,10 +251,10 @@ def settings(d):
 def safe_config_numbers(d):
     """Configuration in range, else its default: a fallback never fails."""
     cast = "try_cast({} as double)"
-    margin = f"coalesce(case when {cast.format('safe_margin')} between 0.02e0 and 0.20e0 then round({cast.format('safe_margin')}, 4) end, 0.08e0)"
+    margin = f"coalesce(case when {cast.format('safe_margin')} between 0.02e0 and 0.20e0 then {four(cast.format('safe_margin'))} end, 0.08e0)"
     width = cast.format("max_width")
     return f"""
-    select o_orderkey, margin, coalesce(case when {width} between 0.40e0 and 1e0 - 2e0 * margin then round({width}, 4) end, 0.82e0) as max_width, coalesce(case when try_cast(max_lines as int) between 1 and 4 then try_cast(max_lines as int) end, 2) as max_lines, case when {d.matches('upper(color)', '^#[0-9A-F]{6}$')} then upper(color) else '#FFD54A' end as color, case when position in ('top', 'center', 'bottom') then position else 'bottom' end as position
+    select o_orderkey, margin, coalesce(case when {width} between 0.40e0 and 1e0 - 2e0 * margin then {four(width)} end, 0.82e0) as max_width, coalesce(case when try_cast(max_lines as int) between 1 and 4 then try_cast(max_lines as int) end, 2) as max_lines, case when {d.matches('upper(color)', '^#[0-9A-F]{6}$')} then upper(color) else '#FFD54A' end as color, case when position in ('top', 'center', 'bottom') then position else 'bottom' end as position
     from (select *, {margin} as margin from settings) t"""
 
 

@@ -1,7 +1,7 @@
 """Candidate images: profiles from the parts, scores against scenes, ranking."""
 
 from ..plans.relation import relation
-from .text import STOP_SEMANTIC, WORD_SEMANTIC, words_in
+from .text import STOP_SEMANTIC, WORD_SEMANTIC, four, words_in
 
 #: Terms that speak for and against a documentary picture.
 DOCUMENTARY = "archive court courtroom document evidence hospital investigation medical news photograph real records report trial".split()
@@ -127,7 +127,8 @@ def top_terms(d):
 def final_image_score(d):
     """Semantics, composition, technical quality, documentary look, captions and motion, weighed;
     before any penalty for repetition."""
-    return "select o.project_id, o.scene_index, o.image_id, semantic, composition, technical, s.score as documentary, c.caption, motion, round(semantic * 0.35e0 + composition * 0.15e0 + technical * 0.15e0 + s.score * 0.15e0 + c.caption * 0.08e0 + motion * 0.12e0, 4) as final_score from semantic_overlap o join pixel_scores x on x.image_id = o.image_id join documentary_score s on s.image_id = o.image_id join caption_ocr_penalty c on c.image_id = o.image_id"
+    final = four("semantic * 0.35e0 + composition * 0.15e0 + technical * 0.15e0 + s.score * 0.15e0 + c.caption * 0.08e0 + motion * 0.12e0")
+    return f"select o.project_id, o.scene_index, o.image_id, semantic, composition, technical, s.score as documentary, c.caption, motion, {final} as final_score from semantic_overlap o join pixel_scores x on x.image_id = o.image_id join documentary_score s on s.image_id = o.image_id join caption_ocr_penalty c on c.image_id = o.image_id"
 
 
 @relation("final_image_score", "profiles")

@@ -43,6 +43,11 @@ def story_tokens(d, text: str) -> str:
     return d.keep(d.tokens(f"lower({text})", WORD_STORY), f"length(x) > 1 and x not in {words_in(STOP_STORY)}")
 
 
+def four(x: str) -> str:
+    """Rounded to four places, halves up, by whole numbers: alike on any engine at exact halves."""
+    return f"(cast(floor((cast(round(({x}) * 1e9) as bigint) + 50000) / 1e5) as bigint) / 1e4)"
+
+
 def clamp(x: str) -> str:
     return f"round(greatest(0e0, least(1e0, {x})), 4)"
 
@@ -160,7 +165,7 @@ def sink_srt(d):
 @relation("orders")
 def clamp01_round4(d):
     """Values held in [0, 1] and rounded to four places."""
-    return f"select o_orderkey, {clamp('(o_totalprice - 50000e0) / 300000e0')} as unit from orders"
+    return f"select o_orderkey, {four('greatest(0e0, least(1e0, (o_totalprice - 50000e0) / 300000e0))')} as unit from orders"
 
 
 @relation("orders")

@@ -1,7 +1,7 @@
 """Words, captions, beats and frames on one timeline."""
 
 from ..plans.relation import relation
-from .text import STOP_SEMANTIC, WORD_SEMANTIC, words_in
+from .text import STOP_SEMANTIC, WORD_SEMANTIC, four, words_in
 
 #: Words that begin a turn of the story.
 TURNS = "but however yet instead meanwhile later finally eventually although despite then suddenly because therefore dock samtidigt senare slutligen".split()
@@ -341,7 +341,8 @@ def cut_detection(d):
 @relation("faces")
 def face_centroid(d):
     """Centre of the faces of each frame, weighted by area, with confidence and the share of the frame they fill."""
-    return "select project_id, n, round(sum((x + w / 2e0) / 1920e0 * (w * h)) / sum(w * h), 4) as focus_x, round(sum((y + h / 2e0) / 1080e0 * (w * h)) / sum(w * h), 4) as focus_y, least(1e0, 0.72e0 + 0.08e0 * count(*)) as confidence, cast(count(*) as int) as face_count, round(least(1e0, sum(w * h) / (1920e0 * 1080e0)), 4) as subject_scale from faces group by project_id, n"
+    x, y, scale = four("sum((x + w / 2e0) / 1920e0 * (w * h)) / sum(w * h)"), four("sum((y + h / 2e0) / 1080e0 * (w * h)) / sum(w * h)"), four("least(1e0, sum(w * h) / (1920e0 * 1080e0))")
+    return f"select project_id, n, {x} as focus_x, {y} as focus_y, least(1e0, 0.72e0 + 0.08e0 * count(*)) as confidence, cast(count(*) as int) as face_count, {scale} as subject_scale from faces group by project_id, n"
 
 
 @relation("timed")
