@@ -240,14 +240,20 @@ CARRIED = {"scene_index": "int", "scene_start": "double", "scene_end": "double",
 
 
 @relation("audio_scenes", public=False)
-def audio_final(d):
+def audio_walk(d):
     """Scenes with the smoothed energy, one pass in scene order."""
     final = "round(greatest(0e0, least(1e0, least(s.final + case when x.supported and x.energy - s.final > 0.30e0 then 0.45e0 else 0.30e0 end, greatest(s.final - 0.30e0, x.energy)))), 4)"
     state = {n: (t, f"x.{n}", f"x.{n}") for n, t in CARRIED.items()}
-    state |= {"final": ("double", "x.energy", final), "adjustment": ("string", "'unchanged'", f"case when {final} < x.energy then 'limited_up' when {final} > x.energy then 'limited_down' else 'unchanged' end"), "preserved": ("boolean", "false", f"x.supported and x.energy - s.final > 0.30e0 and {final} - s.final > 0.30e0")}
+    state["final"] = ("double", "x.energy", final)
     return d.scan("audio_scenes", ["project_id"], "place", list(CARRIED), state)
 
 
+@relation("audio_walk", public=False)
+def audio_final(d):
+    """Scenes with what smoothing did to their energy."""
+    return "select *, case when final < energy then 'limited_up' when final > energy then 'limited_down' else 'unchanged' end as adjustment, coalesce(supported and energy - before > 0.30e0 and final - before > 0.30e0, false) as preserved from (select *, lag(final) over (partition by project_id order by scene_index) as before from audio_walk) t"
+
+
 @relation("audio_final")
 def energy_smooth(d):
     """Energy bounded to steps of 0.30 (0.45 up for supported climaxes), in scene order, what

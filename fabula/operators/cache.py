@@ -56,6 +56,16 @@ PAGE = 256
 FRESH, LOCK_BYTES, DIAGNOSTICS = 1200, 4096, 3
 
 
+def merged(*parts: tuple[str, dict[str, str]], key: str = "entry", by: dict[str, str] | None = None) -> str:
+    """What several relations say of an entry, as one row each: one exchange and one hash
+    aggregate in place of a join for each of them. parts: (relation, column -> type); a column
+    is taken from where it is (by: with another aggregate than max), null where nothing is said."""
+    columns = {c: t for _, own in parts for c, t in own.items()}
+    aggregates = [f"{(by or {}).get(c, 'max')}({c}) as {c}" for c in columns]
+    rows = " union all ".join(f"select {key}, " + ", ".join(c if c in own else f"cast(null as {t}) as {c}" for c, t in columns.items()) + f" from {source}" for source, own in parts)
+    return f"(select {key}, {', '.join(aggregates)} from ({rows}) u group by {key})"
+
+
 @relation(public=False)
 def lookup_reasons(d):
     return d.values("r", ("reason", "precedence", "status", "code", "subject"), [(r, i, *rest) for i, (r, *rest) in enumerate(REASONS, 1)])
@@ -75,10 +85,9 @@ def entry_objects(d):
 def entry_structure(d):
     """The folder of each entry: absent, unsafe before incomplete before unexpected before valid."""
     own = "name in ('COMPLETE', 'manifest.json', 'metadata.json', 'payload')"
-    return f"""
-    select e.entry, case when root is null then 'entry_absent' when root <> 'directory' or unsafe then 'unsafe_object' when n < 4 then 'incomplete_entry' when others then 'unexpected_top_level_object' else 'valid' end as structure
-    from entries e left join (select entry, max(case when name = '.' then kind end) as root, count_if({own}) as n, bool_or(name <> '.' and not {own}) as others,
-      bool_or(name <> '.' and case when name = 'payload' then kind <> 'directory' when {own} then kind <> 'file' else kind not in ('file', 'directory') end) as unsafe from entry_objects group by entry) o on o.entry = e.entry"""
+    seen = f"(select entry, case when name = '.' then kind end as root, cast(case when {own} then 1 else 0 end as bigint) as n, name <> '.' and not {own} as others, name <> '.' and case when name = 'payload' then kind <> 'directory' when {own} then kind <> 'file' else kind not in ('file', 'directory') end as unsafe from entry_objects)"
+    rows = merged(("entries", {}), (f"{seen} o", {"root": "string", "n": "bigint", "others": "boolean", "unsafe": "boolean"}), by={"n": "sum"})
+    return f"select entry, case when root is null then 'entry_absent' when root <> 'directory' or unsafe then 'unsafe_object' when n < 4 then 'incomplete_entry' when others then 'unexpected_top_level_object' else 'valid' end as structure from {rows} t"
 
 
 @relation("entries", public=False)
@@ -113,15 +122,16 @@ def entry_metadata(d):
     """Identities, digests and expectations of an entry as its documents have them, beside
     what they should be."""
     other = lambda k, x: f"case when k = {k} then concat('x', {x}) else {x} end"
+    listed = "(select entry, cast(1 as bigint) as files, bytes from declared) f"
+    rows = merged(("entries", {"digest": "string", "domain": "string", "producer": "string", "schema_version": "int", "at_s": "double"}), (listed, {"files": "bigint", "bytes": "bigint"}), by={"files": "sum", "bytes": "sum"})
     return f"""
-    select entry, digest as want_digest, {other(20, 'digest')} as digest, {other(21, 'digest')} as rebuilt_digest, {other(22, 'digest')} as marker_digest, domain as want_domain, {other(23, 'domain')} as domain,
+    select entry, at_s, digest as want_digest, {other(20, 'digest')} as digest, {other(21, 'digest')} as rebuilt_digest, {other(22, 'digest')} as marker_digest, domain as want_domain, {other(23, 'domain')} as domain,
       concat('key:', digest) as want_key, {other(24, "concat('key:', digest)")} as cache_key, sha_m as manifest_sha, {other(25, 'sha_m')} as metadata_manifest_sha, {other(26, 'sha_m')} as marker_manifest_sha, sha_d as metadata_sha, {other(27, 'sha_d')} as marker_metadata_sha,
       files + case when k = 28 then 1 else 0 end as files, bytes + case when k = 29 then 1 else 0 end as bytes, files as manifest_files, bytes as manifest_bytes,
       {other(30, 'producer')} as namespace_producer, producer, schema_version + case when k = 31 then 1 else 0 end as namespace_schema, schema_version as producer_schema,
       {other(32, 'producer')} as want_producer, schema_version + case when k = 33 then 1 else 0 end as want_schema, 'plan' as artifact_kind, 1 as artifact_version, concat('id-', cast(entry as string)) as logical_id,
       case when k = 34 then 'plan' when k = 36 then 'image' when entry % 2 = 0 then 'plan' end as want_kind, 1 as want_artifact_version, case when k = 34 then 'id-0' end as want_logical_id, concat('rt-', cast(entry % 7 as string)) as runtime, {other(35, "concat('rt-', cast(entry % 7 as string))")} as want_runtime
-    from (select e.*, e.entry % 101 as k, coalesce(files, 0) as files, coalesce(bytes, 0) as bytes, {d.sha256("concat('m', digest)")} as sha_m, {d.sha256("concat('d', digest)")} as sha_d
-      from entries e left join (select entry, cast(count(*) as bigint) as files, cast(sum(bytes) as bigint) as bytes from declared group by entry) p on p.entry = e.entry) t"""
+    from (select *, entry % 101 as k, {d.sha256("concat('m', digest)")} as sha_m, {d.sha256("concat('d', digest)")} as sha_d from (select entry, digest, domain, producer, schema_version, at_s, coalesce(files, 0) as files, coalesce(bytes, 0) as bytes from {rows} r) e) t"""
 
 
 @relation("entry_metadata")
@@ -141,13 +151,14 @@ def document_integrity(d):
 def payload_findings(d):
     """Declared and observed files of each entry in one row. The first bad record, by path,
     has its finding behind its path. Producer p may publish nothing at all."""
-    return f"""
-    select e.entry, e.producer = 'p' as empty_allowed, cast(coalesce(records, 0) as bigint) as records, coalesce(too_much, false) as too_much, coalesce(unsafe, false) as unsafe, coalesce(unexpected, false) as unexpected, coalesce(missing, false) as missing, bad, cast(coalesce(hashed, 0) as bigint) as hashed
-    from entries e left join (select coalesce(m.entry, o.entry) as entry, count(m.path) as records, bool_or(kind not in ('file', 'directory')) as unsafe, bool_or(m.path is null) as unexpected, bool_or(o.path is null) as missing,
-        count(m.path) > {PAYLOAD_LIMITS['records']} or max(length(m.path)) > {PAYLOAD_LIMITS['path_bytes']} or max({d.size(d.split('m.path', '/'))}) > {PAYLOAD_LIMITS['depth']} or max(m.bytes) > {PAYLOAD_LIMITS['file_bytes']} or sum(m.bytes) > {PAYLOAD_LIMITS['total_bytes']} as too_much,
-        min(case when m.path is null or o.path is null then null when links > 1 then concat(m.path, '|payload_hardlink_detected') when o.bytes <> m.bytes then concat(m.path, '|payload_size_mismatch') when not stable then concat(m.path, '|payload_read_unstable') when o.content <> m.content then concat(m.path, '|payload_digest_mismatch') end) as bad,
-        sum(case when o.bytes = m.bytes and o.content = m.content then m.bytes else 0 end) as hashed
-      from declared m full outer join observed o on o.entry = m.entry and o.path = m.path group by coalesce(m.entry, o.entry)) p on p.entry = e.entry"""
+    sides = """(select entry, path, bytes as m_bytes, content as m_content, cast(null as bigint) as bytes, cast(null as bigint) as content, cast(null as string) as kind, cast(null as int) as links, cast(null as boolean) as stable from declared
+      union all select entry, path, null, null, bytes, content, kind, links, stable from observed) b"""
+    files = f"(select entry, path, max(m_bytes) as m_bytes, max(m_content) as m_content, max(bytes) as bytes, max(content) as content, max(kind) as kind, max(links) as links, bool_and(stable) as stable from {sides} group by entry, path) f"
+    found = f"""(select entry, cast(case when m_bytes is not null then 1 else 0 end as bigint) as records, kind not in ('file', 'directory') as unsafe, m_bytes is null as unexpected, kind is null as missing, case when m_bytes is not null then length(path) > {PAYLOAD_LIMITS['path_bytes']} or {d.size(d.split('path', '/'))} > {PAYLOAD_LIMITS['depth']} or m_bytes > {PAYLOAD_LIMITS['file_bytes']} end as large, m_bytes as total,
+        case when m_bytes is null or kind is null then null when links > 1 then concat(path, '|payload_hardlink_detected') when bytes <> m_bytes then concat(path, '|payload_size_mismatch') when not stable then concat(path, '|payload_read_unstable') when content <> m_content then concat(path, '|payload_digest_mismatch') end as bad, case when bytes = m_bytes and content = m_content then m_bytes else 0 end as hashed from {files}) g"""
+    own = "(select entry, producer = 'p' as empty_allowed from entries) e"
+    rows = merged((own, {"empty_allowed": "boolean"}), (found, {"records": "bigint", "unsafe": "boolean", "unexpected": "boolean", "missing": "boolean", "large": "boolean", "total": "bigint", "bad": "string", "hashed": "bigint"}), by={"records": "sum", "total": "sum", "bad": "min", "hashed": "sum"})
+    return f"select entry, empty_allowed, cast(coalesce(records, 0) as bigint) as records, coalesce(records > {PAYLOAD_LIMITS['records']} or large or total > {PAYLOAD_LIMITS['total_bytes']}, false) as too_much, coalesce(unsafe, false) as unsafe, coalesce(unexpected, false) as unexpected, coalesce(missing, false) as missing, bad, cast(coalesce(hashed, 0) as bigint) as hashed from {rows} t"
 
 
 @relation("payload_findings")
@@ -166,16 +177,17 @@ def locks(d):
     return f"""
     select entry, case when j = 1 then 'symlink' else 'file' end as kind, case when j = 2 then {LOCK_BYTES} + 1 else 300 end as bytes, j <> 3 as stable, j <> 4 as readable, case when j = 5 then 2 when j = 10 then null else 1 end as lock_version, j <> 6 as parses,
       digest as want_digest, case when j = 7 then concat('x', digest) else digest end as digest, at_s + 60e0 * (entry % 45) + case when j = 8 then 1e0 else -30e0 end as acquired, at_s + 60e0 * (entry % 45) + case when j = 9 then 4000e0 else 0e0 end as heartbeat, at_s + 3000e0 + case when j = 11 then 0.5e0 else 0e0 end as clock
-    from (select *, entry % 103 as j from entries where entry % 3 > 0) t"""
+    from (select *, entry % 103 as j from entries where entry % 5 > 1) t"""
 
 
 @relation("entries", "locks")
 def lock_observation(d):
     """absent, what is wrong with a lock, else active or stale by its heartbeat's age in whole seconds."""
-    return f"""
-    select e.entry, case when l.entry is null then 'absent' when kind <> 'file' then 'unsafe_object' when not readable then 'io_failure' when bytes > {LOCK_BYTES} then 'malformed_lock' when not stable then 'unstable_snapshot'
-      when lock_version is null then 'malformed_lock' when lock_version <> 1 then 'unsupported_lock_version' when not parses then 'malformed_lock' when l.digest <> want_digest then 'lock_identity_conflict'
-      when acquired > heartbeat or acquired > clock or heartbeat > clock then 'lock_timestamp_invalid' when floor(clock - heartbeat) <= {FRESH} then 'active' else 'stale' end as lock_state from entries e left join locks l on l.entry = e.entry"""
+    state = f"""case when kind <> 'file' then 'unsafe_object' when not readable then 'io_failure' when bytes > {LOCK_BYTES} then 'malformed_lock' when not stable then 'unstable_snapshot'
+      when lock_version is null then 'malformed_lock' when lock_version <> 1 then 'unsupported_lock_version' when not parses then 'malformed_lock' when digest <> want_digest then 'lock_identity_conflict'
+      when acquired > heartbeat or acquired > clock or heartbeat > clock then 'lock_timestamp_invalid' when floor(clock - heartbeat) <= {FRESH} then 'active' else 'stale' end"""
+    rows = merged(("entries", {}), (f"(select entry, {state} as lock_state from locks) l", {"lock_state": "string"}))
+    return f"select entry, coalesce(lock_state, 'absent') as lock_state from {rows} t"
 
 
 @relation("locks")
@@ -190,7 +202,7 @@ def entry_reads(d):
     return "select entry, case entry % 101 when 41 then 'structure' when 42 then 'documents' when 43 then 'payload' end as failed_at, entry % 101 <> 40 as stable, entry % 211 <> 5 as root_stable from entries"
 
 
-@relation("entries", "entry_structure", "document_versions", "document_integrity", "payload_validate", "lock_observation", "entry_reads", "lookup_reasons", public=False)
+@relation("entry_structure", "document_versions", "document_integrity", "payload_validate", "lock_observation", "entry_reads", "lookup_reasons", public=False)
 def lookups(d):
     """The reason that ends each lookup, with and without a look at locks (null for a hit, a
     miss or an entry in progress), and the level that was verified."""
@@ -199,13 +211,13 @@ def lookups(d):
       when payload = 'payload_cardinality_invalid' then 'unexpected_payload_object' when payload = 'payload_policy_limit_exceeded' then 'malformed_manifest' when payload = 'payload_read_unstable' then 'unstable_snapshot' when payload <> 'valid' then payload
       when not stable then 'unstable_snapshot'"""
     late = "not root_stable and coalesce(r{0}.precedence, 99) > 19"
+    first = "(select entry, case when version_state <> 'valid' then concat(cast(ordinal as string), version_state) end as documents from document_versions) v"
+    rows = merged(("entry_structure", {"structure": "string"}), (first, {"documents": "string"}), ("document_integrity", {"outcome": "string"}), ("(select entry, outcome as payload from payload_validate) p", {"payload": "string"}), ("lock_observation", {"lock_state": "string"}), ("entry_reads", {"failed_at": "string", "stable": "boolean", "root_stable": "boolean"}), by={"documents": "min"})
     level = """case when failed_at = 'structure' or structure <> 'valid' then 0 when failed_at = 'documents' or documents is not null then 1 when outcome <> 'valid' then 2 when failed_at = 'payload' or payload <> 'valid' or not stable then 3 else 4 end"""
     return f"""
     select entry, structure, lock_state, case when {late.format(1)} then 'unstable_snapshot' else t.reason end as reason, case when {late.format(2)} then 'unstable_snapshot' else t.final_reason end as final_reason,
       case when {late.format(1)} then least(3, level) else level end as level
-    from (select s.entry, structure, lock_state, root_stable, {level} as level, case {common.format(absent="case when lock_state not in ('absent', 'active', 'stale') then lock_state end")} end as reason, case {common.format(absent='null')} end as final_reason
-      from entry_structure s left join (select entry, min(case when version_state <> 'valid' then concat(cast(ordinal as string), version_state) end) as documents from document_versions group by entry) v on v.entry = s.entry
-      join document_integrity i on i.entry = s.entry join (select entry, outcome as payload from payload_validate) p on p.entry = s.entry join lock_observation k on k.entry = s.entry join entry_reads a on a.entry = s.entry) t
+    from (select entry, structure, lock_state, root_stable, {level} as level, case {common.format(absent="case when lock_state not in ('absent', 'active', 'stale') then lock_state end")} end as reason, case {common.format(absent='null')} end as final_reason from {rows} s) t
     left join lookup_reasons r1 on r1.reason = t.reason left join lookup_reasons r2 on r2.reason = t.final_reason"""
 
 
@@ -256,25 +268,26 @@ def staging_candidates(d):
     from (select entry, nth - 1 as candidate, (entry + 17 * (nth - 1)) % 83 as j, (entry + nth - 1) % 5 as g from {d.unnest_at(f"(select entry, case when entry % 6 < 2 then {d.strings('0', '1')} else {d.strings('0')} end as cs from entries where entry % 6 < 4) s", 'cs', 'c', 'nth')}) t"""
 
 
+MISSING = "not (has_complete and has_metadata and has_manifest and has_payload)"
+PARTIAL = """case when unexpected or has_complete then 'staging_invalid' when not stable then 'staging_unstable' when has_metadata and metadata like 'unsupported%' then 'staging_unsupported' when has_metadata and metadata <> 'valid' then 'staging_invalid'
+  when has_manifest and manifest like 'unsupported%' then 'staging_unsupported' when has_manifest and manifest <> 'valid' then 'staging_invalid' else 'staging_incomplete' end"""
+
+
 @relation("staging_candidates")
 def incomplete_staging_state(d):
     """Partial staging folders: invalid with a marker or unexpected objects, else as their documents are."""
-    missing = "not (has_complete and has_metadata and has_manifest and has_payload)"
-    return f"""
-    select entry, candidate, case when unexpected or has_complete then 'staging_invalid' when not stable then 'staging_unstable' when has_metadata and metadata like 'unsupported%' then 'staging_unsupported' when has_metadata and metadata <> 'valid' then 'staging_invalid'
-      when has_manifest and manifest like 'unsupported%' then 'staging_unsupported' when has_manifest and manifest <> 'valid' then 'staging_invalid' else 'staging_incomplete' end as state from staging_candidates where kind = 'directory' and readable and not unsafe and {missing}"""
+    return f"select entry, candidate, {PARTIAL} as state from staging_candidates where kind = 'directory' and readable and not unsafe and {MISSING}"
 
 
-@relation("staging_candidates", "incomplete_staging_state", "entries")
+@relation("staging_candidates", "entries")
 def staging_observe(d):
     """Each staging candidate's state and reason; an entry without any has one absent row."""
-    state = """case when c.entry is null then 'staging_absent' when not readable then 'staging_io_failure' when kind <> 'directory' or unsafe then 'staging_unsafe' when i.state is not null then i.state when unexpected then 'staging_invalid'
+    state = f"""case when not readable then 'staging_io_failure' when kind <> 'directory' or unsafe then 'staging_unsafe' when {MISSING} then {PARTIAL} when unexpected then 'staging_invalid'
       when metadata like 'unsupported%' or (metadata = 'valid' and manifest like 'unsupported%') then 'staging_unsupported' when metadata <> 'valid' or manifest <> 'valid' or integrity <> 'valid' then 'staging_invalid'
       when payload = 'unsafe_object' then 'staging_unsafe' when payload = 'payload_read_unstable' then 'staging_unstable' when payload <> 'valid' then 'staging_invalid' when stable then 'staging_complete_valid' else 'staging_unstable' end"""
     reason = "case state when 'staging_invalid' then 'invalid_staging' when 'staging_unsupported' then 'unsupported_staging' when 'staging_unsafe' then 'unsafe_staging_path' when 'staging_unstable' then 'unstable_staging' when 'staging_io_failure' then 'staging_io_failure' end"
-    return f"""
-    select entry, candidate, state, {reason} as reason from (select e.entry, coalesce(c.candidate, 0) as candidate, {state} as state
-      from entries e left join staging_candidates c on c.entry = e.entry left join incomplete_staging_state i on i.entry = c.entry and i.candidate = c.candidate) t"""
+    none = merged(("entries", {}), ("staging_candidates", {"candidate": "int"}), by={"candidate": "count"})
+    return f"select entry, candidate, state, {reason} as reason from (select entry, candidate, {state} as state from staging_candidates union all select entry, 0, 'staging_absent' from {none} n where candidate = 0) t"
 
 
 #: Failure families of the recovery precedence.
@@ -335,33 +348,38 @@ def inspect_recovery(d):
     return "select entry, status, reason, case when status in ('empty', 'final_published') then 'settled' when status like '%active_lock%' then 'in_progress' when status like 'recovery_%' then 'failed' else 'residue' end as outlook from recovery_compose"
 
 
-@relation("lookup_status", "entry_metadata", "entries")
+@relation("lookup_status", "entry_metadata")
 def final_summary_projection(d):
     """What a catalog keeps of a hit: thirteen columns with the digest of the runtime
     fingerprint, and the summary's digest."""
     cols = {"provenance": "'step5b_hit'", "contract_version": "1", "producer_id": "m.producer", "producer_version": "'1.0'", "producer_schema_version": "producer_schema", "artifact_kind": "m.artifact_kind", "artifact_contract_version": "artifact_version",
             "runtime_digest": f"concat('sha256:', {d.sha256('runtime')})", "created_at_s": "at_s", "manifest_digest": "concat('sha256:', manifest_sha)", "payload_files": "files", "payload_bytes": "m.bytes"}
+    rows = merged(("lookup_status", {"status": "string"}), ("entry_metadata", {"producer": "string", "producer_schema": "int", "artifact_kind": "string", "artifact_version": "int", "runtime": "string", "at_s": "double", "manifest_sha": "string", "files": "bigint", "bytes": "bigint"}))
     return f"""
     select entry, {', '.join(cols)}, {d.sha256("concat_ws('|', " + ', '.join(f'cast({c} as string)' for c in cols if c != 'created_at_s') + ')')} as summary
-    from (select l.entry, {', '.join(f'{x} as {c}' for c, x in cols.items())} from lookup_status l join entry_metadata m on m.entry = l.entry join entries e on e.entry = l.entry where l.status = 'hit') t"""
+    from (select entry, {', '.join(f'{x} as {c}' for c, x in cols.items())} from {rows} m where status = 'hit') t"""
 
 
 @relation("entries", "final_summary_projection", "recovery_summary_projection", public=False)
 def catalog(d):
     """Catalog slots of five of seven entries: kind, bytes, how reads went, at what depth the
     path ends (null: it is there), versions, identity, revision, tombstones and last summaries."""
-    return """
-    select e.entry, case when j = 1 then 'symlink' else 'file' end as kind, case when j = 2 then 70000 else 900 end as bytes, j <> 3 as stable, j <> 4 as readable, case j when 5 then 1 when 6 then 3 end as missing_depth, case when j = 7 then 2 else 1 end as version,
-      j <> 8 as parses, j <> 9 as same_identity, e.entry % 19 = 0 as tombstone, cast(e.entry % 5 + 1 as bigint) as record_revision,
-      case when e.entry % 19 = 0 or e.entry % 3 = 0 then null when e.entry % 11 = 0 then 'older' else f.summary end as last_final, case when e.entry % 19 = 0 or e.entry % 4 = 1 then null when e.entry % 13 = 0 then 'older' else r.summary end as last_recovery
-    from (select *, entry % 61 as j from entries where entry % 7 < 5) e left join final_summary_projection f on f.entry = e.entry left join recovery_summary_projection r on r.entry = e.entry"""
+    rows = merged(("(select entry, true as slot from entries where entry % 7 < 5) e", {"slot": "boolean"}), ("(select entry, summary as final from final_summary_projection) f", {"final": "string"}), ("(select entry, summary as recovery from recovery_summary_projection) r", {"recovery": "string"}))
+    return f"""
+    select entry, case when j = 1 then 'symlink' else 'file' end as kind, case when j = 2 then 70000 else 900 end as bytes, j <> 3 as stable, j <> 4 as readable, case j when 5 then 1 when 6 then 3 end as missing_depth, case when j = 7 then 2 else 1 end as version,
+      j <> 8 as parses, j <> 9 as same_identity, entry % 19 = 0 as tombstone, cast(entry % 5 + 1 as bigint) as record_revision,
+      case when entry % 19 = 0 or entry % 3 = 0 then null when entry % 11 = 0 then 'older' else final end as last_final, case when entry % 19 = 0 or entry % 4 = 1 then null when entry % 13 = 0 then 'older' else recovery end as last_recovery
+    from (select *, entry % 61 as j from {rows} r where slot) t"""
+
+
+CHAIN = "case when missing_depth is null then 'present' when missing_depth <= 1 then 'catalog_unavailable' else 'record_absent' end"
 
 
 @relation("catalog")
 def catalog_parent_chain(d):
     """Where a record's path ends early: above the records the catalog is unavailable, below
     them the record is absent."""
-    return "select entry, case when missing_depth is null then 'present' when missing_depth <= 1 then 'catalog_unavailable' else 'record_absent' end as chain from catalog"
+    return f"select entry, {CHAIN} as chain from catalog"
 
 
 @relation("catalog")
@@ -376,14 +394,14 @@ def catalog_identities(d):
     return "select entry from scan_catalog_slots where classification like 'supported%'"
 
 
-@relation("entries", "catalog", "catalog_parent_chain")
+@relation("entries", "catalog")
 def catalog_lookup(d):
     """What a look at one identity's record finds, with a tombstone's revision."""
-    status = f"""case when c.entry is null then 'record_absent' when chain <> 'present' then chain when kind <> 'file' then 'catalog_unsafe' when not readable then 'catalog_io_failure' when not stable then 'catalog_unstable' when bytes > {RECORD_BYTES} then 'catalog_corrupt'
+    status = f"""case when {CHAIN} <> 'present' then {CHAIN} when kind <> 'file' then 'catalog_unsafe' when not readable then 'catalog_io_failure' when not stable then 'catalog_unstable' when bytes > {RECORD_BYTES} then 'catalog_corrupt'
       when version <> 1 then 'catalog_unsupported' when not parses or not same_identity then 'catalog_corrupt' when tombstone then 'record_absent' else 'record_found' end"""
-    return f"""
-    select entry, status, case when status = 'record_absent' and tombstone then record_revision end as tombstone_revision, case when status = 'record_found' then record_revision end as record_revision, case when status = 'record_found' then last_final end as last_final, case when status = 'record_found' then last_recovery end as last_recovery
-    from (select e.entry, {status} as status, coalesce(tombstone and chain = 'present', false) as tombstone, record_revision, last_final, last_recovery from entries e left join catalog c on c.entry = e.entry left join catalog_parent_chain h on h.entry = e.entry) t"""
+    slots = f"(select entry, status, case when status = 'record_absent' and tombstone and missing_depth is null then record_revision end as tombstone_revision, case when status = 'record_found' then record_revision end as record_revision, case when status = 'record_found' then last_final end as last_final, case when status = 'record_found' then last_recovery end as last_recovery from (select *, {status} as status from catalog) c) s"
+    rows = merged(("entries", {}), (slots, {"status": "string", "tombstone_revision": "bigint", "record_revision": "bigint", "last_final": "string", "last_recovery": "string"}))
+    return f"select entry, coalesce(status, 'record_absent') as status, tombstone_revision, record_revision, last_final, last_recovery from {rows} t"
 
 
 @relation("catalog_lookup")
@@ -392,12 +410,14 @@ def catalog_merge_precheck(d):
     return "select entry, expected, case when status not in ('record_found', 'record_absent') then status when expected is null or coalesce(record_revision, tombstone_revision, -1) = expected then 'continue' else 'conflict' end as verdict from (select *, coalesce(record_revision, tombstone_revision) - case when entry % 13 = 0 then 1 else 0 end as expected from catalog_lookup) t"
 
 
-@relation("lookup_status", "entry_metadata", "final_summary_projection")
+@relation("lookup_status", "entry_metadata")
 def catalog_evidence_guard(d):
     """Whether a hit may become a record: its identity and all document digests agree."""
-    return """
-    select l.entry, case when l.status <> 'hit' then 'no_evidence' when m.digest <> m.want_digest or m.cache_key <> m.want_key or m.rebuilt_digest <> m.want_digest then 'identity_differs'
-      when m.metadata_manifest_sha <> m.manifest_sha or m.marker_manifest_sha <> m.manifest_sha or m.marker_metadata_sha <> m.metadata_sha or m.marker_digest <> m.want_digest then 'integrity_differs' else 'agrees' end as guard from lookup_status l join entry_metadata m on m.entry = l.entry"""
+    names = ("digest", "want_digest", "cache_key", "want_key", "rebuilt_digest", "metadata_manifest_sha", "manifest_sha", "marker_manifest_sha", "marker_metadata_sha", "metadata_sha", "marker_digest")
+    rows = merged(("lookup_status", {"status": "string"}), ("entry_metadata", {n: "string" for n in names}))
+    return f"""
+    select entry, case when status <> 'hit' then 'no_evidence' when digest <> want_digest or cache_key <> want_key or rebuilt_digest <> want_digest then 'identity_differs'
+      when metadata_manifest_sha <> manifest_sha or marker_manifest_sha <> manifest_sha or marker_metadata_sha <> metadata_sha or marker_digest <> want_digest then 'integrity_differs' else 'agrees' end as guard from {rows} t"""
 
 
 @relation("entries", public=False)
@@ -410,11 +430,11 @@ def resolved(d):
 def catalog_vs_authority(d):
     """What lookup, recovery (where it is needed) and catalog say about each identity that any
     source has seen; nothing but the sources where expectations are unknown."""
-    need = "((flags & 2) <> 0 or (l.status <> 'hit' and (flags & 4) <> 0))"
-    return f"""
-    select u.entry, flags, case when known then l.status end as lookup, case when known then l.reason end as lookup_reason, case when known then f.summary end as final_summary, case when known and {need} then r.status end as recovery, case when known and {need} then r.summary end as recovery_summary,
-      case when known then k.status end as catalog_status, case when known then tombstone_revision end as tombstone_revision, case when known then record_revision end as record_revision, case when known then last_final end as last_final, case when known then last_recovery end as last_recovery
-    from identity_three_way_union u join resolved n on n.entry = u.entry join lookup_status l on l.entry = u.entry join recovery_summary_projection r on r.entry = u.entry join catalog_lookup k on k.entry = u.entry left join final_summary_projection f on f.entry = u.entry"""
+    need = "(known and ((flags & 2) <> 0 or (lookup <> 'hit' and (flags & 4) <> 0)))"
+    rows = merged(("identity_three_way_union", {"flags": "int"}), ("resolved", {"known": "boolean"}), ("(select entry, status as lookup, reason as lookup_reason from lookup_status) l", {"lookup": "string", "lookup_reason": "string"}), ("(select entry, status as recovery, summary as recovery_summary from recovery_summary_projection) r", {"recovery": "string", "recovery_summary": "string"}),
+                  ("(select entry, status as catalog_status, tombstone_revision, record_revision, last_final, last_recovery from catalog_lookup) c", {"catalog_status": "string", "tombstone_revision": "bigint", "record_revision": "bigint", "last_final": "string", "last_recovery": "string"}), ("(select entry, summary as final_summary from final_summary_projection) f", {"final_summary": "string"}))
+    kept = ", ".join(f"case when known then {c} end as {c}" for c in ("lookup", "lookup_reason", "final_summary", "catalog_status", "tombstone_revision", "record_revision", "last_final", "last_recovery"))
+    return f"select entry, flags, {kept}, case when {need} then recovery end as recovery, case when {need} then recovery_summary end as recovery_summary from {rows} t where flags is not null"
 
 
 #: The reconciliation matrix, first match: condition, action, reason.
@@ -463,31 +483,40 @@ def recon_execute(d):
 def cas_upsert(d):
     """Mutations against the catalog as it is when they are written (some records have moved
     on): a new record replaces one summary and keeps the other; tombstones keep none."""
-    now = "coalesce(c.record_revision, c.tombstone_revision) + case when r.entry % 17 = 0 then 1 else 0 end"
+    now = "coalesce(record_revision, tombstone_revision) + case when entry % 17 = 0 then 1 else 0 end"
+    rows = merged(("recon_compare", {"action": "string", "expected_revision": "bigint"}), ("catalog_lookup", {"status": "string", "tombstone_revision": "bigint", "record_revision": "bigint", "last_final": "string", "last_recovery": "string"}), ("catalog_vs_authority", {"final_summary": "string", "recovery_summary": "string"}))
     return f"""
-    select entry, action, case when wrote then expected_or_zero + 1 end as revision, case when not readable then concat('catalog_write_', replace(catalog_status, 'catalog_', '')) when wrote then 'catalog_write_applied' else 'catalog_write_conflict' end as outcome,
+    select entry, action, case when wrote then expected_or_zero + 1 end as revision, case when not readable then concat('catalog_write_', replace(status, 'catalog_', '')) when wrote then 'catalog_write_applied' else 'catalog_write_conflict' end as outcome,
       case when wrote and action <> 'tombstone_empty' then case when action = 'upsert_final' then final_summary else last_final end end as last_final, case when wrote and action <> 'tombstone_empty' then case when action = 'upsert_recovery' then recovery_summary else last_recovery end end as last_recovery
-    from (select r.entry, r.action, coalesce(r.expected_revision, 0) as expected_or_zero, c.status as catalog_status, c.status in ('record_found', 'record_absent') as readable, c.status in ('record_found', 'record_absent') and coalesce({now}, 0) = coalesce(r.expected_revision, 0) as wrote, a.final_summary, a.recovery_summary, c.last_final, c.last_recovery
-      from recon_compare r join catalog_lookup c on c.entry = r.entry join catalog_vs_authority a on a.entry = r.entry where r.action in ('upsert_final', 'upsert_recovery', 'tombstone_empty')) t"""
+    from (select *, coalesce(expected_revision, 0) as expected_or_zero, status in ('record_found', 'record_absent') as readable, status in ('record_found', 'record_absent') and coalesce({now}, 0) = coalesce(expected_revision, 0) as wrote from {rows} r where action in ('upsert_final', 'upsert_recovery', 'tombstone_empty')) t"""
 
 
 @relation("recon_execute", "cas_upsert")
 def execution_status_map(d):
     """How each action ended: not written, applied, conflict or a failure of the catalog."""
-    return "select x.entry, x.action, case when c.outcome is null then execution when outcome = 'catalog_write_applied' then 'applied' when outcome = 'catalog_write_conflict' then 'revision_conflict' else 'catalog_failure' end as execution, revision from recon_execute x left join cas_upsert c on c.entry = x.entry"
+    rows = merged(("recon_execute", {"action": "string", "execution": "string"}), ("cas_upsert", {"outcome": "string", "revision": "bigint"}))
+    return f"select entry, action, case when outcome is null then execution when outcome = 'catalog_write_applied' then 'applied' when outcome = 'catalog_write_conflict' then 'revision_conflict' else 'catalog_failure' end as execution, revision from {rows} t"
 
 
 @relation("execution_status_map", "recon_compare")
 def recon_diagnostic_code(d):
     """Diagnostic of each identity from its execution, reason and action, and the source that
     saw it (combined where several did)."""
-    return """
-    select r.entry, case when execution = 'revision_conflict' then 'catalog_revision_conflict' when execution = 'catalog_failure' then 'catalog_failure' when reason in ('authoritative_unstable', 'authoritative_unsafe') then reason
-      when reason in ('authoritative_invalid', 'authoritative_unsupported') then 'authoritative_corrupt' when reason like 'catalog_%' then 'catalog_failure' when r.action = 'noop' then 'identity_noop' when r.action in ('defer', 'report_only') then 'identity_skipped' else 'identity_reconciled' end as code,
-      case flags when 1 then 'final' when 2 then 'staging' when 4 then 'catalog' else 'combined' end as source from recon_compare r join execution_status_map x on x.entry = r.entry"""
+    rows = merged(("recon_compare", {"flags": "int", "action": "string", "reason": "string"}), ("(select entry, execution from execution_status_map) x", {"execution": "string"}))
+    return f"""
+    select entry, case when execution = 'revision_conflict' then 'catalog_revision_conflict' when execution = 'catalog_failure' then 'catalog_failure' when reason in ('authoritative_unstable', 'authoritative_unsafe') then reason
+      when reason in ('authoritative_invalid', 'authoritative_unsupported') then 'authoritative_corrupt' when reason like 'catalog_%' then 'catalog_failure' when action = 'noop' then 'identity_noop' when action in ('defer', 'report_only') then 'identity_skipped' else 'identity_reconciled' end as code,
+      case flags when 1 then 'final' when 2 then 'staging' when 4 then 'catalog' else 'combined' end as source from {rows} t"""
 
 
 @relation("recon_compare", "execution_status_map", "entries", public=False)
+def run_rows(d):
+    """Identities that were compared, with their namespace and how they ended."""
+    rows = merged(("recon_compare", {"action": "string", "looked_up": "boolean", "recovered": "boolean"}), ("(select entry, execution from execution_status_map) x", {"execution": "string"}), ("entries", {"domain": "string", "producer": "string", "schema_version": "int", "digest": "string"}))
+    return f"select * from {rows} t where action is not null"
+
+
+@relation("run_rows", public=False)
 def reconciled(d):
     """Identities of each namespace in order, with what the run has used up to and before each."""
     w = "over (partition by domain, producer, schema_version order by digest rows between unbounded preceding and {0})"
@@ -495,8 +524,7 @@ def reconciled(d):
     used = ", ".join(f"sum({x}) {w.format('current row')} as {n}, coalesce(sum({x}) {w.format('1 preceding')}, 0) as {n}_before" for n, x in work.items())
     return f"""
     select *, identities - 1 >= {BUDGETS['identities']} or lookups_before >= {BUDGETS['lookups']} or (recovered and recoveries_before >= {BUDGETS['recoveries']}) or (mutates and mutations_before >= {BUDGETS['mutations']}) as over_budget
-    from (select r.entry, domain, producer, schema_version, digest, recovered, r.action in ('upsert_final', 'upsert_recovery', 'tombstone_empty') as mutates, row_number() {w.format('current row').replace(' rows between unbounded preceding and current row', '')} as identities, {used}
-      from recon_compare r join execution_status_map x on x.entry = r.entry join entries e on e.entry = r.entry) t"""
+    from (select entry, domain, producer, schema_version, digest, recovered, action in ('upsert_final', 'upsert_recovery', 'tombstone_empty') as mutates, row_number() {w.format('current row').replace(' rows between unbounded preceding and current row', '')} as identities, {used} from run_rows) t"""
 
 
 @relation("reconciled")
@@ -515,10 +543,10 @@ def reconcile_run(d):
     from (select *, count(*) over (partition by domain, producer, schema_version) as total, bool_or(over_budget) over (partition by domain, producer, schema_version order by identities rows between unbounded preceding and current row) as stopped from reconciled) t where not stopped group by domain, producer, schema_version"""
 
 
-@relation("execution_status_map", "recon_compare", "entries")
+@relation("run_rows")
 def recon_progress(d):
     """Identities, lookups, recoveries and applied mutations of each namespace."""
-    return "select domain, producer, schema_version, cast(count(*) as bigint) as identities, cast(count_if(looked_up) as bigint) as lookups, cast(count_if(recovered) as bigint) as recoveries, cast(count_if(execution = 'applied') as bigint) as mutations from recon_compare r join execution_status_map x on x.entry = r.entry join entries e on e.entry = r.entry group by domain, producer, schema_version"
+    return "select domain, producer, schema_version, cast(count(*) as bigint) as identities, cast(count_if(looked_up) as bigint) as lookups, cast(count_if(recovered) as bigint) as recoveries, cast(count_if(execution = 'applied') as bigint) as mutations from run_rows group by domain, producer, schema_version"
 
 
 @relation("recon_compare", "entries")
@@ -529,7 +557,7 @@ def recon_compare_batch(d):
     from (select r.entry, domain, producer, schema_version, digest, cast(floor((row_number() over (partition by domain, producer, schema_version order by digest, r.entry) - 1) / {PAGE}e0) as bigint) as batch from recon_compare r join entries e on e.entry = r.entry) t group by domain, producer, schema_version, batch"""
 
 
-@relation("reconcile_run", "policies", public=False)
+@relation("reconcile_run", public=False)
 def checkpoints(d):
     """Checkpoints as found, one a run: bytes, how reads went, version, text fields and counters."""
     return f"""

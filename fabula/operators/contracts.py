@@ -110,7 +110,7 @@ def stream_sha256(d):
     return f"select doc_id, declared, cast(least(length(body), declared) as int) as characters_read, length(body) > declared as has_more, {d.sha256('substring(body, 1, declared)')} as digest from (select doc_id, coalesce(text, '') as body, cast(length(coalesce(text, '')) + case doc_id % 5 when 1 then -1 when 2 then 1 else 0 end as int) as declared from documents) t where declared >= 0"
 
 
-@relation("entries", "lines")
+@relation("lines")
 def fingerprint_lists(d):
     """Inputs of each entry as they come, configurations sorted, and whether none comes twice."""
     return f"select doc as entry, {d.agg_text('cast(l_partkey as string)', ',', 'node')} as inputs, {d.agg_text('config', ',', 'config', 'node')} as configs, count(distinct config) = count(*) as unique_configs from (select doc, node, l_partkey, concat('model.', lower(l_returnflag), cast(l_partkey % 5 as string)) as config from lines) t group by doc"

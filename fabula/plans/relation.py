@@ -1,9 +1,9 @@
 """Named relations: every operator outside streaming is one declarative SQL relation.
 
-A relation is a function from a dialect to a SELECT over other relations. Rendering a
-relation chains all it needs as common table expressions, so Spark plans (and prunes,
-pushes down and reuses) the whole of it at once, and an ANSI engine can run the same
-definition as an oracle. What differs between engines is in the dialect alone.
+A relation is a function from a dialect to a SELECT over other relations. Spark resolves all
+that a relation needs one after the other and plans (prunes, pushes down and reuses) the
+whole of it at once; for an ANSI engine the same definitions are chained as common table
+expressions, as an oracle. What differs between engines is in the dialect alone.
 
 Relations stay linear where they can: columns are added to one wide row rather than
 joined back, and nothing filters or joins on a computed column below an aggregate or a
@@ -18,6 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an array that a recurrence is appended to a row at a time.
+CHUNK = 128
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -120,12 +123,16 @@ class Spark:
         """Rows of `source`, numbered by `at` from 1 within the keys, each with a state that
         depends on the state of the row before. state: name -> (type, first, step), where x.
         is the row (of which `fields` are used) and s. the state before."""
-        struct = ", ".join([f"{at}:int", *(f"{n}:{t}" for n, (t, _, _) in state.items())])
+        kind = ", ".join([f"{at}:int", *(f"{n}:{t}" for n, (t, _, _) in state.items())])
         first = ", ".join(f"cast({f} as {t}) as {n}" for n, (t, f, _) in state.items())
-        before = lambda e: re.sub(r"\bs\.", "get(a, size(a) - 1).", e)
+        before = lambda e: re.sub(r"\bs\.", "get(b, size(b) - 1).", e)
         step = ", ".join(f"cast({before(e)} as {t}) as {n}" for n, (t, _, e) in state.items())
         items = f"array_sort(collect_list(struct(cast({at} as int) as {at}, {', '.join(fields)})))"
-        walk = f"aggregate(items, cast(array() as array<struct<{struct}>>), (a, x) -> concat(a, array(case when size(a) = 0 then struct(x.{at} as {at}, {first}) else struct(x.{at} as {at}, {step}) end)))"
+        # appending copies an array, so rows are appended to arrays of CHUNK rows, and these to the whole
+        last = "case when size(a) = 0 then a else slice(a, size(a), 1) end"
+        chunk = f"aggregate(c, {last}, (b, x) -> concat(b, array(case when size(b) = 0 then struct(x.{at} as {at}, {first}) else struct(x.{at} as {at}, {step}) end)))"
+        chunks = f"transform(sequence(0, cast((size(items) - 1) / {CHUNK} as int)), i -> slice(items, i * {CHUNK} + 1, {CHUNK}))"
+        walk = f"aggregate({chunks}, cast(array() as array<struct<{kind}>>), (a, c) -> concat(a, slice({chunk}, case when size(a) = 0 then 1 else 2 end, {CHUNK})))"
         own = ", ".join(keys)
         return f"select {own}, {', '.join(f'r.{n} as {n}' for n in (at, *state))} from (select {own}, {walk} as rows from (select {own}, {items} as items from {source} group by {own})) lateral view explode(rows) t as r"
 
@@ -298,9 +305,27 @@ def render(name: str, dialect: Spark, sources: dict[str, str] | None = None) ->
     return "with " + ",\n".join(parts) + f"\nselect * from {name}"
 
 
+def frame(name: str, spark: SparkSession, given: dict[str, DataFrame]) -> DataFrame:
+    """The relation over given DataFrames. Relations are resolved one after the other, so that
+    the depth of a chain does not count against the analyzer's limit; Catalyst still plans
+    the whole of it."""
+    known = dict(given)
+    for n in needed(name, frozenset(given)):
+        inputs = RELATIONS[n].inputs
+        text = RELATIONS[n].sql(Spark()).strip()
+        if inputs:
+            text = text.replace("{", "{{").replace("}", "}}")
+            text = re.sub(rf"\b(from|join) ({'|'.join(inputs)})\b", r"\1 {\2}", text)
+            known[n] = spark.sql(text, **{i: known[i] for i in inputs})
+        else:
+            known[n] = spark.sql(text)
+    return known[name]
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(render(name, Spark(), {t: f"select * from parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+        tables = sorted({i for n in needed(name) for i in RELATIONS[n].inputs if i in TABLES})
+        return frame(name, spark, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
     run.__name__, run.__doc__ = name, RELATIONS[name].doc
     return run
@@ -308,7 +333,7 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
     """The relation over given DataFrames: base tables, or any relation it is built from."""
-    return spark.sql(render(name, Spark(), {k: "select * from {" + k + "}" for k in frames}), **frames)
+    return frame(name, spark, frames)
 
 
 def oracle(name: str) -> str:
