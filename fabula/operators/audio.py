@@ -334,6 +334,7 @@ def audio_bounds(d):
       from (select *, lag(ambience_on) {w} as previous_on, lag(place_kind) {w} as previous_place, lag(style) {w} as previous_style from audio_sound) a) t"""
 
 
+#: Lengths and reasons of transitions.
 WAYS = "case {0} when 'silence' then 300 when 'impact' then 0 when 'hard_cut' then 0 else 800 end"
 WHY = """case {0} when 'fade_in' then 'First scene entry.' when 'fade_out' then 'Final scene exit.' when 'silence' then 'Intentional pause defines the scene boundary.' when 'impact' then 'Structurally supported climax contrast.' when 'hard_cut' then 'Strong structural contrast supports a hard cut.'
   when 'riser' then 'Structurally supported climax build.' when 'ambient_bridge' then 'Compatible ambience bridges both scenes.' else 'Conservative scene boundary.' end"""

@@ -4,7 +4,10 @@ from ..plans.relation import relation
 from .text import STOP_SEMANTIC, WORD_SEMANTIC, four, words_in
 
 #: Terms that speak for and against a documentary picture.
-DOCUMENTARY = "archive court courtroom document evidence hospital investigation medical news photograph real records report trial".split()
+DOCUMENTARY = (
+    "archive", "court", "courtroom", "document", "evidence", "hospital", "investigation", "medical", "news", "photograph", "real", "records",
+    "report", "trial",
+)
 GENERATED = ("ai generated", "artificial intelligence", "distorted anatomy", "extra fingers", "unrealistic lighting", "synthetic", "render", "illustration", "fantasy")
 
 

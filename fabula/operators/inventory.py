@@ -75,6 +75,7 @@ def git_status_for(d):
 def assess_path_safety(d):
     """Path, Git and link status of each file, whether that protects it, and why; every doubt
     protects."""
+    # fixed values: statuses and reasons, in order of precedence
     steps = [
         ("relative = ''", "'protected_root'", "'not_symlink'", "true", "Inventory, repository, and storage roots are protected containers."),
         ("relative like '.git/%' or relative like '%/.git/%'", "'unsafe'", "'not_symlink'", "true", ".git and all of its contents are always protected."),
@@ -100,6 +101,7 @@ def inventory_classify(d):
     """Type, category, protection and rule of each file: the first rule of its context that
     matches; traversal issues and links are never classified."""
     unknown = ("unknown", "work", "protected_unknown", False)
+    # fixed values: names of types, categories, protections and rules
     rules = [
         ("kind = 'symlink'", *unknown, "safety.symlink_fail_closed", "suspicious"), ("traversal = 'nested_repository'", *unknown, "safety.nested_repository", "suspicious"),
         ("traversal = 'truncated'", *unknown, "traversal.max_depth", "partial"), ("traversal is not null", *unknown, "concat('observation.', traversal)", "suspicious"),

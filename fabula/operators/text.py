@@ -3,12 +3,17 @@
 from ..plans.relation import quote, relation
 
 #: Words that never count as content.
-STOP_STORY = """a an and are as at be been but by for from had has have he her his in is it its of on or she
-that the their them they this to was were with would att av de den det en ett för från han har hon i
-med och om på som till var är""".split()
-STOP_SEMANTIC = """a an and are as at be been but by did do for from had has have he her hers him his in into is it
-its of on one or she that the their them there they this to was were with would att av blev de den det du en ett
-för från han har hon i inte med men och om på som till var vi är""".split()
+STOP_STORY = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "in", "is", "it", "its",
+    "of", "on", "or", "she", "that", "the", "their", "them", "they", "this", "to", "was", "were", "with", "would", "att", "av", "de", "den", "det",
+    "en", "ett", "för", "från", "han", "har", "hon", "i", "med", "och", "om", "på", "som", "till", "var", "är",
+)
+STOP_SEMANTIC = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "did", "do", "for", "from", "had", "has", "have", "he", "her", "hers", "him",
+    "his", "in", "into", "is", "it", "its", "of", "on", "one", "or", "she", "that", "the", "their", "them", "there", "they", "this", "to", "was",
+    "were", "with", "would", "att", "av", "blev", "de", "den", "det", "du", "en", "ett", "för", "från", "han", "har", "hon", "i", "inte", "med",
+    "men", "och", "om", "på", "som", "till", "var", "vi", "är",
+)
 
 #: Story signals and the substrings that show them.
 SIGNALS = {

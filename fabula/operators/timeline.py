@@ -4,7 +4,10 @@ from ..plans.relation import relation
 from .text import STOP_SEMANTIC, WORD_SEMANTIC, four, words_in
 
 #: Words that begin a turn of the story.
-TURNS = "but however yet instead meanwhile later finally eventually although despite then suddenly because therefore dock samtidigt senare slutligen".split()
+TURNS = (
+    "but", "however", "yet", "instead", "meanwhile", "later", "finally", "eventually", "although", "despite", "then", "suddenly", "because",
+    "therefore", "dock", "samtidigt", "senare", "slutligen",
+)
 
 
 @relation("spoken")

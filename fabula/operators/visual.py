@@ -5,25 +5,25 @@ from .text import WORD_VISUAL, words_in
 
 #: Shot rules in their order of precedence.
 SHOTS = [
-    ("map", "map maps atlas geography geographic route routes border borders territory territories"),
-    ("document", "document documents letter letters record records newspaper newspapers headline headlines manuscript certificate report reports file files chart charts"),
-    ("portrait", "portrait person people individual face man men woman women leader leaders president king queen doctor nurse judge officer"),
-    ("archive", "archive archival vintage historic historical black-and-white photograph photographs footage"),
-    ("establishing", "establishing exterior skyline cityscape landscape building buildings hospital street streets location overview aerial"),
-    ("detail", "close-up detail evidence artifact artifacts object objects gavel weapon hand hands"),
-    ("wide", "wide panorama panoramic crowd crowds room interior group groups"),
+    ("map", ("map", "maps", "atlas", "geography", "geographic", "route", "routes", "border", "borders", "territory", "territories")),
+    ("document", ("document", "documents", "letter", "letters", "record", "records", "newspaper", "newspapers", "headline", "headlines", "manuscript", "certificate", "report", "reports", "file", "files", "chart", "charts")),
+    ("portrait", ("portrait", "person", "people", "individual", "face", "man", "men", "woman", "women", "leader", "leaders", "president", "king", "queen", "doctor", "nurse", "judge", "officer")),
+    ("archive", ("archive", "archival", "vintage", "historic", "historical", "black-and-white", "photograph", "photographs", "footage")),
+    ("establishing", ("establishing", "exterior", "skyline", "cityscape", "landscape", "building", "buildings", "hospital", "street", "streets", "location", "overview", "aerial")),
+    ("detail", ("close-up", "detail", "evidence", "artifact", "artifacts", "object", "objects", "gavel", "weapon", "hand", "hands")),
+    ("wide", ("wide", "panorama", "panoramic", "crowd", "crowds", "room", "interior", "group", "groups")),
 ]
 
 #: Narrative rules in their order of precedence: phrases and keywords.
 NARRATIVES = [
-    ("climax", ("turning point", "final confrontation", "decisive moment", "highest point"), "culmination decisive peak verdict breakthrough"),
-    ("reveal", ("came to light", "for the first time", "it emerged"), "discover discovered discovery reveal revealed uncovered exposed disclosed"),
-    ("escalation", ("grew worse", "became urgent", "rising tension"), "danger conflict crisis urgent urgency tension threat worsened violence risk"),
-    ("explanation", ("this means", "as a result", "the reason", "in other words"), "because explains explanation process therefore why how"),
-    ("reflection", ("looking back", "in retrospect", "years later"), "remember remembered reflection legacy aftermath contemplate impact"),
-    ("conclusion", ("in the end", "to conclude", "in conclusion", "the story ends"), "finally conclusion ultimately closing summary ended"),
-    ("introduction", ("this is the story", "our story begins", "the story begins"), "introduce introduction begins beginning opens"),
-    ("context", ("at the time", "years before", "historical background"), "background history before previously origin context earlier"),
+    ("climax", ("turning point", "final confrontation", "decisive moment", "highest point"), ("culmination", "decisive", "peak", "verdict", "breakthrough")),
+    ("reveal", ("came to light", "for the first time", "it emerged"), ("discover", "discovered", "discovery", "reveal", "revealed", "uncovered", "exposed", "disclosed")),
+    ("escalation", ("grew worse", "became urgent", "rising tension"), ("danger", "conflict", "crisis", "urgent", "urgency", "tension", "threat", "worsened", "violence", "risk")),
+    ("explanation", ("this means", "as a result", "the reason", "in other words"), ("because", "explains", "explanation", "process", "therefore", "why", "how")),
+    ("reflection", ("looking back", "in retrospect", "years later"), ("remember", "remembered", "reflection", "legacy", "aftermath", "contemplate", "impact")),
+    ("conclusion", ("in the end", "to conclude", "in conclusion", "the story ends"), ("finally", "conclusion", "ultimately", "closing", "summary", "ended")),
+    ("introduction", ("this is the story", "our story begins", "the story begins"), ("introduce", "introduction", "begins", "beginning", "opens")),
+    ("context", ("at the time", "years before", "historical background"), ("background", "history", "before", "previously", "origin", "context", "earlier")),
 ]
 
 #: Camera presets by shot and by narrative intent.
@@ -38,7 +38,7 @@ PROFILE = """case when narrative_intent = 'introduction' then 'introduction_smoo
 
 @relation(public=False)
 def shot_rules(d):
-    return d.values("r", ("rule", "priority", "keyword"), [(n, i, w) for i, (n, ws) in enumerate(SHOTS) for w in ws.split()])
+    return d.values("r", ("rule", "priority", "keyword"), [(n, i, w) for i, (n, ws) in enumerate(SHOTS) for w in ws])
 
 
 @relation(public=False)
@@ -83,7 +83,7 @@ def shot_intent(d):
 def narrative_intent(d):
     """Narrative function: phrases count 3, keywords 2; else by place."""
     phrase = {n: " + ".join(f"case when contains(low, {quote(p)}) then 1 else 0 end" for p in ps) for n, ps, _ in NARRATIVES}
-    keyword = {n: d.size(d.keep("words", f"x in {words_in(ws.split())}")) for n, _, ws in NARRATIVES}
+    keyword = {n: d.size(d.keep("words", f"x in {words_in(ws)}")) for n, _, ws in NARRATIVES}
     cols = ", ".join(f"{phrase[n]} as p_{n}, {keyword[n]} as k_{n}" for n, _, _ in NARRATIVES)
     score = {n: f"(3 * p_{n} + 2 * k_{n})" for n, _, _ in NARRATIVES}
     top = "greatest(" + ", ".join(score.values()) + ")"
