@@ -31,6 +31,8 @@ from .common import groups, mix64, slices, small, utf8, written
 from .components import components
 
 CELLS_BITS, BLOCK, HISTOGRAM = 22, 1 << 16, 256
+#: Tasks that first sum a block of the cells.
+SALTS = 64
 #: Column numbers (8 bytes each) that may be broadcast.
 COLUMNS = 3_000_000
 #: Members of a column's block in the second product.
@@ -85,20 +87,27 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
 
 def rarity(survey_rows: DataFrame) -> np.ndarray:
     """Counts of all cells, on a log scale in a byte: the driver gets 2**CELLS_BITS bytes,
-    whatever the corpus."""
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in slices(batches):
-            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                own = np.frombuffer(zlib.decompress(data), np.uint32)
-                sums[b] = sums[b] + own if b in sums else own.astype(np.uint64)
-        for b, total in sums.items():
-            level = np.minimum(255, np.round(16 * np.log2(1.0 + total)) if total.max() >= 2**15 else np.round(17 * np.log2(1.0 + total))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)])], names=["block", "data"])
-
-    # a block's rows (one a task of the survey) meet in one task: 64 blocks of 256 KB sums
-    blocks = survey_rows.where("kind = 1").select("block", "data").repartition("block").mapInArrow(add, "block int, data binary")
+    whatever the corpus. A block's rows (one a task of the survey) are summed in SALTS tasks
+    first, so that none of them meets the rows of all."""
+
+    def add(kind, last):
+        def run(batches):
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in slices(batches):
+                for b, salt, data in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "data"))):
+                    own = np.frombuffer(zlib.decompress(data), kind)
+                    key = (b, 0 if last else salt)
+                    sums[key] = sums[key] + own if key in sums else own.astype(np.uint64)
+            for (b, salt), total in sums.items():
+                out = np.minimum(255, np.round(16 * np.log2(1.0 + total)) if total.max() >= 2**15 else np.round(17 * np.log2(1.0 + total))).astype(np.uint8) if last else total
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)])], names=["block", "salt", "data"])
+
+        return run
+
+    schema = "block int, salt int, data binary"
+    rows = survey_rows.where("kind = 1").select("block", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "data")
+    part = rows.repartition("block", "salt").mapInArrow(add(np.uint32, False), schema)
+    blocks = part.repartition("block").mapInArrow(add(np.uint64, True), schema)
     cells = np.zeros(1 << CELLS_BITS, np.uint8)
     for r in blocks.collect():
         cells[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.data), np.uint8)
