@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, jaccard, licenses, media, passages, pieces, secrets, sharding, toxicity
+from . import alignment, decontamination, importance, jaccard, licenses, lines, media, middles, passages, pieces, secrets, sharding, toxicity
 from .common import read, written
 
 #: Folder of the public tokenizer files; they are never copied here.
@@ -24,6 +24,12 @@ def piece_model(path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     return placed.select(
@@ -107,7 +113,32 @@ def op10_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(docs, piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op4_chained_passages, op5_secret_ownership, op6_ngram_jaccard, op7_media_chunks, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middles.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(middles.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), piece_model())
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    found = alignment.scored(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_best_a")
+
+
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_importance_resampling, op3_benchmark_containment, op4_chained_passages, op5_secret_ownership, op6_ngram_jaccard, op7_media_chunks, op8_toxicity_instances, op9_license_dice, op10_streaming_pieces, op11_line_dedup, op12_fill_in_middle, op13_token_alignment)}
 
 #: What SQL can express: the exact containment that MinHash candidates are verified by.
 ORACLE_SQL: dict[str, str] = {
@@ -119,5 +150,25 @@ ORACLE_SQL: dict[str, str] = {
     sizes as (select id, count(*) as n from shingles where side = 'i' group by id)
     select d.id as doc_id, i.id as item_id, cast(count(*) as int) as n_shared, cast(min(n) as int) as n_item, round(count(*) / min(n), 6) as containment
     from shingles i join shingles d on d.s = i.s and d.side = 'd' join sizes z on z.id = i.id where i.side = 'i'
-    group by d.id, i.id having count(*) >= 0.8 * min(n)"""
+    group by d.id, i.id having count(*) >= 0.8 * min(n)""",
+    "op11_line_dedup": r"""
+    with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    lines as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from split),
+    keys as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+    often as (select key, min(doc_id) as first from keys where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+    told as (select k.*, o.key is not null and k.doc_id <> o.first as dropped from keys k left join often o on o.key = k.key)
+    select doc_id, count(*) as n_lines, cast(sum(dropped::int) as bigint) as n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '')) as kept_sha256
+    from told group by doc_id""",
+    "op12_fill_in_middle": r"""
+    with texts as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id) as d from documents),
+    units as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u,
+      ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4 from texts),
+    cuts as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from units),
+    parts as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cuts)
+    select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+      sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+      sha256(p || m || s) as restored_sha256
+    from parts""",
 }
