@@ -55,7 +55,7 @@ def rows_of(spark, folder, number):
     return queries.QUERIES[name](spark, folder).collect()
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_empty_tables_give_no_rows(spark, nothing, number):
     assert rows_of(spark, nothing, number) == []
 
