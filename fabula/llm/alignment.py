@@ -23,8 +23,9 @@ from .common import small, trim, written
 #: A space after something else and before a word: no token of either side spans it.
 CUT = re.compile(r"(?<=[^ ])(?= \S)")
 WIDE = re.compile(r" (?=\s|\Z)")
-#: Characters met together, words and their characters that a worker remembers.
-SLAB, WORDS, KEYS = 1 << 20, 1 << 17, 1 << 24
+#: Characters met together, words encoded together, words that a worker remembers between
+#: slabs, and the length up to which it keeps them.
+SLAB, TOGETHER, WORDS, KEY = 1 << 20, 1 << 12, 1 << 18, 64
 RESULT = "n_a long, n_b long, n_groups long, n_links long, groups string, link_a array<int>, link_b array<int>, link_n array<int>"
 
 
@@ -88,30 +89,59 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
+        self.words: list[str] = []
         self.index: dict[str, int] = {}
-        self.chars = 0
         self.texts: list[str | None] = []
-        #: tokens of A and of B, groups of each word
-        self.sizes = np.zeros((0, 3), np.int64)
+        #: tokens of A and of B, groups of each word, and how often it came
+        self.sizes, self.hits = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
         #: where each word's links begin, and all links (a << 32 | b)
         self.starts, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
+    def tidy(self) -> None:
+        """Keeps the short words that came most often, once there are too many."""
+        if len(self.words) <= WORDS:
+            return
+        often = np.argsort(-self.hits, kind="stable")[: WORDS // 2]
+        keep = np.sort([i for i in often.tolist() if self.hits[i] > 1 and len(self.words[i]) <= KEY]).astype(np.int64)
+        sizes, hits, links, starts = self.sizes[keep], self.hits[keep] // 2, self.links[self.where(keep)], self.starts
+        words, texts = [self.words[i] for i in keep.tolist()], [self.texts[i] for i in keep.tolist()]
+        counts = starts[keep + 1] - starts[keep]
+        self.words, self.texts, self.sizes, self.hits, self.links = words, texts, sizes, hits, links
+        self.starts, self.index = np.concatenate([[0], counts.cumsum()]).astype(np.int64), {w: i for i, w in enumerate(words)}
+
+    def where(self, words: np.ndarray) -> np.ndarray:
+        """The places of the links of some words."""
+        counts = self.starts[words + 1] - self.starts[words]
+        return np.arange(counts.sum()) + np.repeat(self.starts[words] - counts.cumsum() + counts, counts)
+
     def learn(self, words: set[str]) -> None:
-        """Encodes words that are not known yet and merges their token ends."""
-        if len(self.index) > WORDS or self.chars > KEYS:
-            self.forget()
+        """Encodes words that are not known yet, many in one text, and merges their token
+        ends. Words with white space at an end stand alone, as do those of a text that its
+        tokens don't give back."""
+        self.tidy()
         new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.chars += sum(map(len, new))
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        said = [b" " + w.encode() for w in new]
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for t, x, y in zip(said, ids_a, ids_b)]
-        n_a, n_b = (np.array([len(i) if g else 0 for i, g in zip(ids, good)], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for own, g in zip(ids, good) if g for i in own], np.int64) for ids in (ids_a, ids_b))
+        plain = [w for w in new if w == w.strip() and "▁" not in w]
+        odd = [[w] for w in new if w != w.strip() or "▁" in w]
+        todo = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)] + odd
+        while todo:
+            own = todo.pop()
+            text = " ".join(own)
+            a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+            said = (" " + text).encode()
+            if b"".join(map(self.bytes_a.__getitem__, a)) == said == b"".join(map(self.bytes_b.__getitem__, b)):
+                self._file(own, np.array(a, np.int64), np.array(b, np.int64))
+            elif len(own) > 1:
+                todo += [[w] for w in own]
+            else:
+                self._file(own, np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _file(self, words: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Adds words with their tokens; none where a word can't be aligned."""
+        self.index.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.words += words
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
         ends_a, ends_b = self.len_a[a].cumsum(), self.len_b[b].cumsum()
+        # a merge of two sorted runs: where tokens of both end
         met, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         # each token's group, then its place where A's and B's tokens of a group follow each other
         group_a, group_b = met.searchsorted(ends_a), met.searchsorted(ends_b)
@@ -121,11 +151,12 @@ class Aligner:
         order[np.arange(len(a)) + np.concatenate([[0], at_b + 1])[group_a]] = a + last_a * len(self.bytes_a)
         order[np.arange(len(b)) + (at_a + 1)[group_b]] = b + last_b * len(self.bytes_b) + 2 * len(self.bytes_a)
         parts = list(map(self.written.__getitem__, order.tolist()))
-        tokens = np.concatenate([[0], (n_a + n_b).cumsum()]).tolist()
-        self.texts += ["".join(parts[i:j]) if g else None for i, j, g in zip(tokens, tokens[1:], good)]
-        until = met.searchsorted(np.array([len(t) if g else 0 for t, g in zip(said, good)], np.int64).cumsum(), "right")
-        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, np.diff(until, prepend=0)], axis=1)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + until])
+        until = np.array([len(w.encode()) + 1 for w in words], np.int64).cumsum()
+        sizes = np.stack([np.diff(e.searchsorted(until, "right"), prepend=0) for e in (ends_a, ends_b, met)], axis=1)
+        tokens = np.concatenate([[0], (sizes[:, 0] + sizes[:, 1]).cumsum()]).tolist()
+        self.texts += ["".join(parts[i:j]) if j > i else None for i, j in zip(tokens, tokens[1:])]
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + sizes[:, 2].cumsum()])
         self.links = np.concatenate([self.links, a[at_a] << 32 | b[at_b]])
 
     def align(self, texts: list[str | None]):
@@ -154,9 +185,8 @@ class Aligner:
             found[n].sizes += self.sizes[own].sum(axis=0)
             found[n].parts.append("".join(parts))
             own, times = np.unique(own, return_counts=True)
-            n_links = self.starts[own + 1] - self.starts[own]
-            where = np.arange(n_links.sum()) + np.repeat(self.starts[own] - n_links.cumsum() + n_links, n_links)
-            found[n].add(self.links[where], np.repeat(times, n_links))
+            self.hits[own] += times
+            found[n].add(self.links[self.where(own)], np.repeat(times, self.starts[own + 1] - self.starts[own]))
 
 
 class Alignment:
