@@ -63,11 +63,18 @@ def negated(d, p: str) -> str:
 
 
 @relation("scenes", public=False)
+def audio_requests(d):
+    """What scenes ask for beside their text: a pause, an environment, a hard cut."""
+    return "select project_id, scene_index, scene_index % 2 = 1 as pause, case scene_index % 3 when 0 then 'urban' when 1 then 'transport' end as explicit, scene_index % 4 = 2 as hard_cut from scenes"
+
+
+@relation("scenes", "audio_requests", public=False)
 def audio_text(d):
-    """Scenes with their words in a row, and what some of them ask for: a pause, an
-    environment, a hard cut."""
+    """Scenes with their words in a row, and what they ask for (nothing where that is not said)."""
     ambient = f"concat(' ', {d.join(d.tokens('lower(voiceover_text)', WORD_AMBIENCE), ' ')}, ' ')"
-    return f"select project_id, scene_index, scene_start, scene_end, voiceover_text, concat(' ', {d.join(d.tokens('lower(voiceover_text)', WORD_STORY), ' ')}, ' ') as line, {ambient} as ambient, scene_index % 2 = 1 as pause, case scene_index % 3 when 0 then 'urban' when 1 then 'transport' end as explicit, scene_index % 4 = 2 as hard_cut from scenes"
+    return f"""
+    select s.project_id, s.scene_index, scene_count, scene_start, scene_end, voiceover_text, concat(' ', {d.join(d.tokens('lower(voiceover_text)', WORD_STORY), ' ')}, ' ') as line, {ambient} as ambient, coalesce(pause, false) as pause, explicit, coalesce(hard_cut, false) as hard_cut
+    from scenes s left join audio_requests a on a.project_id = s.project_id and a.scene_index = s.scene_index"""
 
 
 @relation("audio_text", public=False)
@@ -111,22 +118,57 @@ def semantic_intents(d):
     return d.values("r", ("semantic_key", "semantic_audio"), SEMANTIC_INTENT)
 
 
-@relation("structural_roles", "scenes")
+#: Schema and version of the story plans that audio planning reads.
+STORY_VERSIONS = (("4.6.0", "4.6.0"),)
+
+
+@relation("structural_roles", public=False)
+def story_plans(d):
+    """Story plans as they are handed over, one a project: some without a version or of another,
+    some whose count is not that of the scenes, some no object or without a list of scenes."""
+    user = f"cast({d.extract('project_id', '^([0-9]+)', 1)} as bigint)"
+    return f"""
+    select project_id, u % 29 <> 5 as is_object, u % 31 <> 6 as has_scenes, n - case when u % 37 = 7 then 1 else 0 end as scene_count, case when u % 41 <> 8 then '4.6.0' end as schema_version, case when u % 43 = 9 then '4.5.0' when u % 47 = 10 then ' ' else '4.6.0' end as story_director_version
+    from (select project_id, {user} as u, cast(count(*) as int) as n from structural_roles group by project_id) t where u % 23 <> 4"""
+
+
+@relation("structural_roles", "scenes", public=False)
+def story_plan_scenes(d):
+    """Scenes of story plans in their order, with ids, numbers and times: a few wrong."""
+    user = f"cast({d.extract('r.project_id', '^([0-9]+)', 1)} as bigint)"
+    return f"""
+    select r.project_id, r.scene_index as place, true as is_object, case when {user} % 53 = 11 and r.scene_index = 1 then 'scene_999' else concat('scene_', lpad(cast(r.scene_index + 1 as string), 3, '0')) end as scene_id, r.scene_index,
+      scene_start + case when {user} % 59 = 12 and r.scene_index = 2 then 0.5e0 else 0e0 end as scene_start, scene_end, cast(null as double) as duration, story_role, story_phase, tension, emotional, revelation
+    from structural_roles r join scenes s on s.project_id = r.project_id and s.scene_index = r.scene_index"""
+
+
+@relation("scenes", "story_plans", "story_plan_scenes")
 def story_semantic_match(d):
-    """Projects whose story rows fit their scenes one to one; others lose the whole side.
-    Here every fifth user's story lacks its last scene."""
-    return """
-    select s.project_id, bool_and(r.scene_index is not null) as accepted, cast(min(case when r.scene_index is null then s.scene_index end) as int) as first_missing
-    from scenes s left join (select * from structural_roles where not (length(project_id) % 5 = 0 and scene_index = scene_count - 1)) r on r.project_id = s.project_id and r.scene_index = s.scene_index group by s.project_id"""
+    """Whether a project's story plan fits its scenes one to one, and the first reason why not:
+    no plan, no object, no scenes, their number, no version or another one, then the first
+    scene that is no object, has another id or number, or (where it has times) another time.
+    A plan that does not fit loses its whole side."""
+    known = " or ".join(f"(p.schema_version = {quote(s)} and p.story_director_version = {quote(v)})" for s, v in STORY_VERSIONS)
+    own = "concat('scene_', lpad(cast(s.scene_index + 1 as string), 3, '0'))"
+    late = " or ".join(f"coalesce(abs(t.{c} - {e}) > 0.001e0, false)" for c, e in (("scene_start", "s.scene_start"), ("scene_end", "s.scene_end"), ("duration", "(s.scene_end - s.scene_start)")))
+    blank = lambda c: f"trim(coalesce({c}, '')) = ''"
+    return f"""
+    select project_id, reason is null as accepted, reason from (select n.project_id, case when p.project_id is null then 'story_director_plan_missing' when not p.is_object then 'story_director_plan_not_object' when not p.has_scenes then 'story_director_scenes_invalid'
+        when coalesce(p.scene_count, -1) <> n.n or coalesce(m.n, 0) <> n.n then 'story_director_scene_count_mismatch' when {blank('p.schema_version')} or {blank('p.story_director_version')} then 'story_director_version_missing'
+        when not ({known}) then concat('story_director_version_incompatible:', p.schema_version, ':', p.story_director_version) when m.first_bad is not null then concat('story_director_scene_', substring(m.first_bad, 11)) end as reason
+      from (select project_id, count(*) as n from scenes group by project_id) n left join story_plans p on p.project_id = n.project_id
+      left join (select t.project_id, count(*) as n, min(case when not t.is_object then concat({{0}}, '_invalid') when s.scene_index is null or coalesce(t.scene_id, '') <> {own} or coalesce(t.scene_index, -1) <> s.scene_index then concat({{0}}, '_identity_mismatch') when {late} then concat({{0}}, '_timing_mismatch') end) as first_bad
+        from story_plan_scenes t left join scenes s on s.project_id = t.project_id and s.scene_index = t.place group by t.project_id) m on m.project_id = n.project_id) v""".replace("{0}", "lpad(cast(t.place as string), 10, '0'), cast(t.place as string)")
 
 
-@relation("audio_evidence", "structural_roles", "narrative_intent", "role_intents", "semantic_intents", public=False)
+@relation("audio_evidence", "story_semantic_match", "story_plan_scenes", "narrative_intent", "role_intents", "semantic_intents", public=False)
 def audio_base(d):
-    fits = "not (length(r.project_id) % 5 = 0)"  # the whole side of a project is refused together
+    """Scenes with their text evidence, narrative intent, and what an accepted story plan says."""
+    unit = lambda c: f"case when accepted and r.{c} between 0e0 and 1e0 then r.{c} end as {c}"
     return f"""
-    select e.*, {fits} as accepted, r.scene_count, n.narrative_intent, semantic_audio, {', '.join(f"case when {fits} then {c} end as {n}" for c, n in (("r.story_role", "story_role"), ("r.story_phase", "story_phase"), ("r.tension", "tension"), ("r.emotional", "emotional"), ("r.revelation", "revelation"), ("role_intent", "role_intent")))}
-    from audio_evidence e join structural_roles r on r.project_id = e.project_id and r.scene_index = e.scene_index join narrative_intent n on n.project_id = e.project_id and n.scene_index = e.scene_index
-    left join role_intents on story_key = r.story_role left join semantic_intents on semantic_key = n.narrative_intent"""
+    select e.*, accepted, reason as refusal, n.narrative_intent, semantic_audio, case when accepted then r.story_role end as story_role, case when accepted then r.story_phase end as story_phase, {unit('tension')}, {unit('emotional')}, {unit('revelation')}, case when accepted then role_intent end as role_intent
+    from audio_evidence e join story_semantic_match m on m.project_id = e.project_id join narrative_intent n on n.project_id = e.project_id and n.scene_index = e.scene_index
+    left join story_plan_scenes r on r.project_id = e.project_id and r.place = e.scene_index left join role_intents on story_key = r.story_role left join semantic_intents on semantic_key = n.narrative_intent"""
 
 
 def rank(names, s):
@@ -210,7 +252,7 @@ def audio_scenes(d):
     energy = clamp(f"0.40e0 + {pick('audio_intent', INTENT_ENERGY)} + {pick('emotional_tone', TONE_ENERGY)} + coalesce((tension - 0.5e0) * 0.18e0, 0e0) + coalesce((emotional - 0.5e0) * 0.12e0, 0e0) + coalesce(revelation * 0.06e0, 0e0)")
     return f"""
     select *, coalesce(audio_intent = 'climax' and story_role = 'climax' and story_phase = 'climax' and tension >= 0.70e0 and confidence >= 0.75e0, false) as supported, not accepted and not has_semantic as fallback_used
-    from (select project_id, scene_index, cast(scene_index + 1 as int) as place, scene_start, scene_end, voiceover_text, ambient, pause, explicit, hard_cut, accepted, semantic_audio is not null as has_semantic, story_role, story_phase, tension, emotional, revelation, audio_intent, emotional_tone, cast(intent_conflicts + tone_conflicts as int) as conflicts,
+    from (select project_id, scene_index, cast(scene_index + 1 as int) as place, scene_start, scene_end, voiceover_text, ambient, pause, explicit, hard_cut, accepted, refusal, semantic_audio is not null as has_semantic, story_role, story_phase, tension, emotional, revelation, audio_intent, emotional_tone, cast(intent_conflicts + tone_conflicts as int) as conflicts,
       cast(case when accepted then 5 else 0 end + case when semantic_audio is not null then 1 else 0 end + {' + '.join('e_' + c for c in TEXT_SIGNALS)} as int) as n_signals, {confidence} as confidence, {energy} as energy from audio_tones) t"""
 
 
@@ -219,7 +261,7 @@ def audio_classify(d):
     """Intent, tone, confidence, fallback and rationale of each scene."""
     return """
     select project_id, scene_index, audio_intent, emotional_tone, confidence, n_signals, conflicts, fallback_used, case when fallback_used then case when trim(ambient) <> '' then 'No compatible structural metadata; conservative semantic-text fallback used.' else 'No usable structural or text metadata; neutral fallback used.' end end as fallback_reason,
-      case when not accepted then 'story_director_scene_count_mismatch' end as warning, concat('Intent ', audio_intent, ' and tone ', emotional_tone, ' selected from ', cast(n_signals as string), ' accepted signal(s); ', cast(conflicts as string), ' conflict(s) resolved.') as rationale from audio_scenes"""
+      refusal as warning, concat('Intent ', audio_intent, ' and tone ', emotional_tone, ' selected from ', cast(n_signals as string), ' accepted signal(s); ', cast(conflicts as string), ' conflict(s) resolved.') as rationale from audio_scenes"""
 
 
 @relation("audio_scenes")

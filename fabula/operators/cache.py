@@ -404,10 +404,16 @@ def catalog_lookup(d):
     return f"select entry, coalesce(status, 'record_absent') as status, tombstone_revision, record_revision, last_final, last_recovery from {rows} t"
 
 
-@relation("catalog_lookup")
+@relation("catalog_lookup", public=False)
+def expected_revisions(d):
+    """Records with the revision that a writer expects: the one that was read, some older."""
+    return "select *, coalesce(record_revision, tombstone_revision) - case when entry % 13 = 0 then 1 else 0 end as expected from catalog_lookup"
+
+
+@relation("expected_revisions")
 def catalog_merge_precheck(d):
-    """Whether the revision that a writer expects (a reader's, some older) is the record's."""
-    return "select entry, expected, case when status not in ('record_found', 'record_absent') then status when expected is null or coalesce(record_revision, tombstone_revision, -1) = expected then 'continue' else 'conflict' end as verdict from (select *, coalesce(record_revision, tombstone_revision) - case when entry % 13 = 0 then 1 else 0 end as expected from catalog_lookup) t"
+    """Whether the revision that a writer expects is the record's."""
+    return "select entry, expected, case when status not in ('record_found', 'record_absent') then status when expected is null or coalesce(record_revision, tombstone_revision, -1) = expected then 'continue' else 'conflict' end as verdict from expected_revisions"
 
 
 @relation("lookup_status", "entry_metadata")
@@ -479,16 +485,20 @@ def recon_execute(d):
     return "select entry, action, case action when 'noop' then 'no_change' when 'defer' then 'deferred' when 'report_only' then 'report_only' else 'would_apply' end as execution from recon_compare"
 
 
-@relation("recon_compare", "catalog_lookup", "catalog_vs_authority")
+@relation("catalog_lookup", public=False)
+def catalog_now(d):
+    """Revisions of records when mutations are written: some have moved on since they were read."""
+    return "select entry, coalesce(record_revision, tombstone_revision) + case when entry % 17 = 0 then 1 else 0 end as now from catalog_lookup"
+
+
+@relation("recon_compare", "catalog_lookup", "catalog_vs_authority", "catalog_now")
 def cas_upsert(d):
-    """Mutations against the catalog as it is when they are written (some records have moved
-    on): a new record replaces one summary and keeps the other; tombstones keep none."""
-    now = "coalesce(record_revision, tombstone_revision) + case when entry % 17 = 0 then 1 else 0 end"
-    rows = merged(("recon_compare", {"action": "string", "expected_revision": "bigint"}), ("catalog_lookup", {"status": "string", "tombstone_revision": "bigint", "record_revision": "bigint", "last_final": "string", "last_recovery": "string"}), ("catalog_vs_authority", {"final_summary": "string", "recovery_summary": "string"}))
+    """Mutations against the catalog as it is when they are written: a new record replaces one summary and keeps the other; tombstones keep none."""
+    rows = merged(("recon_compare", {"action": "string", "expected_revision": "bigint"}), ("catalog_lookup", {"status": "string", "tombstone_revision": "bigint", "record_revision": "bigint", "last_final": "string", "last_recovery": "string"}), ("catalog_vs_authority", {"final_summary": "string", "recovery_summary": "string"}), ("catalog_now", {"now": "bigint"}))
     return f"""
     select entry, action, case when wrote then expected_or_zero + 1 end as revision, case when not readable then concat('catalog_write_', replace(status, 'catalog_', '')) when wrote then 'catalog_write_applied' else 'catalog_write_conflict' end as outcome,
       case when wrote and action <> 'tombstone_empty' then case when action = 'upsert_final' then final_summary else last_final end end as last_final, case when wrote and action <> 'tombstone_empty' then case when action = 'upsert_recovery' then recovery_summary else last_recovery end end as last_recovery
-    from (select *, coalesce(expected_revision, 0) as expected_or_zero, status in ('record_found', 'record_absent') as readable, status in ('record_found', 'record_absent') and coalesce({now}, 0) = coalesce(expected_revision, 0) as wrote from {rows} r where action in ('upsert_final', 'upsert_recovery', 'tombstone_empty')) t"""
+    from (select *, coalesce(expected_revision, 0) as expected_or_zero, status in ('record_found', 'record_absent') as readable, status in ('record_found', 'record_absent') and coalesce(now, 0) = coalesce(expected_revision, 0) as wrote from {rows} r where action in ('upsert_final', 'upsert_recovery', 'tombstone_empty')) t"""
 
 
 @relation("recon_execute", "cas_upsert")

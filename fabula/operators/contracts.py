@@ -55,13 +55,19 @@ def metadata_observe_parse(d):
     return f"select entry, cast({read('record_revision', '([0-9]+)')} as bigint) as record_revision, {none(read('record_kind', '.([a-z]+).'))} as record_kind, {none(read('entry_digest', '.([0-9a-f]{64}).'))} as entry_digest, {none(read('last_validated_final', '.([0-9a-z]+).'))} as last_final, cast({read('record_version', '([0-9]+)')} as int) as record_version from catalog_record_codec"
 
 
-@relation("catalog_record_codec")
+@relation("catalog_record_codec", public=False)
+def version_documents(d):
+    """Documents as they are found: some with the version twice, negative or a fraction."""
+    damaged = """case when entry % 7 = 3 then replace(json, '"record_version":', '"record_version":1,"record_version":') when entry % 7 = 4 then replace(json, '"record_version":', '"record_version":-') when entry % 7 = 1 then replace(json, '"record_version":1', '"record_version":1.5') else json end"""
+    return f"select entry, {damaged} as document from catalog_record_codec"
+
+
+@relation("version_documents")
 def version_probe(d):
     """The version in a document's text: refused where the key comes twice or is no positive integer."""
-    damaged = """case when entry % 7 = 3 then replace(json, '"record_version":', '"record_version":1,"record_version":') when entry % 7 = 4 then replace(json, '"record_version":', '"record_version":-') when entry % 7 = 1 then replace(json, '"record_version":1', '"record_version":1.5') else json end"""
     once = """(length(j) - length(replace(j, '"record_version":', ''))) = 17"""
     valid = f"{once} and {d.matches('j', '[{,].record_version.:[1-9][0-9]*[,}]')}"
-    return f"select entry, case when {valid} then 'readable' else 'malformed' end as probe, case when {valid} then cast({d.extract('j', 'record_version.:([0-9]+)', 1)} as int) end as version from (select entry, {damaged} as j from catalog_record_codec) t"
+    return f"select entry, case when {valid} then 'readable' else 'malformed' end as probe, case when {valid} then cast({d.extract('j', 'record_version.:([0-9]+)', 1)} as int) end as version from (select entry, document as j from version_documents) t"
 
 
 @relation("catalog", "entries")
@@ -92,7 +98,7 @@ def listing_budget(d):
 @relation("final_path")
 def relative_path_limits(d):
     """Depth and bytes of paths against their limits."""
-    return f"select entry, cast({d.size(d.split('final_path', '/'))} as int) as depth, length(final_path) <= {PATH_BYTES} and {d.size(d.split('final_path', '/'))} <= {DEPTH} as fits from final_path"
+    return f"select entry, cast({d.size(d.split('final_path', '/'))} as int) as depth, {d.bytes('final_path')} <= {PATH_BYTES} and {d.size(d.split('final_path', '/'))} <= {DEPTH} as fits from final_path"
 
 
 @relation("final_path")
@@ -103,17 +109,29 @@ def recovery_traversal(d):
     return f"select substring(identity, 1, 2) as prefix, identity, entry, count(*) over (partition by identity) > 64 as exceeded from (select entry, {identity} as identity from final_path) t"
 
 
-@relation("documents")
+@relation("documents", public=False)
+def streams(d):
+    """Streams with the lengths that were declared for them: some too short, some too long."""
+    return "select doc_id, coalesce(text, '') as body, cast(length(coalesce(text, '')) + case doc_id % 5 when 1 then -1 when 2 then 1 else 0 end as int) as declared from documents"
+
+
+@relation("streams")
 def stream_sha256(d):
-    """Digest of as many characters as were declared (some too few, some too many), how many
-    were read, and whether one more was there."""
-    return f"select doc_id, declared, cast(least(length(body), declared) as int) as characters_read, length(body) > declared as has_more, {d.sha256('substring(body, 1, declared)')} as digest from (select doc_id, coalesce(text, '') as body, cast(length(coalesce(text, '')) + case doc_id % 5 when 1 then -1 when 2 then 1 else 0 end as int) as declared from documents) t where declared >= 0"
+    """Digest of as many characters as were declared, how many were read, and whether one more
+    was there. A length below zero gives no row."""
+    return f"select doc_id, declared, cast(least(length(body), declared) as int) as characters_read, length(body) > declared as has_more, {d.sha256('substring(body, 1, declared)')} as digest from streams where declared >= 0"
+
+
+@relation("lines", public=False)
+def fingerprint_rows(d):
+    """Inputs and configurations of entries."""
+    return "select doc, node, l_partkey, concat('model.', lower(l_returnflag), cast(l_partkey % 5 as string)) as config from lines"
 
 
-@relation("lines")
+@relation("fingerprint_rows")
 def fingerprint_lists(d):
     """Inputs of each entry as they come, configurations sorted, and whether none comes twice."""
-    return f"select doc as entry, {d.agg_text('cast(l_partkey as string)', ',', 'node')} as inputs, {d.agg_text('config', ',', 'config', 'node')} as configs, count(distinct config) = count(*) as unique_configs from (select doc, node, l_partkey, concat('model.', lower(l_returnflag), cast(l_partkey % 5 as string)) as config from lines) t group by doc"
+    return f"select doc as entry, {d.agg_text('cast(l_partkey as string)', ',', 'node')} as inputs, {d.agg_text('config', ',', 'config', 'node')} as configs, count(distinct config) = count(*) as unique_configs from fingerprint_rows group by doc"
 
 
 @relation("entries", "fingerprint_lists", "runtime_fingerprint_values")
@@ -130,11 +148,17 @@ def artifact_identity(d):
     return f"select entry, concat('sha256:', {d.sha256('material')}) as identity from cache_key_material"
 
 
-@relation("entries")
-def runtime_fingerprint_values(d):
-    """Values of a runtime fingerprint: neither fractions nor physical paths."""
+@relation("entries", public=False)
+def runtimes(d):
+    """What producers say of their runtime."""
     value = "case entry % 6 when 0 then '3.12' when 1 then '/usr/lib' when 2 then 'C:/x' when 3 then 'cpython' when 4 then '12' else 'arm64' end"
-    return f"select entry, runtime, not {d.matches('runtime', '^-?[0-9]+[.][0-9]+$')} and not {d.matches('runtime', '^(/|[A-Za-z]:)')} as ok from (select entry, {value} as runtime from entries) t"
+    return f"select entry, {value} as runtime from entries"
+
+
+@relation("runtimes")
+def runtime_fingerprint_values(d):
+    """Whether values may stand in a runtime fingerprint: neither fractions nor physical paths."""
+    return f"select entry, runtime, not {d.matches('runtime', '^-?[0-9]+[.][0-9]+$')} and not {d.matches('runtime', '^(/|[A-Za-z]:)')} as ok from runtimes"
 
 
 @relation("provenance", "provenance_edges")
@@ -150,20 +174,35 @@ def component_summary(d):
     return f"select a.doc, concat('sha256:', {d.sha256(json(d, [('audio', text('audio')), ('candidates', '''concat('[', coalesce(c.digests, ''), ']')'''), ('metadata', text('metadata')), ('transcript', text('transcript'))]))}) as summary from availability a left join (select doc, {d.agg_text('digest', ',', 'digest', 'node')} as digests from transcript_candidates group by doc) c on c.doc = a.doc"
 
 
-@relation("transcript_candidates")
-def enum_parse(d):
-    """Kinds and formats as declared, in any case; anything else is refused."""
+@relation("transcript_candidates", public=False)
+def declared_formats(d):
+    """Kinds and formats as they are declared: some in another case, some misspelt."""
     given = "case node % 4 when 0 then lower({0}) when 1 then concat({0}, 'X') else {0} end"
+    return f"select doc, node, {given.format('kind')} as kind, {given.format('format')} as format from transcript_candidates"
+
+
+@relation("declared_formats")
+def enum_parse(d):
+    """Kinds and formats that are known as they are spelt; anything else is refused."""
     known = lambda vs: "(" + ", ".join(map(quote, vs)) + ")"
-    return f"select doc, node, case when k in {known(KINDS)} then k end as kind, case when f in {known(FORMATS)} then f end as format from (select doc, node, {given.format('kind')} as k, {given.format('format')} as f from transcript_candidates) t"
+    return f"select doc, node, case when kind in {known(KINDS)} then kind end as kind, case when format in {known(FORMATS)} then format end as format from declared_formats"
 
 
-@relation("events")
-def exact_fields(d):
-    """What is wrong with an object's fields: unknown ones, missing ones, nulls; the one expected is k."""
+@relation("events", public=False)
+def objects(d):
+    """Objects as text: some with another field, one more, or a null."""
     given = """case event_id % 5 when 0 then replace(props, '"k"', '"other"') when 1 then replace(props, '}', ', "more": 1}') when 2 then '{"k": null}' else props end"""
+    return f"select event_id, {given} as object from events"
+
+
+@relation("objects")
+def exact_fields(d):
+    """What is wrong with a flat object's fields: unknown ones, missing ones, nulls; the one
+    expected is k."""
+    keys = d.tokens("object", '"[^"]*" *:')
+    others = d.keep(keys, f"not {d.matches('x', '^' + chr(34) + 'k' + chr(34))}")
     return f"""
-    select event_id, case when {d.matches('p', '"(other|more)":')} then 'unknown' when not contains(p, '"k":') then 'missing' when {d.matches('p', ': *null')} then 'null' else 'exact' end as verdict, contains(p, '"k":') as has_k from (select event_id, {given} as p from events) t"""
+    select event_id, case when {d.size(others)} > 0 then 'unknown' when {d.size(keys)} = 0 then 'missing' when {d.matches('object', ': *null')} then 'null' else 'exact' end as verdict, {d.any(keys, d.matches('x', '^' + chr(34) + 'k' + chr(34)))} as has_k from objects"""
 
 
 @relation("inventory_classify", "effective_protection")
@@ -201,24 +240,42 @@ def missing_manifest_files(d):
     return "select m.user_id, m.file from manifests m left join profiles p on p.user_id = m.user_id and p.file = m.file where p.file is null"
 
 
-@relation("scenes")
+@relation("scenes", public=False)
+def scene_rows(d):
+    """Scenes as they are handed over, with ids and durations: some wrong."""
+    given = "case when scene_index % 7 = 5 then '' when scene_index % 5 = 4 then 'scene_001' else concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) end"
+    return f"select project_id, scene_index, scene_start, scene_end, {given} as scene_id, scene_end - scene_start + case when scene_index % 5 = 3 then 0.01e0 else 0e0 end as duration from scenes"
+
+
+@relation("scene_rows")
 def validate_scene_timing(d):
     """What is wrong with each scene: its end, its duration (within 0.001), its id (empty or not
     its own alone)."""
-    given = "case when scene_index % 7 = 5 then '' when scene_index % 5 = 4 then 'scene_001' else concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) end"
-    return f"""
+    return """
     select project_id, scene_index, concat_ws(',', case when scene_end <= scene_start then 'end' end, case when abs((scene_end - scene_start) - duration) > 0.001e0 then 'duration' end, case when scene_id = '' then 'id_empty' when count(*) over (partition by project_id, scene_id) > 1 then 'id_repeated' end) as violations
-    from (select *, {given} as scene_id, scene_end - scene_start + case when scene_index % 5 = 3 then 0.01e0 else 0e0 end as duration from scenes) t"""
+    from scene_rows"""
 
 
-@relation("scenes", "motion_continuity")
-def motion_alignment_check(d):
-    """The first way in which a motion plan does not fit the scenes: their number, an index or
-    identity (motion plans carry none unless given), a time."""
+@relation("motion_continuity", public=False)
+def motion_plan_rows(d):
+    """Motion plans as they are handed over, in their order: some scenes late, some without an
+    id, some plans too short."""
     return """
-    select project_id, case when n_plans <> n then 'motion_plan_scene_count_mismatch' when bad is not null then concat('motion_plan_scene_', cast(bad as string), case when bad_identity then '_identity_mismatch' else '_timing_mismatch' end) end as issue
-    from (select s.project_id, count(*) as n, count(m.scene_index) as n_plans, min(case when m.scene_index is null or late or not named then s.scene_index end) as bad, bool_or(not named) as bad_identity
-      from scenes s left join (select *, scene_index % 5 = 3 as late, length(project_id) % 3 > 0 as named from motion_continuity) m on m.project_id = s.project_id and m.scene_index = s.scene_index group by s.project_id) t"""
+    select project_id, scene_index as place, scene_index, case when project_id like '%1-1' and scene_index = 1 then null else concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) end as scene_id,
+      scene_start + case when project_id like '%3-2' and scene_index = 3 then 0.1e0 else 0e0 end as scene_start, scene_end, scene_end - scene_start as duration from motion_continuity where not (project_id like '%7-1' and scene_index = 2)"""
+
+
+@relation("scene_rows", "motion_plan_rows")
+def motion_alignment_check(d):
+    """The first way in which a project's motion plan does not fit its scenes: their number, an
+    id or index, a time (within 0.001). A scene with an empty id goes by its number."""
+    named = "coalesce(nullif(s.scene_id, ''), concat('scene_', lpad(cast(s.scene_index + 1 as string), 3, '0')))"
+    late = " or ".join(f"coalesce(abs(m.{c} - s.{c}) > 0.001e0, true)" for c in ("scene_start", "scene_end", "duration"))
+    return f"""
+    select n.project_id, case when coalesce(n_plans, 0) <> n then 'motion_plan_scene_count_mismatch' when bad is not null then concat('motion_plan_scene_', bad) end as issue
+    from (select project_id, count(*) as n from scene_rows group by project_id) n left join (select project_id, count(*) as n_plans from motion_plan_rows group by project_id) p on p.project_id = n.project_id
+    left join (select project_id, substring(min(verdict), 11) as bad from (select s.project_id, concat(lpad(cast(s.scene_index as string), 10, '0'), cast(s.scene_index as string), case when coalesce(m.scene_id <> {named} or m.scene_index <> s.scene_index, true) then '_identity_mismatch' when {late} then '_timing_mismatch' end) as verdict
+      from scene_rows s join motion_plan_rows m on m.project_id = s.project_id and m.place = s.scene_index) v where verdict like '%mismatch' group by project_id) b on b.project_id = n.project_id"""
 
 
 @relation("scenes", "match_terms", public=False)
@@ -272,10 +329,16 @@ def caption_fallback(d):
     return "select project_id, scene_index + 1 as scene, 'bottom' as position, 0.72e0 as vertical_anchor, 0.82e0 as max_width, 2 as max_lines, 0.08e0 as safe_margin, '' as highlight_words, '#FFD54A' as highlight_color, 0 as caption_count, false as face_avoidance_applied, 'Fail-closed fallback preserved existing placement.' as reason from scenes"
 
 
-@relation("part")
+@relation("part", public=False)
+def brand_names(d):
+    """Names of brands, some in capitals."""
+    return "select p_brand, case when p_size % 2 = 0 then p_name else upper(p_name) end as name from part"
+
+
+@relation("brand_names")
 def canonical_string_sort(d):
     """Names of a brand, unique, by lower case and then as they are."""
-    return f"select p_brand, {d.agg_text('name', ',', 'lower(name)', 'name')} as names from (select distinct p_brand, case when p_size % 2 = 0 then p_name else upper(p_name) end as name from part) t group by p_brand"
+    return f"select p_brand, {d.agg_text('name', ',', 'lower(name)', 'name')} as names from (select distinct p_brand, name from brand_names) t group by p_brand"
 
 
 @relation("payload_vs_manifest")
@@ -284,24 +347,42 @@ def distinct_warnings(d):
     return f"select entry, {d.agg_text('status', ',', 'status')} as warnings from (select distinct entry, status from payload_vs_manifest where status <> 'valid') t group by entry"
 
 
-@relation("pages")
-def strict_percent_decode(d):
-    """Whether a reference decodes: each % before two hex digits, none for a delimiter, bytes in UTF-8."""
+@relation("pages", public=False)
+def escaped_refs(d):
+    """References with escapes, good and bad."""
     shapes = ["url", "concat(url, '%20x')", "concat(url, '%2F')", "concat(url, '%zz')", "concat(url, '%')", "concat(url, '%C3%A4')", "concat(url, '%C3')", "concat(url, '%e2%82%ac%26')"]
     raw = "case page_id % 8 " + " ".join(f"when {i} then {s}" for i, s in enumerate(shapes)) + " end"
+    return f"select page_id, {raw} as raw from pages"
+
+
+@relation("escaped_refs")
+def strict_percent_decode(d):
+    """Whether a reference decodes (each % before two hex digits, none for a delimiter, bytes in
+    UTF-8), and to what."""
     rest = d.replace("raw", "%[0-9A-Fa-f]{2}", "")
     one, two, three, four = "%[0-7][0-9a-f]", "%c[2-9a-f]%[89ab][0-9a-f]|%d[0-9a-f]%[89ab][0-9a-f]", "%e[0-9a-f](%[89ab][0-9a-f]){2}", "%f[0-4](%[89ab][0-9a-f]){3}"
     left = d.replace("lower(raw)", f"{one}|{two}|{three}|{four}", "")
-    return f"select page_id, case when contains({rest}, '%') then 'malformed_escape' when {d.matches('lower(raw)', '%(26|3d|25|23|3f|2f|5c)')} then 'structural_delimiter' when contains({left}, '%') then 'not_utf8' else 'valid' end as verdict from (select page_id, {raw} as raw from pages) t"
+    return f"""
+    select page_id, verdict, case when verdict = 'valid' then {d.decoded('raw')} end as decoded
+    from (select page_id, raw, case when contains({rest}, '%') then 'malformed_escape' when {d.matches('lower(raw)', '%(26|3d|25|23|3f|2f|5c)')} then 'structural_delimiter' when contains({left}, '%') then 'not_utf8' else 'valid' end as verdict from escaped_refs) t"""
+
+
+@relation("scenes", public=False)
+def audio_inputs(d):
+    """Which optional inputs of audio planning each project has."""
+    return "select project_id, count(*) % 3 <> 1 as captions, count(*) % 5 <> 2 as motion_plan, count(*) >= 3 as story_director_plan from scenes group by project_id"
 
 
-@relation("scenes", "motion_alignment_check")
+@relation("audio_inputs", "motion_alignment_check")
 def audio_input_warnings(d):
-    """A project's warnings with those of its inputs, sorted, and the inputs that are missing."""
-    missing = [("captions", "captions_optional_input_missing", "n % 3 = 1"), ("motion_plan", "motion_plan_optional_input_missing", "n % 5 = 2"), ("story_director_plan", "story_director_optional_input_missing", "n < 3")]
+    """A project's warnings of its optional inputs, sorted, and the inputs that are missing; one
+    that is there is compared with the scenes."""
+    missing = [("captions", "captions_optional_input_missing"), ("motion_plan", "motion_plan_optional_input_missing"), ("story_director_plan", "story_director_optional_input_missing")]
+    said = [f"case when not p.{m} then '{w}' end" for m, w in missing]
+    said.insert(2, "case when p.motion_plan then issue end")
     return f"""
-    select p.project_id, concat_ws(',', {', '.join(f"case when {c} then '{w}' end" for _, w, c in missing[:1])}, case when not (n % 5 = 2) then issue end, {', '.join(f"case when {c} then '{w}' end" for _, w, c in missing[1:])}) as warnings, concat_ws(',', {', '.join(f"case when {c} then '{m}' end" for m, _, c in missing)}) as missing_inputs
-    from (select project_id, count(*) as n from scenes group by project_id) p join motion_alignment_check m on m.project_id = p.project_id"""
+    select p.project_id, concat_ws(',', {', '.join(said)}) as warnings, concat_ws(',', {', '.join(f"case when not p.{m} then '{m}' end" for m, _ in missing)}) as missing_inputs
+    from audio_inputs p left join motion_alignment_check m on m.project_id = p.project_id"""
 
 
 @relation("visual_plan", "motion_guidance")

@@ -6,6 +6,9 @@ wrong with some of them is decided by residues of the order's number, in private
 
 from ..plans.relation import relation
 
+#: Ends lines.
+LF = "\n"
+
 #: Fixed values, in the order of their declaration.
 KINDS = ("MANUAL", "AUTOMATIC", "UNKNOWN")
 FORMATS = ("PLAIN_TEXT", "WEBVTT", "SRT", "TTML", "JSON", "OTHER")
@@ -170,21 +173,12 @@ def diagnostic_total_order(d):
 
 @relation("documents", public=False)
 def transcript_segments(d):
-    """Segments of transcripts: a document's first twelve words by threes, with times; some in
-    other orders, empty, with control characters or of unknown language."""
+    """Segments of transcripts: the lines of whole documents, with times; some in other orders,
+    empty, with control characters, letters and marks apart, or of unknown language."""
     return f"""
-    select doc_id, cast(ordinal as int) as ordinal, case when doc_id % 13 = 4 and ordinal = 2 then concat(word, chr(7)) when doc_id % 11 = 3 and ordinal = 1 then '' when doc_id % 7 = 2 then concat(word, chr(13), chr(10), 'more', chr(13)) else word end as text,
+    select doc_id, cast(ordinal as int) as ordinal, case when doc_id % 13 = 4 and ordinal = 2 then concat(line, chr(7)) when doc_id % 11 = 3 and ordinal = 1 then '' when doc_id % 7 = 2 then concat(line, chr(13), chr(10), 'more', chr(13)) when doc_id % 17 = 9 then concat(line, ' e\u0301') else line end as text,
       ordinal * 2000 + case when doc_id % 17 = 5 and ordinal = 3 then -5000 else 0 end as start_ms, ordinal * 2000 + case when doc_id % 19 = 6 then 2400 else 1900 end as end_ms, case when doc_id % 5 = 1 then null else lang end as language
-    from {d.unnest_at(f"(select doc_id, lang, {d.slice(d.tokens('coalesce(text, chr(32))', '[A-Za-z]+'), 1, 12)} as ws from documents) s", 'ws', 'word', 'ordinal')}"""
-
-
-@relation("transcript_segments")
-def transcript_text_normalization(d):
-    """Text with line feeds alone (from CR LF and CR), and whether it holds other control
-    characters, which refuse it. (Unicode composition: functions/canonical.py.)"""
-    lf = "replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))"
-    control = "[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F\\\\x7F]" if d.spark else "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
-    return f"select doc_id, ordinal, md5({lf}) as text_md5, {d.matches(lf, control)} as refused from transcript_segments"
+    from {d.unnest_at(f"(select doc_id, lang, {d.split('coalesce(text, chr(32))', LF)} as ws from documents) s", 'ws', 'line', 'ordinal')}"""
 
 
 @relation("transcript_segments", "transcript_text_normalization")
@@ -197,12 +191,21 @@ def transcript_diagnostics_matrix(d):
     from (select s.*, refused, lag(end_ms) over (partition by s.doc_id order by s.ordinal) as before_end, lag(start_ms) over (partition by s.doc_id order by s.ordinal) as before_start from transcript_segments s join transcript_text_normalization n on n.doc_id = s.doc_id and n.ordinal = s.ordinal) t group by doc_id"""
 
 
-@relation("transcript_segments")
+@relation("transcript_segments", public=False)
+def document_blocks(d):
+    """Blocks of documents as they are stored, one for each segment: some changed, missing or left over."""
+    return """
+    select doc_id, ordinal as block, md5(case when doc_id % 29 = 8 and ordinal = 1 then 'changed' else text end) as text_md5 from transcript_segments where not (doc_id % 23 = 7 and ordinal = 2)
+    union all select doc_id, max(ordinal) + 1, md5('left over') from transcript_segments where doc_id % 31 = 11 group by doc_id"""
+
+
+@relation("transcript_segments", "document_blocks")
 def segment_block_projection(d):
-    """Blocks of a document, one for each segment in its order, and whether they still agree."""
+    """Segments and blocks of a document side by side: each segment must be one block, in its
+    place and with its text."""
     return """
-    select s.doc_id, s.ordinal, b.ordinal as block, b.ordinal = s.ordinal and b.text_md5 = md5(s.text) as agrees, count(*) over (partition by s.doc_id) as blocks
-    from transcript_segments s join (select doc_id, cast(row_number() over (partition by doc_id order by ordinal) as int) as ordinal, md5(text) as text_md5 from transcript_segments) b on b.doc_id = s.doc_id and b.ordinal = s.ordinal"""
+    select coalesce(s.doc_id, b.doc_id) as doc_id, coalesce(s.ordinal, b.block) as place, case when b.block is null then 'block_missing' when s.ordinal is null then 'block_left_over' when b.text_md5 <> md5(s.text) then 'text_differs' else 'agrees' end as verdict
+    from transcript_segments s full outer join document_blocks b on b.doc_id = s.doc_id and b.block = s.ordinal"""
 
 
 @relation("documents", "transcript_segments")
@@ -258,7 +261,7 @@ def is_positive(d, column):
 def scalar_validators_si02(d):
     """Which values break the rules of source evidence: schema version 1, positive integers,
     ASCII and UTF-8 text of bounded bytes, qualified digests, component names."""
-    rules = [("schema_version", "version <> '1'"), ("positive_int", f"not {is_positive(d, 'version')}"), ("uint", f"not {d.matches('version', '^(0|[1-9][0-9]*)$')}"), ("boolean", "version not in ('true', 'false')"), ("ascii_text", f"not {d.matches('name', '^[ -~]{1,64}$')}"), ("utf8_text", "length(name) not between 1 and 64"),
+    rules = [("schema_version", "version <> '1'"), ("positive_int", f"not {is_positive(d, 'version')}"), ("uint", f"not {d.matches('version', '^(0|[1-9][0-9]*)$')}"), ("boolean", "version not in ('true', 'false')"), ("ascii_text", f"not {d.matches('name', '^[ -~]{1,64}$')}"), ("utf8_text", f"{d.bytes('name')} not between 1 and 64"),
              ("digest_sha256", f"not {d.matches('digest', '^sha256:[0-9a-f]{64}$')}"), ("logical_component_id", f"not {d.matches('name', '^[a-z0-9]([a-z0-9._-]*[a-z0-9])?$')}")]
     return f"select doc_id, concat_ws(',', {', '.join(f'''case when {c} then '{n}' end''' for n, c in rules)}) as violations from scalars"
 
@@ -287,5 +290,5 @@ def scalar_validators_cache_keys(d):
 @relation("scalars")
 def scalar_validators(d):
     """Which values break the rules of source identities: versions, text of 1 to 512 bytes, kinds."""
-    rules = [("schema_version", "version <> '1'"), ("positive_int", f"not {is_positive(d, 'version')}"), ("ascii_text", f"not {d.matches('name', '^[ -~]+$')}"), ("utf8_text", "length(name) not between 1 and 512"), ("source_kind", "name not in ('YOUTUBE_VIDEO', 'LOCAL_FILE')")]
+    rules = [("schema_version", "version <> '1'"), ("positive_int", f"not {is_positive(d, 'version')}"), ("ascii_text", f"not {d.matches('name', '^[ -~]+$')}"), ("utf8_text", f"{d.bytes('name')} not between 1 and 512"), ("source_kind", "name not in ('YOUTUBE_VIDEO', 'LOCAL_FILE')")]
     return f"select doc_id, concat_ws(',', {', '.join(f'''case when {c} then '{n}' end''' for n, c in rules)}) as violations from scalars"

@@ -15,19 +15,41 @@ def content(d, text):
     return d.keep(d.tokens(f"lower({text})", WORD_SEMANTIC), f"length(x) > 1 and x not in {words_in(STOP_SEMANTIC)}")
 
 
-@relation("part")
-def profiles(d):
-    """load_profiles: a user's images with description, tags, text seen in them and a joined
-    text; one in nine has no description, one in seven no preferred place, and some are listed
-    in no manifest (a profile of the file's name alone)."""
+#: Parts stand for pictures, some thirteen a user.
+USER = "cast(floor(p_partkey * 0.075e0) as bigint)"
+FILE = "concat(case when p_partkey % 3 = 0 then 'Img' else 'img' end, '_', cast(p_partkey as string), '.jpg')"
+
+
+@relation("part", public=False)
+def image_files(d):
+    """The images found in each user's folder, with their pictures' statistics."""
+    return f"""
+    select p_partkey as image_id, {USER} as user_id, {FILE} as file, 600 + (p_partkey % 17) * 80 as width, 500 + (p_partkey % 13) * 120 as height, 20e0 + (p_partkey % 60) as contrast,
+      40e0 + (p_partkey % 170) as brightness, 4e0 + (p_partkey % 19) as edge_mean, 3e0 + (p_partkey % 23) as center_edges, (p_partkey % 400) * 1e0 as quietest from part"""
+
+
+@relation("part", public=False)
+def manifest_items(d):
+    """What users' manifests say of files: description, tags, texts seen in them, priority,
+    preferred place and realism. One in nine has no description, one in seven no place; some
+    images are not listed."""
     kinds = ("city street crowd", "hospital doctor record", "map border route", "court evidence report", "quiet room portrait", "archive photograph footage", "danger crisis risk")
     pick = " ".join(f"when {i} then '{k}'" for i, k in enumerate(kinds))
-    listed = "p_partkey % 23 <> 6"
+    return f"""
+    select {USER} as user_id, {FILE} as file, case when p_partkey % 9 = 0 then '' else concat(p_name, ' ', case p_partkey % {len(kinds)} {pick} end) end as description, case when p_partkey % 4 = 0 then {d.strings('records', 'streets')} else {d.no_strings()} end as tag_list,
+      case when p_partkey % 10 = 5 then {d.array("concat('BREAKING NEWS ', upper(p_brand))")} else {d.no_strings()} end as ocr_list, p_size / 25e0 - 0.8e0 as priority, case when p_partkey % 7 <> 1 then (p_partkey % 11) / 10e0 end as preferred_phase, case when p_partkey % 6 = 2 then (p_partkey % 100) * 1e0 end as realism
+    from part where p_partkey % 23 <> 6"""
+
+
+@relation("image_files", "manifest_items")
+def profiles(d):
+    """Every image found, with what its user's manifest says of the file (nothing: its name
+    alone), and all of its text in one. Files that only a manifest names are no images."""
+    none = d.no_strings()
     return f"""
     select *, concat_ws(' ', file, nullif(description, ''), nullif(tags, ''), nullif(ocr, '')) as semantic_text
-    from (select p_partkey as image_id, cast(floor(p_partkey * 0.075e0) as bigint) as user_id, concat(case when p_partkey % 3 = 0 then 'Img' else 'img' end, '_', cast(p_partkey as string), '.jpg') as file, case when p_partkey % 9 = 0 or not {listed} then '' else concat(p_name, ' ', case p_partkey % {len(kinds)} {pick} end) end as description,
-        case when {listed} and p_partkey % 4 = 0 then 'records streets' else '' end as tags, case when {listed} and p_partkey % 10 = 5 then concat('BREAKING NEWS ', upper(p_brand)) else '' end as ocr, case when {listed} then p_size / 25e0 - 0.8e0 else 0e0 end as priority, case when {listed} and p_partkey % 7 <> 1 then (p_partkey % 11) / 10e0 end as preferred_phase, case when p_partkey % 6 = 2 then (p_partkey % 100) * 1e0 end as realism,
-        600 + (p_partkey % 17) * 80 as width, 500 + (p_partkey % 13) * 120 as height, 20e0 + (p_partkey % 60) as contrast, 40e0 + (p_partkey % 170) as brightness, 4e0 + (p_partkey % 19) as edge_mean, 3e0 + (p_partkey % 23) as center_edges, (p_partkey % 400) * 1e0 as quietest from part) p"""
+    from (select i.*, coalesce(description, '') as description, coalesce(tag_list, {none}) as tag_list, coalesce(ocr_list, {none}) as ocr_list, coalesce({d.join('tag_list', ' ')}, '') as tags, coalesce({d.join('ocr_list', ' ')}, '') as ocr, coalesce(priority, 0e0) as priority, preferred_phase, realism
+      from image_files i left join manifest_items m on m.user_id = i.user_id and m.file = i.file) p"""
 
 
 @relation("profiles")
@@ -44,11 +66,12 @@ def undescribed_images(d):
 
 @relation("profiles")
 def natural_sort(d):
-    """A user's files in natural order, numbers inside as numbers: by letters in lower case,
-    and (typed) with numbers before letters."""
-    number = f"lpad({d.extract('file', '([0-9]+)', 1)}, 20, '0')"
-    rest = d.replace("lower(file)", "[0-9]+", " ")
-    return f"select image_id, cast(row_number() over (partition by user_id order by {d.extract('lower(file)', '^([^0-9]*)', 1)}, {number}, {rest}, file) as int) as place, cast(row_number() over (partition by user_id order by {d.extract('lower(file)', '^([^0-9]*)', 1)}, {number}, file) as int) as typed_place from profiles"
+    """A user's files in natural order: by lower case, every number inside as a number (by its
+    length without zeros, then by digits)."""
+    value = d.replace("x", "^0+", "")
+    number = f"concat(chr(1), lpad(cast(length({value}) as string), 5, '0'), {value}, chr(1))"
+    key = d.join(d.map(d.tokens("lower(file)", "[0-9]+|[^0-9]+"), f"case when {d.matches('x', '^[0-9]')} then {number} else x end"), "")
+    return f"select image_id, cast(row_number() over (partition by user_id order by {key}, file) as int) as place from profiles"
 
 
 @relation("profiles")
@@ -201,8 +224,9 @@ def candidate_reason(d):
 @relation("profiles", public=False)
 def concepts(d):
     """Concepts of a user's images with their members: a concept is the first five words, in
-    order, of a description, of tags or of seen text, its members all words of the texts so named."""
-    parts = " union all ".join(f"select user_id, image_id, {i} as part, {content(d, c)} as ws from profiles" for i, c in enumerate(("description", "tags", "ocr")))
+    order, of a description, of a tag or of a text seen, its members all words of the texts so named."""
+    texts = d.unnest_at(f"(select user_id, image_id, {d.joined(d.array('description'), 'tag_list', 'ocr_list')} as own from profiles) p", "own", "text", "part")
+    parts = f"select user_id, image_id, part, {content(d, 'text')} as ws from {texts}"
     words = d.unnest(f"({parts}) s", "ws", "word")
     return f"""
     select distinct n.user_id, concept, w.word from (select user_id, image_id, part, {d.agg_text('word', '_', 'word')} as concept from (select user_id, image_id, part, word, row_number() over (partition by image_id, part order by word) as r from (select distinct user_id, image_id, part, word from ({{0}}) a) b) c where r <= 5 group by user_id, image_id, part) n
@@ -234,7 +258,7 @@ def semantic_reference_score(d):
     scene's, priority and preferred place; before any penalty."""
     expected = "x.scene_index / greatest(1e0, x.scene_count - 1e0)"
     return f"""
-    select x.project_id, x.scene_index, x.image_id, round(coalesce(shared, 0e0) + 1.7e0 * (1e0 - least(1e0, abs({expected} - (typed_place - 1) / greatest(1e0, n - 1e0)))) + priority + case when preferred_phase is not null then 12e0 * greatest(0e0, 1e0 - abs({expected} - preferred_phase) / 0.24e0) else 0e0 end, 9) as score
-    from scene_x_image x join (select p.image_id, priority, preferred_phase, typed_place, count(*) over (partition by p.user_id) as n from profiles p join natural_sort s on s.image_id = p.image_id) p on p.image_id = x.image_id
+    select x.project_id, x.scene_index, x.image_id, round(coalesce(shared, 0e0) + 1.7e0 * (1e0 - least(1e0, abs({expected} - (place - 1) / greatest(1e0, n - 1e0)))) + priority + case when preferred_phase is not null then 12e0 * greatest(0e0, 1e0 - abs({expected} - preferred_phase) / 0.24e0) else 0e0 end, 9) as score
+    from scene_x_image x join (select p.image_id, priority, preferred_phase, place, count(*) over (partition by p.user_id) as n from profiles p join natural_sort s on s.image_id = p.image_id) p on p.image_id = x.image_id
     left join (select a.project_id, a.scene_index, a.image_id, cast(sum(cast(round(least(s.weight, 3e0) * least(i.weight, 3e0) * 10000e0) as bigint)) as bigint) / 10000e0 as shared from scene_x_image a join scene_expanded s on s.project_id = a.project_id and s.scene_index = a.scene_index join concept_expand i on i.image_id = a.image_id and i.word = s.word group by a.project_id, a.scene_index, a.image_id) o
       on o.project_id = x.project_id and o.scene_index = x.scene_index and o.image_id = x.image_id"""

@@ -54,21 +54,27 @@ def tracked_paths(d):
     return "select run, relative as tracked from inventory_files where context = 'repository' and kind = 'file' and relative <> 'styles/dark.json' and look = 'ok' and run % 7 <> 3"
 
 
-@relation("inventory_files", "tracked_paths")
+@relation("inventory_files", public=False)
+def git_indexes(d):
+    """Whether each run's index can be read."""
+    return "select distinct run, run % 7 <> 3 as readable from inventory_files"
+
+
+@relation("git_indexes", "tracked_paths")
 def scan_git_index(d):
     """The index of each run's repository: how many paths it tracks; unknown where it can't be
     read, so that nothing below counts as untracked."""
-    return "select f.run, case when f.run % 7 = 3 then 'unknown' else 'tracked' end as status, cast(count(t.tracked) as bigint) as paths from (select distinct run from inventory_files) f left join tracked_paths t on t.run = f.run group by f.run"
+    return "select i.run, case when i.readable then 'tracked' else 'unknown' end as status, cast(count(t.tracked) as bigint) as paths from git_indexes i left join tracked_paths t on t.run = i.run and i.readable group by i.run, i.readable"
 
 
-@relation("inventory_files", "tracked_paths")
+@relation("inventory_files", "git_indexes", "tracked_paths")
 def git_status_for(d):
     """tracked where the index has the path or one below it; outside the repository it does not
-    apply, and where there is no index (every seventh run's) it is unknown."""
+    apply, and where there is no index that can be read it is unknown."""
     folders = d.map(d.range(1, d.size(d.split('tracked', '/'))), d.join(d.slice(d.split('tracked', '/'), 1, 'x'), '/'))
     return f"""
-    select f.file_id, case when context <> 'repository' then 'not_applicable' when f.run % 7 = 3 then 'unknown' when t.folder is not null then 'tracked' else 'untracked' end as git_status
-    from inventory_files f left join (select distinct run, folder from {d.unnest(f"(select run, {folders} as folders from tracked_paths) s", 'folders', 'folder')}) t on t.run = f.run and t.folder = relative"""
+    select f.file_id, case when context <> 'repository' then 'not_applicable' when not coalesce(i.readable, false) then 'unknown' when t.folder is not null then 'tracked' else 'untracked' end as git_status
+    from inventory_files f left join git_indexes i on i.run = f.run left join (select distinct run, folder from {d.unnest(f"(select run, {folders} as folders from tracked_paths) s", 'folders', 'folder')}) t on t.run = f.run and t.folder = relative"""
 
 
 @relation("inventory_files", "git_status_for")
@@ -186,28 +192,16 @@ def artifact_group_status(d):
       concat_ws(',', {', '.join(f"case when not {has(t)} then '{t}' end" for t in members)}) as missing from group_membership group by group_type, group_id"""
 
 
-#: Letters with a combining mark behind them, and the letter that NFC makes of both.
-COMPOSED = [("a", 0x308, "ä"), ("a", 0x30A, "å"), ("o", 0x308, "ö"), ("u", 0x308, "ü"), ("e", 0x301, "é"), ("e", 0x300, "è"), ("a", 0x301, "á"), ("i", 0x301, "í"), ("o", 0x301, "ó"), ("u", 0x301, "ú"), ("n", 0x303, "ñ"), ("c", 0x327, "ç")]
-
-
-@relation("inventory_files")
-def logical_path_collision(d):
-    """Files whose paths are one after composing letters and marks (of the twelve above, in
-    either case): one record with the sizes summed, protected and suspicious."""
-    text = "raw"
-    for base, mark, whole in COMPOSED:
-        for b, w in ((base, whole), (base.upper(), whole.upper())):
-            text = f"replace({text}, concat('{b}', chr({mark})), '{w}')"
-    raw = "case when relative = 'readme.txt' then concat(path, ' ré') when relative = 'stray.dat' then concat('project/', cast(run as string), '/readme.txt re', chr(769)) else path end"
-    return f"""
-    select logical, cast(sum(bytes) as bigint) as bytes, case when bool_and(kind = 'file') then 'file' else 'other' end as kind, case when count(*) > 1 then 'observation.logical_path_collision' end as rule_id, case when count(*) > 1 then 'suspicious' else 'known' end as observation
-    from (select {text} as logical, kind, bytes from (select *, {raw} as raw from inventory_files) r) t group by logical"""
+@relation("inventory_files", public=False)
+def claimed_paths(d):
+    """Paths as they are claimed: some absolute, some with a step up."""
+    return "select file_id, case file_id % 5 when 0 then concat('/', path) when 1 then concat('a/../', path) when 2 then concat('C:/', path) else path end as claimed from inventory_files"
 
 
-@relation("inventory_files")
+@relation("claimed_paths")
 def path_containment(d):
     """Whether a path stays inside its root: neither absolute nor with a step up."""
-    return f"select file_id, not {d.matches('p', '^(/|[A-Za-z]:)')} and not {d.matches('p', '(^|/)[.][.](/|$)')} and not contains(p, chr(92)) as inside from (select file_id, case file_id % 5 when 0 then concat('/', path) when 1 then concat('a/../', path) when 2 then concat('C:/', path) else path end as p from inventory_files) t"
+    return f"select file_id, not {d.matches('claimed', '^(/|[A-Za-z]:)')} and not {d.matches('claimed', '(^|/)[.][.](/|$)')} and not contains(claimed, chr(92)) as inside from claimed_paths"
 
 
 @relation("inventory_files")

@@ -6,6 +6,10 @@ would find (missing files, other sizes, locks, staging folders) is derived by mo
 
 from ..plans.relation import relation
 
+#: Joins lines.
+LF = "\n"
+
+
 @relation("orders", public=False)
 def entries(d):
     return f"select o_orderkey as entry, lower(substring(o_orderpriority, 3)) as domain, lower(o_orderstatus) as producer, cast(o_custkey % 12 + 1 as int) as schema_version, {d.sha256('cast(o_orderkey as string)')} as digest, o_custkey, o_totalprice, {d.seconds('o_orderdate')} as at_s from orders"
@@ -59,7 +63,13 @@ def policy_digest(d):
     return f"select schema_version, {d.sha256(f"concat_ws(':', '1', {limits})")} as policy from policies"
 
 
-@relation("entries")
+@relation("entries", public=False)
+def key_values(d):
+    """Values that a key is made of: names, a note that may be null, a share that may be -0."""
+    return "select entry, domain, producer, schema_version, cast(null as string) as note, (entry % 9 - 4) * 0.25e0 * case when entry % 9 = 4 then -1e0 else 1e0 end as share from entries"
+
+
+@relation("key_values")
 def canonical_json(d):
     """Canonical JSON of each entry in the three dialects: contracts have no nulls or floats,
     storage keeps nulls, keys keep finite floats with -0 as 0. (ASCII text without escapes;
@@ -67,10 +77,11 @@ def canonical_json(d):
     q = "chr(34)"
     member = lambda k, v: f"{q}, '{k}', {q}, ':', {v}"
     text = lambda c: f"{q}, {c}, {q}"
+    note = f"case when note is null then concat(chr(110), chr(117), chr(108), chr(108)) else concat({text('note')}) end"
     base = [("domain", text("domain")), ("producer", text("producer")), ("schema", "cast(schema_version as string)")]
     of = lambda ms: "concat('{', " + ", ',', ".join(member(k, v) for k, v in sorted(ms)) + ", '}')"
     share = "case when share = 0e0 then '0.0' else cast(share as string) end"
-    return f"select entry, {of(base)} as json, {of([*base, ('note', 'coalesce(note, chr(110) || chr(117) || chr(108) || chr(108))')])} as storage_json, {of([*base, ('share', share)])} as key_json from (select *, cast(null as string) as note, (entry % 9 - 4) * 0.25e0 * case when entry % 9 = 4 then -1e0 else 1e0 end as share from entries) t"
+    return f"select entry, {of(base)} as json, {of([*base, ('note', note)])} as storage_json, {of([*base, ('share', share)])} as key_json from key_values"
 
 
 @relation("canonical_json")
@@ -159,33 +170,44 @@ def entry_snapshot(d):
     return "select coalesce(a.entry, b.entry) as entry, bool_and(a.bytes is not null and b.bytes is not null and a.bytes = b.bytes and a.content = b.content and b.kind = 'file' and b.links = 1) as stable, cast(count_if(a.path is null or b.path is null) as bigint) as only_once from declared a full outer join observed b on b.entry = a.entry and b.path = a.path group by coalesce(a.entry, b.entry)"
 
 
-@relation("observed")
+@relation("observed", public=False)
+def file_looks(d):
+    """Two looks at each file: before and after."""
+    return "select entry, path, kind, bytes, content, case when content % 41 = 0 then null else content % 3 end as before_device, content % 3 as device, entry * 10 + links as before_inode, entry * 10 + case when stable then links else 9 end as inode, bytes as before_bytes, content * 7 as before_mtime, content * 7 + case when content % 43 = 1 then 1 else 0 end as mtime from observed"
+
+
+@relation("file_looks")
 def file_identity(d):
     """Whether two looks at a file saw the same object: type, device, inode, size and times
     equal, links within one; a device or inode that is not known is never the same."""
     return """
     select entry, path, before_device is not null and device is not null and before_device = device and before_inode is not null and inode is not null and before_inode = inode and kind = 'file' and before_bytes = bytes and before_mtime = mtime as same
-    from (select entry, path, kind, bytes, content, case when content % 41 = 0 then null else content % 3 end as before_device, content % 3 as device, entry * 10 + links as before_inode, entry * 10 + case when stable then links else 9 end as inode, bytes as before_bytes, content * 7 as before_mtime, content * 7 + case when content % 43 = 1 then 1 else 0 end as mtime from observed) t"""
+    from file_looks"""
 
 
 @relation("final_path")
 def scan_entry_identities(d):
     """Identities parsed back from their paths; the shards must begin the digest."""
     digest = d.extract("final_path", "([0-9a-f]{64})$", 1)
-    return f"select entry, {d.extract('final_path', '^entries/v1/([^/]+)/', 1)} as domain, contains(final_path, concat('/', substring({digest}, 1, 2), '/', substring({digest}, 3, 2), '/')) as shards_ok, substring({digest}, 1, 12) as digest from final_path"
+    return f"select entry, {d.extract('final_path', '^entries/v1/([^/]+)/', 1)} as domain, contains(final_path, concat('/', substring({digest}, 1, 2), '/', substring({digest}, 3, 2), '/')) as shards_ok, {digest} as digest from final_path"
 
 
 @relation("final_path")
 def scan_staging_identities(d):
-    """Digest and token of staging names."""
-    return f"select entry, substring({d.extract('staging_path', '/([0-9a-f]+)[.]', 1)}, 1, 12) as digest, {d.extract('staging_path', '[.]([0-9a-f]+)$', 1)} as token from final_path"
+    """Identities that staging names hold, each once, with its candidates' number and first token."""
+    return f"select digest, cast(count(*) as bigint) as candidates, min(token) as first_token from (select {d.extract('staging_path', '/([0-9a-f]+)[.]', 1)} as digest, {d.extract('staging_path', '[.]([0-9a-f]+)$', 1)} as token from final_path) t where digest <> '' group by digest"
 
 
-@relation("documents")
+@relation("documents", public=False)
+def excerpts(d):
+    """Excerpts that claims cite from documents: their middle, or a changed one."""
+    return "select doc_id, text, concat(substring(text, 10, 40), case when doc_id % 3 = 0 then 'x#' else '' end) as excerpt from documents"
+
+
+@relation("excerpts")
 def excerpt_containment(d):
-    """Whether a document holds the excerpt that a claim cites (its middle, or a changed one)."""
-    ex = "substring(text, 10, 40)"
-    return f"select doc_id, contains(text, case when doc_id % 3 = 0 then concat({ex}, 'x#') else {ex} end) as contained from documents"
+    """Whether a document holds the excerpt that a claim cites, as it stands."""
+    return "select doc_id, contains(text, excerpt) as contained from excerpts"
 
 
 @relation("documents")
@@ -197,19 +219,25 @@ def claim_identity(d):
 @relation("conversations")
 def plain_text_projection(d):
     """Turns of a conversation as one text, one line a turn."""
-    return f"select conv_id, md5({d.agg_text('text', ' ', 'turn')}) as text_md5, cast(count(*) as bigint) as n from conversations group by conv_id"
+    return f"select conv_id, md5({d.agg_text('text', LF, 'turn')}) as text_md5, cast(count(*) as bigint) as n from conversations group by conv_id"
 
 
 @relation("conversations")
 def segment_ordering(d):
     """Whether turns are numbered without gaps, and roles alternate."""
-    return "select conv_id, bool_and(previous is null or turn = previous + 1) as gapless, bool_and(before is null or before <> role) as alternate from (select *, lag(turn) over (partition by conv_id order by turn) as previous, lag(role) over (partition by conv_id order by turn) as before from conversations where (conv_id + turn) % 9 <> 0) t group by conv_id"
+    return "select conv_id, bool_and(previous is null or turn = previous + 1) as gapless, bool_and(before is null or before <> role) as alternate from (select *, lag(turn) over (partition by conv_id order by turn) as previous, lag(role) over (partition by conv_id order by turn) as before from conversations) t group by conv_id"
 
 
-@relation("documents")
+@relation("documents", public=False)
+def language_claims(d):
+    """Languages of documents: as declared, and as their source says; either may be missing."""
+    return "select doc_id, case when doc_id % 4 <> 0 then lang end as declared, case when doc_id % 8 = 0 then 'en' end as of_source from documents"
+
+
+@relation("language_claims")
 def document_language_precedence(d):
     """Declared language, else the source's, else unknown."""
-    return "select doc_id, coalesce(case when doc_id % 4 <> 0 then lang end, case when doc_id % 8 = 0 then 'en' end, 'und') as language from documents"
+    return "select doc_id, coalesce(declared, of_source, 'und') as language from language_claims"
 
 
 @relation("customer", "orders")

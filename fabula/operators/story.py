@@ -1,44 +1,63 @@
 """Story analysis of scenes: roles, phases, scores, structure, and one document a project."""
 
-from ..plans.relation import relation
+from ..plans.relation import quote, relation
 from .text import SIGNALS, WORD_STORY, clamp, has, story_tokens
 
 
-@relation("scenes", "captions", public=False)
+#: Words that ask as a question mark does.
+QUESTION_WORDS = ("question", "fråga")
+
+
+@relation("match_terms", public=False)
+def scene_notes(d):
+    """What a scene carries beside its voice-over: narration (none here) and its match terms."""
+    return f"select project_id, scene_index, cast(null as string) as narration, {d.agg_text('term', ' ', 'term')} as match_terms from match_terms group by project_id, scene_index"
+
+
+@relation("caption_scene_interval_join", "captions", public=False)
+def scene_captions(d):
+    """The texts of the captions whose midpoint a scene covers, in order; blank ones left out."""
+    return f"select j.project_id, j.scene_index, {d.agg_text('said', ' ', 'j.caption_id')} as captions from caption_scene_interval_join j join (select project_id, caption_id, {d.strip('caption_text')} as said from captions) c on c.project_id = j.project_id and c.caption_id = j.caption_id where said <> '' group by j.project_id, j.scene_index"
+
+
+@relation("scenes", "scene_notes", "scene_captions", public=False)
 def story_text(d):
-    """Scene text for story analysis: the voice-over and the captions whose midpoint the
-    scene covers. Captions of these scenes repeat the voice-over's sentences."""
+    """A scene's whole text: voice-over, narration, match terms and its captions, without
+    blank ones."""
+    parts = ", ".join(f"nullif({d.strip(c)}, '')" for c in ("s.voiceover_text", "narration", "match_terms"))
     return f"""
-    select s.project_id, s.scene_index, s.scene_count, concat_ws(' ', min(s.voiceover_text), {d.agg_text("caption_text", " ", "caption_id")}) as text
-    from scenes s join captions c on c.project_id = s.project_id and (c.caption_start + c.caption_end) * 0.5e0 >= s.scene_start and (c.caption_start + c.caption_end) * 0.5e0 < s.scene_end
-    group by s.project_id, s.scene_index, s.scene_count"""
+    select s.project_id, s.scene_index, s.scene_count, concat_ws(' ', {parts}, captions) as text from scenes s
+    left join scene_notes n on n.project_id = s.project_id and n.scene_index = s.scene_index left join scene_captions c on c.project_id = s.project_id and c.scene_index = s.scene_index"""
 
 
-@relation("scenes", public=False)
+@relation("story_text", public=False)
 def story_flags(d):
-    flags = ", ".join(f"case when {has('voiceover_text', s)} then 1 else 0 end as f_{s}" for s in SIGNALS)
+    flags = ", ".join(f"case when {has('text', s)} then 1 else 0 end as f_{s}" for s in SIGNALS)
+    asks = " or ".join(d.contains_item("words", quote(w)) for w in QUESTION_WORDS)
     return f"""
-    select project_id, scene_index, scene_count, voiceover_text as text, words, {d.size('words')} as n_words,
-           case when contains(voiceover_text, '?') or {d.contains_item('words', "'question'")} then 1 else 0 end as f_question, {', '.join('f_' + s for s in SIGNALS)}
-    from (select *, {story_tokens(d, 'voiceover_text')} as words, {flags} from scenes)"""
+    select project_id, scene_index, scene_count, text, words, {d.size('words')} as n_words, {d.size('words')} = 0 as fallback_used,
+           case when contains(text, '?') or {asks} then 1 else 0 end as f_question, {', '.join('f_' + s for s in SIGNALS)}
+    from (select *, {story_tokens(d, 'text')} as words, {flags} from story_text)"""
 
 
 @relation("story_flags", public=False)
 def story_base(d):
+    """Role and scores of each scene; one without content words takes the fallback's."""
     relative = "(scene_index / greatest(1e0, scene_count - 1e0))"
     beats = "(f_question + f_contrast + f_challenge + f_evidence + f_reveal + f_escalation + f_conclusion + f_reflection)"
+    known = lambda x, otherwise: f"case when fallback_used then {otherwise} else {x} end"
     return f"""
-    select *, {clamp("0.58e0 + 0.045e0 * beats + case when role in ('development', 'unknown') then 0e0 else 0.08e0 end")} as confidence
+    select *, {known(clamp("0.58e0 + 0.045e0 * beats + case when role in ('development', 'unknown') then 0e0 else 0.08e0 end"), '0.25e0')} as confidence
     from (select *, {relative} as relative, {beats} as beats,
-      case when scene_count = 1 then case when f_question = 1 then 'hook' else 'development' end
+      case when fallback_used then 'development' when scene_count = 1 then case when f_question = 1 then 'hook' else 'development' end
            when scene_index = 0 then case when f_question = 1 or f_reveal = 1 then 'hook' else 'setup' end
            when scene_index = scene_count - 1 then case when f_reflection = 1 then 'epilogue' else 'resolution' end
            when f_reveal = 1 then 'revelation' when f_contrast = 1 and f_challenge = 1 then 'counterargument'
            when f_contrast = 1 then 'contrast' when f_evidence = 1 then 'evidence' when f_escalation = 1 then 'complication' else 'development' end as role,
-      {clamp(f"0.25e0 + 0.5e0 * (1e0 - abs({relative} - 0.72e0)) + 0.13e0 * f_escalation + 0.10e0 * f_reveal + 0.06e0 * f_contrast + 0.05e0 * f_question")} as tension,
-      {clamp("0.08e0 + 0.62e0 * f_reveal + 0.18e0 * f_evidence + 0.10e0 * f_challenge")} as revelation,
-      {clamp("0.28e0 + 0.36e0 * f_escalation + 0.20e0 * f_reveal + 0.10e0 * f_question + 0.08e0 * f_contrast")} as emotional,
-      {clamp("0.18e0 + least(0.62e0, n_words / 55e0) + 0.12e0 * f_evidence + 0.08e0 * f_cause")} as information
+      {known(clamp(f"0.25e0 + 0.5e0 * (1e0 - abs({relative} - 0.72e0)) + 0.13e0 * f_escalation + 0.10e0 * f_reveal + 0.06e0 * f_contrast + 0.05e0 * f_question"), '0.5e0')} as tension,
+      {known(clamp("0.08e0 + 0.62e0 * f_reveal + 0.18e0 * f_evidence + 0.10e0 * f_challenge"), '0e0')} as revelation,
+      {known(clamp("0.28e0 + 0.36e0 * f_escalation + 0.20e0 * f_reveal + 0.10e0 * f_question + 0.08e0 * f_contrast"), '0.5e0')} as emotional,
+      {known(clamp("0.18e0 + least(0.62e0, n_words / 55e0) + 0.12e0 * f_evidence + 0.08e0 * f_cause"), '0.5e0')} as information
       from story_flags)"""
 
 
@@ -54,7 +73,8 @@ def story_scores(d):
     return "select project_id, scene_index, tension, revelation, emotional, information, confidence from story_base"
 
 
-PHASE = """case when scene_count <= 1 or scene_index = 0 then 'opening' when scene_index = scene_count - 1 then 'closing'
+#: Phases by role and place. The shares of the story where phases end.
+PHASE = """case when fallback_used then case when scene_index = 0 then 'opening' when scene_index = scene_count - 1 and scene_count > 1 then 'closing' else 'middle' end when scene_count <= 1 or scene_index = 0 then 'opening' when scene_index = scene_count - 1 then 'closing'
   when role in ('complication', 'turning_point', 'climax', 'resolution') then role when role = 'epilogue' then 'closing'
   when relative <= 0.22e0 then 'setup' when relative <= 0.48e0 then 'rising_action' when relative <= 0.68e0 then 'middle'
   when relative <= 0.84e0 then 'falling_action' else 'resolution' end"""
@@ -82,7 +102,8 @@ def story_adjacent(d):
 def continuity_relation(d):
     """How a scene goes on from the one before."""
     return """
-    select project_id, scene_index, case when scene_index = 0 then case when contains(text, '?') then 'opens_question' else 'introduces_topic' end
+    select project_id, scene_index, case when fallback_used then case when scene_index = 0 then 'introduces_topic' else 'continues_previous' end
+      when scene_index = 0 then case when contains(text, '?') then 'opens_question' else 'introduces_topic' end
       when f_contrast = 1 and f_challenge = 1 then 'challenges_previous' when f_contrast = 1 then 'contrasts_previous'
       when role = 'revelation' then 'reveals_new_information' when role = 'evidence' then 'adds_evidence'
       when role in ('resolution', 'epilogue') then case when contains(text, '?') then 'opens_question' else 'resolves_previous' end
@@ -204,17 +225,27 @@ def story_document(d):
     join climax_scene x on x.project_id = s.project_id join turning_point t on t.project_id = s.project_id join signal_counts n on n.project_id = s.project_id"""
 
 
-@relation("scenes")
+#: What a scene gets that can't be analysed.
+FALLBACK_ROW = "concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) as scene_id, 'development' as story_role, case when scene_index = 0 then 'opening' when scene_index = scene_count - 1 and scene_count > 1 then 'closing' else 'middle' end as story_phase, 0.5e0 as tension, 0.5e0 as emotional_intensity, 0.5e0 as information_density, 0e0 as revelation_strength, case when scene_index = 0 then 'introduces_topic' else 'continues_previous' end as continuity_relation, 0.25e0 as confidence, true as fallback_used, 'Deterministic fallback due to insufficient story metadata.' as reason"
+
+
+@relation("story_flags")
 def story_fallback(d):
-    """The plan of a project that could not be analysed: default rows for its scenes."""
-    return "select project_id, scene_index, concat('scene_', lpad(cast(scene_index + 1 as string), 3, '0')) as scene_id, 'development' as story_role, case when scene_index = 0 then 'opening' when scene_index = scene_count - 1 and scene_count > 1 then 'closing' else 'middle' end as story_phase, 0.5e0 as tension, 0.5e0 as emotional_intensity, 0.5e0 as information_density, 0e0 as revelation_strength, case when scene_index = 0 then 'introduces_topic' else 'continues_previous' end as continuity_relation, 0.25e0 as confidence, true as fallback_used, 'Deterministic fallback due to insufficient story metadata.' as reason from scenes"
+    """The default rows of scenes without content words."""
+    return f"select project_id, scene_index, {FALLBACK_ROW} from story_flags where fallback_used"
 
 
-@relation("conversations")
+@relation("scenes")
+def story_fallback_plan(d):
+    """The plan of a project that could not be analysed: default rows for all its scenes."""
+    return f"select project_id, scene_index, {FALLBACK_ROW} from scenes"
+
+
+@relation("story_flags")
 def story_fallback_summary(d):
-    """A conversation taken as scenes: how many turns have no content words and fall back, the
-    status and the warning that gives."""
-    n = "count_if(words = 0)"
+    """How many scenes of a project have no content words and fall back, the status and the
+    warning that gives."""
+    n = "count_if(fallback_used)"
     return f"""
-    select conv_id, cast({n} as bigint) as fallback_count, case when {n} > 0 or count(*) = 0 then 'fallback' else 'planned' end as status, case when {n} > 0 then concat(cast({n} as string), ' scene(s) used deterministic fallback analysis.') end as warnings
-    from (select conv_id, {d.size(story_tokens(d, "case when conv_id % 3 = 0 and turn = 1 then '' else text end"))} as words from conversations) t group by conv_id"""
+    select project_id, cast({n} as bigint) as fallback_count, case when {n} > 0 then 'fallback' else 'planned' end as status, case when {n} > 0 then concat(cast({n} as string), ' scene(s) used deterministic fallback analysis.') end as warnings
+    from story_flags group by project_id"""

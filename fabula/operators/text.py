@@ -1,6 +1,6 @@
 """Text scalars."""
 
-from ..plans.relation import quote, relation
+from ..plans.relation import WHITE, quote, relation
 
 #: Words that never count as content.
 STOP_STORY = (
@@ -57,10 +57,6 @@ def clamp(x: str) -> str:
     return f"round(greatest(0e0, least(1e0, {x})), 4)"
 
 
-#: What counts as white space.
-WHITE = r"[ \t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
 @relation("documents")
 def clean_text(d):
     """Runs of white space (all that Unicode knows) become one space; ends are stripped."""
@@ -107,15 +103,11 @@ def token_counter(d):
     return f"select word, cast(count(*) as bigint) as n from {d.unnest(f'''(select {story_tokens(d, "text")} as w from documents) s''', 'w', 'word')} group by word"
 
 
-@relation("scenes")
+@relation("story_text")
 def sentence_regex_split(d):
-    """Sentences of each scene, in order: cut after . ! or ? and white space."""
-    marked = f"replace(replace(replace(voiceover_text, '. ', concat('.', chr(1))), '! ', concat('!', chr(1))), '? ', concat('?', chr(1)))"
-    return f"select project_id, scene_index, cast(place as int) as place, sentence from {d.unnest_at(f'(select project_id, scene_index, {d.split(marked, chr(1))} as parts from scenes)', 'parts', 'sentence', 'place')}"
-
-
-#: Latin letters with marks that compatibility decomposition leaves a letter of.
-MARKED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    """Sentences of each scene's text, in order: cut after . ! or ? and white space of any kind."""
+    parts = d.cut(d.strip("text"), f"([.!?]){WHITE}", 1)
+    return f"select project_id, scene_index, cast(place as int) as place, sentence from {d.unnest_at(f'(select project_id, scene_index, {parts} as parts from story_text)', 'parts', 'sentence', 'place')}"
 
 
 @relation("pages", public=False)
@@ -124,15 +116,6 @@ def names(d):
     return "select page_id, case page_id % 6 when 0 then concat('Återkomst: ', url) when 1 then '***' when 2 then concat('  Élan vital ', cast(page_id as string)) when 3 then '漢字' else url end as name from pages"
 
 
-@relation("names")
-def slugify(d):
-    """Lower-case names of ASCII letters and digits joined by underscores: marks go (of Latin-1
-    letters), other characters too; `documentary` where nothing is left."""
-    plain = d.replace(f"translate(name, {quote(MARKED[0])}, {quote(MARKED[1])})", "[^ -~]+", "")
-    slug = f"lower({d.replace(d.replace(plain, '[^a-zA-Z0-9]+', '_'), '^_+|_+$', '')})"
-    return f"select page_id, case when {slug} = '' then 'documentary' else {slug} end as slug from names"
-
-
 @relation("pages")
 def ffconcat_quote(d):
     """A path quoted for a concat list: each ' closes, escapes and reopens the quotes."""
@@ -194,7 +177,13 @@ def tags(d):
     return d.values("t", ("k", "tag"), TAGS)
 
 
-@relation("documents", "tags")
+@relation("documents", "tags", public=False)
+def document_tags(d):
+    """Documents with the tags that they come with."""
+    return f"select doc_id, tag from documents join tags on k = doc_id % {len(TAGS)}"
+
+
+@relation("document_tags")
 def language_tag_canon(d):
     """Canonical language tag (language lower, Script capitalised, REGION upper) or null."""
     p = d.split("tag", "-")
@@ -209,7 +198,7 @@ def language_tag_canon(d):
       when {n} = 2 and {is_script(two)} then concat(lower({lang}), '-', {script})
       when {n} = 2 and {is_region(two)} then concat(lower({lang}), '-', upper({two}))
       when {n} = 3 and {is_script(two)} and {is_region(three)} then concat(lower({lang}), '-', {script}, '-', upper({three})) end as canonical
-    from (select doc_id, tag, {p} as p from documents join tags on k = doc_id % {len(TAGS)})"""
+    from (select doc_id, tag, {p} as p from document_tags)"""
 
 
 @relation("pages", public=False)

@@ -1,19 +1,29 @@
 """Words, captions, beats and frames on one timeline."""
 
-from ..plans.relation import relation
+from ..plans.relation import WHITE, relation
 from .text import STOP_SEMANTIC, WORD_SEMANTIC, four, words_in
 
 #: Words that begin a turn of the story.
 TURNS = (
     "but", "however", "yet", "instead", "meanwhile", "later", "finally", "eventually", "although", "despite", "then", "suddenly", "because",
-    "therefore", "dock", "samtidigt", "senare", "slutligen",
+    "therefore", "men", "dock", "däremot", "samtidigt", "senare", "slutligen", "plötsligt", "därför",
 )
 
 
-@relation("spoken")
+@relation("spoken", public=False)
+def recognised(d):
+    """Words of segments as a recogniser gives them: some blank, some without a start or an end."""
+    return "select project_id, n, t as segment_start, word_index, case when word_index % 41 = 7 then ' ' else concat(' ', word) end as word, case when word_index % 29 <> 3 then word_start end as word_start, case when word_index % 31 = 4 then null when word_index % 37 = 5 then word_start else word_end end as word_end from spoken"
+
+
+@relation("recognised")
 def explode_words(d):
-    """Timed words; a word that does not end after it starts ends 0.12 later."""
-    return "select project_id, word_index, word, word_start, case when word_end <= word_start then word_start + 0.12e0 else word_end end as word_end from spoken where trim(word) <> ''"
+    """Timed words, blank ones left out: without a start they begin with their segment, without
+    an end they last 0.18; one that does not end after it starts ends 0.12 later."""
+    cleaned = f"trim({d.replace('word', WHITE.replace(chr(92), chr(92) * 2) if d.spark else WHITE, ' ')})"
+    return f"""
+    select project_id, word_index, word, s as word_start, case when e <= s then s + 0.12e0 else e end as word_end
+    from (select *, coalesce(word_end, s + 0.18e0) as e from (select project_id, word_index, {cleaned} as word, coalesce(word_start, segment_start) as s, word_end from recognised) a) t where word <> ''"""
 
 
 @relation("timed")
@@ -103,19 +113,24 @@ def transcript_quality(d):
 
 @relation("spoken", public=False)
 def sentence_words(d):
-    return f"select *, coalesce(sum(ends) over (partition by project_id order by word_index rows between unbounded preceding and 1 preceding), 0) as s_raw from (select *, case when {d.matches('word', '[.!?]$')} then 1 else 0 end as ends from spoken)"
+    """Words of all captions by start and end, blank ones left out, with those that end a
+    sentence: at . ! or ?, a closing quote behind it or not."""
+    ends = d.matches("word", "[.!?][\"'']?$")
+    return f"""
+    select *, coalesce(sum(ends) over (partition by project_id order by word_index rows between unbounded preceding and 1 preceding), 0) as s_raw
+    from (select project_id, word, word_start, word_end, row_number() over (partition by project_id order by word_start, word_end, word_index) as word_index, case when {ends} then 1 else 0 end as ends from (select project_id, {d.strip('word')} as word, word_start, word_end, word_index from spoken) a where word <> '') t"""
 
 
 @relation("sentence_words")
 def sentence_split(d):
-    """Sentences of timed words: a sentence ends with . ! or ?"""
-    return f"select project_id, cast(s_raw as int) as sentence, min(word_start) as s, max(word_end) as e, {d.agg_text('word', ' ', 'word_index')} as text from sentence_words group by project_id, s_raw"
+    """Sentences of timed words, from their first word's start to their last one's end."""
+    return f"select project_id, cast(s_raw as int) as sentence, min(word_start) as s, {'max_by' if d.spark else 'arg_max'}(word_end, word_index) as e, {d.agg_text('word', ' ', 'word_index')} as text from sentence_words group by project_id, s_raw"
 
 
 @relation("sentence_split", public=False)
 def sentence_turns(d):
     first = d.element(d.keep(d.tokens("lower(text)", WORD_SEMANTIC), f"length(x) > 1 and x not in {words_in(STOP_SEMANTIC)}"), 1)
-    return f"select *, coalesce({first}, '') in {words_in(TURNS)} or {d.matches('lower(text)', '^(in|under|during|after|before) (19|20)[0-9][0-9]')} as strong from sentence_split"
+    return f"select *, coalesce({first}, '') in {words_in(TURNS)} or {d.matches('lower(text)', '^(in|under|during|after|before) (19|20)[0-9][0-9]([^0-9a-z_åäö]|$)')} as strong from sentence_split"
 
 
 @relation("sentence_turns", public=False)
@@ -136,18 +151,25 @@ def beat_segmentation(d):
     return "select project_id, place - 1 as sentence, beat from beat_walk"
 
 
-@relation("beat_segmentation", "sentence_split")
+@relation("scenes", public=False)
+def project_lengths(d):
+    """How long each project's audio is."""
+    return "select project_id, max(scene_end) as duration from scenes group by project_id"
+
+
+@relation("project_lengths", "beat_segmentation", "sentence_split")
 def beat_align(d):
-    """Beats with contiguous bounds: each ends where the next begins."""
-    return """
-    select project_id, beat, case when beat = 1 then 0e0 else s end as beat_start, coalesce(lead(s) over (partition by project_id order by beat), e + 5e0) as beat_end
-    from (select b.project_id, beat, min(s) as s, max(e) as e from beat_segmentation b join sentence_split t on t.project_id = b.project_id and t.sentence = b.sentence group by b.project_id, beat) u"""
+    """Beats with contiguous bounds, from 0 to the end of the audio: each ends where the next
+    begins. A project without words is one beat, `documentary`."""
+    return f"""
+    select p.project_id, coalesce(beat, 1) as beat, case when coalesce(beat, 1) = 1 then 0e0 else s end as beat_start, coalesce(lead(s) over (partition by p.project_id order by beat), duration) as beat_end, coalesce(text, 'documentary') as text
+    from project_lengths p left join (select b.project_id, beat, min(s) as s, {d.agg_text('text', ' ', 't.sentence')} as text from beat_segmentation b join sentence_split t on t.project_id = b.project_id and t.sentence = b.sentence group by b.project_id, beat) u on u.project_id = p.project_id"""
 
 
 @relation("beat_align")
 def drop_short_beats(d):
     """Beats of half a second or more."""
-    return "select project_id, beat, beat_start, beat_end from beat_align where beat_end - beat_start >= 0.5e0"
+    return "select project_id, beat, beat_start, beat_end, text from beat_align where beat_end - beat_start >= 0.5e0"
 
 
 @relation("spoken", public=False)
@@ -243,16 +265,24 @@ def required_position(d):
       coalesce(face_count, 0) > 0 as face, coalesce(source in ('face', 'saliency'), false) as subject from scenes s left join analysis_for_scene a on a.project_id = s.project_id and a.scene_index = s.scene_index"""
 
 
-@relation("required_position")
+@relation("timed", public=False)
+def caption_settings(d):
+    """Each project's default position, and whether scenes may move captions away from it."""
+    return "select project_id, case when user_id % 5 = 2 then 'top' else 'bottom' end as default_position, user_id % 7 <> 3 as allow_reposition from timed group by project_id, user_id"
+
+
+@relation("required_position", "caption_settings")
 def caption_position_carry(d):
-    """The position in force: the last one required, else the bottom."""
-    return f"select project_id, scene_index, coalesce({d.last_known('position', 'partition by project_id order by scene_index rows between unbounded preceding and current row')}, 'bottom') as position from required_position"
+    """The position in force: the last one required, else the default; always the default where
+    scenes may not move it."""
+    carried = d.last_known("r.position", "partition by r.project_id order by r.scene_index rows between unbounded preceding and current row")
+    return f"select r.project_id, r.scene_index, default_position, case when allow_reposition then coalesce({carried}, default_position) else default_position end as position from required_position r join caption_settings c on c.project_id = r.project_id"
 
 
 @relation("caption_position_carry")
 def placement_stability(d):
-    """Whether captions moved from the scene before, at first from the bottom."""
-    return "select project_id, scene_index, position, position <> coalesce(lag(position) over (partition by project_id order by scene_index), 'bottom') as moved from caption_position_carry"
+    """Whether captions moved from the scene before, at first from the default."""
+    return "select project_id, scene_index, position, position <> coalesce(lag(position) over (partition by project_id order by scene_index), default_position) as moved from caption_position_carry"
 
 
 #: Words that are never highlighted.
@@ -352,56 +382,3 @@ def face_centroid(d):
 def legacy_zoom(d):
     """Zoom at each event: in and out by turns, eased."""
     return "select project_id, event_id, round(case when n % 2 = 0 then 1e0 + 0.12e0 * x else 1.12e0 - 0.12e0 * x end, 6) as zoom from (select *, t - floor(t) as x from timed) t"
-
-
-#: Widths of letters at size 100, as a table in place of a font: narrow, wide, others, a space.
-NARROW, WIDE, OTHER, SPACE = ("iljtfrI.,:;'!|", 30), ("mwMW@", 90), 55, 28
-#: Parameters of a page: the most that a line may measure, lines, and sizes from large to small.
-PAGE, SIZES = 560, (64, 62, 60, 58, 56, 54, 52, 50, 48, 46, 44)
-
-
-@relation("spoken")
-def text_width(d):
-    """Width of each word at size 100 by the table of letters."""
-    of = lambda letters: f"(length(word) - length({d.replace('word', '[' + letters + ']', '')}))"
-    return f"select project_id, n, place, word, cast({NARROW[1]} * {of(NARROW[0].replace('|', '').replace(chr(39), ''))} + {WIDE[1]} * {of(WIDE[0])} + {OTHER} * (length(word) - {of(NARROW[0].replace('|', '').replace(chr(39), ''))} - {of(WIDE[0])}) as int) as width from spoken"
-
-
-@relation("text_width")
-def line_width(d):
-    """Width of each caption on one line: its words and a space between each two."""
-    return f"select project_id, n as caption_id, cast(sum(width) + {SPACE} * (count(*) - 1) as int) as width from text_width group by project_id, n"
-
-
-@relation("text_width", public=False)
-def line_breaks(d):
-    """Each way to set a caption on one line or two, with both widths at size 100."""
-    w = "over (partition by project_id, n order by place rows between unbounded preceding and current row)"
-    return f"""
-    select project_id, n, words, broken, case when broken = words then total + {SPACE} * (words - 1) else before + {SPACE} * (broken - 1) end as first, case when broken = words then 0 else total - before + {SPACE} * (words - broken - 1) end as second, widest
-    from (select project_id, n, place as broken, sum(width) {w} as before, sum(width) over (partition by project_id, n) as total, count(*) over (partition by project_id, n) as words, max(width) over (partition by project_id, n) as widest from text_width) t"""
-
-
-def sized(size: str) -> str:
-    """The ways that fit PAGE at a size, with their cost: the space left over on each line
-    squared, a penalty for a word alone, one for lines of different length."""
-    a, b = f"(first * {size} / 100e0)", f"(second * {size} / 100e0)"
-    alone = lambda n: f"case when {n} = 1 and words > 2 then {PAGE}e0 * {PAGE}e0 * 0.35e0 else 0e0 end"
-    one = f"({PAGE}e0 - {a}) * ({PAGE}e0 - {a}) + {alone('broken')}"
-    return f"case when {a} <= {PAGE} and {b} <= {PAGE} then case when broken = words then {one} else {one} + ({PAGE}e0 - {b}) * ({PAGE}e0 - {b}) + {alone('(words - broken)')} + abs({a} - {b}) * {PAGE}e0 * 0.18e0 end end"
-
-
-@relation("line_breaks")
-def split_lines(d):
-    """The cheapest way to set each caption at the smallest size on two lines at most: words on
-    the first line; none fits where that is null."""
-    return f"""
-    select project_id, n as caption_id, cast(max(words) as int) as words, cast(max(case when r = 1 and cost is not null then broken end) as int) as first_line, max(case when r = 1 then round(cost, 3) end) as cost
-    from (select *, row_number() over (partition by project_id, n order by case when cost is null then 1 else 0 end, cost, case when broken = words then 0 else 1 end, broken) as r from (select *, {sized(str(SIZES[-1]))} as cost from line_breaks) c) t group by project_id, n"""
-
-
-@relation("line_breaks")
-def fit_page(d):
-    """The largest size at which a caption fits two lines, null where even the smallest is too large."""
-    fits = " ".join(f"when bool_or({sized(str(z))} is not null) then {z}" for z in SIZES)
-    return f"select project_id, n as caption_id, case {fits} end as size from line_breaks group by project_id, n"

@@ -157,9 +157,10 @@ def pacing_progress(d):
 
 @relation("scenes")
 def transition_boundaries(d):
-    """Boundary frames at 30 a second and dissolve lengths held to a fifth of both scenes."""
-    return """
-    select project_id, scene_index, cast(round(scene_start * 30e0) as bigint) as frame, cast(case when dur > 0e0 then greatest(1e0, round(dur * 30e0)) else 0e0 end as int) as duration_frames
+    """Boundary frames at 30 a second (halves to the even frame) and dissolve lengths held to a
+    fifth of both scenes."""
+    return f"""
+    select project_id, scene_index, cast({d.half_even('scene_start * 30e0')} as bigint) as frame, cast(case when dur > 0e0 then greatest(1e0, {d.half_even('dur * 30e0')}) else 0e0 end as int) as duration_frames
     from (select *, least(0.65e0, greatest(0e0, (lag(scene_end - scene_start) over (partition by project_id order by scene_index)) * 0.2e0), greatest(0e0, (scene_end - scene_start) * 0.2e0)) as dur from scenes) t where scene_index > 0"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import audio, cache, contracts, evidence, images, inventory, storage, story, text, timeline, visual  # noqa: F401  (modules register their relations)
+from ..operators import audio, cache, contracts, evidence, forms, images, inventory, layout, storage, story, text, timeline, visual  # noqa: F401  (modules register their relations)
 from ..sources import derived  # noqa: F401
 from .relation import RELATIONS, oracle, query
 

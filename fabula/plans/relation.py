@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an array that a recurrence is appended to a row at a time.
 CHUNK = 128
 
+#: What counts as white space.
+WHITE = r"[ \t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -72,6 +75,34 @@ class Spark:
     def strings(self, *values):
         return "array(" + ", ".join(quote(v) for v in values) + ")"
 
+    def each(self, array, var, expr):
+        """expr of each value, under a name of its own: may stand inside another."""
+        return f"transform({array}, {var} -> {expr})"
+
+    def fold(self, array, first, acc, var, expr):
+        return f"aggregate({array}, {first}, ({acc}, {var}) -> {expr})"
+
+    def min_of(self, array):
+        return f"array_min({array})"
+
+    def array(self, *values):
+        return f"array({', '.join(values)})"
+
+    def struct(self, **fields):
+        return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+
+    def append(self, array, value):
+        return f"concat({array}, array({value}))"
+
+    def joined(self, *arrays):
+        return f"concat({', '.join(arrays)})"
+
+    def no_strings(self):
+        return "cast(array() as array<string>)"
+
+    def agg_list(self, value, order):
+        return f"transform(array_sort(collect_list(struct({order} as k, {value} as v))), x -> x.v)"
+
     def agg_text(self, value, sep, *order):
         keys = ", ".join(f"{o} as k{i}" for i, o in enumerate(order))
         return f"array_join(transform(array_sort(collect_list(struct({keys}, {value} as v))), x -> x.v), '{sep}')"
@@ -92,6 +123,16 @@ class Spark:
     def replace(self, text, pattern, by):
         return f"regexp_replace({text}, '{pattern}', '{by}')"
 
+    def strip(self, text):
+        """Without white space (all that Unicode knows) at both ends."""
+        white = WHITE.replace("\\", "\\\\") if self.spark else WHITE
+        return self.replace(text, f"^{white}|{white}$", "")
+
+    def cut(self, text, pattern, group):
+        """Parts of a text: cut where the pattern matches, but for its group 1, which stays."""
+        pattern, by = (pattern.replace("\\", "\\\\"), "$1") if self.spark else (pattern, "\\1")
+        return self.split(f"regexp_replace({text}, '{pattern}', concat('{by}', chr(1)){'' if self.spark else ", 'g'"})", "\x01")
+
     def matches(self, text, pattern):
         return f"({text} rlike '{pattern}')"
 
@@ -107,6 +148,17 @@ class Spark:
     def element(self, array, i):
         return f"get({array}, ({i}) - 1)"
 
+    def half_even(self, x):
+        """Rounded to a whole number, halves to the even one."""
+        return f"rint({x})"
+
+    def decoded(self, x):
+        """A text with its percent escapes decoded; null where they are not valid."""
+        return f"try_url_decode(replace({x}, '+', '%2B'))"
+
+    def bytes(self, x):
+        return f"octet_length({x})"
+
     def mod(self, a, b):
         return f"pmod({a}, {b})"
 
@@ -188,6 +240,33 @@ class Duck(Spark):
     def strings(self, *values):
         return "[" + ", ".join(quote(v) for v in values) + "]"
 
+    def each(self, array, var, expr):
+        return f"list_transform({array}, lambda {var}: {expr})"
+
+    def fold(self, array, first, acc, var, expr):
+        return f"list_reduce({array}, lambda {acc}, {var}: {expr}, {first})"
+
+    def min_of(self, array):
+        return f"list_min({array})"
+
+    def array(self, *values):
+        return f"[{', '.join(values)}]"
+
+    def struct(self, **fields):
+        return "struct_pack(" + ", ".join(f"{n} := {e}" for n, e in fields.items()) + ")"
+
+    def append(self, array, value):
+        return f"list_concat({array}, [{value}])"
+
+    def joined(self, *arrays):
+        return arrays[0] if len(arrays) == 1 else f"list_concat({arrays[0]}, {self.joined(*arrays[1:])})"
+
+    def no_strings(self):
+        return "cast([] as varchar[])"
+
+    def agg_list(self, value, order):
+        return f"list({value} order by {order})"
+
     def agg_text(self, value, sep, *order):
         return f"string_agg({value}, '{sep}' order by {', '.join(order)})"
 
@@ -221,6 +300,15 @@ class Duck(Spark):
     def element(self, array, i):
         return f"list_extract({array}, cast({i} as bigint))"
 
+    def half_even(self, x):
+        return f"round_even({x}, 0)"
+
+    def decoded(self, x):
+        return f"url_decode({x})"
+
+    def bytes(self, x):
+        return f"octet_length(encode({x}))"
+
     def mod(self, a, b):
         return f"((({a}) % ({b}) + ({b})) % ({b}))"
 
