@@ -126,7 +126,7 @@ STORY_VERSIONS = (("4.6.0", "4.6.0"),)
 def story_plans(d):
     """Story plans as they are handed over, one a project: some without a version or of another,
     some whose count is not that of the scenes, some no object or without a list of scenes."""
-    user = f"cast({d.extract('project_id', '^([0-9]+)', 1)} as bigint)"
+    user = f"coalesce(cast(nullif({d.extract('project_id', '^([0-9]+)', 1)}, '') as bigint), 0)"
     return f"""
     select project_id, u % 29 <> 5 as is_object, u % 31 <> 6 as has_scenes, n - case when u % 37 = 7 then 1 else 0 end as scene_count, case when u % 41 <> 8 then '4.6.0' end as schema_version, case when u % 43 = 9 then '4.5.0' when u % 47 = 10 then ' ' else '4.6.0' end as story_director_version
     from (select project_id, {user} as u, cast(count(*) as int) as n from structural_roles group by project_id) t where u % 23 <> 4"""
@@ -135,7 +135,7 @@ def story_plans(d):
 @relation("structural_roles", "scenes", public=False)
 def story_plan_scenes(d):
     """Scenes of story plans in their order, with ids, numbers and times: a few wrong."""
-    user = f"cast({d.extract('r.project_id', '^([0-9]+)', 1)} as bigint)"
+    user = f"coalesce(cast(nullif({d.extract('r.project_id', '^([0-9]+)', 1)}, '') as bigint), 0)"
     return f"""
     select r.project_id, r.scene_index as place, true as is_object, case when {user} % 53 = 11 and r.scene_index = 1 then 'scene_999' else concat('scene_', lpad(cast(r.scene_index + 1 as string), 3, '0')) end as scene_id, r.scene_index,
       scene_start + case when {user} % 59 = 12 and r.scene_index = 2 then 0.5e0 else 0e0 end as scene_start, scene_end, cast(null as double) as duration, story_role, story_phase, tension, emotional, revelation

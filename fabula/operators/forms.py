@@ -18,6 +18,9 @@ PLAIN = [(c, "".join(x for x in unicodedata.normalize("NFKD", c) if x < "\x80"))
 PAIRS = [(unicodedata.decomposition(c).split(" "), c) for c, _ in DECOMPOSED if unicodedata.normalize("NFC", c) == c]
 COMPOSED = {chr(int(a, 16)) + chr(int(b, 16)): c for (a, b), c in PAIRS}
 
+#: All pairs, each between two marks and before what it becomes.
+TABLE = "".join(f"\x01{pair}\x02{c}" for pair, c in COMPOSED.items())
+
 
 def ranges(chars) -> str:
     """A class of characters for a pattern."""
@@ -67,8 +70,9 @@ def composed(d, source: str, key: str, text: str) -> str:
     class or a higher one; a starter joins only the one right before it."""
     if not d.spark:  # the oracle has a function of its own for this
         return f"select {key}, nfc_normalize({text}) as nfc from {source} where {d.matches(text, DOUBTFUL)}"
-    both = f"map({', '.join(f'{quote(p)}, {quote(c)}' for p, c in COMPOSED.items())})[concat(s.starter, x.ch)]"
-    joins = f"((s.marks = '' or (x.class > 0 and s.last < x.class)) and {both} is not null)"
+    wanted = "concat(chr(1), s.starter, x.ch, chr(2))"
+    both = f"substring({quote(TABLE)}, locate({wanted}, {quote(TABLE)}) + length({wanted}), 1)"
+    joins = f"((s.marks = '' or (x.class > 0 and s.last < x.class)) and locate({wanted}, {quote(TABLE)}) > 0)"
     begins = f"(x.class = 0 and not {joins})"
     state = {
         "starter": ("string", "x.ch", f"case when {joins} then {both} when x.class = 0 then x.ch else s.starter end"),
