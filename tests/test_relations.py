@@ -37,11 +37,12 @@ def test_relation(name, spark, duck):
 def test_shape_of_five_scenes(spark):
     texts = ["What happened at the hospital?", "Records and evidence were found.", "But the claim was disputed.", "The truth was revealed.", "Why did nobody act?"]
     scenes = spark.createDataFrame([("p", i, 5, i * 5.0, i * 5.0 + 5.0, t) for i, t in enumerate(texts)], "project_id string, scene_index int, scene_count int, scene_start double, scene_end double, voiceover_text string")
-    assert apply("story_shape", spark, scenes=scenes).first().story_shape == "contested_resolution"
-    assert apply("opening_strategy", spark, scenes=scenes).first().opening == "direct_question"
-    assert apply("resolution_type", spark, scenes=scenes).first().resolution == "open_question"
-    assert apply("story_edges", spark, scenes=scenes).count() == 4
-    assert [r.role for r in apply("story_role", spark, scenes=scenes).orderBy("scene_index").collect()] == ["hook", "evidence", "counterargument", "revelation", "resolution"]
+    captions = spark.createDataFrame([], "project_id string, caption_id int, caption_start double, caption_end double, caption_text string")
+    assert apply("story_shape", spark, scenes=scenes, captions=captions).first().story_shape == "contested_resolution"
+    assert apply("opening_strategy", spark, scenes=scenes, captions=captions).first().opening == "direct_question"
+    assert apply("resolution_type", spark, scenes=scenes, captions=captions).first().resolution == "open_question"
+    assert apply("story_edges", spark, scenes=scenes, captions=captions).count() == 4
+    assert [r.role for r in apply("story_role", spark, scenes=scenes, captions=captions).orderBy("scene_index").collect()] == ["hook", "evidence", "counterargument", "revelation", "resolution"]
 
 
 def test_boundaries_of_three_scenes(spark):

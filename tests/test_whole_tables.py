@@ -5,13 +5,13 @@ import pytest
 from fabula.plans import registry  # noqa: F401  (registers the relations)
 from fabula.plans.relation import apply
 
-PROFILES = "image_id long, user_id long, file string, description string, tags string, ocr string, semantic_text string, priority double, preferred_phase double, realism double, width int, height int, contrast double, brightness double, edge_mean double, center_edges double, quietest double"
+PROFILES = "image_id long, user_id long, file string, description string, tags string, ocr string, tag_list array<string>, ocr_list array<string>, semantic_text string, priority double, preferred_phase double, realism double, width int, height int, contrast double, brightness double, edge_mean double, center_edges double, quietest double"
 SCENES = "project_id string, scene_index int, scene_count int, scene_start double, scene_end double, voiceover_text string"
 
 
 def image(i, user, description, ocr=""):
     file = f"img_{i}.jpg"
-    return (i, user, file, description, "", ocr, f"{file} {description} {ocr}".strip(), 0.5, 0.0, None, 900, 1600, 40.0, 128.0, 10.0, 10.0, 100.0)
+    return (i, user, file, description, "", ocr, [], [ocr] if ocr else [], f"{file} {description} {ocr}".strip(), 0.5, 0.0, None, 900, 1600, 40.0, 128.0, 10.0, 10.0, 100.0)
 
 
 def test_images_of_a_user_are_ranked(spark):
