@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_map, extended
 
@@ -126,9 +127,10 @@ def fit(rows: list[tuple[str | None, int]], steps: int = 400, rate: float = 0.3,
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> list[tuple[str | None, int]]:
     """A bounded sample (by a hash of doc_id) of labelled texts outside the held-out
-    quarter: at most `limit` documents, and in that order only as many as `size` bytes
-    hold. Runs one job. Rows without a label or doc_id are not used; a document with
-    several labels has the highest, one with several texts is left out."""
+    quarter: at most `limit` documents, and of these, in that order, each that still fits
+    into `size` bytes. Sizes of at most `limit` texts are told first, then only the chosen
+    texts are read. Rows without a label or doc_id are not used; a document with several
+    labels has the highest, one with several texts is left out."""
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -138,11 +140,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limi
         .limit(limit)
     )
     # at most `limit` rows of two numbers are broadcast; repeated rows become one in each task
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"), F.max("text").alias("other"))
-    found = found.where(F.col("text").eqNullSafe(F.col("other"))).drop("other")
-    before = Window.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = found.withColumn("total", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(before)).where(F.col("total") <= size)
-    return [(r.text, r.y) for r in sorted(fits.collect(), key=lambda r: r.doc_id)]
+    texts = docs.select("doc_id", "text")
+    body = F.xxhash64("text")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(body).alias("body"), F.max(body).alias("other"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    found = found.where("body = other").select("doc_id", "y", "bytes", F.xxhash64("doc_id", F.lit("fit")).alias("place"))
+    chosen, total = {}, 0
+    for r in sorted(found.collect(), key=lambda r: (r.place, r.doc_id)):
+        if total + r.bytes <= size:
+            chosen[r.doc_id] = r.y
+            total += r.bytes
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], StructType([docs.schema["doc_id"]]))
+    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [(r.text, chosen[r.doc_id]) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def held_out():

@@ -299,3 +299,16 @@ def test_op6_loses_no_link_of_a_whole_table(spark, k, percent):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(docs, k, percent).collect())
     assert found == brute_jaccard(rows, k, percent)
+
+
+def test_a_text_beyond_the_bound_leaves_the_others_in_the_sample(spark):
+    rows = [(i, "x" * 2_000 if i == 3 else f"text number {i}") for i in range(60)] + [(5, "text number 5"), (7, "another seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 3 in free and 7 in free
+    whole = toxicity.training_rows(docs, labels)
+    assert sorted(whole) == sorted((dict(rows[:60])[i], i % 2) for i in free if i != 7)
+    assert sorted(toxicity.training_rows(docs, labels, size=1_500)) == sorted((t, y) for t, y in whole if len(t) < 100)
+    few = toxicity.training_rows(docs, labels, size=100)
+    assert 0 < len(few) < 12 and sum(len(t) for t, _ in few) <= 100
