@@ -214,8 +214,10 @@ def block_pairs(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def verified(close: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b), a written table, those whose sets reach the threshold: a, b."""
-    wanted = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct().join(classes.select("cid", "doc"), "cid")
-    ids = small(written(wanted.select(F.col("doc").alias("doc_id"), F.col("cid").alias("want")), "wanted"))
+    wanted = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct().join(classes.select("cid", "doc", "content"), "cid")
+    wanted = written(wanted.select(F.col("doc").alias("doc_id"), "content", F.col("cid").alias("want")), "wanted")
+    ids = small(wanted.where("doc_id is not null").drop("content"))
+    nameless = small(wanted.where("doc_id is null").drop("doc_id"))
 
     def sets(batches):
         done = set()  # of this task's share of repeated rows
@@ -228,7 +230,9 @@ def verified(close: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cid", "s"])
 
     own = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(sets, "cid long, s binary")
-    own = written(own, "sets")
+    # classes of rows without a doc_id are found by one of their texts, which may come often
+    bare = docs.where("doc_id is null").select("text", F.xxhash64("text").alias("content")).join(nameless, "content").mapInArrow(sets, "cid long, s binary")
+    own = written(own.union(bare.dropDuplicates(["cid"])), "sets")
     both = close.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
 
     def count(batches):
@@ -254,7 +258,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows = written(survey(docs, k), "survey")
-    classes = rows.where("kind = 0 and n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("data").alias("data"))
+    classes = rows.where("kind = 0 and n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("data").alias("data"), F.min("content").alias("content"))
     classes = written(classes, "classes")
     cells = rarity(rows)
     incidence = written(prefixes(docs, cells, k, percent), "prefixes")
