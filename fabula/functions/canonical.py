@@ -3,6 +3,7 @@ NFC, and its JSON escapes control characters in another case)."""
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import math
@@ -21,7 +22,10 @@ def encode(value, dialect: str) -> str:
 
 def _checked(value, dialect: str):
     if isinstance(value, dict):
-        return {_checked(k, dialect): _checked(v, dialect) for k, v in value.items()}
+        normal = {_checked(k, dialect): _checked(v, dialect) for k, v in value.items()}
+        if len(normal) != len(value):
+            raise ValueError("keys collide in composed form")
+        return normal
     if isinstance(value, list):
         return [_checked(v, dialect) for v in value]
     if isinstance(value, str):
@@ -35,23 +39,59 @@ def _checked(value, dialect: str):
     return value
 
 
-def parse(text: str, dialect: str, limit: int = 65_536):
-    """The value of canonical JSON; raises where it is too long, repeats a key or is not
-    byte for byte what encode() gives."""
-    if len(text.encode()) > limit:
+def parse(text: str | bytes, dialect: str, limit: int = 65_536):
+    """The value of canonical JSON. Raises, in this order, where it is too long (bytes), is no
+    UTF-8, begins with a byte order mark, is no JSON, repeats a key at any level, holds a value
+    that the dialect lacks, or is not byte for byte what encode() gives."""
+    try:
+        data = text.encode() if isinstance(text, str) else text
+    except UnicodeEncodeError:
+        raise ValueError("not UTF-8") from None
+    if len(data) > limit:
         raise ValueError("too long")
+    if data.startswith(codecs.BOM_UTF8):
+        raise ValueError("begins with a byte order mark")
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        raise ValueError("not UTF-8") from None
 
     def pairs(items):
         if len({k for k, _ in items}) != len(items):
             raise ValueError("a key comes twice")
         return dict(items)
 
-    value = json.loads(text, object_pairs_hook=pairs)
-    if encode(value, dialect) != text:
+    def constant(_):
+        raise ValueError("this number is not allowed")
+
+    try:
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=float if dialect == "key" else constant)
+    except (json.JSONDecodeError, RecursionError):
+        raise ValueError("no JSON") from None
+    if encode(value, dialect).encode("utf-8", "surrogatepass") != data:
         raise ValueError("not canonical")
     return value
 
 
+def verdict(column: Column, dialect: str, limit: int = 65_536) -> Column:
+    """Why each text is no canonical JSON of a dialect, `canonical` where it is; null stays null."""
+
+    @F.pandas_udf("string")
+    def check(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            try:
+                parse(t, dialect, limit)
+            except ValueError as e:
+                return str(e)
+            return "canonical"
+
+        return texts.map(one).astype(object)
+
+    return check(column)
+
+
 def is_canonical(column: Column, dialect: str) -> Column:
     """Whether each text is canonical JSON; null stays null."""
 

@@ -195,6 +195,16 @@ def objects(d):
     return f"select event_id, {given} as object from events"
 
 
+@relation("objects", public=False)
+def json_texts(d):
+    """JSON texts in many shapes: compact, with a blank, keys out of order or twice (inside too), a
+    fraction, a byte order mark, letters and marks apart, no JSON."""
+    compact = "replace(object, ': ', ':')"
+    shapes = [compact, "object", f"concat('{chr(0xFEFF)}', {compact})", """concat('{"a":', {c}, ',"b":[1,2]}')""", """concat('{"b":[1,2],"a":', {c}, '}')""", """'{"a":{"x":1,"x":1}}'""", """'{"a":1.5}'""", """'{"a":NaN}'""", f"""'{{"a":"e{chr(0x301)}"}}'""", """'{"a":'"""]
+    cases = " ".join(f"when {i} then {s.replace('{c}', compact)}" for i, s in enumerate(shapes))
+    return f"select event_id, case event_id % {len(shapes)} {cases} end as document from objects"
+
+
 @relation("objects")
 def exact_fields(d):
     """What is wrong with a flat object's fields: unknown ones, missing ones, nulls; the one

@@ -23,7 +23,7 @@ def norm(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else repr(float(f"{v:.9g}") + 0.0) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_relation(name, spark, duck):
     frame = QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
