@@ -1,8 +1,8 @@
 """Unicode forms: canonical composition and plain letters, as joins with the standard's tables.
 
-Texts that hold no character in doubt are in composed form already and go past; the
-others are exploded to characters, decomposed by a join, put in canonical order by a
-window, and composed by one walk. Tables come from Python's own `unicodedata`, for
+Texts that hold no character in doubt are in composed form already and go past; of the
+others, each different run of such characters (with the one before it) is exploded once,
+decomposed by a join, put in canonical order by a window, and composed by one walk. Tables come from Python's own `unicodedata`, for
 characters below UPTO; those above stay as they are.
 """
 
@@ -36,6 +36,10 @@ def ranges(chars) -> str:
 #: Characters that the composed form may not hold, or not behind every other.
 DOUBTFUL = ranges({c for c, _ in MARKS} | {c for c, _ in DECOMPOSED if unicodedata.normalize("NFC", c) != c} | {pair[1] for pair in COMPOSED})
 
+#: What a text in doubt is cut into: doubtful characters with the one before them, and the rest.
+OTHER = "[^" + DOUBTFUL[1:]
+PIECES = f"(?s){OTHER}?{DOUBTFUL}+|{OTHER}+(?!{DOUBTFUL})|{OTHER}"
+
 
 @relation(public=False)
 def decompositions(d):
@@ -80,8 +84,11 @@ def composed(d, source: str, key: str, text: str) -> str:
         "last": ("int", "0", f"case when {joins} then s.last else x.class end"),
         "done": ("string", "''", f"case when {begins} then concat(s.starter, s.marks) else '' end"),
     }
-    walk = d.scan(f"({in_order(d, source, key, text)})", [key], "place", ["ch", "class"], state)
-    return f"select {key}, concat({d.agg_text('done', '', 'place')}, max_by(concat(starter, marks), place)) as nfc from ({walk}) w group by {key}"
+    pieces = d.unnest_at(f"(select {key}, {d.tokens(text, PIECES)} as own from {source} where {d.matches(text, DOUBTFUL)}) a", "own", "piece", "pos")
+    different = f"(select distinct piece, piece as letters_of from {pieces} where {d.matches('piece', DOUBTFUL)})"
+    walk = d.scan(f"({in_order(d, different, 'piece', 'letters_of')})", ["piece"], "place", ["ch", "class"], state)
+    whole = f"select piece, concat({d.agg_text('done', '', 'place')}, max_by(concat(starter, marks), place)) as form from ({walk}) w group by piece"
+    return f"select {key}, {d.agg_text('coalesce(w.form, p.piece)', '', 'pos')} as nfc from (select {key}, piece, pos from {pieces}) p left join ({whole}) w on w.piece = p.piece group by {key}"
 
 
 @relation("names", "plain_letters")

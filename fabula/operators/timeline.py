@@ -209,26 +209,58 @@ def caption_coverage(d):
     left join (select g.project_id, cast(count(*) as bigint) as words, cast(count(distinct merged) as bigint) as n_captions from caption_segmentation g join caption_merge_small m on m.project_id = g.project_id and m.caption = g.caption group by g.project_id) c on c.project_id = s.project_id"""
 
 
+#: Interval joins meet in cells of the time axis of so many seconds.
+CELL = "16e0"
+
+
+def cell(t: str) -> str:
+    return f"cast(floor({t} / {CELL}) as int)"
+
+
+def in_cells(d, source: str, start: str, end: str) -> str:
+    """Intervals once for each cell that they touch, as a table expression: a point meets
+    those of its own cell alone, so a join by project and cell is linear in the rows."""
+    return d.unnest(f"(select *, {d.range(cell(start), cell(end))} as cells from {source}) c", "cells", "cell")
+
+
 @relation("captions", "scenes")
 def caption_scene_interval_join(d):
     """Captions with the scene that their midpoint falls in."""
-    return "select c.project_id, caption_id, scene_index from captions c join scenes s on s.project_id = c.project_id and (caption_start + caption_end) * 0.5e0 >= scene_start and (caption_start + caption_end) * 0.5e0 < scene_end"
+    return f"""
+    select c.project_id, caption_id, scene_index from (select project_id, caption_id, m, {cell('m')} as cell from (select *, (caption_start + caption_end) * 0.5e0 as m from captions) a) c
+    join (select project_id, scene_index, scene_start, scene_end, cell from {in_cells(d, 'scenes', 'scene_start', 'scene_end')}) s on s.project_id = c.project_id and s.cell = c.cell and m >= scene_start and m < scene_end"""
+
+
+@relation("scenes", public=False)
+def scene_middles(d):
+    return f"select project_id, scene_index, scene_start, scene_end, m, {cell('m')} as cell from (select *, (scene_start + scene_end) * 0.5e0 as m from scenes) s"
 
 
-@relation("scenes", "analyses")
+@relation("scene_middles", "analyses")
 def analysis_for_scene(d):
     """The analysis that covers a scene's midpoint, the earliest of several."""
-    return "select project_id, scene_index, analysis_start, focus_y, face_count, source from (select s.project_id, scene_index, a.analysis_start, focus_y, face_count, source, row_number() over (partition by s.project_id, scene_index order by a.analysis_start, a.analysis_end) as r from scenes s join analyses a on a.project_id = s.project_id and analysis_start <= (scene_start + scene_end) * 0.5e0 and analysis_end > (scene_start + scene_end) * 0.5e0) t where r = 1"
+    return f"select project_id, scene_index, analysis_start, focus_y, face_count, source from (select s.project_id, scene_index, a.analysis_start, focus_y, face_count, source, row_number() over (partition by s.project_id, scene_index order by a.analysis_start, a.analysis_end) as r from scene_middles s join {in_cells(d, 'analyses', 'analysis_start', 'analysis_end').removesuffix('_u')} a on a.project_id = s.project_id and a.cell = s.cell and analysis_start <= m and analysis_end > m) t where r = 1"
+
+
+@relation("scene_middles", "analyses", public=False)
+def nearest_analyses(d):
+    """The analyses before and after each scene's midpoint by their own (the first of several
+    at one): scenes and analyses in one order of time, and what came last on either side."""
+    union = "select project_id, m as t, 1 as kind, scene_index, cast(null as int) as n, cast(null as double) as middle from scene_middles union all select project_id, (analysis_start + analysis_end) * 0.5e0, 0, null, cast(n as int), (analysis_start + analysis_end) * 0.5e0 from analyses"
+    side = lambda c, way: d.last_known(c, f"partition by project_id order by t{way}, kind, n desc rows between unbounded preceding and current row")
+    columns = ", ".join(f"{side(c, way)} as {c}_{name}" for c in ("n", "middle") for name, way in (("before", ""), ("after", " desc")))
+    closer = "n_after is null or abs(middle_before - t) < abs(middle_after - t) or (abs(middle_before - t) = abs(middle_after - t) and n_before < n_after)"
+    return f"select project_id, scene_index, case when n_before is not null and ({closer}) then n_before else n_after end as n from (select project_id, t, kind, scene_index, {columns} from ({union}) u) v where kind = 1"
 
 
-@relation("scenes", "analyses", public=False)
+@relation("scene_middles", "nearest_analyses", "analyses", public=False)
 def scene_analyses(d):
-    """The analysis of each scene, with its focus and faces: the covering one, else the nearest by midpoint."""
-    covers = "a.analysis_start <= m and a.analysis_end > m"
+    """The analysis of each scene, with its focus and faces: the first that covers its midpoint,
+    else the nearest by midpoint."""
+    covering = f"select s.project_id, scene_index, min(a.n) as n from scene_middles s join {in_cells(d, 'analyses', 'analysis_start', 'analysis_end').removesuffix('_u')} a on a.project_id = s.project_id and a.cell = s.cell and analysis_start <= m and analysis_end > m group by s.project_id, scene_index"
     return f"""
-    select project_id, scene_index, scene_start, scene_end, analysis_start, covers, focus_x, focus_y, face_count, subject_scale, confidence, source from (select s.project_id, scene_index, scene_start, scene_end, a.analysis_start, {covers} as covers, focus_x, focus_y, face_count, subject_scale, confidence, source,
-      row_number() over (partition by s.project_id, scene_index order by case when {covers} then 0 else 1 end, case when {covers} then 0e0 else abs((a.analysis_start + a.analysis_end) * 0.5e0 - m) end, a.n) as r
-      from (select *, (scene_start + scene_end) * 0.5e0 as m from scenes) s join analyses a on a.project_id = s.project_id) t where r = 1"""
+    select s.project_id, s.scene_index, scene_start, scene_end, a.analysis_start, c.n is not null as covers, focus_x, focus_y, face_count, subject_scale, confidence, source from scene_middles s left join ({covering}) c on c.project_id = s.project_id and c.scene_index = s.scene_index
+    join nearest_analyses b on b.project_id = s.project_id and b.scene_index = s.scene_index join analyses a on a.project_id = s.project_id and a.n = coalesce(c.n, b.n)"""
 
 
 @relation("scene_analyses")
@@ -240,7 +272,7 @@ def semantic_to_analysis(d):
 @relation("captions", "spoken")
 def active_caption(d):
     """The caption on screen at each word's start, ends included: the first that has not ended."""
-    return "select w.project_id, word_index, min(caption_id) as caption_id from spoken w join captions c on c.project_id = w.project_id and word_start >= caption_start and word_start <= caption_end group by w.project_id, word_index"
+    return f"select w.project_id, word_index, min(caption_id) as caption_id from (select project_id, word_index, word_start, {cell('word_start')} as cell from spoken) w join {in_cells(d, 'captions', 'caption_start', 'caption_end').removesuffix('_u')} c on c.project_id = w.project_id and c.cell = w.cell and word_start >= caption_start and word_start <= caption_end group by w.project_id, word_index"
 
 
 @relation("captions", "spoken")

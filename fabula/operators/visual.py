@@ -2,6 +2,7 @@
 
 from ..plans.relation import quote, relation
 from .text import WORD_VISUAL, words_in
+from .timeline import cell, in_cells
 
 #: Shot rules in their order of precedence.
 SHOTS = [
@@ -152,7 +153,7 @@ def paced(x: str) -> str:
 @relation("spoken", "scenes", "pacing_profile")
 def pacing_progress(d):
     """Distance moved at each word's time within its scene."""
-    return f"select project_id, word_index, round({paced('x')}, 6) as progress from (select w.project_id, w.word_index, least(1e0, greatest(0e0, (word_start - scene_start) / (scene_end - scene_start))) as x, hold, ease_in, peak, ease_out from spoken w join scenes s on s.project_id = w.project_id and word_start >= scene_start and word_start < scene_end join pacing_profile p on p.project_id = s.project_id and p.scene_index = s.scene_index) t"
+    return f"select project_id, word_index, round({paced('x')}, 6) as progress from (select w.project_id, w.word_index, least(1e0, greatest(0e0, (word_start - scene_start) / (scene_end - scene_start))) as x, hold, ease_in, peak, ease_out from (select project_id, word_index, word_start, {cell('word_start')} as cell from spoken) w join {in_cells(d, 'scenes', 'scene_start', 'scene_end').removesuffix('_u')} s on s.project_id = w.project_id and s.cell = w.cell and word_start >= scene_start and word_start < scene_end join pacing_profile p on p.project_id = s.project_id and p.scene_index = s.scene_index) t"
 
 
 @relation("scenes")
@@ -244,10 +245,12 @@ def motion_state_lookup(d):
     far as paced progress has come."""
     u = paced("x")
     lerp = ", ".join(f"round({a} + ({b} - {a}) * u, 6) as {n}" for n, a, b in (("zoom", "z0", "z1"), ("pan_x", "x0", "x1"), ("pan_y", "y0", "y1")))
+    # the first scene that ends after the start: all ends after it, from the last one backwards
+    ends = "select project_id, caption_start as t, 0 as kind, caption_id, cast(null as int) as scene_index from captions union all select project_id, scene_end, 1, null, scene_index from motion_continuity"
+    first = "min(scene_index) over (partition by project_id order by t desc, kind rows between unbounded preceding and current row)"
     return f"""
-    select project_id, caption_id, scene_index, {lerp} from (select *, {u} as u from (select c.project_id, c.caption_id, m.scene_index, z0, z1, x0, x1, y0, y1, p.hold, ease_in, peak, ease_out, greatest(0e0, least(1e0, (caption_start - scene_start) / greatest(0.001e0, scene_end - scene_start))) as x,
-        row_number() over (partition by c.project_id, c.caption_id order by case when caption_start < scene_end then m.scene_index else 1000000 - m.scene_index end) as r
-      from captions c join motion_continuity m on m.project_id = c.project_id join pacing_profile p on p.project_id = m.project_id and p.scene_index = m.scene_index) t where r = 1) v"""
+    select project_id, caption_id, scene_index, {lerp} from (select *, {u} as u from (select c.project_id, c.caption_id, m.scene_index, z0, z1, x0, x1, y0, y1, p.hold, ease_in, peak, ease_out, greatest(0e0, least(1e0, (t - scene_start) / greatest(0.001e0, scene_end - scene_start))) as x
+      from (select project_id, t, kind, caption_id, coalesce({first}, max(scene_index) over (partition by project_id)) as own from ({ends}) e) c join motion_continuity m on m.project_id = c.project_id and m.scene_index = c.own join pacing_profile p on p.project_id = m.project_id and p.scene_index = m.scene_index where kind = 0) t) v"""
 
 
 @relation("motion_continuity")
