@@ -252,11 +252,13 @@ def sink_lines(df: DataFrame, path: str, key: list[str], line: str) -> None:
 
 
 def sink_ffconcat(df: DataFrame, path: str) -> None:
-    """project_id, scene_index, image, duration -> concat lists; the last image comes again."""
+    """project_id, scene_index, image, duration -> concat lists, each begun by its header; the
+    last image comes again."""
     quoted = F.concat(F.lit("file '"), F.replace("image", F.lit("'"), F.lit("'\\''")), F.lit("'"))
     last = df.groupBy("project_id").agg(F.max_by("image", "scene_index").alias("image"), (F.max("scene_index") + 1).alias("scene_index"))
     lines = df.select("project_id", "scene_index", F.concat_ws("\n", quoted, F.format_string("duration %.6f", "duration")).alias("line"))
-    lines = lines.unionByName(last.select("project_id", "scene_index", quoted.alias("line")))
+    header = last.select("project_id", F.lit(-1).alias("scene_index"), F.lit("ffconcat version 1.0").alias("line"))
+    lines = lines.unionByName(last.select("project_id", "scene_index", quoted.alias("line"))).unionByName(header)
     sink_lines(lines, path, ["project_id", "scene_index"], "line")
 
 

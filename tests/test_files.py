@@ -35,7 +35,7 @@ def test_ffconcat_repeats_the_last_image(spark, tmp_path):
     frame = spark.createDataFrame([("p", 0, "a'b.jpg", 1.5), ("p", 1, "c.jpg", 2.0)], "project_id string, scene_index int, image string, duration double")
     files.sink_ffconcat(frame, f"{tmp_path}/out")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/out").collect()]
-    assert lines == ["file 'a'\\''b.jpg'", "duration 1.500000", "file 'c.jpg'", "duration 2.000000", "file 'c.jpg'"]
+    assert lines == ["ffconcat version 1.0", "file 'a'\\''b.jpg'", "duration 1.500000", "file 'c.jpg'", "duration 2.000000", "file 'c.jpg'"]
 
 
 def test_json_scans(spark, tmp_path):
