@@ -165,7 +165,7 @@ def optional_unit(d):
 @relation("orders")
 def fraction_in_range(d):
     """A fraction rounded to four places and whether it keeps within 0.08 to 0.92."""
-    return "select o_orderkey, f, f between 0.08e0 and 0.92e0 as ok from (select o_orderkey, round(o_totalprice / 500000e0, 4) as f from orders)"
+    return f"select o_orderkey, f, f between 0.08e0 and 0.92e0 as ok from (select o_orderkey, {d.round('o_totalprice / 500000e0', 4)} as f from orders)"
 
 
 #: Language tags by a document's number: valid, odd case, with script and region, and malformed.
