@@ -47,17 +47,17 @@ def story_base(d):
     beats = "(f_question + f_contrast + f_challenge + f_evidence + f_reveal + f_escalation + f_conclusion + f_reflection)"
     known = lambda x, otherwise: f"case when fallback_used then {otherwise} else {x} end"
     return f"""
-    select *, {known(clamp("0.58e0 + 0.045e0 * beats + case when role in ('development', 'unknown') then 0e0 else 0.08e0 end"), '0.25e0')} as confidence
+    select *, {known(clamp(d, "0.58e0 + 0.045e0 * beats + case when role in ('development', 'unknown') then 0e0 else 0.08e0 end"), '0.25e0')} as confidence
     from (select *, {relative} as relative, {beats} as beats,
       case when fallback_used then 'development' when scene_count = 1 then case when f_question = 1 then 'hook' else 'development' end
            when scene_index = 0 then case when f_question = 1 or f_reveal = 1 then 'hook' else 'setup' end
            when scene_index = scene_count - 1 then case when f_reflection = 1 then 'epilogue' else 'resolution' end
            when f_reveal = 1 then 'revelation' when f_contrast = 1 and f_challenge = 1 then 'counterargument'
            when f_contrast = 1 then 'contrast' when f_evidence = 1 then 'evidence' when f_escalation = 1 then 'complication' else 'development' end as role,
-      {known(clamp(f"0.25e0 + 0.5e0 * (1e0 - abs({relative} - 0.72e0)) + 0.13e0 * f_escalation + 0.10e0 * f_reveal + 0.06e0 * f_contrast + 0.05e0 * f_question"), '0.5e0')} as tension,
-      {known(clamp("0.08e0 + 0.62e0 * f_reveal + 0.18e0 * f_evidence + 0.10e0 * f_challenge"), '0e0')} as revelation,
-      {known(clamp("0.28e0 + 0.36e0 * f_escalation + 0.20e0 * f_reveal + 0.10e0 * f_question + 0.08e0 * f_contrast"), '0.5e0')} as emotional,
-      {known(clamp("0.18e0 + least(0.62e0, n_words / 55e0) + 0.12e0 * f_evidence + 0.08e0 * f_cause"), '0.5e0')} as information
+      {known(clamp(d, f"0.25e0 + 0.5e0 * (1e0 - abs({relative} - 0.72e0)) + 0.13e0 * f_escalation + 0.10e0 * f_reveal + 0.06e0 * f_contrast + 0.05e0 * f_question"), '0.5e0')} as tension,
+      {known(clamp(d, "0.08e0 + 0.62e0 * f_reveal + 0.18e0 * f_evidence + 0.10e0 * f_challenge"), '0e0')} as revelation,
+      {known(clamp(d, "0.28e0 + 0.36e0 * f_escalation + 0.20e0 * f_reveal + 0.10e0 * f_question + 0.08e0 * f_contrast"), '0.5e0')} as emotional,
+      {known(clamp(d, "0.18e0 + least(0.62e0, n_words / 55e0) + 0.12e0 * f_evidence + 0.08e0 * f_cause"), '0.5e0')} as information
       from story_flags)"""
 
 
@@ -162,7 +162,7 @@ def structural_roles(d):
 def story_edges(d):
     """Edges between neighbouring scenes with the relation and strength of the later one."""
     return f"""
-    select c.project_id, c.scene_index - 1 as from_scene, c.scene_index as to_scene, continuity as relation, {clamp("0.52e0 + 0.22e0 * confidence + 0.16e0 * tension")} as strength
+    select c.project_id, c.scene_index - 1 as from_scene, c.scene_index as to_scene, continuity as relation, {clamp(d, "0.52e0 + 0.22e0 * confidence + 0.16e0 * tension")} as strength
     from continuity_relation c join structural_roles s on s.project_id = c.project_id and s.scene_index = c.scene_index where c.scene_index > 0"""
 
 
@@ -185,7 +185,7 @@ def story_shape(d):
 @relation("story_adjacent")
 def coherence(d):
     """0.55 plus 0.45 times the mean word overlap of neighbours."""
-    return f"select project_id, {clamp('0.55e0 + coalesce(avg(jaccard), 0e0) * 0.45e0')} as coherence from story_adjacent group by project_id"
+    return f"select project_id, {clamp(d, '0.55e0 + coalesce(avg(jaccard), 0e0) * 0.45e0')} as coherence from story_adjacent group by project_id"
 
 
 @relation("story_flags")
@@ -220,7 +220,7 @@ def tension_curve(d):
 def story_document(d):
     """One row a project: shape, opening, resolution, structure and confidence."""
     return f"""
-    select s.project_id, story_shape, opening, resolution, coherence, climax, turning, {clamp("0.56e0 + least(0.32e0, 0.04e0 * (n_question + n_evidence + n_reveal + n_contrast))")} as confidence
+    select s.project_id, story_shape, opening, resolution, coherence, climax, turning, {clamp(d, "0.56e0 + least(0.32e0, 0.04e0 * (n_question + n_evidence + n_reveal + n_contrast))")} as confidence
     from story_shape s join opening_strategy o on o.project_id = s.project_id join resolution_type r on r.project_id = s.project_id join coherence c on c.project_id = s.project_id
     join climax_scene x on x.project_id = s.project_id join turning_point t on t.project_id = s.project_id join signal_counts n on n.project_id = s.project_id"""
 

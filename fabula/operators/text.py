@@ -53,8 +53,8 @@ def four(x: str) -> str:
     return f"(cast(floor((cast(round(({x}) * 1e9) as bigint) + 50000) / 1e5) as bigint) / 1e4)"
 
 
-def clamp(x: str) -> str:
-    return f"round(greatest(0e0, least(1e0, {x})), 4)"
+def clamp(d, x: str) -> str:
+    return d.round(f"greatest(0e0, least(1e0, {x}))", 4)
 
 
 @relation("documents")

@@ -48,7 +48,7 @@ def said(d):
 @relation("said", public=False)
 def timed(d):
     return f"""
-    select *, round((instant - min(instant) over (partition by project_id)) / {PACE}, 3) as t,
+    select *, {d.round(f'(instant - min(instant) over (partition by project_id)) / {PACE}', 3)} as t,
            cast(row_number() over (partition by project_id order by instant, event_id) as int) as n
     from said"""
 
@@ -69,7 +69,7 @@ def spoken(d):
     """Timed words: each event's phrase spread evenly over a second and a half."""
     return f"""
     select project_id, n, t, word, place, size, cast(row_number() over (partition by project_id order by n, place) as int) as word_index,
-           round(t + 1.5e0 * (place - 1) / size, 6) as word_start, round(t + 1.5e0 * place / size, 6) as word_end
+           {d.round('t + 1.5e0 * (place - 1) / size', 6)} as word_start, {d.round('t + 1.5e0 * place / size', 6)} as word_end
     from (select project_id, n, t, word, place, {d.size("parts")} as size
           from {d.unnest_at(f"(select project_id, n, t, {d.split('phrase', ' ')} as parts from timed)", "parts", "word", "place")})"""
 
