@@ -11,7 +11,7 @@ FINAL = """select concat('p', cast(i as string)) as project_id, 0 as scene_index
   'unchanged' as adjustment, false as preserved from {0}"""
 
 
-@pytest.mark.parametrize("name", ["ambience"])
+@pytest.mark.parametrize("name", ["ambience", "sound_layers"])
 def test_levels_of_each_energy(name, spark):
     found = sorted(map(tuple, apply(name, spark, audio_final=spark.sql(FINAL.format("(select id as i from range(1001)) t"))).collect()))
     want = duckdb.connect().sql(render(name, Duck(), {"audio_final": FINAL.format("(select unnest(range(1001)) as i) t")})).fetchall()
