@@ -118,6 +118,11 @@ def image_words(d):
     return counted(d, "user_id, image_id", "profiles", "semantic_text")
 
 
+def owned(d, source: str) -> str:
+    """Rows of projects with the user whose images they meet."""
+    return f"(select *, cast({d.extract('project_id', '^([0-9]+)', 1)} as bigint) as owner from {source})"
+
+
 @relation("scenes", "profiles")
 def scene_x_image(d):
     """Every scene of a project with every image of the project's user."""
@@ -127,6 +132,8 @@ def scene_x_image(d):
 @relation("scene_x_image", "scene_words", "image_words", public=False)
 def pair_words(d):
     """Words that a scene and an image of its user share, with both counts."""
+    if d.spark:  # by user and word, so that pairs are not met with all words of both
+        return f"select s.project_id, s.scene_index, i.image_id, s.word, s.c as in_scene, i.c as in_image from {owned(d, 'scene_words')} s join image_words i on i.user_id = s.owner and i.word = s.word"
     return "select x.project_id, x.scene_index, x.image_id, s.word, s.c as in_scene, i.c as in_image from scene_x_image x join scene_words s on s.project_id = x.project_id and s.scene_index = x.scene_index join image_words i on i.image_id = x.image_id and i.word = s.word"
 
 
@@ -257,8 +264,12 @@ def semantic_reference_score(d):
     """Shared weights (each counted three at most), the place in natural order against the
     scene's, priority and preferred place; before any penalty."""
     expected = "x.scene_index / greatest(1e0, x.scene_count - 1e0)"
+    met, shared = "scene_x_image a join scene_expanded s on s.project_id = a.project_id and s.scene_index = a.scene_index join concept_expand i on i.image_id = a.image_id and i.word = s.word", "least(s.weight, 3e0) * least(i.weight, 3e0)"
+    if d.spark:  # by user and word, so that pairs are not met with all words of the scene
+        met = f"(select s.project_id, s.scene_index, i.image_id, s.weight, i.weight as other from {owned(d, 'scene_expanded')} s join (select user_id, e.image_id, word, weight from concept_expand e join profiles p on p.image_id = e.image_id) i on i.user_id = s.owner and i.word = s.word) a"
+        shared = "least(a.weight, 3e0) * least(a.other, 3e0)"
     return f"""
     select x.project_id, x.scene_index, x.image_id, round(coalesce(shared, 0e0) + 1.7e0 * (1e0 - least(1e0, abs({expected} - (place - 1) / greatest(1e0, n - 1e0)))) + priority + case when preferred_phase is not null then 12e0 * greatest(0e0, 1e0 - abs({expected} - preferred_phase) / 0.24e0) else 0e0 end, 9) as score
     from scene_x_image x join (select p.image_id, priority, preferred_phase, place, count(*) over (partition by p.user_id) as n from profiles p join natural_sort s on s.image_id = p.image_id) p on p.image_id = x.image_id
-    left join (select a.project_id, a.scene_index, a.image_id, cast(sum(cast(round(least(s.weight, 3e0) * least(i.weight, 3e0) * 10000e0) as bigint)) as bigint) / 10000e0 as shared from scene_x_image a join scene_expanded s on s.project_id = a.project_id and s.scene_index = a.scene_index join concept_expand i on i.image_id = a.image_id and i.word = s.word group by a.project_id, a.scene_index, a.image_id) o
+    left join (select a.project_id, a.scene_index, a.image_id, cast(sum(cast(round({shared} * 10000e0) as bigint)) as bigint) / 10000e0 as shared from {met} group by a.project_id, a.scene_index, a.image_id) o
       on o.project_id = x.project_id and o.scene_index = x.scene_index and o.image_id = x.image_id"""
