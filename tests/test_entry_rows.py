@@ -7,7 +7,7 @@ from fabula.plans.registry import ORACLE_SQL, QUERIES
 from fabula.plans.relation import SHORTER, apply
 
 SF = "/root/testdata/sf0.001"
-RUNS = ("cas_upsert", "execution_status_map", "recon_diagnostic_code", "reconcile_run", "checkpoint_codec", "recon_progress",)
+RUNS = ("cas_upsert", "execution_status_map", "recon_diagnostic_code", "work_budget_wrappers", "reconcile_run", "recon_progress", "checkpoint_codec")
 
 
 @pytest.mark.parametrize("name", RUNS)
