@@ -4,7 +4,8 @@ Seeds are minimizers of word k-mers, every place of each: a window of WINDOW k-m
 has one, so two texts with WINDOW + K - 1 words in common share a seed there. A seed
 is matched with its first place in the smallest and in the largest document that has
 it, which makes at most two matches a seed, however many documents share a passage.
-Matches of two documents are chained in order with linear gap costs, the best
+Seeds that no passage found so covers are then matched with all documents that have
+them, places whose words are the same far around as one. Matches of two documents are chained in order with linear gap costs, the best
 predecessor coming from a Fenwick tree of prefix maxima; a match alone is a chain
 too. Chains that words around a match speak for are aligned word by word, cut into their longest
 parts that are similar enough, and extended at both ends. Parts that go on from each other
@@ -38,6 +39,16 @@ MARGIN = 64
 #: them all must agree at one match of a chain at least: as many as a side has, since a
 #: passage lies on one side of its first and last seeds (a quarter agrees by chance).
 BESIDE, AGREE = 8, 8
+#: Words on either side of a seed, the first AWAY ones passed over, of which four bits each
+#: are compared first where all documents with a seed meet, and how many of them all must
+#: agree: as many as a side has, which an exact passage of LEAST words reaches at any seed.
+AWAY, SIDE, MET = 5, 16, 16
+#: Places of a seed that meet at once: those not covered, and all.
+OPEN_TILE, TILE = 1 << 11, 1 << 14
+#: Pairs of places compared by one step of an array.
+STEP = 1 << 15
+#: Pairs of places that are followed word by word at once.
+FOLLOWED = 1 << 13
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -144,12 +155,16 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, doc long, spot long")
 
 
-def matched(own: DataFrame) -> DataFrame:
-    """Matches of seeds with the smallest and the largest document that has them: doc, at,
-    ref, rat and the number of words beside them that agree. Places are looked up for
-    the shared seeds alone, so that little is shuffled."""
+def shared_seeds(own: DataFrame) -> DataFrame:
+    """Seeds of several documents with the smallest (first) and the largest (last) of these."""
     shared = own.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last")
-    own = written(own.join(written(shared, "shared"), "h"), "shared_seeds")
+    return written(own.join(written(shared, "shared"), "h"), "shared_seeds")
+
+
+def matched(own: DataFrame) -> DataFrame:
+    """Matches of shared seeds with the smallest and the largest document that has them: doc,
+    at, ref, rat and the number of words beside them that agree. What no passage covers
+    after these is left to matched_with_all()."""
     ends = own.where("spot >= 0 and (doc = first or doc = last)").groupBy("h").agg(F.min_by("spot", "doc").alias("fspot"), F.max_by("spot", "doc").alias("lspot"))
     both = own.join(small(written(ends, "ends"), 1_000_000), "h")
     # the first places of the two ends have met when the last one's seed met the first's
@@ -160,6 +175,169 @@ def matched(own: DataFrame) -> DataFrame:
     return met.selectExpr("doc", "cast(shiftright(spot, 32) as int) as at", "ref", "cast(shiftright(rspot, 32) as int) as rat", f"cast({agree} as int) as agree")
 
 
+def uncovered(own: DataFrame, found: DataFrame) -> DataFrame:
+    """Places of shared seeds in documents that are neither the first nor the last with them,
+    where two such documents or more have one and no row of `found` (of merged()) covers
+    it in one of them: h, doc, at, open (not covered)."""
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")).withColumnRenamed("doc_id", "doc")
+    middle = own.where("doc != first and doc != last").selectExpr("h", "doc", "cast(shiftright(if(spot < 0, ~spot, spot), 32) as int) as at")
+    covered = F.expr(f"coalesce(exists(spans, s -> s.start_word <= at and at + {K} <= s.end_word), false)")
+    middle = written(middle.join(small(written(spans, "covered")), "doc", "left").select("h", "doc", "at", (~covered).alias("open")), "middle")
+    asked = middle.groupBy("h").agg(F.bool_or("open").alias("any"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("any and a != b").select("h")
+    return middle.join(small(written(asked, "asked")), "h")
+
+
+def sketched(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Places of uncovered() with the words around them: ctx, a hash of MARGIN words on either
+    side, one and two, two bits each of the SIDE words on either side beyond AWAY, and near, half
+    a byte (zero beyond the text) of each of the MARGIN words before and behind the seed."""
+    listed = places.groupBy("doc").agg(F.collect_list(F.struct("h", F.expr("if(open, ~at, at)").alias("at"))).alias("p"))
+    listed = small(written(listed.selectExpr("doc", "transform(p, x -> x.h) as hs", "transform(p, x -> x.at) as ats"), "listed"))
+    around = MARGIN + np.arange(-MARGIN, K + MARGIN)
+    weights = mix64(np.arange(1, len(around) + 1, dtype=np.uint64)) | np.uint64(1)
+    aside = MARGIN + np.r_[-AWAY - SIDE : -AWAY, K + AWAY : K + AWAY + SIDE]
+    shifts = 2 * np.arange(2 * SIDE, dtype=np.uint64)
+    beside_ = MARGIN + np.r_[-1 : -MARGIN - 1 : -1, K : K + MARGIN]
+
+    def run(batches):
+        for batch in slices(batches):
+            out, near = [[] for _ in range(7)], []
+            for d, hs, ats, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "hs", "ats")), word_hashes(batch.column("text").to_pylist())):
+                at, hs = np.array(ats, np.int64), np.array(hs, np.int64)
+                at, open_ = np.where(at < 0, ~at, at), at < 0
+                inside = at + K <= len(words)  # rows of one doc_id may have several texts
+                at, hs, open_ = at[inside], hs[inside], open_[inside]
+                padded = np.zeros(len(words) + 2 * MARGIN, np.uint64)
+                padded[MARGIN : MARGIN + len(words)] = words
+                ctx = mix64((padded[at[:, None] + around] * weights).sum(axis=1, dtype=np.uint64))
+                side = padded[at[:, None] + aside]
+                codes = np.zeros(len(padded), np.uint8)
+                codes[MARGIN : MARGIN + len(words)] = (words >> np.uint64(32)) % np.uint64(15) + np.uint64(1)
+                codes = codes[at[:, None] + beside_]
+                near += [x.tobytes() for x in codes[:, ::2] | codes[:, 1::2] << 4]
+                bits = [((side >> np.uint64(n) & np.uint64(3)) << shifts).sum(axis=1, dtype=np.uint64) for n in (20, 22)]
+                for column, value in zip(out, (hs, np.full(len(at), d, np.int64), at.astype(np.int32), open_, *(x.view(np.int64) for x in (ctx, *bits)))):
+                    column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out), pa.array(near, pa.binary())], names=["h", "doc", "at", "open", "ctx", "one", "two", "near"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(listed, "doc")
+    return texts.mapInArrow(run, "h long, doc long, at int, open boolean, ctx long, one long, two long, near binary")
+
+
+def bounded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As followed(), or more, from the number of equal codes in each 16 words alone."""
+    x = a.view(np.uint64) ^ b.view(np.uint64)
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    x &= np.uint64(0x1111111111111111)
+    equal = 16 - np.bitwise_count(x).astype(np.int16)
+    reached = np.full(len(a), K)
+    for part in np.split(equal.T, 2):
+        total = most = far = np.zeros(len(a), np.int16)
+        for k, n in enumerate(part):  # the last of n matches in a block ends before 1.5 n words of it
+            far = np.where((n > 0) & (total + n > most), 16 * k + np.minimum(16, 3 * n // 2), far)
+            total = total + 3 * n - 32
+            most = np.maximum(most, total)
+        reached += far
+    return reached
+
+
+def followed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words pairs of places can come to at most, as hopeless() counts them, from
+    the codes of the words beside them (near): equal codes make it more, never less."""
+    out = np.empty(len(a), np.int64)
+    for start in range(0, len(a), FOLLOWED):
+        x, y = a[start : start + FOLLOWED], b[start : start + FOLLOWED]
+        same = np.empty((len(x), 2 * MARGIN), bool)
+        same[:, ::2] = ((x ^ y) & 15 == 0) & (x & 15 > 0)
+        same[:, 1::2] = ((x ^ y) >> 4 == 0) & (x >> 4 > 0)
+        reached = np.full(len(x), K)
+        for part in (same[:, :MARGIN], same[:, MARGIN:]):  # a mismatch at 2 goes as far as at 4 or farther
+            total = np.cumsum(np.where(part, np.int16(1), np.int16(-2)), axis=1, dtype=np.int16)
+            best = total.argmax(axis=1)
+            reached += np.where(total[np.arange(len(x)), best] > 0, best + 1, 0)
+        out[start : start + FOLLOWED] = reached
+    return out
+
+
+def met(g: pa.RecordBatch) -> list[np.ndarray]:
+    """doc, at, ref, rat of the pairs of a tile that can come to LEAST words: each row of side 0
+    with each of side 1 that is of another document, those open on both sides once."""
+    side = g.column("side").to_numpy()
+    here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    doc, at, other, oat, ctx, one, two = (g.column(c).to_numpy() for c in ("doc", "at", "other", "oat", "ctx", "one", "two"))
+    open_ = g.column("open").to_numpy(zero_copy_only=False)
+    one, two, low = one.view(np.uint64), two.view(np.uint64), np.uint64(0x5555555555555555)
+    near = np.frombuffer(b"".join(g.column("near").to_pylist()), np.uint8).reshape(len(side), MARGIN)
+    found = []
+    step = max(1, STEP // max(1, len(there)))
+    for start in range(0, len(here), step):
+        part = here[start : start + step]
+        x = one[part, None] ^ one[there]
+        x |= two[part, None] ^ two[there]
+        x |= x >> np.uint64(1)
+        x &= low
+        i, j = np.nonzero(np.bitwise_count(x) <= 2 * SIDE - MET)
+        i, j = part[i], there[j]
+        once = ~open_[j] | (ctx[i] < ctx[j])
+        i, j = i[once], j[once]
+        enough = bounded(near[i], near[j]) >= LEAST
+        i, j = i[enough], j[enough]
+        enough = followed(near[i], near[j]) >= LEAST
+        found.append((i[enough], j[enough]))
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (here, here)
+    # where the smallest documents of two places are one, the largest of either stands for it
+    a, x, b, y = doc[i], at[i], doc[j], at[j]
+    same = a == b
+    second = same & (other[j] != a)
+    b, y = np.where(second, other[j], b), np.where(second, oat[j], y)
+    first = same & ~second
+    a, x = np.where(first, other[i], a), np.where(first, oat[i], x)
+    keep = a != b
+    swap = a < b
+    return [c[keep] for c in (np.where(swap, b, a), np.where(swap, y, x), np.where(swap, a, b), np.where(swap, x, y))]
+
+
+def matched_with_all(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Matches as of matched() of the open places of uncovered() with all places of the same
+    seed: those with the same words far around are one, with a match of each open one and its
+    smallest document; of these, the open ones meet all others in tiles of bounded size."""
+    rows = written(sketched(places, docs), "sketches")
+    smallest, largest = F.min(F.struct("doc", "at")), F.max(F.struct("doc", "at"))
+    kinds = rows.groupBy("h", "ctx").agg(smallest.alias("s"), largest.alias("l"), F.bool_or("open").alias("open"), F.first("one").alias("one"), F.first("two").alias("two"), F.first("near").alias("near"))
+    kinds = written(kinds.selectExpr("h", "ctx", "s.doc", "s.at", "l.doc as other", "l.at as oat", "open", "one", "two", "near"), "kinds")
+    agree = f"{AGREE} as agree"
+    copies = kinds.where("doc != other and open")
+    alike = copies.selectExpr("other as doc", "oat as at", "doc as ref", "at as rat", agree)
+    inner = rows.where("open").alias("r").join(copies.alias("k"), ["h", "ctx"]).where("r.doc != k.doc and r.doc != k.other")
+    alike = alike.union(inner.selectExpr("r.doc", "r.at", "k.doc as ref", "k.at as rat", agree))
+
+    counts = kinds.groupBy("h").agg(F.count_if("open").alias("n_open"), F.count("*").alias("n")).where("n_open > 0 and n > 1")
+    cut = kinds.join(counts, "h").selectExpr("*", f"cast(ceil(n_open / {OPEN_TILE}) as int) as p", f"cast(ceil(n / {TILE}) as int) as q")
+    columns = ["h", "ctx", "doc", "at", "other", "oat", "open", "one", "two", "near"]
+    here = cut.where("open").selectExpr(*columns, "0 as side", "cast(pmod(xxhash64(ctx), p) as int) as i", "explode(sequence(0, q - 1)) as j")
+    there = cut.selectExpr(*columns, "1 as side", "explode(sequence(0, p - 1)) as i", "cast(pmod(xxhash64(ctx), q) as int) as j")
+
+    def run(batches):
+        rows, n = [], 0
+        for g in groups(batches, ["h", "i", "j"]):
+            rows.append(met(g))
+            n += len(rows[-1][0]) + 1
+            if n > 20_000:
+                yield out(rows)
+                rows, n = [], 0
+        if rows:
+            yield out(rows)
+
+    def out(rows):
+        columns = [np.concatenate(c) for c in zip(*rows)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, np.full(len(columns[0]), AGREE)], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "at", "ref", "rat", "agree"])
+
+    dealt = here.union(there).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return alike.union(dealt.mapInArrow(run, "doc long, at int, ref long, rat int, agree int"))
+
+
 def chains_of(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Chains of matches (x, y), best first, each match in one chain at most. Matches are
     taken by x, then y; a match follows one with smaller x and y."""
@@ -502,10 +680,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     read. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    own = written(seeds(docs), "seeds")
+    own = shared_seeds(written(seeds(docs), "seeds"))
     found = written(chains(matched(own)), "chains")
     spans = written(passages(found, docs), "passages")
+    rest = matched_with_all(uncovered(own, merged(both_sides(spans))), docs)
+    found = written(chains(rest), "more_chains")
+    return merged(both_sides(spans.union(written(passages(found, docs), "more_passages"))))
+
+
+def both_sides(spans: DataFrame) -> DataFrame:
+    """Rows of passages() for either document: doc, start, end, other, n."""
     one = F.lit(1).cast("long").alias("n")
     sides = spans.select("doc", "start", "end", F.col("ref").alias("other"), one)
-    sides = sides.union(spans.select(F.col("ref").alias("doc"), F.col("rstart").alias("start"), F.col("rend").alias("end"), F.col("doc").alias("other"), one))
-    return merged(sides)
+    return sides.union(spans.select(F.col("ref").alias("doc"), F.col("rstart").alias("start"), F.col("rend").alias("end"), F.col("doc").alias("other"), one))

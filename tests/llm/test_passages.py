@@ -125,3 +125,60 @@ def test_exact_passages_against_all_pairs(spark):
         assert cover(want[d]) <= cover(found[d])
         for a, b in found[d]:  # 2 n >= 0.8 (la + lb) and lb >= n: a third at most joins exact runs
             assert len(cover(short[d]) & set(range(a, b))) >= 0.66 * (b - a)
+
+
+def test_a_passage_between_documents_that_are_no_end_of_any_seed(spark):
+    r = random.Random(9)
+    filler = lambda n: planted(n, 0, 1, r)[0][1].split()[150 : 150 + n]
+    shared = filler(60)
+    rows = [(5, filler(40) + shared + filler(30)), (6, filler(20) + shared + filler(50))]
+    rows += [(d, filler(30) + part + filler(30)) for d, part in ((1, shared[:43]), (8, shared[:43]), (2, shared[17:]), (9, shared[17:]))]
+    found = [tuple(x) for x in passages.repeated(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()]
+    assert sorted(found) == [(5, 40, 100, 6, 1), (6, 20, 80, 5, 1)]
+
+
+def test_all_pairs_of_documents_that_share_runs_with_many(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    long = [[word() for _ in range(75)] for _ in range(4)]
+    rows = []
+    for d in range(60):  # most have runs under LEAST words of several long texts, the ends among them
+        text = []
+        for source in r.sample(long, 3):
+            n = r.choice((52, 60)) if 10 <= d < 50 and r.random() < 0.2 else r.randrange(30, 45)
+            start = r.randrange(75 - n)
+            text += [word() for _ in range(r.randrange(10, 30))] + source[start : start + n]
+        rows.append((d, " ".join(text + [word() for _ in range(10)])))
+    rows += [(70 + i, text) for i, (_, text) in enumerate(rows[20:23])]  # copies
+    want = longest_common_runs(rows)
+    cover = lambda spans: {i for a, b in spans for i in range(a, b)}
+    found = {}
+    for x in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(x.doc_id, []).append((x.start_word, x.end_word))
+    assert set(want) <= set(found)
+    for d in want:
+        lost = cover(want[d]) - cover(found[d])
+        assert len(lost) <= 10 * len(want[d])
+
+
+def test_tiles_meet_all_pairs(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    line, tail = [word() for _ in range(12)], [word() for _ in range(50)]
+    rows = [(d, [word() for _ in range(60)] + line + (tail if d in (7, 23) else [word() for _ in range(50)]) + [word() for _ in range(40)]) for d in range(40)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    monkeypatch.setattr(passages, "OPEN_TILE", 8)
+    monkeypatch.setattr(passages, "TILE", 16)
+    monkeypatch.setattr(passages, "STEP", 32)
+    found = {(x.doc_id, x.ref_doc_id) for x in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(7, 23), (23, 7)}
+
+
+def test_bounds_of_what_codes_can_come_to():
+    r = np.random.default_rng(12)
+    a = r.integers(1, 16, (4000, 2 * passages.MARGIN), dtype=np.uint8)
+    b = np.where(r.random(a.shape) < r.random((4000, 1)), a, r.integers(0, 16, a.shape, dtype=np.uint8))
+    packed = [np.ascontiguousarray(x[:, ::2] | x[:, 1::2] << 4) for x in (a, b)]
+    want = [passages.K + sum(max(passages.reach(x[s], y[s], m)[0] for m in (2, 4)) for s in (slice(0, passages.MARGIN), slice(passages.MARGIN, None))) for x, y in zip(a, b)]
+    assert passages.followed(*packed).tolist() == want
+    assert (passages.bounded(*packed) >= want).all()
