@@ -7,7 +7,7 @@ from fabula.plans.registry import ORACLE_SQL, QUERIES
 from fabula.plans.relation import apply
 
 SF = "/root/testdata/sf0.001"
-RUNS = ("checkpoint_codec", "recon_progress")
+RUNS = ("checkpoint_codec", "recon_progress", "work_budget_wrappers")
 
 
 @pytest.mark.parametrize("name", RUNS)
