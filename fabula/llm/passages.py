@@ -28,6 +28,8 @@ from .common import groups, mix64, slices, small, whole, written
 K, WINDOW = 5, 7
 #: Characters whose words are hashed together.
 CHARACTERS = 1 << 16
+#: Words of texts whose seeds are found together (a longer text goes alone).
+WORDS = 1 << 15
 #: Words that a passage needs, and that an aligned chain needs to count towards one.
 LEAST, CHAIN = 50, 16
 SIMILAR = 0.8
@@ -47,8 +49,6 @@ AWAY, SIDE, MET = 5, 16, 16
 OPEN_TILE, TILE = 1 << 11, 1 << 14
 #: Pairs of places compared by one step of an array.
 STEP = 1 << 15
-#: Pairs of places that are followed word by word at once.
-FOLLOWED = 1 << 13
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -87,52 +87,60 @@ def _hashed(texts: list[str], letters: np.ndarray) -> Iterator[np.ndarray]:
         begin = end
 
 
-def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k-mer hash, place, whether the hash comes there first) of the minimizers. Where a
-    few words come again and again, one place in CHAIN of each hash: alignments from
-    there cover the others."""
-    n = len(h) - K + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
-    kmers = h[:n].copy()
+def seeds_of(hs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts, the minimizers: which text, k-mer hash, place, whether the hash comes there first
+    in the text, and two bits of each of the BESIDE words before and after it, zero beyond the
+    text. Where a few words come again and again, one place in CHAIN of each hash: alignments
+    from there cover the others."""
+    pad = max(WINDOW, BESIDE)
+    sizes = np.array([len(h) for h in hs])
+    starts = pad + np.cumsum(sizes + pad) - sizes - pad
+    words = np.zeros(int(pad + sizes.sum() + pad * len(hs)) + K, np.uint64)
+    for h, start in zip(hs, starts.tolist()):
+        words[start : start + len(h)] = h
+    n = len(words) - K + 1
+    kmers = words[:n].copy()
     for i in range(1, K):
         kmers *= np.uint64(0x9E3779B97F4A7C15)
-        kmers += h[i : i + n]
+        kmers += words[i : i + n]
     kmers = mix64(kmers)
     # the leftmost smallest k-mer of each window: places ride in the low bits of the hashes
-    w, low = min(WINDOW, n), np.uint64(0xFFFFFF)
-    least, done = kmers & ~low | np.arange(n, dtype=np.uint64) & low, 1
-    while done < w:
-        step = min(done, w - done)
+    low, here = np.uint64(0xFFFFFF), np.arange(n)
+    own = np.maximum(sizes - K + 1, 0)
+    edges = np.zeros((2, n + 1), np.int32)
+    np.add.at(edges, (0, starts), 1)
+    np.add.at(edges, (0, starts + own), -1)
+    least = np.where(np.cumsum(edges[0, :n]) > 0, kmers & ~low | here.astype(np.uint64) & low, np.uint64(0xFFFFFFFFFFFFFFFF))
+    done = 1
+    while done < WINDOW:
+        step = min(done, WINDOW - done)
         least, done = np.minimum(least[:-step], least[step:]), done + step
-    window = np.arange(n - w + 1)
-    places = window + ((least & low).astype(np.int64) - window & 0xFFFFFF)
+    windows = np.where(own > 0, np.maximum(own - WINDOW + 1, 1), 0)
+    np.add.at(edges, (1, starts), 1)
+    np.add.at(edges, (1, starts + windows), -1)
+    window = np.flatnonzero(np.cumsum(edges[1, : len(least)]) > 0)
+    places = window + ((least[window] & low).astype(np.int64) - window & 0xFFFFFF)
     places = places[np.diff(places, prepend=-1) > 0]
-    values = kmers[places]
+    values, text = kmers[places], np.searchsorted(starts, places, "right") - 1
     order = np.argsort(values, kind="stable")
-    again = np.flatnonzero(np.diff(values[order]) == 0) + 1
-    first = np.ones(len(places), bool)
-    if not len(again):
-        return values, places, first
-    first[order[again]] = False
-    keep, last = np.ones(len(places), bool), {}
-    twice = np.isin(values, values[~first])
-    for i, v, p in zip(np.flatnonzero(twice).tolist(), values[twice].tolist(), places[twice].tolist()):
-        if p - last.get(v, -CHAIN) < CHAIN:
-            keep[i] = False
-        else:
-            last[v] = p
-    return values[keep], places[keep], first[keep]
-
-
-def beside(h: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Two bits of each of the BESIDE words before and after the seeds, zero beyond the text."""
-    bits = np.zeros(len(h) + 2 * BESIDE, np.int64)
-    bits[BESIDE : BESIDE + len(h)] = (h >> np.uint64(20)).astype(np.int64) & 3
-    out = np.zeros(len(places), np.int64)
-    for i in [*range(BESIDE), *range(BESIDE + K, 2 * BESIDE + K)]:
-        out = out << 2 | bits[places + i]
-    return out
+    again = np.flatnonzero((np.diff(values[order]) == 0) & (np.diff(text[order]) == 0)) + 1
+    first, keep = np.ones(len(places), bool), np.ones(len(places), bool)
+    if len(again):
+        first[order[again]] = False
+        twice = ~first
+        twice[order[again - 1]] = True
+        last: dict[tuple[int, int], int] = {}
+        for i, t, v, p in zip(np.flatnonzero(twice).tolist(), text[twice].tolist(), values[twice].tolist(), places[twice].tolist()):
+            if p - last.get((t, v), -CHAIN) < CHAIN:
+                keep[i] = False
+            else:
+                last[t, v] = p
+        text, values, places, first = text[keep], values[keep], places[keep], first[keep]
+    bits = (words >> np.uint64(20)).astype(np.int64) & 3
+    beside = np.zeros(len(places), np.int64)
+    for i in [*range(-BESIDE, 0), *range(K, K + BESIDE)]:
+        beside = beside << 2 | bits[places + i]
+    return text, values, places - starts[text], first, beside
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -141,16 +149,25 @@ def seeds(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            ids, hs, ps = [], [], []
+            ids, held, size, out = [], [], 0, []
             for d, words in zip(batch.column("doc_id").to_pylist(), word_hashes(batch.column("text").to_pylist())):
-                if d is not None:
-                    h, p, first = seeds_of(words)
-                    spot = p.astype(np.int64) << 32 | beside(words, p)
-                    ids.append(np.full(len(h), d, np.int64))
-                    hs.append(h.view(np.int64))
-                    ps.append(np.where(first, spot, ~spot))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ps)], names=["h", "doc", "spot"])
+                if d is None:
+                    continue
+                if held and size + len(words) > WORDS:
+                    out.append(spots(ids, held))
+                    ids, held, size = [], [], 0
+                ids.append(d)
+                held.append(words)
+                size += len(words)
+            if held:
+                out.append(spots(ids, held))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["h", "doc", "spot"])
+
+    def spots(ids, held):
+        text, h, p, first, beside = seeds_of(held)
+        spot = p.astype(np.int64) << 32 | beside
+        return h.view(np.int64), np.array(ids, np.int64)[text], np.where(first, spot, ~spot)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, doc long, spot long")
 
@@ -225,68 +242,131 @@ def sketched(places: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, doc long, at int, open boolean, ctx long, one long, two long, near binary")
 
 
+def planes(near: np.ndarray) -> np.ndarray:
+    """The codes of the words beside places (near) by side, bit and place: a bit of each of the
+    MARGIN words of a side in one number, the fifth of which says whether there is a word."""
+    codes = np.empty((len(near), 2, MARGIN), np.uint8)
+    flat = codes.reshape(len(near), 2 * MARGIN)
+    flat[:, ::2], flat[:, 1::2] = near & 15, near >> 4
+    bits = [codes >> n & 1 for n in range(4)] + [codes > 0]
+    return np.stack([np.packbits(x, axis=2, bitorder="little").view("<u8")[:, :, 0].T for x in bits], axis=1)
+
+
+def equal_codes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether the words beside pairs of places have the same code, a bit each, from the planes
+    of one side of both."""
+    differ = a[0] ^ b[0]
+    for n in (1, 2, 3):
+        differ |= a[n] ^ b[n]
+    return ~differ & a[4]
+
+
+def _walks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each 16 bits: what they add (a mismatch costs 2), the most on the way, and where that is."""
+    bits = np.arange(1 << 16)[:, None] >> np.arange(16) & 1
+    total = np.cumsum(3 * bits - 2, axis=1)
+    return tuple(x.astype(np.int8) for x in (total[:, -1], total.max(axis=1), total.argmax(axis=1) + 1))
+
+
+ADDED, HIGHEST, WHERE = _walks()
+
+
+def begun(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the nearest 16 bits of a side: how far they go together, the most and the last total
+    on the way, and which sides may go farther than that."""
+    near = (same & np.uint64(0xFFFF)).astype(np.uint16)
+    most, total = HIGHEST[near], ADDED[near]
+    far = np.where(most > 0, WHERE[near], np.int8(0))
+    most = np.maximum(most, np.int8(0))
+    return far, most, total, np.flatnonzero(total + np.bitwise_count(same >> np.uint64(16)).astype(np.int8) > most)
+
+
 def bounded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """As followed(), or more, from the number of equal codes in each 16 words alone."""
-    x = a.view(np.uint64) ^ b.view(np.uint64)
-    x |= x >> np.uint64(1)
-    x |= x >> np.uint64(2)
-    x &= np.uint64(0x1111111111111111)
-    equal = 16 - np.bitwise_count(x).astype(np.int16)
+    """As followed(), or more, from the nearest 16 words of a side and the number of equal codes
+    among the others."""
     reached = np.full(len(a), K)
-    for part in np.split(equal.T, 2):
-        total = most = far = np.zeros(len(a), np.int16)
-        for k, n in enumerate(part):  # the last of n matches in a block ends before 1.5 n words of it
-            far = np.where((n > 0) & (total + n > most), 16 * k + np.minimum(16, 3 * n // 2), far)
-            total = total + 3 * n - 32
-            most = np.maximum(most, total)
+    for x, y in zip(planes(a), planes(b)):
+        far, _, _, on = begun(equal_codes(x, y))
+        far[on] = MARGIN
         reached += far
     return reached
 
 
+def farthest(same: np.ndarray) -> np.ndarray:
+    """How many words the bits of one side (equal_codes()) go together: the first most of their total."""
+    far, most, total, on = begun(same)
+    most, total, rest, best = most[on], total[on].astype(np.int16), same[on], far[on]
+    for k in (1, 2, 3):
+        bits = (rest >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.uint16)
+        top = total + HIGHEST[bits]
+        best = np.where(top > most, 16 * k + WHERE[bits], best)
+        most, total = np.maximum(most, top), total + ADDED[bits]
+    far[on] = best
+    return far
+
+
 def followed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many words pairs of places can come to at most, as hopeless() counts them, from
     the codes of the words beside them (near): equal codes make it more, never less."""
-    out = np.empty(len(a), np.int64)
-    for start in range(0, len(a), FOLLOWED):
-        x, y = a[start : start + FOLLOWED], b[start : start + FOLLOWED]
-        same = np.empty((len(x), 2 * MARGIN), bool)
-        same[:, ::2] = ((x ^ y) & 15 == 0) & (x & 15 > 0)
-        same[:, 1::2] = ((x ^ y) >> 4 == 0) & (x >> 4 > 0)
-        reached = np.full(len(x), K)
-        for part in (same[:, :MARGIN], same[:, MARGIN:]):  # a mismatch at 2 goes as far as at 4 or farther
-            total = np.cumsum(np.where(part, np.int16(1), np.int16(-2)), axis=1, dtype=np.int16)
-            best = total.argmax(axis=1)
-            reached += np.where(total[np.arange(len(x)), best] > 0, best + 1, 0)
-        out[start : start + FOLLOWED] = reached
-    return out
+    return sum((farthest(equal_codes(x, y)) for x, y in zip(planes(a), planes(b))), np.full(len(a), K))
 
 
 def met(g: pa.RecordBatch) -> list[np.ndarray]:
-    """doc, at, ref, rat of the pairs of a tile that can come to LEAST words: each row of side 0
-    with each of side 1 that is of another document, those open on both sides once."""
-    side = g.column("side").to_numpy()
-    here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    """doc, at, ref, rat of the pairs of whole tiles that can come to LEAST words: each row of side 0
+    with each of side 1 of its tile that is of another document, those open on both sides once."""
+    side, h, p, q = (g.column(c).to_numpy() for c in ("side", "h", "i", "j"))
     doc, at, other, oat, ctx, one, two = (g.column(c).to_numpy() for c in ("doc", "at", "other", "oat", "ctx", "one", "two"))
     open_ = g.column("open").to_numpy(zero_copy_only=False)
     one, two, low = one.view(np.uint64), two.view(np.uint64), np.uint64(0x5555555555555555)
-    near = np.frombuffer(b"".join(g.column("near").to_pylist()), np.uint8).reshape(len(side), MARGIN)
-    found = []
-    step = max(1, STEP // max(1, len(there)))
-    for start in range(0, len(here), step):
-        part = here[start : start + step]
-        x = one[part, None] ^ one[there]
-        x |= two[part, None] ^ two[there]
-        x |= x >> np.uint64(1)
-        x &= low
-        i, j = np.nonzero(np.bitwise_count(x) <= 2 * SIDE - MET)
-        i, j = part[i], there[j]
+    tile = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))])
+    codes, found = None, [(tile[:0], tile[:0])]
+
+    def followed_from(i, j, differ):
+        nonlocal codes
+        differ |= differ >> np.uint64(1)
+        differ &= low
+        asked = np.flatnonzero(np.bitwise_count(differ).ravel() <= 2 * SIDE - MET)
+        i, j = i(asked), j(asked)
         once = ~open_[j] | (ctx[i] < ctx[j])
         i, j = i[once], j[once]
-        enough = bounded(near[i], near[j]) >= LEAST
-        i, j = i[enough], j[enough]
-        enough = followed(near[i], near[j]) >= LEAST
-        found.append((i[enough], j[enough]))
-    i, j = (np.concatenate(x) for x in zip(*found)) if found else (here, here)
+        if len(i):
+            if codes is None:
+                codes = planes(np.frombuffer(b"".join(g.column("near").to_pylist()), np.uint8).reshape(len(side), MARGIN))
+            left, right = (farthest(equal_codes([x[i] for x in c], [x[j] for x in c])) for c in codes)
+            enough = left.astype(np.int16) + right >= LEAST - K
+            found.append((i[enough], j[enough]))
+
+    # open places by ctx: those before a step's first have met its places already
+    here = np.flatnonzero(side == 0)
+    here = here[np.lexsort((ctx[here], tile[here]))]
+    there = np.flatnonzero(side == 1)
+    there = there[np.lexsort((~ctx[there], open_[there], tile[there]))]
+    n_here, n_there = (np.bincount(tile[x], minlength=tile[-1] + 1) for x in (here, there))
+    first, begin = np.cumsum(n_here) - n_here, np.cumsum(n_there) - n_there
+    large = n_here * n_there > STEP // 4
+    for t in np.flatnonzero(large).tolist():
+        own, others = here[first[t] : first[t] + n_here[t]], there[begin[t] : begin[t] + n_there[t]]
+        late = ctx[others[open_[others]][::-1]]
+        after = len(others) - np.searchsorted(late, ctx[own], "right")
+        ones, twos, start = one[others], two[others], 0
+        while start < len(own):
+            n = int(after[start])
+            part = own[start : start + max(1, STEP // max(1, n))]
+            start += len(part)
+            if n:
+                differ = one[part, None] ^ ones[:n]
+                differ |= two[part, None] ^ twos[:n]
+                followed_from(lambda k: part[k // n], lambda k: others[k % n], differ)  # noqa: B023
+    # small tiles together, a list of pairs
+    own = here[~large[tile[here]]]
+    times = n_there[tile[own]]
+    cuts = np.searchsorted(np.cumsum(times), np.arange(STEP, int(times.sum()) + STEP, STEP), "right")
+    for part, n in zip(np.split(own, cuts), np.split(times, cuts)):
+        if n.sum():
+            i = np.repeat(part, n)
+            j = there[np.repeat(begin[tile[part]] - np.cumsum(n) + n, n) + np.arange(len(i))]
+            followed_from(i.__getitem__, j.__getitem__, one[i] ^ one[j] | two[i] ^ two[j])
+    i, j = (np.concatenate(x) for x in zip(*found))
     # where the smallest documents of two places are one, the largest of either stands for it
     a, x, b, y = doc[i], at[i], doc[j], at[j]
     same = a == b
@@ -320,19 +400,10 @@ def matched_with_all(places: DataFrame, docs: DataFrame) -> DataFrame:
     there = cut.selectExpr(*columns, "1 as side", "explode(sequence(0, p - 1)) as i", "cast(pmod(xxhash64(ctx), q) as int) as j")
 
     def run(batches):
-        rows, n = [], 0
-        for g in groups(batches, ["h", "i", "j"]):
-            rows.append(met(g))
-            n += len(rows[-1][0]) + 1
-            if n > 20_000:
-                yield out(rows)
-                rows, n = [], 0
-        if rows:
-            yield out(rows)
-
-    def out(rows):
-        columns = [np.concatenate(c) for c in zip(*rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, np.full(len(columns[0]), AGREE)], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "at", "ref", "rat", "agree"])
+        for g in whole_pairs(batches, 4000, ("h", "i", "j")):
+            found = [*met(g)]
+            found.append(np.full(len(found[0]), AGREE))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "at", "ref", "rat", "agree"])
 
     dealt = here.union(there).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     return alike.union(dealt.mapInArrow(run, "doc long, at int, ref long, rat int, agree int"))
@@ -386,73 +457,87 @@ def chains(matches: DataFrame) -> DataFrame:
     xs, ys (places of the matches)."""
 
     def run(batches):
-        rows = [[], [], [], []]
-        for g in groups(batches, ["doc", "ref"]):
-            agree = g.column("agree").to_numpy()
-            if g.num_rows == 1 and agree[0] < AGREE:
-                continue
-            x, y = g.column("at").to_numpy(), g.column("rat").to_numpy()
-            if np.all(np.diff(y) > 0) and np.all(np.diff(x) > 0) and np.all(np.abs(np.diff(x) - np.diff(y)) + np.diff(x) + np.diff(y) <= GAIN / COST):
-                found = [np.arange(len(x))]  # already one chain
-            else:
-                found = chains_of(x.astype(np.int64), y.astype(np.int64))
-            for chain in found:
-                if agree[chain].max() >= AGREE:
-                    for column, value in zip(rows, (g.column("doc")[0].as_py(), g.column("ref")[0].as_py(), x[chain], y[chain])):
-                        column.append(value)
-            if len(rows[0]) >= 2000:
-                yield out(rows)
-                rows = [[], [], [], []]
-        if rows[0]:
-            yield out(rows)
-
-    def out(rows):
+        for batch in whole_pairs(batches, 10_000):
+            d, r, x, y, agree = (batch.column(c).to_numpy() for c in ("doc", "ref", "at", "rat", "agree"))
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
+            starts = np.flatnonzero(new)
+            sizes = np.diff(starts, append=len(d))
+            dx, dy = np.diff(x), np.diff(y)
+            apart = np.zeros(len(d), bool)
+            apart[1:] = ~new[1:] & ~((dx > 0) & (dy > 0) & (np.abs(dx - dy) + dx + dy <= GAIN / COST))
+            spoken = np.maximum.reduceat(agree, starts) >= AGREE
+            one = ~np.logical_or.reduceat(apart, starts)  # already one chain
+            rows = np.repeat(spoken & one, sizes)
+            ends = np.concatenate([[0], np.cumsum(sizes[spoken & one])])
+            found = [], [], [], []
+            for start, n in zip(starts[spoken & ~one].tolist(), sizes[spoken & ~one].tolist()):
+                xs, ys, a = (c[start : start + n] for c in (x, y, agree))
+                for chain in chains_of(xs.astype(np.int64), ys.astype(np.int64)):
+                    if a[chain].max() >= AGREE:
+                        for column, value in zip(found, (d[start], r[start], xs[chain], ys[chain])):
+                            column.append(value)
+            yield out(d[starts[spoken & one]], r[starts[spoken & one]], *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[rows], pa.int32())) for c in (x, y)))
+            if found[0]:
+                yield out(*found)
+
+    def out(*columns):
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc", "ref", "xs", "ys"])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.ListArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "ref", "xs", "ys"])
 
     dealt = matches.repartition("doc", "ref").sortWithinPartitions("doc", "ref", "at", "rat")
     return dealt.mapInArrow(run, "doc long, ref long, xs array<int>, ys array<int>")
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short pieces."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) == len(b) and (a == b).all():
+def common(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence of two pieces, a bit for each word of one: those
+    where it grows are cleared."""
+    if a == b:
         return len(a)
-    row = np.zeros(len(b) + 1, np.int64)
+    at: dict[int, int] = {}
+    for i, v in enumerate(b):
+        at[v] = at.get(v, 0) | 1 << i
+    every = left = (1 << len(b)) - 1
     for v in a:
-        row[1:] = np.maximum(row[1:], np.where(b == v, row[:-1] + 1, 0))
-        row = np.maximum.accumulate(row)
-    return int(row[-1])
+        grown = left & at.get(v, 0)
+        left = (left + grown | left - grown) & every
+    return len(b) - left.bit_count()
 
 
 def reach(a: np.ndarray, b: np.ndarray, miss: int = 2) -> tuple[int, int]:
     """How far two pieces go together from their beginnings (a mismatch costs `miss`),
     and the words that match on the way."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
+    return together(a[:n] == b[:n], miss)
+
+
+def together(same: np.ndarray, miss: int) -> tuple[int, int]:
+    """reach() from whether the words match."""
+    n = len(same)
+    matched = np.count_nonzero(same)
+    if matched in (0, n):
+        return matched, matched
     total = np.cumsum(np.where(same, 1, -miss))
     end = int(total.argmax()) + 1
-    return (end, int(same[:end].sum())) if total[end - 1] > 0 else (0, 0)
+    return (end, np.count_nonzero(same[:end])) if total[end - 1] > 0 else (0, 0)
 
 
 def blocks(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     """The seeds of a chain without what overlaps the one before, a row each: where it
     starts in both pieces, words matched up to there, where it ends, words matched."""
     rows, n, x, y = [], 0, int(xs[0]), int(ys[0])
+    x0, y0 = x, y
+    a, b = a[x : xs[-1] + K].tolist(), b[y : ys[-1] + K].tolist()
     for p, q in zip(xs.tolist(), ys.tolist()):
         if p < x or q < y:  # overlaps the seed before
             step = max(x - p, y - q)
             grown = K - step
             if grown > 0:
-                more = min(grown, common(a[x : p + K], b[y : q + K])) if p - x != q - y else grown
+                more = min(grown, common(a[x - x0 : p + K - x0], b[y - y0 : q + K - y0])) if p - x != q - y else grown
                 rows.append((x, y, n, p + K, q + K, n + more))
                 n, x, y = n + more, p + K, q + K
         else:
-            n += common(a[x:p], b[y:q])
+            n += common(a[x - x0 : p - x0], b[y - y0 : q - y0])
             rows.append((p, q, n, p + K, q + K, n + K))
             n, x, y = n + K, p + K, q + K
     return np.array(rows)
@@ -467,9 +552,15 @@ def extended(a: np.ndarray, b: np.ndarray, part: np.ndarray) -> tuple[int, int,
     them, as far as they stay similar enough."""
     (x, y, before), (u, v, n) = part[0, :3].tolist(), part[-1, 3:].tolist()
     n -= before
-    best, sides = None, [(reach(a[:x][::-1], b[:y][::-1], m), reach(a[u:], b[v:], m)) for m in (2, 4)]
-    for left, less in (sides[0][0], sides[1][0], (0, 0)):
-        for right, more in (sides[0][1], sides[1][1], (0, 0)):
+    left, right = min(x, y), min(len(a) - u, len(b) - v)
+    same = (a[x - left : x] == b[y - left : y])[::-1], a[u : u + right] == b[v : v + right]
+    best, sides = None, [tuple(together(s, 2) for s in same)]
+    for far in (0, 1, 2):  # the widest most often fits: the others are looked at where it does not
+        if far == 1:
+            sides += [tuple(together(s, 4) for s in same), ((0, 0), (0, 0))]
+        pairs = [(0, 0)] if far == 0 else [(0, 1), (0, 2), (1, 0), (1, 1), (1, 2)] if far == 1 else [(2, 0), (2, 1), (2, 2)]
+        for i, j in pairs:
+            (left, less), (right, more) = sides[i][0], sides[j][1]
             fits = similar(n + less + more, u - x + left + right, v - y + left + right)
             if best is None or (fits, left + right) > best[0]:
                 best = (fits, left + right), (x - left, u + right, y - left, v + right, n + less + more)
@@ -489,6 +580,9 @@ def similar_parts(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray)
     found, open_ = [], [blocks(a, b, xs, ys)]
     while open_:
         part = open_.pop()
+        if len(part) == 1:
+            found.append(extended(a, b, part))
+            continue
         starts = 2 * part[:, 2] - SIMILAR * (part[:, 0] + part[:, 1])
         ends = 2 * part[:, 5] - SIMILAR * (part[:, 3] + part[:, 4])
         # the first start from which each end is similar enough: where the running least falls to it
@@ -515,32 +609,34 @@ def pieces(found: DataFrame, docs: DataFrame) -> DataFrame:
             words = [(h >> np.uint64(32)).astype("<u4").tobytes() for h in word_hashes(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(words, pa.binary())], names=["at", "words"])
 
-    def cut(batches):
-        names = ["doc", "ref", "x0", "y0", "side", "places"]
-        for batch in slices(batches):
-            starts, parts = [], []
-            for p, w in zip(batch.column("places").to_pylist(), batch.column("words").to_pylist()):
-                starts.append(max(0, p[0] - MARGIN))
-                parts.append(w[4 * starts[-1] : 4 * (p[-1] + K + MARGIN)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=[*names, "start", "piece"])
-
     texts = docs.select(F.col("doc_id").cast("long").alias("at"), "text").join(ids, "at", "left_semi").mapInArrow(shorten, "at long, words binary")
-    return asked.join(texts, "at").mapInArrow(cut, "doc long, ref long, x0 int, y0 int, side int, places array<int>, start int, piece binary")
+    start = asked.withColumn("start", F.greatest(F.lit(0), F.col("places")[0] - MARGIN))
+    piece = F.expr(f"substring(words, 4 * start + 1, 4 * (element_at(places, -1) + {K + MARGIN} - start))").alias("piece")
+    return start.join(texts, "at").select("doc", "ref", "x0", "y0", "side", "places", "start", piece)
 
 
-def whole_pairs(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
-    """Batches of whole pairs (doc, ref) from batches sorted by them."""
+def whole_pairs(batches: Iterator[pa.RecordBatch], rows: int = 4000, keys: tuple[str, ...] = ("doc", "ref")) -> Iterator[pa.RecordBatch]:
+    """Batches of whole pairs (doc, ref), or of other keys, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in slices(batches, rows):
-        if held:
-            batch = whole([*held, batch])
-        if batch.num_rows:
-            d, r = batch.column("doc").to_numpy(), batch.column("ref").to_numpy()
-            others = np.flatnonzero((d != d[-1]) | (r != r[-1]))
-            start = int(others[-1]) + 1 if len(others) else 0
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        others = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
+        start = int(others[-1]) + 1 if len(others) else 0
+        if held and (start or any(h != c[0] for h, c in zip(last, columns))):
+            new = np.flatnonzero(np.logical_or.reduce([c != h for h, c in zip(last, columns)]))
+            cut = int(new[0]) if len(new) else batch.num_rows
+            yield whole([*held, batch.slice(0, cut)]) if cut else whole(held)
+            held = []
+            if cut < start:
+                yield batch.slice(cut, start - cut)
+            held = [batch.slice(max(cut, start))] if max(cut, start) < batch.num_rows else []
+        else:
             if start:
                 yield batch.slice(0, start)
-            held = [batch.slice(start)]
+            held.append(batch.slice(start))
+        last = [c[-1] for c in columns]
     if held:
         yield whole(held)
 
@@ -597,8 +693,15 @@ def parts_of(g: pa.RecordBatch) -> list[tuple[int, int, int, int]]:
     as rows of pieces(), by where they start. A side has several pieces where rows of a
     doc_id have several texts."""
     chains_: dict[tuple[int, int], tuple[list, list]] = {}
-    for x0, y0, side, places, start, piece in zip(*(g.column(c).to_pylist() for c in ("x0", "y0", "side", "places", "start", "piece"))):
-        chains_.setdefault((x0, y0), ([], []))[side].append((np.array(places) - start, start, np.frombuffer(piece, "<u4")))
+    x0s, y0s, sides, starts = (g.column(c).to_numpy().tolist() for c in ("x0", "y0", "side", "start"))
+    listed, piece = g.column("places"), g.column("piece")
+    places, ends = listed.flatten().to_numpy(), offsets(listed)
+    ends = (ends - ends[0]).tolist()
+    cuts = offsets(piece).tolist()
+    words = np.frombuffer(piece.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]].view("<u4")
+    cuts = [(c - cuts[0]) // 4 for c in cuts]
+    for n, (x0, y0, side, start) in enumerate(zip(x0s, y0s, sides, starts)):
+        chains_.setdefault((x0, y0), ([], []))[side].append((places[ends[n] : ends[n + 1]] - start, start, words[cuts[n] : cuts[n + 1]]))
     found = set()
     for left, right in chains_.values():
         for xs, a0, a in left:

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from fabula.llm import passages
 
@@ -182,3 +184,94 @@ def test_bounds_of_what_codes_can_come_to():
     want = [passages.K + sum(max(passages.reach(x[s], y[s], m)[0] for m in (2, 4)) for s in (slice(0, passages.MARGIN), slice(passages.MARGIN, None))) for x, y in zip(a, b)]
     assert passages.followed(*packed).tolist() == want
     assert (passages.bounded(*packed) >= want).all()
+
+
+def tiles_of(groups_, r):
+    """Rows of matched_with_all()'s tiles, all open: words around places, a seed of one tile each."""
+    span = passages.MARGIN + np.r_[-passages.AWAY - passages.SIDE : -passages.AWAY, passages.K + passages.AWAY : passages.K + passages.AWAY + passages.SIDE]
+    beside = passages.MARGIN + np.r_[-1 : -passages.MARGIN - 1 : -1, passages.K : passages.K + passages.MARGIN]
+    rows = []
+    for h, words in enumerate(groups_):
+        codes = (words[:, beside] % np.uint64(15) + np.uint64(1)).astype(np.uint8)
+        near = [x.tobytes() for x in codes[:, ::2] | codes[:, 1::2] << 4]
+        shifts = 2 * np.arange(2 * passages.SIDE, dtype=np.uint64)
+        one, two = (((words[:, span] >> np.uint64(n) & np.uint64(3)) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for n in (20, 22))
+        ctx = r.permutation(len(words))
+        for side in (0, 1):
+            rows += [(h, 0, 0, side, int(ctx[k]), 1000 * h + k, 7, 1000 * h + k, 7, True, int(one[k]), int(two[k]), near[k]) for k in range(len(words))]
+    names = ["h", "i", "j", "side", "ctx", "doc", "at", "other", "oat", "open", "one", "two", "near"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+
+def test_tiles_of_several_seeds_meet_together():
+    r = np.random.default_rng(13)
+    groups_ = []
+    for n in (3, 1, 40, 2, 120, 25):
+        words = r.integers(0, 1 << 62, (n, 2 * passages.MARGIN + passages.K)).astype(np.uint64)
+        line = r.integers(0, 1 << 62, words.shape[1]).astype(np.uint64)
+        for k in range(n):
+            left, right = r.integers(0, 60, 2)
+            words[k, passages.MARGIN - left : passages.MARGIN + passages.K + right] = line[passages.MARGIN - left : passages.MARGIN + passages.K + right]
+        groups_.append(words)
+    batch = tiles_of(groups_, r)
+    near = {batch.column("doc")[i].as_py(): np.frombuffer(batch.column("near")[i].as_py(), np.uint8)[None] for i in range(batch.num_rows)}
+    want = set()
+    for h, words in enumerate(groups_):
+        for a in range(len(words)):
+            for b in range(a):
+                if passages.followed(near[1000 * h + a], near[1000 * h + b])[0] >= passages.LEAST:
+                    want.add((1000 * h + a, 1000 * h + b))
+    found = [(d, o) for d, _, o, _ in zip(*(c.tolist() for c in passages.met(batch)))]
+    assert len(found) == len(set(found)) and set(found) <= want
+    assert len(found) >= 0.95 * len(want)  # two places that share fewer than MET codes beyond AWAY are not followed
+
+
+def test_pairs_that_share_a_line_alone_cost_little():
+    r = np.random.default_rng(14)
+    words = r.integers(0, 1 << 62, (1500, 2 * passages.MARGIN + passages.K)).astype(np.uint64)
+    line = slice(passages.MARGIN - 9, passages.MARGIN + passages.K + 33)
+    words[:, line] = words[0, line]
+    batch = tiles_of([words], r)
+    one = batch.column("one").to_numpy()[:1500]
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    plain = least(lambda: [np.bitwise_count(one[k] ^ one).sum() for k in range(1500) for _ in range(4)])
+    assert len(passages.met(batch)[0]) < 0.01 * 1500**2
+    assert least(lambda: passages.met(batch)) < 8 * plain  # 20 where each pair is followed word by word
+
+
+def test_common_words_of_pieces():
+    r = random.Random(15)
+    for _ in range(300):
+        a, b = ([r.randrange(5) for _ in range(r.randrange(9))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for v in a:
+            row = [0, *np.maximum.accumulate([max(row[i + 1], row[i] + (w == v)) for i, w in enumerate(b)]).tolist()]
+        assert passages.common(a, b) == row[-1]
+
+
+def test_seeds_of_texts_together_are_those_of_each():
+    r = np.random.default_rng(16)
+    texts = [r.integers(0, n, r.integers(0, 80)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (2, 3, 9, 1000) for _ in range(25)]
+    text, *found = passages.seeds_of(texts)
+    alone = [passages.seeds_of([h]) for h in texts]
+    assert text.tolist() == [n for n, x in enumerate(alone) for _ in x[0]]
+    assert all(np.concatenate([x[k + 1] for x in alone]).tolist() == c.tolist() for k, c in enumerate(found))
+
+
+def test_whole_pairs_keeps_groups_whole():
+    r = np.random.default_rng(17)
+    d = np.sort(r.integers(0, 40, 500))
+    table = pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.zeros(500, np.int64)), pa.array(np.arange(500))], names=["doc", "ref", "n"])
+    for rows in (1, 3, 10, 100, 1000):
+        parts = list(passages.whole_pairs(iter([table.slice(0, 130), table.slice(130, 0), table.slice(130)]), rows))
+        assert np.concatenate([p.column("n").to_numpy() for p in parts]).tolist() == list(range(500))
+        seen = [set(p.column("doc").to_pylist()) for p in parts]
+        assert sum(map(len, seen)) == len(set.union(*seen)) == len(set(d.tolist()))
